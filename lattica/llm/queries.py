@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import exact_dedup as _exact
+from . import mixing as _mixing
 from .suffix_dedup import suffix_dedup
 
 
@@ -15,9 +17,20 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exact.exact_dedup(_table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op1_suffix_dedup": op1_suffix_dedup}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_mix_sources": _mixing.ORACLE.replace("{docs}", "documents"),
+        "op8_exact_dedup": _exact.ORACLE.replace("{docs}", "documents"),
+    }
