@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _exact
+from . import langid as _langid
 from . import mixing as _mixing
+from . import quality as _quality
 from .suffix_dedup import suffix_dedup
 
 
@@ -21,10 +23,22 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _quality.score_quality(docs, _quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = _quality.held_out("doc_id", 3, 1)
+    known = _langid.learn_languages(docs.where(~out))
+    return _langid.identify_languages(docs, known).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
