@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import exact_dedup as _exact
 from . import langid as _langid
 from . import mixing as _mixing
+from . import near_dedup as _near
 from . import quality as _quality
 from .suffix_dedup import suffix_dedup
 
@@ -32,6 +33,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near.near_dedup(_table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = _quality.held_out("doc_id", 3, 1)
