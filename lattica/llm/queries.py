@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontam as _decontam
 from . import exact_dedup as _exact
 from . import langid as _langid
 from . import mixing as _mixing
@@ -24,6 +25,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return _quality.score_quality(docs, _quality.train(docs, _table(spark, sf_dir, "labels")))
