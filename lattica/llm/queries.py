@@ -9,6 +9,7 @@ from . import exact_dedup as _exact
 from . import langid as _langid
 from . import mixing as _mixing
 from . import near_dedup as _near
+from . import pii as _pii
 from . import quality as _quality
 from .suffix_dedup import suffix_dedup
 
@@ -25,6 +26,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _pii.find_pii(docs, _pii.train(docs))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
