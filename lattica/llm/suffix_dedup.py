@@ -16,8 +16,10 @@ rank is unique.  Here:
 * the second global round ranks the survivors by the name of all bytes that
   their windows cover.  Equal ones repeat as a whole: the earliest stays, the
   others are cut without further work, so copies cost one row per 35 bytes;
-* only where contexts differ (the edges of repeats) the last round ranks single
-  windows by their pair (rank64 at p, rank64 at p + 36).
+* where contexts differ (the edges of repeats) the third round ranks runs of 18
+  windows by the 83 bytes that they share, and unique ones leave;
+* the last round ranks single windows by their pair (rank64 at p, rank64 at
+  p + 36).
 
 Names carry 128 bits together (32-byte name and context or window name).
 Copies within a chunk of texts are merged before the shuffle, so a hot string
@@ -37,8 +39,22 @@ from ._store import cut, keyed, unkeyed
 from ._text import BYTE, U, join, mix, pieces, texts
 
 SEED = 32
-_ANCHORS = "h long, c long, d long, a int, lo int, last int, dup boolean"
-_MARK = "array<struct<fine:boolean,lo:int,last:int,h:long,a:int>>"
+_ANCHORS = "h long, c long, d long, pack long"
+#: Bits of the distances that :func:`pack` keeps beside an anchor.
+_BITS = 12
+_MASK = (1 << _BITS) - 1
+
+
+def pack(a, lo, last, dup):
+    """An anchor, its first and last window start and whether an equal one is in the same chunk, in one integer; rows are moved by the million."""
+    return (((a << _BITS | (a - lo)) << _BITS) | (last - lo)) << 1 | dup
+
+
+def unpack(x):
+    """Undoes :func:`pack`: (anchor, first start, last start)."""
+    a = x >> (2 * _BITS + 1)
+    lo = a - (x >> (_BITS + 1) & _MASK)
+    return a, lo, lo + (x >> 1 & _MASK)
 
 
 def ranks(raw: np.ndarray, upto: int) -> dict[int, np.ndarray]:
@@ -115,7 +131,44 @@ def _emit(length: int):
                 d = part.column("d").to_numpy(zero_copy_only=False)[text]
                 dup = _merge(h, c, d, a)
                 h = np.where(dup, mix(d.view(np.uint64) + a.astype(np.uint64)).view(np.int64), h)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, np.where(dup, 0, c), d, a.astype(np.int32), lo.astype(np.int32), last.astype(np.int32), dup)], names=["h", "c", "d", "a", "lo", "last", "dup"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, np.where(dup, 0, c), d, pack(a, lo, last, dup))], names=["h", "c", "d", "pack"])
+
+    return run
+
+
+#: Windows of an anchor that share a rank in the round before the last.
+WIDTH = 18
+
+
+def _edges(part):
+    """Bytes, offsets, text number, name, anchor, first and last window start of the edges in a part."""
+    raw, offs = texts(part.column("text"))
+    marks = part.column("edges")
+    flat = marks.flatten()
+    text = np.repeat(np.arange(len(marks)), np.asarray(marks.value_lengths().fill_null(0)))
+    return raw, offs, text, flat.field("h").to_numpy(zero_copy_only=False), *unpack(flat.field("pack").to_numpy(zero_copy_only=False))
+
+
+def _groups(length: int):
+    """One row for each run of up to WIDTH windows, ranked by the bytes that all of them have."""
+
+    def run(batches):
+        top, common = _largest(length), length - WIDTH + 1
+        h_top = top if top <= common else top // 2
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                raw, offs, text, h, a, lo, last = _edges(part)
+                if not text.size:
+                    continue
+                first, final = (a - last) // WIDTH, (a - lo) // WIDTH
+                n = final - first + 1
+                row = np.repeat(np.arange(n.size), n)
+                g = first[row] + np.arange(row.size) - np.repeat(np.cumsum(n) - n, n)
+                whole = cover(ranks(raw, h_top)[h_top], h_top, common)
+                key = mix(whole[np.minimum(offs[text[row]] + a[row] - g * WIDTH, whole.size - 1)])
+                k2 = mix(h[row].view(np.uint64) + g.astype(np.uint64))
+                own = pack(a[row], np.maximum(lo[row], a[row] - g * WIDTH - WIDTH + 1), np.minimum(last[row], a[row] - g * WIDTH), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), k2.view(np.int64), part.column("d").to_numpy(zero_copy_only=False)[text[row]], own)], names=["key", "k2", "d", "pack"])
 
     return run
 
@@ -127,25 +180,19 @@ def _windows(length: int):
         top = _largest(length)
         for batch in batches:
             for part in pieces(batch, "text"):
-                raw, offs = texts(part.column("text"))
-                marks, ids = part.column("marks"), part.column("d").to_numpy(zero_copy_only=False)
-                flat = marks.flatten()
-                text = np.repeat(np.arange(len(marks)), np.asarray(marks.value_lengths().fill_null(0)))
-                fine = flat.field("fine").to_numpy(zero_copy_only=False).astype(bool)
-                text = text[fine]
+                raw, offs, text, h, a, lo, last = _edges(part)
                 if not text.size:
                     continue
-                lo, last, h, a = (flat.field(k).to_numpy(zero_copy_only=False)[fine] for k in ("lo", "last", "h", "a"))
-                n = last.astype(np.int64) - lo + 1
+                n = last - lo + 1
                 row = np.repeat(np.arange(n.size), n)
-                p = lo[row].astype(np.int64) + np.arange(row.size) - np.repeat(np.cumsum(n) - n, n)
+                p = lo[row] + np.arange(row.size) - np.repeat(np.cumsum(n) - n, n)
                 whole = cover(ranks(raw, top)[top], top, length)
                 key = whole[np.minimum(offs[text[row]] + p, whole.size - 1)]
                 k2 = mix(h[row].view(np.uint64) + (a[row] - p).astype(np.uint64))
-                d = ids[text[row]]
+                d = part.column("d").to_numpy(zero_copy_only=False)[text[row]]
                 again = _merge(key, k2, d, p)
                 key = np.where(again, mix(d.view(np.uint64) + p.astype(np.uint64)), key)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), np.where(again, U(0), k2).view(np.int64), d, p.astype(np.int32), again)], names=["key", "k2", "d", "p", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), np.where(again, U(0), k2).view(np.int64), d, p << 1 | again)], names=["key", "k2", "d", "p"])
 
     return run
 
@@ -162,18 +209,22 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([s[first], e[np.append(first[1:], s.size) - 1]], 1)
 
 
+def _values(x) -> np.ndarray:
+    return x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int64)
+
+
 def _finish(length: int, with_text: bool):
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text", 1 << 22):
                 raw, offs = texts(part.column("text"))
-                marks, fine = part.column("marks").to_pylist(), part.column("fine").to_pylist()
+                repeats, single = part.column("repeats"), part.column("single")
                 rows = []
                 for i in range(part.num_rows):
                     own = raw[offs[i] : offs[i + 1]]
-                    known = [(m["lo"], m["last"] + length) for m in marks[i] or () if not m["fine"]] + [(p, p + length) for p in fine[i] or ()]
-                    cuts = spans(*np.array(known, np.int64).T) if known else np.zeros((0, 2), np.int64)
-                    cuts = np.minimum(cuts, own.size)
+                    _, lo, last = unpack(_values(repeats[i]))
+                    p = _values(single[i]) >> 1
+                    cuts = np.minimum(spans(np.append(lo, p), np.append(last, p) + length), own.size)
                     kept, at = [], 0
                     for s, e in cuts.tolist():
                         kept.append(own[at:s].tobytes())
@@ -200,24 +251,30 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     shorter than ``length`` loses nothing; null ids count as one id before all
     others; rows with one id and one text each get the row of that document;
     other columns are ignored; an empty table gives an empty result.
-    ``length`` is 64 at least.
+    ``length`` is from 64 to 4096.
     """
-    if length < 2 * SEED:
-        raise ValueError(f"length is {2 * SEED} at least")
+    if not 2 * SEED <= length <= _MASK + 1:
+        raise ValueError(f"length is from {2 * SEED} to {_MASK + 1}")
     # one exchange of the texts by id serves both joins below
     src = docs.select(keyed(docs, id_col), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     found = src.mapInArrow(_emit(length), _ANCHORS)
-    by_name, by_context, pos = Window.partitionBy("h"), Window.partitionBy("h", "c"), F.struct("d", "a")
-    alive = found.withColumn("n", F.count(F.lit(1)).over(by_name)).where("dup or n > 1")
+    by_name, by_context, pos = Window.partitionBy("h"), Window.partitionBy("h", "c"), F.struct("d", "pack")
+    dup = F.col("pack").bitwiseAND(F.lit(1)) == 1
+    alive = found.withColumn("n", F.count(F.lit(1)).over(by_name)).where(dup | (F.col("n") > 1))
     ranked = alive.withColumns({"least": F.min("c").over(by_name), "most": F.max("c").over(by_name)}).withColumn("first", F.min(pos).over(by_context))
-    marks = ranked.withColumn("repeat", F.col("dup") | (pos != F.col("first"))).where("repeat or least != most").select("d", F.struct((~F.col("repeat")).alias("fine"), "lo", "last", "h", "a").alias("m"))
-    marks = cut(marks.groupBy("d").agg(F.collect_list("m").alias("marks")))
+    marks = ranked.select("d", "pack", "h", (dup | (pos != F.col("first"))).alias("repeat"), (F.col("least") != F.col("most")).alias("differ")).where("repeat or differ")
+    repeats = F.collect_list(F.when(F.col("repeat"), F.col("pack"))).alias("repeats")
+    edges = F.collect_list(F.when(~F.col("repeat"), F.struct("pack", "h"))).alias("edges")
+    marks = cut(marks.groupBy("d").agg(repeats, edges))
     by_id = src.repartition("d")
-    edge = by_id.join(marks.where(F.exists("marks", lambda m: m["fine"])), "d")
     window = Window.partitionBy("key", "k2")
-    single = edge.mapInArrow(_windows(length), "key long, k2 long, d long, p int, again boolean")
-    single = single.withColumn("first", F.min(F.struct("d", "p")).over(window)).where(F.col("again") | (F.struct("d", "p") != F.col("first")))
-    single = single.groupBy("d").agg(F.collect_list("p").alias("fine"))
+    edge = by_id.join(marks.where(F.size("edges") > 0).select("d", "edges"), "d")
+    edge = edge.mapInArrow(_groups(length), "key long, k2 long, d long, pack long").withColumn("n", F.count(F.lit(1)).over(window)).where("n > 1")
+    # the name of an edge tells windows of different anchors apart and may be any that equal anchors share
+    edge = edge.groupBy("d").agg(F.collect_list(F.struct("pack", F.col("k2").alias("h"))).alias("edges"))
+    single = by_id.join(edge, "d").mapInArrow(_windows(length), "key long, k2 long, d long, p long")
+    single = single.withColumn("first", F.min(F.struct("d", "p")).over(window)).where((F.col("p").bitwiseAND(F.lit(1)) == 1) | (F.struct("d", "p") != F.col("first")))
+    single = single.groupBy("d").agg(F.collect_list("p").alias("single"))
     kinds = "d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    out = by_id.join(marks, "d", "left").join(single, "d", "left").select("d", "text", "marks", "fine").mapInArrow(_finish(length, with_text), kinds)
+    out = by_id.join(marks.select("d", "repeats"), "d", "left").join(single, "d", "left").select("d", "text", "repeats", "single").mapInArrow(_finish(length, with_text), kinds)
     return out.withColumn("d", unkeyed(F.col("d"))).withColumnRenamed("d", id_col)
