@@ -27,6 +27,8 @@ from ._store import cut, keyed, unkeyed
 BITS = 48
 #: Slim rows in a part and fingerprints with an owner, about.
 PART_ROWS = 50_000
+#: Ways in which a group's rows are split when they learn which row stays.
+SALTS = 16
 
 
 def golomb_encode(values: np.ndarray, width: int) -> bytes:
@@ -119,7 +121,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = texts.where(F.sha2(F.col("text").cast("binary"), 256) == F.col("sha")).groupBy("sha").agg(F.min("text").alias("a"), F.max("text").alias("b"))
     same = same.select("sha", F.when(F.col("a") == F.col("b"), F.lit(True)).otherwise(F.raise_error(F.lit("different texts with one SHA-256"))).alias("verified"))
     groups = suspects.groupBy("sha").agg(F.max("d").alias("keep"), F.count(F.lit(1)).alias("size")).join(same, "sha").where("verified").select("sha", "keep", "size")
-    double = suspects.join(groups, "sha").select("d", "keep", "size", "sha")
+    # the salt gives this join exchanges of its own, so a large group's rows are dealt out and Spark can split them further
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    double = suspects.withColumn("salt", F.pmod("d", F.lit(SALTS)).cast("int")).join(groups.select("*", salt), ["sha", "salt"]).select("d", "keep", "size", "sha")
     out = single.unionByName(double)
     return out.select(unkeyed(F.col("d")).alias(id_col), unkeyed(F.col("keep")).alias("keep_id"), F.col("size").alias("group_size"), (F.col("d") == F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"))
 
