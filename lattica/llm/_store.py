@@ -1,34 +1,16 @@
-"""Tables written to the folder that all executors share."""
+"""Ids that are never null, and the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Stands for a null id inside the operators: a null id precedes every other.
-NO_ID = -(2**63)
-
+from ..store import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set (local tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    known = conf or spark.sparkContext.getCheckpointDir()
-    if known:
-        return known
-    own = "file://" + tempfile.mkdtemp(prefix="lattica-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+__all__ = ["NO_ID", "cut", "keyed", "shared_dir", "unkeyed"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it again: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Stands for a null id inside the operators: a null id precedes every other.
+NO_ID = -(2**63)
 
 
 def keyed(df: DataFrame, id_col: str = "doc_id", name: str = "d"):
