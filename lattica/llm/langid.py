@@ -57,6 +57,9 @@ def bundles(raw: np.ndarray, offs: np.ndarray, letters: np.ndarray) -> tuple[np.
     at = np.sort(np.concatenate([[0], edge, edge, [sym.size]])) if sym.size else np.zeros(0, np.int64)
     owner = np.insert(text, at, np.concatenate([[text[0]], np.repeat(text[edge], 2) - np.tile([1, 0], edge.size) * np.repeat(np.diff(text)[edge - 1], 2), [text[-1]]])) if sym.size else text
     sym = np.insert(sym, at, 0) if sym.size else sym
+    once = np.ones(sym.size, bool)
+    once[1:] = (sym[1:] > 0) | (sym[:-1] > 0) | (owner[1:] != owner[:-1])
+    sym, owner = sym[once], owner[once]
     ok = owner[2:] == owner[:-2]
     ok &= (sym[:-2] + sym[1:-1] + sym[2:]) > 0
     key = (owner[2:] << 21 | sym[:-2] << 14 | sym[1:-1] << 7 | sym[2:])[ok]
