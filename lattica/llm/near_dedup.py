@@ -5,13 +5,14 @@
    belongs to one hash function and keeps, of the smallest hash, the count of
    leading zeros and ten mantissa bits (16 bits instead of 64).
 2. Documents with one set are one class; only its smallest id goes on.
-3. Bands of registers deal the representatives into buckets.  Pairs are
-   tested in three rounds, none of which tests all pairs of a bucket:
-   every member with the bucket's smallest id; where a bucket still has
-   several components, its members with the member that has most links; where
-   it has several still, pairs from different components whose
-   collision-corrected estimate is near the threshold or above.  A pair
-   inside one component needs no test, as its outcome changes nothing.
+3. Bands of registers deal the representatives into buckets.  Every member is
+   tested with the bucket's smallest id.  Where a bucket still has members
+   with different labels (the smallest id within two links), its members go,
+   texts included, to tasks for pairs of blocks.  There a member is tested
+   with those that are not yet connected to it and whose
+   collision-corrected estimate is near the threshold or above, and only
+   links that connect something are returned; all pairs are never listed.
+   A pair inside one component needs no test, as its outcome changes nothing.
 4. A tested pair is a link if the Jaccard similarity of the full shingle sets,
    made again from the whole texts, reaches the threshold.  Components of the
    links and the classes give the groups.
@@ -127,25 +128,37 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs of one block pair that are in different components and whose estimate is within four standard errors of the threshold."""
+def _across(k: int, percent: int):
+    """Links between members of one block pair that connect what wasn't connected."""
 
     def run(pdf):
         import pandas as pd
 
-        low = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / (ROWS * BANDS)) ** 0.5
+        share = percent / 100
+        low = share - 4 * (share * (1 - share) / (ROWS * BANDS)) ** 0.5
         regs = np.frombuffer(b"".join(pdf["regs"]), "<u2").reshape(len(pdf), -1)
-        d, n, c, left, own = (pdf[k].to_numpy() for k in ("d", "n", "comp", "left", "own"))
-        out = []
+        d, n, left, own = (pdf[c].to_numpy() for c in ("d", "n", "left", "own"))
+        names, at = shingles(*texts(pa.array(pdf["text"], pa.string())), k)
+        _, word = np.unique(names, return_inverse=True)
+        owner = np.repeat(np.arange(len(pdf)), np.diff(at))
+        order = np.argsort(word, kind="stable")
+        posting, begins = owner[order], np.searchsorted(word[order], np.arange(word.max() + 2 if word.size else 1))
+        _, comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
         right = np.flatnonzero(~left | own)
+        out = []
         for i in np.flatnonzero(left):
-            o = right[c[right] != c[i]]
-            if own[i]:
-                o = o[d[o] > d[i]]
+            o = right[comp[right] != comp[i]]
             o = o[estimate(regs[i], regs[o], n[i], n[o]) >= low] if o.size else o
-            out.append(np.stack([np.minimum(d[i], d[o]), np.maximum(d[i], d[o])], 1))
-        got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+            if not o.size:
+                continue
+            # exact sizes of all intersections with this member at once
+            mine = word[at[i] : at[i + 1]]
+            both = np.bincount(np.concatenate([posting[begins[w] : begins[w + 1]] for w in mine]), minlength=len(pdf))[o]
+            for x in o[100 * both >= percent * (n[i] + n[o] - both)]:
+                if comp[x] != comp[i]:
+                    comp[comp == comp[x]] = comp[i]
+                    out.append((min(d[i], d[x]), max(d[i], d[x])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -176,33 +189,20 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
         b = pairs.join(text.select(F.col("d").alias("b"), F.col("text").alias("text_b")), "b")
         return cut(b.join(text.select(F.col("d").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"))
 
-    def open_buckets(comp: DataFrame) -> DataFrame:
-        """Members with their component, of buckets that have several."""
-        m = members.join(comp.select(F.col("node").alias("d"), "component"), "d", "left").withColumn("comp", F.coalesce("component", "d")).drop("component")
-        several = m.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band")
-        return cut(m.join(several, "band", "left_semi"))
-
-    tested = cut(members.where("d != center").select(F.col("center").alias("a"), F.col("d").alias("b")).distinct())
+    tested = members.where("d != center").select(F.col("center").alias("a"), F.col("d").alias("b")).distinct()
     links = confirm(tested)
-    comp = components(links)
-    opened = open_buckets(comp)
-    degree = links.select(F.col("a").alias("d")).unionAll(links.select("b")).groupBy("d").agg(F.count(F.lit(1)).alias("degree"))
-    pivot = opened.join(degree, "d", "left").groupBy("band").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), -F.col("d"), "comp")).alias("x")).select("band", (-F.col("x.col2")).alias("p"), F.col("x.comp").alias("p_comp"))
-    pairs = opened.join(cut(pivot), "band").where("comp != p_comp").select(F.least("p", "d").alias("a"), F.greatest("p", "d").alias("b")).distinct()
-    tested2 = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-    links = links.unionAll(confirm(tested2))
-    comp = components(links)
-    opened = open_buckets(comp)
-    # the rest, in pairs of blocks of each bucket
+    first = links.groupBy("b").agg(F.min("a").alias("a"))
+    label = first.alias("x").join(first.alias("y"), F.col("x.a") == F.col("y.b"), "left").select(F.col("x.b").alias("d"), F.coalesce("y.a", "x.a").alias("label"))
+    labelled = members.join(label, "d", "left").withColumn("comp", F.coalesce("label", "d")).drop("label")
+    several = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band")
+    opened = cut(labelled.join(several, "band", "left_semi"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("d"), blocks).cast("int")
     dealt = opened.select("band", "d", "comp", own.alias("own_block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("band", "d", "comp", F.least("own_block", "other").alias("i"), F.greatest("own_block", "other").alias("j"), (F.col("own_block") <= F.col("other")).alias("left"), (F.col("own_block") == F.col("other")).alias("own"))
-    dealt = dealt.join(classes.select("d", "n", "regs"), "d")
-    pairs = dealt.groupBy("band", "i", "j").applyInPandas(_across(percent), "a long, b long").distinct()
-    pairs = pairs.join(tested.unionAll(tested2), ["a", "b"], "left_anti")
-    links = links.unionAll(confirm(pairs))
-    comp = components(links)
+    full_rows = text.join(classes.select("d", "n", "regs"), "d")
+    more = dealt.join(full_rows, "d").groupBy("band", "i", "j").applyInPandas(_across(k, percent), "a long, b long")
+    comp = components(links.unionAll(more))
     found = classes.select("k1", "k2", "n", "d").join(comp.select(F.col("node").alias("d"), "component"), "d", "left").select("k1", "k2", "n", F.coalesce("component", "d").alias("component"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")
     rows = sketch.select("d", "n", "k1", "k2", F.pmod("d", F.lit(16)).cast("int").alias("salt")).join(found.select("*", salts), ["k1", "k2", "n", "salt"], "left")
