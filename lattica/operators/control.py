@@ -37,11 +37,12 @@ class Cancelled(RuntimeError):
 def cancellable(spark: SparkSession):
     """Jobs started inside carry a tag; the value given is a function that interrupts them."""
     tag = f"work-{uuid.uuid4().hex}"
-    spark.addTag(tag)
+    sc = spark.sparkContext
+    sc.addJobTag(tag)
     try:
-        yield lambda: spark.interruptTag(tag)
+        yield lambda: sc.cancelJobsWithTag(tag)
     finally:
-        spark.removeTag(tag)
+        sc.removeJobTag(tag)
 
 
 def with_timeout(spark: SparkSession, work: Callable[[], Any], seconds: float = ANALYSIS_SECONDS) -> Any:
