@@ -147,7 +147,7 @@ def _scan(shared, min_match: int):
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int, str]]]:
-    """The benchmark in lists of at most ``block_bytes``; items come one by one, so no more than a block is held besides those returned."""
+    """The benchmark, a fixed query set, in lists of at most ``block_bytes``."""
     out, size = [[]], 0
     for r in benchmark.select(id_col, text_col).where(F.col(id_col).isNotNull()).dropDuplicates().orderBy(id_col, text_col).toLocalIterator():
         n = len((r[1] or "").encode())
@@ -159,7 +159,7 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.6, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Returns a row per input row: id, contaminated, item_id, coverage, tokens_covered.
 
     item_id is the item that the document's tiles cover most (the smallest of
@@ -184,7 +184,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, thr
     return found.select(F.col("row").alias(id_col), (F.col("coverage") >= threshold).alias("contaminated"), "item_id", "coverage", "tokens_covered")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.6, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.5, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all their columns; no shuffle."""
     out = docs
     for part in blocks(benchmark, block_bytes=block_bytes):

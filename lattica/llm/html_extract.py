@@ -37,6 +37,9 @@ _NAMES = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars aside widget widgets rail header masthead topbar footer foot copyright social share sharing related recommended recommendation recommendations "
     "trending popular comment comments commentlist disqus reply replies respond form login search toolbar skip hidden".split()
 )
+_TITLES = frozenset("header masthead".split())
+#: Names of article elements that are no article.
+_REMARKS = frozenset("comment comments reply replies sponsored advert advertisement promo related".split())
 _GOOD = frozenset("article content entry main page post story text body blog".split())
 _PARAGRAPH = frozenset("p pre blockquote td li dd dt figcaption h1 h2 h3 h4 h5 h6 caption summary".split())
 _HEAD = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -52,9 +55,13 @@ def _furniture(tag: str, attrs: dict[str, str], by_name: bool, in_article: bool)
         return True
     if attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    if not by_name or tag in ("body", "html", "article", "main"):
+    if not by_name or tag in ("body", "html", "main"):
         return False
-    return any(w.lower() in _NAMES for k in ("class", "id") for w in _PARTS.findall(attrs.get(k, "")))
+    names = {w.lower() for k in ("class", "id") for w in _PARTS.findall(attrs.get(k, ""))}
+    if tag == "article":
+        return bool(names & _REMARKS)
+    # a header inside the article holds its title
+    return bool(names & (_NAMES - _TITLES if in_article else _NAMES))
 
 
 class Tree:
