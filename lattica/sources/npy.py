@@ -4,8 +4,9 @@
 pos (C-order), value (numeric view) and exact (text).  Option ``mode`` is
 ``elements`` (default), ``records`` (a row for each record of a structured
 array) or ``meta`` (a row for each file).  Files are read in aligned ranges,
-one partition each, through the Hadoop file system of the session, so any
-store that Spark reads will do.  Nothing is ever unpickled.
+one partition each, through pyarrow's file systems.  For stores that only
+Spark reads, :func:`read_npy_binary` takes whole files through Spark's own
+reader.  Nothing is ever unpickled.
 """
 
 from __future__ import annotations
@@ -314,6 +315,27 @@ def read_npy(spark: SparkSession, path: str, mode: str = "elements", partition_b
     return spark.read.format("npy").option("mode", mode).option("partition_bytes", partition_bytes).load(path)
 
 
+def read_npy_binary(spark: SparkSession, path: str) -> DataFrame:
+    """Elements of the arrays at ``path`` through Spark's binary reader: any store, files below 2 GB, one task a file; files that are no readable array are left out."""
+
+    def decode(batches):
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                raw = memoryview(data.as_buffer())
+                try:
+                    h = parse_header(bytes(raw[: MAX_HEADER + 12]), len(raw))
+                except NpyError:
+                    continue
+                if not h.dtype.readable or h.dtype.fields:
+                    continue
+                step = max(1, BATCH_BYTES // max(h.dtype.itemsize, 1))
+                for s in range(0, h.available, step):
+                    a = np.frombuffer(raw, np.dtype(h.dtype.numpy), min(step, h.available - s), h.header_bytes + s * h.dtype.itemsize)
+                    yield NpyReader._elements(name, s, a, h)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, ELEMENTS)
+
+
 def elements_of(df: DataFrame, array_col: str, id_col: str) -> DataFrame:
     """A column of arrays as a matrix in element form: (row, col, value), pos by row order left to :func:`lattica.operators.slices.numbered`."""
     return df.select(F.col(id_col).alias("row"), F.posexplode(array_col).alias("col", "value")).withColumn("value", F.col("value").cast("double"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lattica.operators import control
 from lattica.operators.profile import profile
 from lattica.sources import sinks
-from lattica.sources.npy import NpyError, parse_header, read_npy
+from lattica.sources.npy import NpyError, parse_header, read_npy, read_npy_binary
 from lattica.streaming.profiles import profile_arrivals, running_profile, windowed_profile
 
 
@@ -71,6 +71,14 @@ def test_truncated_file(spark, tmp_path):
     assert read_npy(spark, path, "meta").first()["truncated"]
 
 
+def test_binary_reader(spark, tmp_path):
+    a = np.asfortranarray(np.arange(12.0).reshape(3, 4))
+    saved(tmp_path, "a", a)
+    open(f"{tmp_path}/junk.npy", "wb").write(b"no array")
+    got = read_npy_binary(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [r["value"] for r in got] == list(range(12))
+
+
 def header(descr="'<f8'", shape="(3,)", major=1, extra="", fortran="False"):
     d = f"{{'descr': {descr}, 'fortran_order': {fortran}, 'shape': {shape}, {extra}}}\n".encode()
     return b"\x93NUMPY" + bytes([major, 0]) + struct.pack("<H" if major == 1 else "<I", len(d)) + d
