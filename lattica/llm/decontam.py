@@ -93,37 +93,35 @@ def _any(doc, item, used_d, used_i, k) -> bool:
     return bool(np.isin(running(item, k)[_free(used_i, k)], running(doc, k)[_free(used_d, k)]).any())
 
 
-class Block:
-    """Items of one block with an index of their seeds."""
-
-    def __init__(self, rows: list[tuple[int, str]], min_match: int):
-        self.ids = [r[0] for r in rows]
-        names, at = tokens(pa.array([r[1] or "" for r in rows], pa.string()))
-        self.items = [names[at[i] : at[i + 1]] for i in range(len(rows))]
-        # an item shorter than min_match is one seed of its own length
-        seeds: dict[int, list[np.ndarray]] = defaultdict(list)
-        owners: dict[int, list[np.ndarray]] = defaultdict(list)
-        for i, x in enumerate(self.items):
-            k = min(min_match, x.size)
-            if k:
-                s = np.unique(running(x, k))
-                seeds[k].append(s)
-                owners[k].append(np.full(s.size, i))
-        self.index = {}
-        for k in seeds:
-            s, o = np.concatenate(seeds[k]), np.concatenate(owners[k])
-            order = np.argsort(s, kind="stable")
-            self.index[k] = (s[order], o[order])
+def index_block(rows: list[tuple[int, str]], min_match: int) -> tuple:
+    """(ids, token names of items, seeds by length with the items that have them): plain arrays, to be broadcast."""
+    names, at = tokens(pa.array([r[1] or "" for r in rows], pa.string()))
+    items = [names[at[i] : at[i + 1]] for i in range(len(rows))]
+    # an item shorter than min_match is one seed of its own length
+    seeds: dict[int, list[np.ndarray]] = defaultdict(list)
+    owners: dict[int, list[np.ndarray]] = defaultdict(list)
+    for i, x in enumerate(items):
+        k = min(min_match, x.size)
+        if k:
+            s = np.unique(running(x, k))
+            seeds[k].append(s)
+            owners[k].append(np.full(s.size, i))
+    index = {}
+    for k in seeds:
+        s, o = np.concatenate(seeds[k]), np.concatenate(owners[k])
+        order = np.argsort(s, kind="stable")
+        index[k] = (s[order], o[order])
+    return [r[0] for r in rows], items, index
 
 
 def _scan(shared, min_match: int):
     def run(batches):
-        block = shared.value
+        ids, items, index = shared.value
         for batch in batches:
             for part in pieces(batch, "text"):
                 names, at = tokens(part.column("text"))
                 hits: dict[int, set[int]] = defaultdict(set)
-                for k, (seeds, owners) in block.index.items():
+                for k, (seeds, owners) in index.items():
                     h = running(names, k)
                     pos = np.arange(h.size)
                     text = np.searchsorted(at, pos, "right") - 1
@@ -137,9 +135,9 @@ def _scan(shared, min_match: int):
                     best = (0.0, 0, None)
                     doc = names[at[t] : at[t + 1]]
                     for i in sorted(hits.get(t, ())):
-                        item = block.items[i]
+                        item = items[i]
                         covered = sum(n for _, _, n in tile(doc, item, min(min_match, item.size)))
-                        best = max(best, (covered / item.size, covered, block.ids[i]), key=lambda x: (x[0], -(x[2] if x[2] is not None else 2**63)))
+                        best = max(best, (covered / item.size, covered, ids[i]), key=lambda x: (x[0], -(x[2] if x[2] is not None else 2**63)))
                     rows.append(best)
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([float(r[0]) for r in rows])], names=["row", "item_id", "tokens_covered", "coverage"])
 
@@ -174,7 +172,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, thr
     found = None
     parts = blocks(benchmark, text_col="text", block_bytes=block_bytes)
     for part in parts:
-        shared = docs.sparkSession.sparkContext.broadcast(Block(part, min_match))
+        shared = docs.sparkSession.sparkContext.broadcast(index_block(part, min_match))
         one = src.mapInArrow(_scan(shared, min_match), "row long, item_id long, tokens_covered long, coverage double")
         found = one if found is None else found.unionByName(one)
     if len(parts) > 1:
@@ -188,7 +186,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5,
     """The rows of ``docs`` that no item contaminates, with all their columns; no shuffle."""
     out = docs
     for part in blocks(benchmark, block_bytes=block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(Block(part, min_match))
+        shared = docs.sparkSession.sparkContext.broadcast(index_block(part, min_match))
 
         def run(batches, shared=shared):
             scan = _scan(shared, min_match)

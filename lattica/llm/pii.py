@@ -258,14 +258,13 @@ def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
     each get their row; other columns are ignored; an empty table gives an
     empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
                 hinted, rows = _hinted(part), []
                 for i in range(part.num_rows):
-                    base, added = find_spans(part.column("text")[i].as_py(), shared.value) if hinted[i] else ([], [])
+                    base, added = find_spans(part.column("text")[i].as_py(), field) if hinted[i] else ([], [])
                     counts = [sum(k == j for k, _, _ in base) for j in range(4)]
                     rows.append((*counts, hashlib.sha256(_join(base).encode()).hexdigest(), _join(sorted(base + added)), len(added)))
                 cols = list(zip(*rows, strict=True))

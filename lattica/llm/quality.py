@@ -204,19 +204,17 @@ def score_quality(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col:
     the score the model has for that; a null id is never held out; repeated
     rows each get their row; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    out = src.mapInArrow(_rows(lambda x, part: pa.RecordBatch.from_arrays([part.column("id"), pa.array(shared.value.score(x))], names=["id", "score"])), "id long, score double")
+    out = src.mapInArrow(_rows(lambda x, part: pa.RecordBatch.from_arrays([part.column("id"), pa.array(model.score(x))], names=["id", "score"])), "id long, score double")
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def quality_filter(docs: DataFrame, model: Gam, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is at least ``threshold``, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, text_col):
-                yield part.filter(pa.array(shared.value.score(features(*texts(part.column(text_col)))) >= threshold))
+                yield part.filter(pa.array(model.score(features(*texts(part.column(text_col)))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
