@@ -60,7 +60,9 @@ def basic_aggregates(v: Column) -> dict[str, Column]:
     """
     x = finite(v)
     n, m2 = F.count(x), F.coalesce(F.var_pop(x), F.lit(0.0))
-    std = F.coalesce(F.when(n > 1, F.stddev_samp(x)), F.lit(0.0))
+    # one central moment serves variance, deviation and error: each would keep buffers of its own
+    variance = F.when(n > 1, m2 * n / (n - 1)).otherwise(0.0)
+    std = F.sqrt(variance)
     low, high, mean = F.min(x), F.max(x), F.avg(x)
     integral = F.coalesce(F.bool_and(x == F.floor(x).cast("double")), F.lit(True))
     return {
@@ -78,7 +80,7 @@ def basic_aggregates(v: Column) -> dict[str, Column]:
         "range": high - low,
         "sum": F.coalesce(F.sum(x), F.lit(0.0)),
         "mean": mean,
-        "variance": F.when(n > 0, F.coalesce(F.when(n > 1, F.var_samp(x)), F.lit(0.0))),
+        "variance": F.when(n > 0, variance),
         "std": F.when(n > 0, std),
         "sem": F.when(n > 0, F.when(n > 1, std / F.sqrt(n)).otherwise(0.0)),
         "skewness": F.when(n > 0, F.when((n < 3) | (m2 == 0), 0.0).otherwise(F.skewness(x))),

@@ -24,8 +24,8 @@ BINS = 1024
 LIST = 20_000
 
 
-def _interval_bin(value: Column, intervals: list[tuple[float, float]]) -> Column:
-    """(interval, bin) of a value, null outside all intervals."""
+def _code(value: Column, intervals: list[tuple[float, float]]) -> Column:
+    """interval * BINS + bin of a value, null outside all intervals."""
     out = None
     for i, (lo, hi) in enumerate(intervals):
         span = hi - lo
@@ -33,9 +33,9 @@ def _interval_bin(value: Column, intervals: list[tuple[float, float]]) -> Column
             b = F.least(F.floor((value - F.lit(lo)) / F.lit(span) * BINS), F.lit(BINS - 1))
         else:
             b = F.when(value < F.lit(lo / 2 + hi / 2), 0).otherwise(1)
-        pair = F.struct(F.lit(i).alias("i"), b.cast("int").alias("b"))
         inside = (value >= F.lit(lo)) & (value <= F.lit(hi))
-        out = F.when(inside, pair) if out is None else out.when(inside, pair)
+        code = (b + i * BINS).cast("int")
+        out = F.when(inside, code) if out is None else out.when(inside, code)
     return out
 
 
@@ -58,14 +58,18 @@ def order_statistics(df: DataFrame, columns: Mapping[str, Column], bounds: Mappi
         names = [c for c in names if work[c]]
         if not names:
             break
-        per = [F.struct(F.lit(k).alias("c"), columns[c].alias("v"), _interval_bin(columns[c], [(w[0], w[1]) for w in work[c]]).alias("p")) for k, c in enumerate(names)]
-        rows = df.select(F.explode(F.array(*per)).alias("x")).where("x.p is not null")
-        got = rows.groupBy("x.c", "x.p.i", "x.p.b").agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi")).collect()
+        codes = {c: _code(columns[c], [(w[0], w[1]) for w in work[c]]) for c in names}
+        per = [F.struct(F.lit(k).alias("c"), codes[c].alias("p"), columns[c].alias("v")) for k, c in enumerate(names)]
+        rows = df.select(F.inline(F.array(*per)) if len(per) > 1 else per[0].alias("x"))
+        rows = (rows if len(per) > 1 else rows.select("x.*")).where("p is not null")
+        got: dict[int, dict[int, list]] = {}
+        for r in rows.groupBy("c", "p").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+            got.setdefault(r["c"], {}).setdefault(r["p"] // BINS, []).append(r)
         todo: dict[str, list] = {}
-        lists: list[tuple[str, float, float, int, list[int]]] = []
+        lists: dict[tuple[int, int], tuple[int, list[int]]] = {}
         for k, c in enumerate(names):
             for i, (_, _, below, rs) in enumerate(work[c]):
-                bins = sorted((r for r in got if r["c"] == k and r["i"] == i), key=lambda r: r["b"])
+                bins = sorted(got[k][i], key=lambda r: r["p"])
                 starts, total = [], below
                 for r in bins:
                     starts.append(total)
@@ -78,21 +82,25 @@ def order_statistics(df: DataFrame, columns: Mapping[str, Column], bounds: Mappi
                     if b["lo"] == b["hi"]:
                         found[c].update(dict.fromkeys(own, b["lo"]))
                     elif b["n"] <= LIST:
-                        lists.append((c, b["lo"], b["hi"], starts[j], own))
+                        lists[k, b["p"]] = (starts[j], own)
                     else:
                         todo.setdefault(c, []).append((b["lo"], b["hi"], starts[j], own))
         if lists:
-            hit = [F.struct(F.lit(i).alias("i"), F.when((columns[c] >= F.lit(lo)) & (columns[c] <= F.lit(hi)), columns[c]).alias("v")) for i, (c, lo, hi, _, _) in enumerate(lists)]
-            rows = df.select(F.explode(F.filter(F.array(*hit), lambda x: x["v"].isNotNull())).alias("x"))
-            listed: dict[int, list] = {}
-            for r in rows.groupBy("x.i", "x.v").count().collect():
-                listed.setdefault(r["i"], []).append((r["v"], r["count"]))
-            for i, (c, _, _, below, own) in enumerate(lists):
-                values, starts, total = sorted(listed[i]), [], below
+            # the same bins again: a lookup in a small set picks those to list
+            picked = None
+            for k in range(len(names)):
+                if own := [p for j, p in lists if j == k]:
+                    one = (F.col("c") == k) & F.col("p").isin(own)
+                    picked = one if picked is None else picked | one
+            listed: dict[tuple[int, int], list] = {}
+            for r in rows.where(picked).groupBy("c", "p", "v").count().collect():
+                listed.setdefault((r["c"], r["p"]), []).append((r["v"], r["count"]))
+            for (k, p), (below, own) in lists.items():
+                values, starts, total = sorted(listed[k, p]), [], below
                 for _, n in values:
                     starts.append(total)
                     total += n
-                found[c].update({r: values[bisect_right(starts, r) - 1][0] for r in own})
+                found[names[k]].update({r: values[bisect_right(starts, r) - 1][0] for r in own})
         work = todo
     return found
 
