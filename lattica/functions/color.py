@@ -116,3 +116,23 @@ def png_planes(pixels: DataFrame) -> DataFrame:
 
     cols = ["frame", "row", "col", "r", "g", "b", "a"]
     return pixels.select(*cols).groupBy("frame").applyInArrow(draw, "frame long, width int, height int, png binary")
+
+
+def shown_range(mode: Column, fixed: Column, low: Column, high: Column, p1: Column, p99: Column, block_low: Column, block_high: Column) -> Column:
+    """Bounds that a ramp is stretched across.
+
+    ``dtype``: the bounds of :func:`display_range`, else the data's own.
+    ``robust``: percentiles 1 to 99 where they differ.  Otherwise, and where
+    those do not apply: the visible block's, the data's, [0, 1].
+    """
+    unit = F.array(F.lit(0.0), F.lit(1.0))
+    own = F.when(low.isNotNull() & (high > low), F.array(low, high)).otherwise(unit)
+    block = F.when(block_low.isNotNull() & (block_high > block_low), F.array(block_low, block_high)).otherwise(own)
+    lo, hi = F.coalesce(p1, low), F.coalesce(p99, high)
+    by_type = F.coalesce(fixed, F.when(low.isNotNull(), F.array(low, high)).otherwise(unit))
+    return F.when(mode == "dtype", by_type).when((mode == "robust") & (hi > lo), F.array(lo, hi)).otherwise(block)
+
+
+def default_ramp(low: Column, high: Column, image_like: Column, chosen: Column) -> Column:
+    """A diverging ramp for data on both sides of zero that is no picture, else the chosen one."""
+    return F.when((low < 0) & (high > 0) & ~image_like, DIVERGING[0]).otherwise(chosen)

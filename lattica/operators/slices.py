@@ -205,3 +205,40 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     starts = sizes.select("__part", first.alias("__first"))
     at = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
     return dealt.join(F.broadcast(starts), "__part").withColumn("pos", (F.col("__first") + at).cast("long")).drop("__part", "__first")
+
+
+def scalar(elements: DataFrame) -> DataFrame:
+    """The value of an array without dimensions: exact text and number."""
+    exact = F.col("exact") if "exact" in elements.columns else F.col("value").cast("string")
+    return elements.where("pos = 0").select(exact.alias("exact"), "value").limit(1)
+
+
+def clamp_index(value: int, count: int) -> int:
+    """An index held inside a range of ``count``."""
+    return max(0, min(count - 1, value))
+
+
+def frame_page(plane: Plane, page: int, size: int = PAGE_FRAMES) -> list[int]:
+    """Frame numbers of one page of thumbnails; pages append to each other."""
+    first = page * size
+    return list(range(first, max(first, min(first + size, plane.frames))))
+
+
+def thumbnails(elements: DataFrame, plane: Plane, page: int, side: int = 128) -> DataFrame:
+    """The block of one page of frames."""
+    return read_block(elements, plane, frame_page(plane, page), max_side=side)
+
+
+def source_cell(row: Column, col: Column, steps: tuple[int, int]) -> tuple[Column, Column]:
+    """Row and column of the array behind a cell of a decimated block."""
+    return row * steps[0], col * steps[1]
+
+
+def inspect(block: DataFrame, steps: tuple[int, int]) -> DataFrame:
+    """``[row, col] = values`` for each cell of a block, channels joined by a comma."""
+    from ..functions.text import short_number
+
+    row, col = source_cell(F.col("row"), F.col("col"), steps)
+    values = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("channel", "value"))), lambda x: short_number(x["value"])), ", ")
+    cells = block.groupBy("frame", "row", "col").agg(values.alias("values"))
+    return cells.select("frame", "row", "col", F.concat(F.lit("["), F.format_number(row, 0), F.lit(", "), F.format_number(col, 0), F.lit("] = "), "values").alias("text"))

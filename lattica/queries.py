@@ -306,6 +306,25 @@ def box_plot(spark, d):
     return _rounded(S.box_marks(P.profile(_t(spark, d, "orders"), ["o_totalprice"])))
 
 
+@query("SELECT CAST(embedding[1] AS DOUBLE) AS value FROM embeddings ORDER BY vec_id LIMIT 1")
+def scalar_value(spark, d):
+    return S.scalar(_matrix(spark, d)[0]).select("value")
+
+
+@query(f"SELECT r // 10 AS frame, r % 10 AS row, c AS col, v AS value FROM (SELECT r, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS c FROM {_ROW}) WHERE r // 10 BETWEEN 8 AND 15 AND r < (SELECT count(*) // 10 * 10 FROM embeddings)")
+def frame_page(spark, d):
+    """The second page of eight frames of the matrix cut into planes of 10 x 64."""
+    e, whole = _matrix(spark, d)
+    plane = S.Plane((whole.shape[0] // 10, 10, 64), 1, 2)
+    return S.read_block(e.where(F.col("pos") < plane.frames * 640), plane, S.frame_page(plane, 1, 8), max_side=64).select("frame", "row", "col", "value")
+
+
+@query()
+def inspected_cells(spark, d):
+    e, plane = _matrix(spark, d)
+    return S.inspect(S.read_block(e, plane, max_side=16), S.block_steps(plane, 1, 16, 2_000_000))
+
+
 # ----------------------------------------------------- colours and rendering
 
 _CELL = f"(SELECT r, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS c FROM {_ROW})"
@@ -370,6 +389,19 @@ def diverging_range(spark, d):
     return _rounded(b.select(low.alias("low"), high.alias("high")))
 
 
+@query("SELECT * FROM (VALUES ('dtype', '0 255'), ('robust', '2 98'), ('auto', '10 20'), ('flat', '1 99')) AS t(name, range)")
+def shown_ranges(spark, d):
+    v = _values(spark, "('dtype', 'dtype', array(0D, 255D), 10D, 20D), ('robust', 'robust', array(0D, 255D), 10D, 20D), ('auto', 'auto', null, 10D, 20D), ('flat', 'auto', null, 5D, 5D)", "name, mode, fixed, blo, bhi")
+    shown = C.shown_range(F.col("mode"), F.col("fixed"), F.lit(1.0), F.lit(99.0), F.lit(2.0), F.lit(98.0), F.col("blo"), F.col("bhi"))
+    return v.select("name", F.array_join(shown.cast("array<int>").cast("array<string>"), " ").alias("range"))
+
+
+@query("SELECT CASE WHEN min(s_acctbal) < 0 AND max(s_acctbal) > 0 THEN 'coolwarm' ELSE 'magma' END AS signed, 'magma' AS picture FROM supplier")
+def default_ramps(spark, d):
+    b = _t(spark, d, "supplier").agg(F.min("s_acctbal").alias("a"), F.max("s_acctbal").alias("b"))
+    return b.select(C.default_ramp(F.col("a"), F.col("b"), F.lit(False), F.lit("magma")).alias("signed"), C.default_ramp(F.col("a"), F.col("b"), F.lit(True), F.lit("magma")).alias("picture"))
+
+
 # ---------------------------------------------------- layout and observations
 
 # fixed values: name, type, shape; then the view, axes, frames and whether it reads as a picture
@@ -399,6 +431,13 @@ def layout_detected(spark, d):
     return L.detect(_metas(spark)).select("name", "primary", "row_axis", "col_axis", "channel_axis", F.col("frames").cast("int").alias("frames"), "image_like")
 
 
+@query("SELECT * FROM (VALUES ('digits', 'grid'), ('wave', 'line'), ('features', 'heatmap'), ('rgb', 'image')) AS t(name, view)")
+def saved_views(spark, d):
+    """The saved view is a grid; arrays of one frame fall back to their own."""
+    found = L.detect(_metas(spark)).where(F.col("name").isin("digits", "wave", "features", "rgb"))
+    return found.select("name", L.view_mode(F.lit("grid")).alias("view"))
+
+
 @query()
 def layout_described(spark, d):
     return R.array_report(L.detect(_metas(spark)))
