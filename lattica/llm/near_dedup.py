@@ -35,7 +35,7 @@ MANTISSA = 10
 #: Expected share of equal registers of disjoint sets of one size, times 2**MANTISSA (Yu and Weber, 2017).
 _COLLISION = 0.169919487159739093975315012348
 #: Representatives in a block of the third round.
-BLOCK = 4096
+BLOCK = 512
 
 
 def shingles(raw: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
