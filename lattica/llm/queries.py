@@ -14,7 +14,7 @@ from . import mixing as _mixing
 from . import near_dedup as _near
 from . import pii as _pii
 from . import quality as _quality
-from .suffix_dedup import suffix_dedup
+from . import suffix_dedup as _suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(_table(spark, sf_dir, "documents"))
+    return _suffix.suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,9 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_dedup": _suffix.ORACLE.replace("{docs}", "documents"),
         "op2_mix_sources": _mixing.ORACLE.replace("{docs}", "documents"),
         "op4_chat": _chat.ORACLE.replace("{conversations}", "conversations"),
+        "op9_near_dedup": _near.ORACLE.replace("{docs}", "documents"),
         "op8_exact_dedup": _exact.ORACLE.replace("{docs}", "documents"),
     }

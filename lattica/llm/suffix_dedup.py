@@ -278,3 +278,16 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     kinds = "d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     out = by_id.join(marks.select("d", "repeats"), "d", "left").join(single, "d", "left").select("d", "text", "repeats", "single").mapInArrow(_finish(length, with_text), kinds)
     return out.withColumn("d", unkeyed(F.col("d"))).withColumnRenamed("d", id_col)
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM {docs}),
+w AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 200)) AS g FROM (SELECT doc_id, x, unnest(range(0, greatest(length(x) // 2 - 99, 0))) AS p FROM d)),
+k AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS i FROM w) WHERE i > 1),
+m AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, CASE WHEN p - lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) > 100 THEN 1 ELSE 0 END AS new FROM k)),
+r AS (SELECT doc_id, run, min(p) AS s, max(p) + 100 AS e FROM m GROUP BY doc_id, run),
+c AS (SELECT doc_id, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS a, s AS b FROM r
+      UNION ALL SELECT d.doc_id, coalesce(max(e), 0), any_value(length(x) // 2) FROM d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id),
+h AS (SELECT d.doc_id, any_value(length(x) // 2) AS n, sum(b - a) AS kept, count(*) - 1 AS runs, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS y FROM d JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n - kept AS BIGINT) AS n_removed, CAST(runs AS BIGINT) AS n_spans, sha256(unhex(y)) AS kept_sha256 FROM h
+"""
