@@ -249,3 +249,14 @@ def test_half_bits_equal_numpy(spark):
 def test_report(spark):
     rows = {r["key"]: r["value"] for r in R.stats_report(P.profile(values(spark, [1.0, 2, 3, NAN]), ["v"])).collect()}
     assert rows["Mean"] == "2" and rows["NaN"] == "1 (25.00%)" and rows["50%"] == "2"
+
+
+def test_shared_tables_are_cleared(spark):
+    import os
+
+    from lattica.store import clear, cut
+
+    df = cut(spark.range(5))
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 5 and os.path.exists(path)
+    assert clear(spark) >= 1 and not os.path.exists(path) and clear(spark) == 0
