@@ -1,7 +1,7 @@
 """Running profiles of streams of values.
 
-The reference material has no stream processing; this keeps the mergeable part
-of a profile (counts, extrema, moments) up to date as files or events arrive.
+The mergeable part of a profile (counts, extrema, moments) is kept up to date
+as files or events arrive; order statistics are made for each arriving batch.
 """
 
 from __future__ import annotations
