@@ -6,7 +6,7 @@
    leading zeros and ten mantissa bits (16 bits instead of 64).
 2. Documents with one set are one class; only its smallest id goes on.
 3. Bands of registers deal the representatives into buckets.  Every member is
-   tested with the bucket's smallest id.  Where a bucket still has members
+   tested with the bucket's smallest id.  Where a bucket still has other members
    with different labels (the smallest id within two links), its members go,
    texts included, to tasks for pairs of blocks.  There a member is tested
    with those that are not yet connected to it and whose
@@ -193,15 +193,25 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     links = confirm(tested)
     first = links.groupBy("b").agg(F.min("a").alias("a"))
     label = first.alias("x").join(first.alias("y"), F.col("x.a") == F.col("y.b"), "left").select(F.col("x.b").alias("d"), F.coalesce("y.a", "x.a").alias("label"))
-    labelled = members.join(label, "d", "left").withColumn("comp", F.coalesce("label", "d")).drop("label")
-    several = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band")
-    opened = cut(labelled.join(several, "band", "left_semi"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("d"), blocks).cast("int")
-    dealt = opened.select("band", "d", "comp", own.alias("own_block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("band", "d", "comp", F.least("own_block", "other").alias("i"), F.greatest("own_block", "other").alias("j"), (F.col("own_block") <= F.col("other")).alias("left"), (F.col("own_block") == F.col("other")).alias("own"))
+    # pairs with the center are tested already, so buckets of two are done and the others go on without it
+    rest = members.where("size > 2 and d != center")
+    labelled = rest.join(label, "d", "left").withColumn("comp", F.coalesce("label", "d")).drop("label")
+    # members of a bucket's largest component meet only those outside of it
+    by_comp = labelled.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
+    several = by_comp.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).where("all > top.n")
+    several = several.select("band", F.col("top.comp").alias("major"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("inner"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("outer"))
+    opened = cut(labelled.join(cut(several), "band"))
+    outside = F.col("comp") != F.col("major")
+    own = F.pmod(F.xxhash64("d"), F.when(outside, F.col("outer")).otherwise(F.col("inner"))).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    task = lambda inner, i, j, left, alone: F.struct(F.lit(inner).alias("inner"), i.alias("i"), j.alias("j"), left.alias("left"), alone.alias("own"))
+    yes, no, at = F.lit(True), F.lit(False), F.col("at")
+    among = F.transform(every("outer"), lambda o: task(False, F.least(at, o), F.greatest(at, o), at <= o, at == o))
+    toward = F.transform(every("inner"), lambda m: task(True, at, m, yes, no))
+    tasks = F.when(outside, F.concat(among, toward)).otherwise(F.transform(every("outer"), lambda o: task(True, o, at, no, no)))
+    dealt = opened.withColumn("at", own).select("band", "d", "comp", F.inline(tasks))
     full_rows = text.join(classes.select("d", "n", "regs"), "d")
-    more = dealt.join(full_rows, "d").groupBy("band", "i", "j").applyInPandas(_across(k, percent), "a long, b long")
+    more = dealt.join(full_rows, "d").groupBy("band", "inner", "i", "j").applyInPandas(_across(k, percent), "a long, b long")
     comp = components(links.unionAll(more))
     found = classes.select("k1", "k2", "n", "d").join(comp.select(F.col("node").alias("d"), "component"), "d", "left").select("k1", "k2", "n", F.coalesce("component", "d").alias("component"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")
