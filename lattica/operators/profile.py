@@ -163,17 +163,12 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, bins: int = DEF
     counts = {c: order[c]["finite"] for c in live}
     ps = [p / 100 for p in PERCENTILES]
     quantiles = exact_quantiles(source, {c: x[c] for c in live}, live, counts, ps)
-    # deviations from the median, outliers and histogram: one scan
     plans = {c: histogram_plan(*live[c], order[c]["integral"], bins) for c in live}
-    fences, wanted = {}, []
-    for i, c in enumerate(live):
-        q1, q3 = quantiles[c][4], quantiles[c][6]
-        fences[c] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
-        med = F.abs(x[c] - F.lit(quantiles[c][5]))
-        wanted += [F.count_if((x[c] < fences[c][0]) | (x[c] > fences[c][1])).alias(f"o{i}"), F.min(med).alias(f"l{i}"), F.max(med).alias(f"h{i}")]
-    second = source.agg(*wanted).first() if live else None
-    mad = exact_quantiles(source, {c: F.abs(x[c] - F.lit(quantiles[c][5])) for c in live}, {c: (second[f"l{i}"], second[f"h{i}"]) for i, c in enumerate(live)}, counts, [0.5]) if live else {}
-    hist = histogram_counts(source, {c: x[c] for c in live}, plans) if live else {}
+    fences = {c: (q[4] - 1.5 * (q[6] - q[4]), q[6] + 1.5 * (q[6] - q[4])) for c, q in quantiles.items()}
+    # deviations lie between 0 and that of the farther bound
+    far = {c: (0.0, max(quantiles[c][5] - live[c][0], live[c][1] - quantiles[c][5])) for c in live}
+    mad = exact_quantiles(source, {c: F.abs(x[c] - F.lit(quantiles[c][5])) for c in live}, far, counts, [0.5])
+    hist, outliers = histogram_counts(source, {c: x[c] for c in live}, plans, fences) if live else ({}, {})
     few = {c: values[c] for c in live if base[c]["guess"] <= DISTINCT_CAP * 1.2}
     tops: dict[str, list] = {c: [] for c in values}
     if few:
@@ -187,7 +182,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, bins: int = DEF
             q = quantiles[c]
             scale = b["finite"] / counts[c]
             row |= {percentile_name(p): v for p, v in zip(PERCENTILES, q, strict=True)}
-            row |= {"median": q[5], "iqr": q[6] - q[4], "lower_fence": fences[c][0], "upper_fence": fences[c][1], "mad": mad[c][0], "outliers": math.floor(second[f"o{list(live).index(c)}"] * scale + 0.5)}
+            row |= {"median": q[5], "iqr": q[6] - q[4], "lower_fence": fences[c][0], "upper_fence": fences[c][1], "mad": mad[c][0], "outliers": math.floor(outliers[c] * scale + 0.5)}
             first, width, k = plans[c]
             n = [hist[c].get(i, 0) for i in range(k)]
             row["histogram"] = ([first + width * i for i in range(k + 1)], [math.floor(v * scale + 0.5) for v in n] if scale > 1.0001 else n, b["excluded_non_finite"])
@@ -199,13 +194,15 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, bins: int = DEF
     return df.sparkSession.createDataFrame(rows, STATS_SCHEMA)
 
 
-def histogram_counts(df: DataFrame, values: Mapping[str, Column], plans: Mapping[str, tuple[float, float, int]]) -> dict[str, dict[int, int]]:
-    """Counts by column and bin from one scan; what reaches the driver is at most 256 numbers a column."""
-    per = [F.struct(F.lit(c).alias("c"), F.when(v.isNotNull(), bin_of(v, F.lit(plans[c][0]), F.lit(plans[c][1]), F.lit(plans[c][2]))).alias("b")) for c, v in values.items()]
+def histogram_counts(df: DataFrame, values: Mapping[str, Column], plans: Mapping[str, tuple[float, float, int]], fences: Mapping[str, tuple[float, float]]) -> tuple[dict[str, dict[int, int]], dict[str, int]]:
+    """Counts by column and bin, and values outside the fences, from one scan; at most 512 rows a column reach the driver."""
+    per = [F.struct(F.lit(c).alias("c"), F.when(v.isNotNull(), bin_of(v, F.lit(plans[c][0]), F.lit(plans[c][1]), F.lit(plans[c][2]))).alias("b"), ((v < fences[c][0]) | (v > fences[c][1])).alias("out")) for c, v in values.items()]
     out: dict[str, dict[int, int]] = {c: {} for c in values}
-    for r in df.select(F.inline(F.array(*per))).where("b is not null").groupBy("c", "b").count().collect():
-        out[r["c"]][r["b"]] = r["count"]
-    return out
+    outside = dict.fromkeys(values, 0)
+    for r in df.select(F.inline(F.array(*per))).where("b is not null").groupBy("c", "b", "out").count().collect():
+        out[r["c"]][r["b"]] = out[r["c"]].get(r["b"], 0) + r["count"]
+        outside[r["c"]] += r["count"] * r["out"]
+    return out, outside
 
 
 def composition(df: DataFrame, value: Column) -> DataFrame:
