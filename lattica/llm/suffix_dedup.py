@@ -22,8 +22,8 @@ rank is unique.  Here:
   p + 36).
 
 Names carry 128 bits together (32-byte name and context or window name).
-Copies within a chunk of texts are merged before the shuffle, so a hot string
-reaches the shuffle once per chunk.
+Copies within a chunk of texts, and those of groups that a task has seen repeat,
+are merged before the shuffle, so a hot string reaches it about once a task.
 """
 
 from __future__ import annotations
@@ -36,9 +36,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import cut, keyed, unkeyed
-from ._text import BYTE, U, join, mix, pieces, texts
+from ._text import BYTE, CHUNK, U, join, mix, pieces, texts
 
 SEED = 32
+#: Repeating groups that a task remembers.
+SEEN = 50_000
 _ANCHORS = "h long, c long, d long, pack long"
 #: Bits of the distances that :func:`pack` keeps beside an anchor.
 _BITS = 12
@@ -119,10 +121,35 @@ def _merge(h, c, d, a):
     return dup
 
 
-def _emit(length: int):
+class _Seen:
+    """Groups that a task has met more than once, with their earliest place; bounded, and safe to forget."""
+
+    def __init__(self):
+        self.first: dict[tuple[int, int], tuple[int, int]] = {}
+        self.names = np.zeros(0, np.int64)
+
+    def mark(self, h, c, d, a, dup) -> None:
+        """Sets ``dup`` where an equal group that is earlier was met before, and learns the groups that repeat in this chunk."""
+        known = self.names[np.minimum(np.searchsorted(self.names, h), self.names.size - 1)] == h if self.names.size else np.zeros(h.size, bool)
+        for i in np.flatnonzero(~dup & known).tolist():
+            key, place = (int(h[i]), int(c[i])), (int(d[i]), int(a[i]))
+            if key in self.first:
+                dup[i] = self.first[key] < place
+                self.first[key] = min(self.first[key], place)
+        if len(self.first) < SEEN:
+            again = set(zip(h[dup].tolist(), c[dup].tolist(), strict=True))
+            new = [i for i in np.flatnonzero(~dup & np.isin(h, h[dup])).tolist() if (int(h[i]), int(c[i])) in again]
+            for i in new:
+                self.first.setdefault((int(h[i]), int(c[i])), (int(d[i]), int(a[i])))
+            if new:
+                self.names = np.unique(np.append(self.names, h[new]))
+
+
+def _emit(length: int, chunk: int):
     def run(batches):
+        seen = _Seen()
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", chunk):
                 raw, offs = texts(part.column("text"))
                 found = anchors(raw, offs, length)
                 if found is None:
@@ -130,6 +157,7 @@ def _emit(length: int):
                 h, c, text, a, lo, last = found
                 d = part.column("d").to_numpy(zero_copy_only=False)[text]
                 dup = _merge(h, c, d, a)
+                seen.mark(h, c, d, a, dup)
                 h = np.where(dup, mix(d.view(np.uint64) + a.astype(np.uint64)).view(np.int64), h)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, np.where(dup, 0, c), d, pack(a, lo, last, dup))], names=["h", "c", "d", "pack"])
 
@@ -243,7 +271,7 @@ def _finish(length: int, with_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, chunk: int = CHUNK) -> DataFrame:
     """Cuts every byte covered by a ``length``-byte string that also starts earlier.
 
     Returns a row per input row: id, n_bytes, n_removed, n_spans, kept_sha256
@@ -251,13 +279,13 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     shorter than ``length`` loses nothing; null ids count as one id before all
     others; rows with one id and one text each get the row of that document;
     other columns are ignored; an empty table gives an empty result.
-    ``length`` is from 64 to 4096.
+    ``length`` is from 64 to 4096; ``chunk`` bytes of text are worked on at once.
     """
     if not 2 * SEED <= length <= _MASK + 1:
         raise ValueError(f"length is from {2 * SEED} to {_MASK + 1}")
     # one exchange of the texts by id serves both joins below
     src = docs.select(keyed(docs, id_col), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    found = src.mapInArrow(_emit(length), _ANCHORS)
+    found = src.mapInArrow(_emit(length, chunk), _ANCHORS)
     by_name, by_context, pos = Window.partitionBy("h"), Window.partitionBy("h", "c"), F.struct("d", "pack")
     dup = F.col("pack").bitwiseAND(F.lit(1)) == 1
     alive = found.withColumn("n", F.count(F.lit(1)).over(by_name)).where(dup | (F.col("n") > 1))

@@ -32,8 +32,8 @@ def brute_suffix(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length", [64, 100])
-def test_suffix_matches_brute_force(docs_of, length):
+@pytest.mark.parametrize(("length", "chunk"), [(64, 1 << 19), (100, 1 << 19), (100, 900)])
+def test_suffix_matches_brute_force(docs_of, length, chunk):
     rng = random.Random(length)
     shared = [words(rng, 60) for _ in range(4)]
     rows = []
@@ -45,7 +45,7 @@ def test_suffix_matches_brute_force(docs_of, length):
             parts += [s[a:b], words(rng, rng.randrange(0, 20))]
         rows.append((i, " ".join(parts)))
     rows += [(100, "a" * 700), (101, "ab" * 400), (102, "x" * 50), (103, None), (104, rows[5][1]), (105, "é" * 200), (None, rows[7][1])]
-    got = {r[0]: tuple(r)[1:] for r in suffix_dedup(docs_of(rows), length).collect()}
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup(docs_of(rows), length, chunk=chunk).collect()}
     assert got == brute_suffix(rows, length)
 
 
@@ -127,8 +127,12 @@ def test_near_matches_brute_force(docs_of, k):
     assert got == brute_near(rows, k, 80)
 
 
-def test_near_chain_and_star(docs_of):
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_chain_and_star(docs_of, monkeypatch, block):
     """A chain whose ends are far apart is one component, as is a star of copies that differ among each other."""
+    from lattica.llm import near_dedup as module
+
+    monkeypatch.setattr(module, "BLOCK", block)
     rng = random.Random(9)
     base = words(rng, 120, 10_000).split()
     rows, w = [], list(base)
