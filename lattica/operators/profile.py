@@ -51,14 +51,16 @@ def finite(v: Column) -> Column:
     return F.when(is_finite(v), v)
 
 
-def basic_aggregates(v: Column) -> dict[str, Column]:
+def basic_aggregates(v: Column, x: Column | None = None) -> dict[str, Column]:
     """Counts, extrema, moments and norms of a double column, as aggregates of one pass.
 
     Variance has one degree of freedom less and is 0 for fewer than two
     values; skewness and excess kurtosis are those of the population, 0 for a
-    constant and for fewer than three or four values.
+    constant and for fewer than three or four values.  ``x`` is the finite
+    value if it is a column already: moments repeat it many times, and the
+    code generated for a plain column stays small enough to be compiled.
     """
-    x = finite(v)
+    x = finite(v) if x is None else x
     n, m2 = F.count(x), F.coalesce(F.var_pop(x), F.lit(0.0))
     # one central moment serves variance, deviation and error: each would keep buffers of its own
     variance = F.when(n > 1, m2 * n / (n - 1)).otherwise(0.0)
@@ -124,7 +126,8 @@ def as_values(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
 
 def summarise(df: DataFrame, values: Mapping[str, Column]) -> dict[str, dict]:
     """Basic aggregates of all columns from one scan, by column."""
-    per = {c: basic_aggregates(v) for c, v in values.items()}
+    df = df.select(*[c for i, v in enumerate(values.values()) for c in (v.alias(f"v{i}"), finite(v).alias(f"x{i}"))])
+    per = {c: basic_aggregates(F.col(f"v{i}"), F.col(f"x{i}")) for i, c in enumerate(values)}
     row = df.agg(*[F.struct(*[e.alias(k) for k, e in a.items()]).alias(f"c{i}") for i, a in enumerate(per.values())]).first()
     return {c: row[f"c{i}"].asDict() for i, c in enumerate(per)}
 
@@ -196,6 +199,8 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, bins: int = DEF
 
 def histogram_counts(df: DataFrame, values: Mapping[str, Column], plans: Mapping[str, tuple[float, float, int]], fences: Mapping[str, tuple[float, float]]) -> tuple[dict[str, dict[int, int]], dict[str, int]]:
     """Counts by column and bin, and values outside the fences, from one scan; at most 512 rows a column reach the driver."""
+    df = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values.values())])
+    values = {c: F.col(f"v{i}") for i, c in enumerate(values)}
     per = [F.struct(F.lit(c).alias("c"), F.when(v.isNotNull(), bin_of(v, F.lit(plans[c][0]), F.lit(plans[c][1]), F.lit(plans[c][2]))).alias("b"), ((v < fences[c][0]) | (v > fences[c][1])).alias("out")) for c, v in values.items()]
     out: dict[str, dict[int, int]] = {c: {} for c in values}
     outside = dict.fromkeys(values, 0)

@@ -19,13 +19,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bins of an interval in one scan.
-BINS = 1024
+BINS = 8192
 #: Values of a bin that are listed rather than refined.
 LIST = 20_000
 
 
 def _code(value: Column, intervals: list[tuple[float, float]]) -> Column:
-    """interval * BINS + bin of a value, null outside all intervals."""
+    """interval * BINS + bin of a value, null outside all intervals (which don't overlap)."""
+    if len(intervals) > 3 and all(math.isfinite(hi - lo) for lo, hi in intervals):
+        # one lookup in constant arrays: a long chain of branches would be too much code to be compiled
+        order = sorted(range(len(intervals)), key=lambda i: intervals[i])
+        lows, spans, codes = (F.array(*[F.lit(x) for x in xs]) for xs in ([intervals[i][0] for i in order], [intervals[i][1] - intervals[i][0] for i in order], [i * BINS for i in order]))
+        at = F.size(F.filter(lows, lambda lo: lo <= value)) - 1
+        share = (value - F.get(lows, at)) / F.get(spans, at)
+        inside = value <= F.get(F.array(*[F.lit(intervals[i][1]) for i in order]), at)
+        return F.when(inside, F.get(codes, at) + F.least(F.floor(share * BINS), F.lit(BINS - 1))).cast("int")
     out = None
     for i, (lo, hi) in enumerate(intervals):
         span = hi - lo
@@ -45,6 +53,8 @@ def order_statistics(df: DataFrame, columns: Mapping[str, Column], bounds: Mappi
     ``columns`` are double expressions, null where there is no finite value;
     ``bounds`` their smallest and largest value.
     """
+    df = df.select(*[v.alias(f"v{i}") for i, v in enumerate(columns.values())])
+    columns = {c: F.col(f"v{i}") for i, c in enumerate(columns)}
     found: dict[str, dict[int, float]] = {c: {} for c in columns}
     # intervals: column -> (lo, hi, count of values below lo, ranks inside)
     work = {c: [(lo, hi, 0, sorted(set(ranks[c])))] for c, (lo, hi) in bounds.items() if ranks.get(c)}

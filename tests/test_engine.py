@@ -78,11 +78,14 @@ def test_selection_refines(spark, monkeypatch):
     from lattica.operators import selection
 
     monkeypatch.setattr(selection, "LIST", 5)
-    monkeypatch.setattr(selection, "BINS", 4)
+    monkeypatch.setattr(selection, "BINS", 16)
     rng = random.Random(1)
     x = sorted(rng.expovariate(1) ** 6 for _ in range(800))
-    got = order_statistics(values(spark, x), {"v": F.col("v")}, {"v": (x[0], x[-1])}, {"v": [0, 1, 399, 400, 798, 799]})
-    assert got["v"] == {r: x[r] for r in (0, 1, 399, 400, 798, 799)}
+    got = order_statistics(values(spark, x), {"v": F.col("v")}, {"v": (x[0], x[-1])}, {"v": [0, 1, 200, 399, 400, 700, 780, 798, 799]})
+    assert got["v"] == {r: x[r] for r in (0, 1, 200, 399, 400, 700, 780, 798, 799)}
+    y = sorted(rng.random() for _ in range(800))
+    got = order_statistics(values(spark, y), {"v": F.col("v")}, {"v": (y[0], y[-1])}, {"v": range(0, 800, 53)})
+    assert got["v"] == {r: y[r] for r in range(0, 800, 53)}
 
 
 def test_histograms(spark):
