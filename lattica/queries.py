@@ -485,10 +485,11 @@ def stats_report(spark, d):
 DESCRIPTORS = [("<f8", "float", "float64", 8, True, True, True), (">i4", "int", "int32", 4, False, True, True), ("|u1", "uint", "uint8", 1, True, True, True), ("|b1", "bool", "bool", 1, True, True, True), ("<f2", "float", "float16", 2, True, True, True), ("<f16", "float", "float128", 16, True, False, False), ("<c16", "complex", "complex128", 16, True, True, True), ("|S12", "bytes", "bytes12", 12, True, False, True), ("<U11", "str", "str11", 44, True, False, True), ("<M8[D]", "datetime", "datetime64[D]", 8, True, True, True), ("<m8[ns]", "timedelta", "timedelta64[ns]", 8, True, True, True), ("|V5", "struct", "void5", 5, True, False, True), ("|O", "object", "object", 8, True, False, False), ("<i3", None, None, None, None, None, None), ("x9", None, None, None, None, None, None)]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(_sql(x) for x in r) + ")" for r in DESCRIPTORS) + ") AS t(descr, kind, name, itemsize, little_endian, numeric, readable)")
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(_sql(str(x).lower() if isinstance(x, bool) else x) for x in r) + ")" for r in DESCRIPTORS) + ") AS t(descr, kind, name, itemsize, little_endian, numeric, readable)")
 def dtype_parsed(spark, d):
     v = _values(spark, ", ".join(f"('{r[0]}')" for r in DESCRIPTORS), "descr")
-    return v.select("descr", *[c.alias(k) for k, c in D.descr_columns(F.col("descr")).items()])
+    flags = ("little_endian", "numeric", "readable")
+    return v.select("descr", *[(c.cast("string") if k in flags else c).alias(k) for k, c in D.descr_columns(F.col("descr")).items()])
 
 
 _HALF = [(0, "0"), (0x3C00, "1"), (0xC000, "-2"), (0x3555, "0.333252"), (0x7C00, "inf"), (0xFC00, "-inf"), (0x7E00, "NaN"), (1, "5.9605e-8"), (0x7BFF, "65504")]
