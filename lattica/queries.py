@@ -542,6 +542,16 @@ def cut_cells(spark, d):
     return _t(spark, d, "documents").select("doc_id", X.cut_cell(F.col("text")).alias("cell"), X.escape_html(F.substring("text", 1, 50)).alias("html"))
 
 
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '[\",\\n]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END AS cell FROM documents")
+def csv_cells_whole(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.csv_cell(F.col("text")).alias("cell"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 197) || '...' ELSE text END AS cell, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM documents")
+def cut_cells_whole(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.cut_cell(F.col("text")).alias("cell"), X.escape_html(F.col("text")).alias("html"))
+
+
 @query("SELECT * FROM (VALUES ('many', true), ('unique', false), ('half', false), ('none', false)) AS t(name, shown)")
 def frequency_rule(spark, d):
     v = _values(spark, "('many', 1000L, 10L, 400L), ('unique', 1000L, 1000L, 1L), ('half', 1000L, 600L, 2L), ('none', 1000L, cast(null as bigint), 5L)", "name, finite, distinct, top")

@@ -263,3 +263,14 @@ def test_shared_tables_are_cleared(spark):
     path = df.inputFiles()[0].removeprefix("file://")
     assert df.count() == 5 and os.path.exists(path)
     assert clear(spark) >= 1 and not os.path.exists(path) and clear(spark) == 0
+
+
+def test_cells_of_whole_texts(spark, tmp_path):
+    from lattica import queries as Q
+
+    late = "x" * 70 + ',<b> & "q"\n' + "y" * 300
+    spark.createDataFrame([(1, late), (2, "z" * 90), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    csv = {r["doc_id"]: r["cell"] for r in Q.QUERIES["csv_cells_whole"](spark, str(tmp_path)).collect()}
+    assert csv == {1: '"' + late.replace('"', '""') + '"', 2: "z" * 90, 3: None}
+    cut = {r["doc_id"]: (r["cell"], r["html"]) for r in Q.QUERIES["cut_cells_whole"](spark, str(tmp_path)).collect()}
+    assert cut == {1: (late[:197] + "...", late.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")), 2: ("z" * 90, "z" * 90), 3: (None, None)}
