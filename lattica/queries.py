@@ -342,6 +342,23 @@ def normalised(spark, d):
     return _rounded(w.select("row", "col", *[C.normalise(F.col("v"), F.col("lo"), F.col("hi"), s).alias(s) for s in ("linear", "log", "symlog")]), 9)
 
 
+@query(f"""
+WITH w AS (SELECT r, c, v FROM {_CELL}), b AS (SELECT min(v) AS lo, max(v) AS hi FROM w),
+k AS (SELECT *, CASE WHEN lo > 0 THEN lo ELSE hi / 1e4 END AS ll, greatest(abs(lo), abs(hi), 1e-12) AS bound FROM b)
+SELECT r AS row, c AS col, round((v - lo) / (hi - lo), 9) AS linear, round((ln(greatest(v, ll)) - ln(ll)) / (ln(hi) - ln(ll)), 9) AS log, round((sign(v) * ln(1 + abs(v)) / ln(1 + bound) + 1) / 2, 9) AS symlog FROM w, k
+""")
+def normalised_whole(spark, d):
+    w = _plane_values(spark, d)
+    return _rounded(w.select("row", "col", *[C.normalise(F.col("v"), F.col("lo"), F.col("hi"), s).alias(s) for s in ("linear", "log", "symlog")]), 9)
+
+
+def _plane_values(spark: SparkSession, d: str) -> DataFrame:
+    """All cells of the matrix as (row, col, v) with the bounds lo and hi of the whole plane."""
+    e, plane = _matrix(spark, d)
+    w = e.withColumns(plane.columns(F.col("pos"))).select("row", "col", F.col("value").alias("v"))
+    return w.crossJoin(F.broadcast(w.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))))
+
+
 def _ramp_sql(name: str) -> str:
     a = C.anchors(name)
     rows = ", ".join(f"({i}, {r}.0::DOUBLE, {g}.0::DOUBLE, {b}.0::DOUBLE)" for i, (r, g, b) in enumerate(a))
@@ -369,11 +386,19 @@ def rendered_plane(spark, d):
     return C.colour(w, F.col("v"), F.col("lo"), F.col("hi")).select("row", "col", "r", "g", "b", "a")
 
 
+@query(f"""
+WITH w AS (SELECT r, c, v FROM {_CELL}), b AS (SELECT min(v) AS lo, max(v) AS hi FROM w), ramp AS ({_ramp_sql("viridis")})
+SELECT w.r AS row, c AS col, ramp.r, ramp.g, ramp.b, 255 AS a FROM w, b JOIN ramp ON ramp.i = least(greatest(CAST(floor((v - lo) / (hi - lo) * 255 + 0.5) AS INTEGER), 0), 255)
+""")
+def rendered_plane_whole(spark, d):
+    return C.colour(_plane_values(spark, d), F.col("v"), F.col("lo"), F.col("hi")).select("row", "col", "r", "g", "b", "a")
+
+
 @query()
 def png_plane(spark, d):
     e, plane = _matrix(spark, d)
     w = S.read_block(e, plane, max_side=64).withColumnRenamed("value", "v").withColumns({"lo": F.lit(-1.0), "hi": F.lit(1.0)})
-    return C.png_planes(C.colour(w, F.col("v"), F.col("lo"), F.col("hi"), "coolwarm").select("frame", "row", "col", "r", "g", "b", "a")).select("frame", "width", "height", F.substring("png", 1, 8).alias("magic"))
+    return C.png_planes(C.colour(w, F.col("v"), F.col("lo"), F.col("hi"), "coolwarm").select("frame", "row", "col", "r", "g", "b", "a"))
 
 
 @query("SELECT * FROM (VALUES ('bool', '0 1'), ('byte', '0 255'), ('unit', '0 1'), ('signed', '-1 1'), ('wide', NULL)) AS t(name, range)")

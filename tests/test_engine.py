@@ -274,3 +274,19 @@ def test_cells_of_whole_texts(spark, tmp_path):
     assert csv == {1: '"' + late.replace('"', '""') + '"', 2: "z" * 90, 3: None}
     cut = {r["doc_id"]: (r["cell"], r["html"]) for r in Q.QUERIES["cut_cells_whole"](spark, str(tmp_path)).collect()}
     assert cut == {1: (late[:197] + "...", late.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")), 2: ("z" * 90, "z" * 90), 3: (None, None)}
+
+
+def test_planes_whole(spark, tmp_path):
+    import zlib
+
+    from lattica import queries as Q
+
+    spark.createDataFrame([(i, [float(i), -float(i)]) for i in range(50)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = Q.QUERIES["normalised_whole"](spark, str(tmp_path)).collect()
+    assert {(r["row"], r["col"]): r["linear"] for r in got} == {(i, k): round((i * (1 - 2 * k) + 49) / 98, 9) for i in range(50) for k in range(2)}
+    assert Q.QUERIES["rendered_plane_whole"](spark, str(tmp_path)).count() == 100
+    drawn = Q.QUERIES["png_plane"](spark, str(tmp_path)).first()
+    data = bytes(drawn["png"])
+    at = data.index(b"IDAT")
+    lines = zlib.decompress(data[at + 4 : at + 4 + int.from_bytes(data[at - 4 : at], "big")])
+    assert data.endswith(b"IEND\xaeB`\x82") and len(lines) == drawn["height"] * (1 + 4 * drawn["width"])
