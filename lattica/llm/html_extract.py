@@ -4,7 +4,9 @@ A forgiving parser makes the element tree and cuts the text into blocks.  A
 block passes points for its length and commas to its container, half of them
 to the next ancestor and less to those above, discounted by the share of its
 text inside links.  The best container and siblings with enough points are
-kept, without the parts that are furniture by element, role or name.
+kept, without the parts that are furniture by element, role or name.  Names
+may mislead: a part cut by name comes back if it has the page's only article
+or main element, outscores the chosen container, or holds most of the text.
 """
 
 from __future__ import annotations
@@ -40,6 +42,12 @@ _NAMES = frozenset(
 _TITLES = frozenset("header masthead".split())
 #: Names of article elements that are no article.
 _REMARKS = frozenset("comment comments reply replies sponsored advert advertisement promo related".split())
+#: Parts with these names stay cut whatever they hold: they are texts of others or about other pages.
+_OTHERS = _REMARKS | frozenset("recommended recommendation recommendations trending popular".split())
+#: Words that leave a name of furniture one.
+_PLACES = _NAMES | frozenset("left right top bottom primary secondary area bar box block list link links item items".split())
+#: First words of names that say what a page has or lacks, such as has-sidebar.
+_ABOUT = frozenset("has no with without".split())
 _GOOD = frozenset("article content entry main page post story text body blog".split())
 _PARAGRAPH = frozenset("p pre blockquote td li dd dt figcaption h1 h2 h3 h4 h5 h6 caption summary".split())
 _HEAD = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -50,27 +58,39 @@ def _attrs(raw: str) -> dict[str, str]:
     return {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw.strip(" /") else {}
 
 
-def _furniture(tag: str, attrs: dict[str, str], by_name: bool, in_article: bool) -> bool:
+def _names(attrs: dict[str, str]) -> list[set[str]]:
+    """Words of each name in class and id, without names that only say what a page has."""
+    parts = [[w.lower() for w in _PARTS.findall(x)] for k in ("class", "id") for x in attrs.get(k, "").split()]
+    return [set(n) for n in parts if n and n[0] not in _ABOUT]
+
+
+def _furniture(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Whether an element is furniture by itself or its role, or is hidden."""
     if tag in _FURNITURE or tag == "header" and not in_article:
         return True
-    if attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    if not by_name or tag in ("body", "html", "main"):
+    return attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+
+def _named(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Whether an element is furniture by name."""
+    if tag in ("body", "html", "main"):
         return False
-    names = {w.lower() for k in ("class", "id") for w in _PARTS.findall(attrs.get(k, ""))}
-    if tag == "article":
-        return bool(names & _REMARKS)
+    names = _names(attrs)
     # a header inside the article holds its title
-    return bool(names & (_NAMES - _TITLES if in_article else _NAMES))
+    bad = _REMARKS if tag == "article" else _NAMES - _TITLES if in_article else _NAMES
+    if not any(n & bad for n in names):
+        return False
+    # "content sidebar-left" is the content, but "content sidebar" and "main-nav" are furniture
+    return any(n & bad and n <= _PLACES for n in names) or not any(n & _GOOD and not n & _NAMES for n in names)
 
 
 class Tree:
-    """Elements (tag, parent, attributes, furniture) and text blocks (element, text, characters in links), in page order."""
+    """Elements (tag, parent, attributes, furniture or inside it, furniture by its own name) and text blocks (element, text, characters in links), in page order."""
 
-    def __init__(self, page: str, by_name: bool = True):
-        self.tag, self.parent, self.attrs, self.cut = ["#"], [0], [{}], [False]
+    def __init__(self, page: str):
+        self.tag, self.parent, self.attrs, self.hard, self.named = ["#"], [0], [{}], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []
-        self._by_name, self._stack, self._text, self._links = by_name, [0], [], 0
+        self._stack, self._text, self._links = [0], [], 0
         at, n = 0, len(page)
         while at < n:
             m = _TAG.search(page, at)
@@ -141,7 +161,8 @@ class Tree:
         self.tag.append(tag)
         self.parent.append(up)
         self.attrs.append(attrs)
-        self.cut.append(self.cut[up] or _furniture(tag, attrs, self._by_name, in_article))
+        self.hard.append(self.hard[up] or _furniture(tag, attrs, in_article))
+        self.named.append(_named(tag, attrs, in_article))
         if not raw.rstrip().endswith("/") or tag in _BLOCK or tag == "a":
             self._stack.append(len(self.tag) - 1)
 
@@ -157,19 +178,89 @@ class Tree:
                 return
 
 
-def _main(tree: Tree) -> list[str]:
-    live = [(k, o, t, min(n, len(t))) for k, (o, t, n) in enumerate(tree.blocks) if not tree.cut[o]]
-    if not live:
-        return []
+    def cut(self, spared: set[int]) -> list[bool]:
+        """Which elements are furniture or inside it; names of ``spared`` elements don't count."""
+        out = self.hard.copy()
+        for i in range(1, len(out)):
+            out[i] |= out[self.parent[i]] or self.named[i] and i not in spared
+        return out
+
+    def above(self, node: int) -> list[int]:
+        """The element and its ancestors but the root."""
+        out = []
+        while node:
+            out.append(node)
+            node = self.parent[node]
+        return out
+
+    def plain(self, cut: list[bool]) -> list[int]:
+        """Characters outside links in what each element holds and is not cut."""
+        out = [0] * len(self.tag)
+        for o, t, n in self.blocks:
+            out[o] += 0 if cut[o] else len(t) - min(n, len(t))
+        for i in range(len(out) - 1, 0, -1):
+            out[self.parent[i]] += out[i]
+        return out
+
+
+def _spared(tree: Tree) -> set[int]:
+    """Elements whose names say furniture and that hold the article all the same."""
+    every = {i for i in range(1, len(tree.tag)) if tree.named[i] and not tree.hard[i]}
+    if not every:
+        return every
+    out: set[int] = set()
+    others = {i for i in every if any(n & _OTHERS for n in _names(tree.attrs[i]))}
+    maybe = every - others
+    cut, loose = tree.cut(out), tree.cut(maybe)
+    live, could = tree.plain(cut), tree.plain(loose)
+    for tags in (("article",), ("article", "main")):
+        if not any(t in tags and live[i] for i, t in enumerate(tree.tag)):
+            out |= {k for i, t in enumerate(tree.tag) if t in tags and could[i] for k in tree.above(i) if k in maybe}
+    cut = tree.cut(out)
+    live = tree.plain(cut)
+    marked = [live[i] > 0 and (t == "article" or t not in ("body", "html") and any(n & _GOOD for n in _names(tree.attrs[i]))) for i, t in enumerate(tree.tag)]
+    some = any(marked)
+    # characters of marked elements: below an element, and beside it and its ancestors
+    below, beside = [0] * len(marked), [0] * len(marked)
+    held = lambda i: live[i] if marked[i] else below[i]
+    for i in range(len(marked) - 1, 0, -1):
+        below[tree.parent[i]] += held(i)
+    for i in range(1, len(marked)):
+        beside[i] = beside[tree.parent[i]] + below[tree.parent[i]] - held(i)
+
+    def doubtful(i: int) -> bool:
+        """Whether a name says too little: nothing is marked as the article, or far less text is and the name has other words than those of furniture."""
+        pure = any(n & _NAMES and n <= _PLACES for n in _names(tree.attrs[i]))
+        return not some or not pure and could[i] > 4 * beside[i]
+
+    maybe = {i for i in maybe - out if could[i] and doubtful(i)}
+    if not maybe:
+        return out
+    loose = tree.cut(out | maybe)
+    best, points = _best(tree, loose)[:2]
+    inside = maybe & set(tree.above(best))
+    if inside and points > _best(tree, cut)[1]:
+        return out | inside
+    most = {i for i in maybe if 2 * could[i] > could[0]}
+    if most:
+        best = _best(tree, tree.cut(out | most))[0]
+        if best == 0 or most & set(tree.above(best)) or best in tree.above(max(most)):
+            return out | most
+    return out
+
+
+def _best(tree: Tree, cut: list[bool]) -> tuple[int, float, dict[int, float], list[int], list[int]]:
+    """The container with the most points, its points, and points, characters and characters in links of all."""
+    live = [(o, t, min(n, len(t))) for o, t, n in tree.blocks if not cut[o]]
     score: dict[int, float] = {}
 
     def give(node: int, points: float) -> None:
         if node not in score:
-            names = {w.lower() for k in ("class", "id") for w in _PARTS.findall(tree.attrs[node].get(k, ""))}
-            score[node] = _START.get(tree.tag[node], 0.0) + 25.0 * bool(names & _GOOD)
+            good = any(n & _GOOD and not (tree.named[node] and n & _NAMES) for n in _names(tree.attrs[node]))
+            score[node] = _START.get(tree.tag[node], 0.0) + 25.0 * good
         score[node] += points
 
-    for _, owner, text, linked in live:
+    for owner, text, linked in live:
         points = (0.2 if tree.tag[owner] in _HEAD else 1.0) * (1 + sum(text.count(c) for c in ",،，、") + min(len(text) / 100, 3)) * (1 - linked / len(text))
         node, level = tree.parent[owner] if tree.tag[owner] in _PARAGRAPH and owner else owner, 0
         while True:
@@ -177,27 +268,35 @@ def _main(tree: Tree) -> list[str]:
             if node == 0:
                 break
             node, level = tree.parent[node], level + 1
-    chars, links = dict.fromkeys(range(len(tree.tag)), 0), dict.fromkeys(range(len(tree.tag)), 0)
-    for _, owner, text, linked in live:
-        node = owner
-        while True:
-            chars[node] += len(text)
-            links[node] += linked
-            if node == 0:
-                break
-            node = tree.parent[node]
+    chars, links = [0] * len(tree.tag), [0] * len(tree.tag)
+    for owner, text, linked in live:
+        chars[owner] += len(text)
+        links[owner] += linked
+    for i in range(len(chars) - 1, 0, -1):
+        chars[tree.parent[i]] += chars[i]
+        links[tree.parent[i]] += links[i]
+    value = lambda i: score[i] * (1 - links[i] / max(chars[i], 1))
+    best = max(score, key=lambda i: (value(i), -i), default=0)
+    return best, value(best) if score else float("-inf"), score, chars, links
+
+
+def _main(tree: Tree, spared: set[int]) -> list[str]:
+    cut = tree.cut(spared)
+    live = [(o, t) for o, t, _ in tree.blocks if not cut[o]]
+    if not live:
+        return []
+    best, _, score, chars, links = _best(tree, cut)
     density = lambda i: links[i] / max(chars[i], 1)
-    best = max(score, key=lambda i: (score[i] * (1 - density(i)), -i))
     keep = {best}
     if best:
         least = max(10.0, 0.2 * score[best])
         for i in range(1, len(tree.tag)):
-            if tree.parent[i] == tree.parent[best] and i != best and not tree.cut[i] and (score.get(i, 0) * (1 - density(i)) >= least or tree.tag[i] == "p" and chars[i] > 80 and density(i) < 0.25):
+            if tree.parent[i] == tree.parent[best] and i != best and not cut[i] and (score.get(i, 0) * (1 - density(i)) >= least or tree.tag[i] == "p" and chars[i] > 80 and density(i) < 0.25):
                 keep.add(i)
     # lists of links inside the article are menus
     menus = {i for i in range(1, len(tree.tag)) if tree.tag[i] in ("ul", "ol", "div", "section", "table", "dl") and chars[i] and density(i) > 0.66 and i not in keep}
     out = []
-    for _, owner, text, _n in live:
+    for owner, text in live:
         node, inside, menu, head = owner, False, False, False
         while True:
             inside |= node in keep
@@ -215,7 +314,8 @@ def extract(page: str | None) -> str:
     """The main text of one page: blocks joined by an empty line, empty if there is none."""
     if not page:
         return ""
-    return "\n\n".join(_main(Tree(page)) or _main(Tree(page, by_name=False)))
+    tree = Tree(page)
+    return "\n\n".join(_main(tree, _spared(tree)) or _main(tree, set(range(len(tree.tag)))))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

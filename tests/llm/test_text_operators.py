@@ -158,6 +158,17 @@ def test_extract(page, want):
     assert html_extract.extract(page) == want
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "page no-comments", "site-main with-header", "content sidebar-left", "grid sidebar-layout"])
+def test_names_of_furniture_around_the_article(name):
+    p = "Words of the article, and more. " * 9
+    for inside in (f"<p>{p}</p>", f"<article><p>{p}</p></article>"):
+        page = f"<div class='top'>Welcome</div><div class='{name}'>{inside}<div class='sidebar'><p>noise, noise</p></div></div><div class='main-nav'>a, b</div>"
+        assert html_extract.extract(page) == p.strip()
+    held = f"<div class='x'><p>{p}</p></div>"
+    assert html_extract.extract(f"{held}<div id='comments'>{held * 3}</div>") == p.strip()
+    html_extract.extract(("<div class='top'>Welcome</div>" + "<div class='sidebar-layout'>a, b" * 2_000))
+
+
 def test_extract_table(spark):
     df = spark.createDataFrame([(i, f"u{i}", p, "clash") for i, (p, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
     got = html_extract.extract_text(df).orderBy("page_id").collect()
