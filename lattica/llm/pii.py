@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -175,28 +176,47 @@ class Field:
         return p / p.sum(1, keepdims=True)
 
 
+#: Bit of each feature in the number of a pattern.
+_BITS = 1 << np.arange(N_FEATURES, dtype=np.int64)
+
+
+def count_text(text: str) -> Counter:
+    """How often a text has each (0, feature pattern, label), (1, label, next label) and (2, label, label of the same form); labels are the teacher's."""
+    nodes = candidates(text)
+    y = token_labels(nodes, base_spans(text))
+    c, s = edges(text, nodes)
+    rows = [(0, shape(text, nodes).astype(np.int64) @ _BITS, y), (1, y[c[:, 0]], y[c[:, 1]]), (2, y[s[:, 0]], y[s[:, 1]])]
+    return Counter((kind, a, b) for kind, left, right in rows for a, b in zip(left.tolist(), right.tolist(), strict=True))
+
+
 def fit(texts_: list[str], steps: int = 300, rate: float = 1.0) -> Field:
     """Piecewise training with the base patterns as teacher: unary weights by softmax regression, pair weights from label pairs, smoothed."""
-    xs, ys = [np.zeros((0, N_FEATURES))], [np.zeros(0, np.int64)]
+    counts: Counter = Counter()
+    for t in texts_:
+        counts.update(count_text(t))
+    return fit_counts(counts, steps, rate)
+
+
+def fit_counts(counts: Counter, steps: int = 300, rate: float = 1.0) -> Field:
+    """:func:`fit` from the sum of :func:`count_text` over all texts."""
     k = len(LABELS)
     chain_n, skip_n = np.ones((k, k)), np.ones((k, k)) * 0.5 + np.eye(k) * 4
-    for t in texts_:
-        nodes = candidates(t)
-        y = token_labels(nodes, base_spans(t))
-        xs.append(shape(t, nodes))
-        ys.append(y)
-        c, s = edges(t, nodes)
-        np.add.at(chain_n, (y[c[:, 0]], y[c[:, 1]]), 1)
-        np.add.at(skip_n, (y[s[:, 0]], y[s[:, 1]]), 1)
-    x, y = np.concatenate(xs), np.concatenate(ys)
+    seen: dict[int, np.ndarray] = {}
+    for (kind, a, b), n in sorted(counts.items()):
+        if kind == 0:
+            seen.setdefault(a, np.zeros(k))[b] += n
+        else:
+            (chain_n if kind == 1 else skip_n)[a, b] += n
+    x = (np.array(list(seen), np.int64).reshape(-1, 1) & _BITS > 0).astype(float)
+    y = np.array(list(seen.values())).reshape(-1, k)
+    total = y.sum(1, keepdims=True)
     w = np.zeros((N_FEATURES, k))
     w[0, 0] = 1.0
     for _ in range(steps if len(y) else 0):
         z = x @ w
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        p[np.arange(len(y)), y] -= 1
-        w -= rate * (x.T @ p / len(y) + 1e-4 * w)
+        w -= rate * (x.T @ (p * total - y) / total.sum() + 1e-4 * w)
 
     def pmi(n: np.ndarray) -> np.ndarray:
         joint = n / n.sum()
@@ -240,14 +260,28 @@ def _hinted(part: pa.RecordBatch) -> np.ndarray:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> Field:
-    """Fits the field on at most ``max_train`` documents with a digit or an @."""
-    some = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(0))).alias("h"), F.col(id_col).cast("long").alias("id")).orderBy("h", "id").limit(max_train).select("id").distinct()
-    # the broadcast side has max_train numbers at most
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
+    """Fits the field on at most ``max_train`` documents with a digit or an @, whatever their length.
+
+    Documents are chosen by the hash of their id, those without an id by that
+    of their text; repeats of a chosen row count too.  Texts are counted where
+    they are: the driver gets numbers of label pairs and feature patterns.
+    """
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    src = src.withColumn("t", F.xxhash64("text"))
+    some = src.select(F.when(F.col("id").isNull(), F.col("t")).otherwise(F.xxhash64("id")).alias("h"), F.col("id").alias("i"), F.col("t").alias("u")).orderBy("h", "i", "u").limit(max_train).select("i", "u").distinct()
 
-    # token features of bounded documents; texts beyond 20,000 characters are long enough alone
-    got = sorted((r["id"], r["text"]) for r in src.where(F.length("text") <= 20_000).toLocalIterator())
-    return fit([t for _, t in got[:max_train]])
+    def run(batches):
+        total: Counter = Counter()
+        for batch in batches:
+            for x in batch.column("text"):
+                total.update(count_text(x.as_py()))
+        keys = list(zip(*total, strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in keys), pa.array(list(total.values()), pa.int64())], names=["kind", "a", "b", "n"])
+
+    # the broadcast side has max_train numbers at most
+    taken = src.join(F.broadcast(some), F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("text")
+    got = taken.mapInArrow(run, "kind long, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
+    return fit_counts(Counter({(r["kind"], r["a"], r["b"]): r["n"] for r in got}))
 
 
 def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -88,6 +88,16 @@ def test_skip_chain_adds_equal_tokens(docs_of):
     assert pii.find_spans("In 2020 there were 17 of 20 items left", field) == ([], [])
 
 
+def test_training_takes_long_texts_and_null_ids(docs_of):
+    rng = random.Random(3)
+    rows = [(i, f"{words(rng, 6_000)} 4111111111111111 {words(rng, 5)} 10.0.0.{i} end{i}") for i in range(9)] + [(None, f"mail a{i}@host.org or b{i} 77") for i in range(9)]
+    assert min(len(t) for i, t in rows if i is not None) > 20_000
+    field, want = pii.train(docs_of(rows)), pii.fit([t for _, t in rows])
+    for got, part in ((field.unary, want.unary), (field.chain, want.chain), (field.skip, want.skip)):
+        assert np.allclose(got, part, atol=1e-9)
+    assert not np.allclose(field.unary, pii.fit([]).unary)
+
+
 def test_pii_odd_rows(docs_of, odd_rows):
     df = docs_of([*odd_rows, (50, "write to é.x@host.example.org or 10.1.2.3 🙂 +44 20 7946 0958")])
     got = pii.find_pii(df, pii.train(df)).collect()
