@@ -28,6 +28,8 @@ LABELS = ("O", *KINDS)
 MAX_TRAIN = 2_000
 #: A token is added if its label's probability is this at least.
 CERTAIN = 0.9
+#: Messages have settled when none changes by more.
+SETTLED = 1e-6
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -134,13 +136,17 @@ def shape(text: str, nodes) -> np.ndarray:
 
 
 def edges(text: str, nodes) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes that are adjacent tokens, and pairs of one form, each occurrence with the one before it."""
+    """Pairs of nodes that are adjacent tokens, and pairs of one form, each occurrence with the one before it.
+
+    Forms are addresses with an @ inside, numbers of six digits or more, and
+    other tokens of six characters or more; shorter numbers are equal by chance.
+    """
     chain = [(i - 1, i) for i in range(1, len(nodes)) if nodes[i][2] == nodes[i - 1][2] + 1]
     skip, seen = [], {}
     for i, (s, e, _) in enumerate(nodes):
         c = text[s:e]
         key = _digits(c) if "@" not in c and len(_digits(c)) >= 6 else c.lower()
-        if len(key) >= 6:
+        if len(key) >= 6 or "@" in key.strip("@"):
             if key in seen:
                 skip.append((seen[key], i))
             seen[key] = i
@@ -153,8 +159,12 @@ class Field:
     def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.unary, self.chain, self.skip = unary, chain, skip
 
-    def marginals(self, x: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 12) -> np.ndarray:
-        """Label probabilities after loopy sum-product message passing with damping."""
+    def marginals(self, x: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """Label probabilities after loopy sum-product message passing with damping, until the messages settle.
+
+        A label has crossed all nodes after as many rounds; should messages
+        still swing then, ever smaller steps bring them to rest.
+        """
         score = x @ self.unary
         pairs = np.concatenate([chain, skip])
         if len(pairs):
@@ -164,13 +174,19 @@ class Field:
             n = len(pairs)
             back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
             msg = np.zeros((2 * n, len(LABELS)))
-            for _ in range(rounds):
+            step, rounds, change = 0.5, 0, np.inf
+            while change > SETTLED:
                 belief = score.copy()
                 np.add.at(belief, to, msg)
                 z = (belief[frm] - msg[back])[:, :, None] + table
                 top = z.max(1, keepdims=True)
                 new = np.log(np.exp(z - top).sum(1)) + top[:, 0]
-                msg = 0.5 * msg + 0.5 * (new - new.max(1, keepdims=True))
+                new = step * (new - new.max(1, keepdims=True) - msg)
+                change = np.abs(new).max()
+                msg += new
+                rounds += 1
+                if rounds > 2 * len(x) + 100:
+                    step *= 0.9
             np.add.at(score, to, msg)
         p = np.exp(score - score.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)

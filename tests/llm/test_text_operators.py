@@ -88,6 +88,31 @@ def test_skip_chain_adds_equal_tokens(docs_of):
     assert pii.find_spans("In 2020 there were 17 of 20 items left", field) == ([], [])
 
 
+def test_labels_reach_all_occurrences():
+    n, k = 60, len(pii.LABELS)
+    rng = np.random.default_rng(2)
+    x = np.zeros((n, 1 + k))
+    x[:, 0] = 1
+    x[0, 3] = 12.0
+    field = pii.Field(np.vstack([[0.1, 0, 0, 0, 0], np.eye(k)]), rng.normal(size=(k, k)), np.eye(k) * 6 - 3)
+    skip = np.array([(i - 1, i) for i in range(1, n)])
+    p = field.marginals(x, np.zeros((0, 2), np.int64), skip)
+    # exact sums along the chain from both ends
+    unary, pair = np.exp(x @ field.unary), np.exp(field.skip)
+    up, down = np.ones((n, k)), np.ones((n, k))
+    for i in range(1, n):
+        up[i] = (up[i - 1] * unary[i - 1]) @ pair
+        up[i] /= up[i].sum()
+        j = n - 1 - i
+        down[j] = pair @ (down[j + 1] * unary[j + 1])
+        down[j] /= down[j].sum()
+    want = up * down * unary
+    assert np.allclose(p, want / want.sum(1, keepdims=True), atol=1e-4) and p[30, 2] > 1.05 * p[30, 1]
+    loops = field.marginals(rng.normal(size=(n, 1 + k)), skip, np.array([(i, j) for i in range(0, n, 3) for j in range(i + 3, n, 9)]))
+    assert np.allclose(loops.sum(1), 1)
+    assert pii.edges("a@b.c 1 a@b.c", pii.candidates("a@b.c 1 a@b.c"))[1].tolist() == [[0, 2]]
+
+
 def test_training_takes_long_texts_and_null_ids(docs_of):
     rng = random.Random(3)
     rows = [(i, f"{words(rng, 6_000)} 4111111111111111 {words(rng, 5)} 10.0.0.{i} end{i}") for i in range(9)] + [(None, f"mail a{i}@host.org or b{i} 77") for i in range(9)]
