@@ -93,7 +93,7 @@ def _any(doc, item, used_d, used_i, k) -> bool:
     return bool(np.isin(running(item, k)[_free(used_i, k)], running(doc, k)[_free(used_d, k)]).any())
 
 
-def index_block(rows: list[tuple[int, str]], min_match: int) -> tuple:
+def index_block(rows: list[tuple[int | None, str]], min_match: int) -> tuple:
     """(ids, token names of items, seeds by length with the items that have them): plain arrays, to be broadcast."""
     names, at = tokens(pa.array([r[1] or "" for r in rows], pa.string()))
     items = [names[at[i] : at[i + 1]] for i in range(len(rows))]
@@ -144,10 +144,10 @@ def _scan(shared, min_match: int):
     return run
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int | None, str]]]:
     """The benchmark, a fixed query set, in lists of at most ``block_bytes``."""
     out, size = [[]], 0
-    for r in benchmark.select(id_col, text_col).where(F.col(id_col).isNotNull()).dropDuplicates().orderBy(id_col, text_col).toLocalIterator():
+    for r in benchmark.select(id_col, text_col).dropDuplicates().orderBy(id_col, text_col).toLocalIterator():
         n = len((r[1] or "").encode())
         if out[-1] and size + n > block_bytes:
             out.append([])
@@ -161,11 +161,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, thr
     """Returns a row per input row: id, contaminated, item_id, coverage, tokens_covered.
 
     item_id is the item that the document's tiles cover most (the smallest of
-    equals), null if no tile is found; coverage is the share of its tokens
+    equals, one without id last), null if no tile is found or the item has no
+    id; coverage is the share of its tokens
     that is covered; contaminated is coverage >= ``threshold``.  Tokens are
     lower-cased runs of letters and digits; a tile has ``min_match`` of them
     at least, an item with fewer counts if all of it is there.  Null texts
-    are empty; items without id or tokens match nothing; repeated rows each
+    are empty; items without tokens match nothing; repeated rows each
     get their row; empty tables give an empty result or no contamination.
     """
     src = docs.select(docs[id_col].cast("long").alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))

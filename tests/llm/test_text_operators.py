@@ -270,6 +270,17 @@ def test_decontaminate(docs_of, spark, odd_rows):
     assert decontam.decontaminate(docs_of(rows).where("false"), bench).collect() == []
 
 
+def test_items_without_id_contaminate(docs_of, spark):
+    rng = random.Random(5)
+    item, other, both = (words(rng, 30, 5000) for _ in range(3))
+    bench = spark.createDataFrame([(None, item), (None, both), (1, other), (2, both), (None, None)], "item_id long, text string")
+    rows = [(1, f"{words(rng, 9)} {item}"), (2, other), (3, both), (4, words(rng, 40))]
+    for size in (32 << 20, 300):
+        got = {r["doc_id"]: (r["contaminated"], r["item_id"], r["coverage"]) for r in decontam.decontaminate(docs_of(rows), bench, block_bytes=size).collect()}
+        assert got == {1: (True, None, 1.0), 2: (True, 1, 1.0), 3: (True, 2, 1.0), 4: (False, None, 0.0)}
+        assert [r["doc_id"] for r in decontam.drop_contaminated(docs_of(rows), bench, block_bytes=size).collect()] == [4]
+
+
 # ----------------------------------------------------- quality and languages
 
 
