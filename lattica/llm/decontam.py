@@ -114,7 +114,9 @@ def index_block(rows: list[tuple[int | None, str]], min_match: int) -> tuple:
     return [r[0] for r in rows], items, index
 
 
-def _scan(shared, min_match: int):
+def _scan(shared, min_match: int, keep_text: bool = False):
+    """Judges row, text by one block; what another block found comes as item_id, tokens_covered, coverage and stays if it is not beaten."""
+
     def run(batches):
         ids, items, index = shared.value
         for batch in batches:
@@ -131,15 +133,17 @@ def _scan(shared, min_match: int):
                         end = np.searchsorted(seeds, h[p], "right")
                         hits[int(text[p])].update(owners[slot[p] : end].tolist())
                 rows = []
+                before = [part.column(c).to_pylist() for c in ("coverage", "tokens_covered", "item_id")] if "coverage" in part.schema.names else None
                 for t in range(part.num_rows):
-                    best = (0.0, 0, None)
+                    best = (before[0][t], before[1][t], before[2][t]) if before else (0.0, 0, None)
                     doc = names[at[t] : at[t + 1]]
                     for i in sorted(hits.get(t, ())):
                         item = items[i]
                         covered = sum(n for _, _, n in tile(doc, item, min(min_match, item.size)))
                         best = max(best, (covered / item.size, covered, ids[i]), key=lambda x: (x[0], -(x[2] if x[2] is not None else 2**63)))
                     rows.append(best)
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([float(r[0]) for r in rows])], names=["row", "item_id", "tokens_covered", "coverage"])
+                own = ["row", "text"] if keep_text else ["row"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([float(r[0]) for r in rows])], names=[*own, "item_id", "tokens_covered", "coverage"])
 
     return run
 
@@ -170,16 +174,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, thr
     get their row; empty tables give an empty result or no contamination.
     """
     src = docs.select(docs[id_col].cast("long").alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    found = None
+    found = src
     parts = blocks(benchmark, text_col="text", block_bytes=block_bytes)
-    for part in parts:
+    for k, part in enumerate(parts):
         shared = docs.sparkSession.sparkContext.broadcast(index_block(part, min_match))
-        one = src.mapInArrow(_scan(shared, min_match), "row long, item_id long, tokens_covered long, coverage double")
-        found = one if found is None else found.unionByName(one)
-    if len(parts) > 1:
-        best = F.max(F.struct("coverage", -F.col("item_id"), "tokens_covered"))
-        n = found.groupBy("row").agg(best.alias("x"), (F.count(F.lit(1)) / len(parts)).cast("int").alias("n"))
-        found = n.select("row", (-F.col("x.col2")).alias("item_id"), "x.tokens_covered", "x.coverage", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).drop("i")
+        # rows go through all blocks in turn, so none is found again by its id
+        more = k + 1 < len(parts)
+        found = found.mapInArrow(_scan(shared, min_match, more), f"row long, {'text string, ' if more else ''}item_id long, tokens_covered long, coverage double")
     return found.select(F.col("row").alias(id_col), (F.col("coverage") >= threshold).alias("contaminated"), "item_id", "coverage", "tokens_covered")
 
 

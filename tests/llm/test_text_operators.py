@@ -281,6 +281,16 @@ def test_items_without_id_contaminate(docs_of, spark):
         assert [r["doc_id"] for r in decontam.drop_contaminated(docs_of(rows), bench, block_bytes=size).collect()] == [4]
 
 
+def test_rows_with_one_id_are_judged_apart(docs_of, spark):
+    rng = random.Random(7)
+    items = [(k, words(rng, 30, 5000)) for k in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, words(rng, 40)), (1, items[4][1]), (None, words(rng, 40)), (None, items[0][1]), (None, words(rng, 40)), (2, f"{items[5][1]} {items[1][1]}")]
+    for size in (32 << 20, 300):
+        got = decontam.decontaminate(docs_of(rows), bench, block_bytes=size).collect()
+        assert sorted((r["doc_id"] or 0, r["contaminated"], r["item_id"] if r["contaminated"] else -1) for r in got) == [(0, False, -1), (0, False, -1), (0, True, 0), (1, False, -1), (1, True, 4), (2, True, 1)]
+
+
 # ----------------------------------------------------- quality and languages
 
 
