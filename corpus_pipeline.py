@@ -53,7 +53,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("decontaminate", decontaminate), ("mix", mix)]
 
-#: SQL can express neither the classifier nor the tiling; a test holds the pipeline against a brute-force version.
+#: SQL can express neither the classifier nor the tiling.  A test compares the documents that stay with planted ones and
+#: the mix of these, in all rows and columns, with the SQL of the mix; there is no brute-force version of all stages.
 ORACLE_SQL = None
 
 

@@ -2,9 +2,12 @@
 
 import random
 
+import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline as P
+from lattica.llm import mixing
 
 from .conftest import DOCS, words
 
@@ -32,6 +35,19 @@ def test_planted_cases(spark, corpus):
     assert kept == want
 
 
+def test_mix_of_what_stays(spark, corpus):
+    got = P.run(spark, corpus).toPandas()
+    stays = set(range(120)) - {5} | {301}
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").toPandas()
+    docs = docs[docs["doc_id"].isin(stays)]  # read by the query
+    want = duckdb.sql(mixing.ORACLE.replace("{docs}", "docs")).df()
+    assert set(got.columns) == set(want.columns) == {"doc_id", "size", "source_size", "target", "taken"}
+    got, want = (x.sort_values("doc_id").reset_index(drop=True) for x in (got, want))
+    assert len(got) == len(want) == len(stays)
+    for c in want.columns:
+        assert np.allclose(got[c], want[c], atol=1e-6), c
+
+
 def test_each_stage_on_odd_rows(spark, corpus, odd_rows):
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in odd_rows], DOCS)
     for name, stage in P.STAGES:
