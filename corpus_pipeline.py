@@ -2,27 +2,23 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the
 last return the columns of ``documents``; the last returns the mix (doc_id,
-size, source_size, target, taken).  Null texts count as empty; a stage treats
-null ids as one id.  The operators' docstrings say more.
+size, source_size, target, taken).  Null texts count as empty; rows that share an
+id, or have none, and differ in text are documents of their own.  The operators'
+docstrings say more.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lattica.llm._store import NO_ID, cut
+from lattica.llm._store import cut
 from lattica.llm.decontam import drop_contaminated
-from lattica.llm.exact_dedup import exact_dedup
+from lattica.llm.exact_dedup import drop_copies
 from lattica.llm.mixing import mix_sources
-from lattica.llm.near_dedup import near_dedup
+from lattica.llm.near_dedup import drop_near_copies
 from lattica.llm.quality import quality_filter, train
 
 
-def _id(name: str = "doc_id"):
-    return F.coalesce(F.col(name), F.lit(NO_ID))
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier, fitted on the labels of these documents, rejects."""
     return quality_filter(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -30,15 +26,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays, that with the largest id; repeats of a row go."""
-    kept = exact_dedup(docs).where("kept").select(_id().alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    keyed = docs.withColumns({"__id": _id(), "__sha": F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)})
-    return keyed.join(kept, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays (five-word shingles, similarity 0.8 or more)."""
-    kept = near_dedup(docs).where("kept").select(_id().alias("__id")).distinct()
-    return docs.withColumn("__id", _id()).join(kept, "__id", "left_semi").select(*docs.columns)
+    return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut
+from ._store import cut, dealt_join, frequent
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -13,22 +13,29 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
 
 
+def _state(edges: DataFrame) -> tuple:
+    """How many edges there are and a sum of their hashes."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
     """(node, component) for every end of a link; the component is its smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), each
     a minimum by node and a join, until no link changes; a path of n nodes
-    takes about log n rounds.
+    takes about log n rounds.  Nodes with very many links meet their minimum
+    by broadcast.
     """
     e = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
-    state = None
+    state = _state(e)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        hubs = frequent(both.groupBy("u").agg(F.count(F.lit(1)).alias("links")), ["u"], 2 * state[0], "links")
+        large = dealt_join(both, _least(both), ["u"], hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = _least(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         e = cut(small)
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = _state(e)
         if now == state:
             break
         state = now

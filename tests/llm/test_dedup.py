@@ -2,15 +2,19 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm.components import components
-from lattica.llm.exact_dedup import exact_dedup, golomb_decode, golomb_encode
-from lattica.llm.near_dedup import near_dedup
+from lattica.llm._store import Sieve
+from lattica.llm.exact_dedup import drop_copies, exact_dedup, golomb_decode, golomb_encode, layout
+from lattica.llm.near_dedup import drop_near_copies, estimate, near_dedup, registers
+from lattica.llm._text import mix
 from lattica.llm.suffix_dedup import suffix_dedup
 
 from .conftest import words
@@ -83,19 +87,82 @@ def test_exact_matches_brute_force(docs_of, bits, part_rows):
         assert r["text_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def same_rows(got, want):
+    """Both as lists of tuples, in any order; null sorts first."""
+    order = lambda r: [(v is not None, v) for v in r]
+    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+
+
 def test_exact_odd_rows(docs_of, odd_rows):
-    got = exact_dedup(docs_of(odd_rows)).collect()
-    assert len(got) == len(odd_rows)
-    assert {r["doc_id"]: r["keep_id"] for r in got}[1] == 2
-    assert [r["group_size"] for r in got if r["doc_id"] == 5] == [3, 3]
-    assert exact_dedup(docs_of([(1, "a")]).where("false")).collect() == []
+    want = []
+    for i, t in odd_rows:
+        group = [j for j, u in odd_rows if (u or "") == (t or "")]
+        keep = max(group, key=lambda j: (j is not None, j))
+        want.append((i, keep, len(group), i == keep, hashlib.sha256((t or "").encode()).hexdigest()))
+    same_rows(exact_dedup(docs_of(odd_rows)).collect(), want)
+    df = docs_of(odd_rows)
+    left = drop_copies(df)
+    assert left.columns == df.columns
+    texts = [r["text"] or "" for r in left.collect()]
+    assert sorted(texts) == sorted({t or "" for _, t in odd_rows})
+    assert {(r["doc_id"], r["text"]) for r in left.collect()} <= set(odd_rows)
+    assert exact_dedup(df.where("false")).collect() == drop_copies(df.where("false")).collect() == []
+
+
+def test_exact_shuffles_only_suspects(docs_of, spark):
+    """No exchange carries the text of a document that is not a suspect (but one in 16 that passes the bit table)."""
+    rng = random.Random(6)
+    rows = [(i, words(rng, 60, 9000)) for i in range(600)] + [(1000 + i, "a copy of one text") for i in range(20)]
+    df = docs_of(rows, clash=False)
+    seen = []
+    from lattica.llm import exact_dedup as module
+
+    split = module.Sieve.split
+
+    def watched(self, rows, key):
+        out = split(self, rows, key)
+        seen.append(tuple(x.count() for x in out))
+        return out
+
+    module.Sieve.split, kept = watched, split
+    try:
+        assert exact_dedup(df).where("kept").count() == 601
+    finally:
+        module.Sieve.split = kept
+    assert len(seen) == 1 and 20 <= seen[0][0] < 120
+
+
+def test_golomb_lists_stay_short_at_scale():
+    """At 20,000 parts a list, with its header, costs less than six bytes a fingerprint."""
+    n = 20_000 << 20
+    parts, owners = layout(n)
+    assert parts == 20_000
+    step = -(-(1 << 48) // owners)
+    rng = np.random.default_rng(3)
+    each = n // parts // owners
+    lists = [golomb_encode(np.unique(rng.integers(0, step, each)), math.ceil(math.log2(step))) for _ in range(50)]
+    assert sum(map(len, lists)) < 6 * each * 50
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_sieve_loses_no_key(spark, limit):
+    keys = spark.range(0, 40_000, 7).selectExpr("xxhash64(id) as k")
+    sieve = Sieve.of(keys, limit)
+    if not limit:
+        assert sieve is None
+        return
+    maybe, free = sieve.split(spark.range(40_000), F.xxhash64("id"))
+    got = {r["id"] for r in maybe.collect()}
+    assert set(range(0, 40_000, 7)) <= got and len(got) < 40_000 * (1 / 7 + 0.1)
+    assert {r["id"] for r in free.collect()} == set(range(40_000)) - got
 
 
 def brute_near(rows, k, percent):
+    """(id, size, component, kept) a row; equal rows are one document, other rows that share an id are not."""
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+        sets[i, t or ""] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
     parent = {i: i for i in sets}
 
     def find(x):
@@ -103,11 +170,12 @@ def brute_near(rows, k, percent):
             x = parent[x]
         return x
 
-    for x, y in itertools.combinations(sorted(sets, key=lambda v: (v is not None, v)), 2):
+    order = lambda v: (v[0] is not None, v)
+    for x, y in itertools.combinations(sorted(sets, key=order), 2):
         if sets[x] and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y]):
-            p, q = sorted((find(x), find(y)), key=lambda v: (v is not None, v))
+            p, q = sorted((find(x), find(y)), key=order)
             parent[q] = p
-    return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
+    return [(i, len(sets[i, t or ""]), find((i, t or ""))[0], find((i, t or ""))[0] == i) for i, t in rows]
 
 
 @pytest.mark.parametrize("k", [2, 5])
@@ -123,8 +191,7 @@ def test_near_matches_brute_force(docs_of, k):
             rows.append((i, " ".join(w).upper() if rng.random() < 0.2 else " ".join(w)))
             i += 1
     rows += [(900, None), (901, ""), (902, "solo"), (903, "SOLO "), (904, "two words"), (905, "two words")]
-    got = {r["doc_id"]: tuple(r)[1:] for r in near_dedup(docs_of(rows), k=k).collect()}
-    assert got == brute_near(rows, k, 80)
+    same_rows(near_dedup(docs_of(rows), k=k).collect(), brute_near(rows, k, 80))
 
 
 @pytest.mark.parametrize("block", [512, 3])
@@ -146,16 +213,38 @@ def test_near_chain_and_star(docs_of, monkeypatch, block):
             v[rng.randrange(len(v))] = f"s{i}y{rng.randrange(99)}"
         rows.append((100 + i, " ".join(v)))
     rows.append((500, " ".join(star)))
-    got = {r["doc_id"]: tuple(r)[1:] for r in near_dedup(docs_of(rows), k=2).collect()}
-    assert got == brute_near(rows, 2, 80)
+    same_rows(near_dedup(docs_of(rows), k=2).collect(), brute_near(rows, 2, 80))
 
 
 def test_near_odd_rows(docs_of, odd_rows):
-    got = near_dedup(docs_of(odd_rows)).collect()
-    assert len(got) == len(odd_rows)
-    by = {r["doc_id"]: r["component_id"] for r in got}
-    assert by[8] == 7 and by[6] == 5 and by[1] == 1 and by[2] == 2 and by[3] == 3
-    assert near_dedup(docs_of([(1, "a")]).where("false")).collect() == []
+    df = docs_of(odd_rows)
+    same_rows(near_dedup(df).collect(), brute_near(odd_rows, 5, 80))
+    left = drop_near_copies(df)
+    assert left.columns == df.columns
+    assert {r["doc_id"] for r in left.collect()} == {i for i, *_, kept in brute_near(odd_rows, 5, 80) if kept}
+    assert near_dedup(df.where("false")).collect() == drop_near_copies(df.where("false")).collect() == []
+
+
+def test_near_links_through_rows_that_share_an_id(docs_of):
+    """Two texts that are linked only through rows without id, and two documents of one id."""
+    rng = random.Random(4)
+    x, y = (words(rng, 50, 9000) for _ in range(2))
+    rows = [(1, x), (2, y), (None, f"{x} z"), (None, f"{y} z"), (7, words(rng, 30, 9000)), (7, f"{y} q")]
+    same_rows(near_dedup(docs_of(rows), k=2).collect(), brute_near(rows, 2, 80))
+
+
+def test_registers_of_one_hash_estimate_similarity():
+    """Short sets too, whose empty buckets borrow: equal registers have the sets' Jaccard similarity."""
+    rng = np.random.default_rng(8)
+    for size in (1, 5, 10, 60, 1000):
+        both = round(size * 0.8)
+        shares = []
+        for _ in range(200):
+            pool = mix(rng.integers(0, 2**63, 2 * size - both, dtype=np.uint64))
+            x, y = np.sort(pool[:size]), np.sort(pool[size - both :])
+            regs = registers(np.concatenate([x, y]), np.array([0, x.size, x.size + y.size]), 130)
+            shares.append(estimate(regs[0], regs[1], np.array(x.size), np.array(y.size)))
+        assert abs(np.mean(shares) - both / (2 * size - both)) < 0.03, size
 
 
 def test_components(spark):
