@@ -20,10 +20,19 @@ from lattica.llm.suffix_dedup import suffix_dedup
 from .conftest import words
 
 
+def same_rows(got, want):
+    """Both as lists of tuples, in any order; null sorts first."""
+    order = lambda r: [(v is not None, v) for v in r]
+    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+
+
 def brute_suffix(rows, length):
+    """(id, ...) a row; rows that share an id go by a hash of the text, and equal rows are one document."""
+    order = {}
+    for i, t, h in sorted(set(rows), key=lambda r: (-(2**63) if r[0] is None else r[0], r[2])):
+        order[i, t or ""] = (t or "").encode()
     seen, out = set(), {}
-    for i, t in sorted(rows, key=lambda r: -(2**63) if r[0] is None else r[0]):
-        b = (t or "").encode()
+    for key, b in order.items():
         cut = bytearray(len(b))
         for p in range(len(b) - length + 1):
             w = b[p : p + length]
@@ -32,8 +41,13 @@ def brute_suffix(rows, length):
             else:
                 seen.add(w)
         runs = sum(1 for k in range(len(cut)) if cut[k] and (k == 0 or not cut[k - 1]))
-        out[i] = (len(b), sum(cut), runs, hashlib.sha256(bytes(x for x, c in zip(b, cut, strict=True) if not c)).hexdigest())
-    return out
+        out[key] = (len(b), sum(cut), runs, hashlib.sha256(bytes(x for x, c in zip(b, cut, strict=True) if not c)).hexdigest())
+    return [(i, *out[i, t or ""]) for i, t, _ in rows]
+
+
+def hashed(df):
+    """(id, text, hash of the text as Spark makes it) of all rows."""
+    return [tuple(r) for r in df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
 
 
 @pytest.mark.parametrize(("length", "chunk"), [(64, 1 << 19), (100, 1 << 19), (100, 900)])
@@ -48,17 +62,37 @@ def test_suffix_matches_brute_force(docs_of, length, chunk):
             a, b = sorted(rng.sample(range(len(s)), 2))
             parts += [s[a:b], words(rng, rng.randrange(0, 20))]
         rows.append((i, " ".join(parts)))
-    rows += [(100, "a" * 700), (101, "ab" * 400), (102, "x" * 50), (103, None), (104, rows[5][1]), (105, "é" * 200), (None, rows[7][1])]
-    got = {r[0]: tuple(r)[1:] for r in suffix_dedup(docs_of(rows), length, chunk=chunk).collect()}
-    assert got == brute_suffix(rows, length)
+    rows += [(100, "a" * 700), (101, "ab" * 400), (102, "x" * 50), (103, None), (104, rows[5][1]), (105, "é" * 200)]
+    repeat = words(rng, 40)
+    # rows without id and rows that share one are documents of their own; equal rows are one
+    rows += [(None, words(rng, 20) + repeat), (None, repeat + words(rng, 20)), (None, words(rng, 30)), (None, rows[7][1]), (3, repeat + words(rng, 9)), (106, repeat), (106, repeat)]
+    df = docs_of(rows)
+    same_rows(suffix_dedup(df, length, chunk=chunk).collect(), brute_suffix(hashed(df), length))
+
+
+@pytest.mark.parametrize("size", [62, 90, 140])
+def test_suffix_line_that_all_documents_have(docs_of, monkeypatch, size):
+    """A common line between unique texts: right rows, and no rank gathers more than a few rows a task."""
+    from lattica.llm import suffix_dedup as module
+
+    rng = random.Random(size)
+    line = words(rng, size)[:size]
+    rows = [(i, f"{words(rng, 40, 10**6)} {line} {words(rng, 40, 10**6)}") for i in range(300)]
+    df = docs_of(rows, clash=False)
+    same_rows(suffix_dedup(df, chunk=4000).collect(), brute_suffix(hashed(df), 100))
+    src = df.select(F.col("doc_id").alias("d"), F.lit(0).cast("long").alias("t"), "text").coalesce(3)
+    # a task learns a rank when a chunk holds it twice, so it sends a few rows at most before it knows
+    most = src.mapInArrow(module._emit(100, 4000), module._ANCHORS).groupBy("g").count().agg(F.max("count")).first()[0]
+    assert most <= 3 * 10
 
 
 def test_suffix_odd_rows(docs_of, odd_rows, spark):
-    got = suffix_dedup(docs_of(odd_rows), with_text=True).collect()
-    assert len(got) == len(odd_rows)
-    by = {r["doc_id"]: r for r in got}
+    df = docs_of(odd_rows)
+    got = suffix_dedup(df, with_text=True)
+    same_rows(got.drop("kept").collect(), brute_suffix(hashed(df), 100))
+    by = {r["doc_id"]: r for r in got.collect()}
     assert by[8]["n_removed"] == by[8]["n_bytes"] and by[7]["n_removed"] == 0 and by[1]["n_bytes"] == 0
-    assert bytes(by[7]["kept"]).decode() == odd_rows[8][1]
+    assert bytes(by[7]["kept"]).decode() == dict(odd_rows)[7]
     assert suffix_dedup(docs_of([(1, "a")]).where("false")).collect() == []
 
 
@@ -87,12 +121,6 @@ def test_exact_matches_brute_force(docs_of, bits, part_rows):
         assert r["text_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
-def same_rows(got, want):
-    """Both as lists of tuples, in any order; null sorts first."""
-    order = lambda r: [(v is not None, v) for v in r]
-    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
-
-
 def test_exact_odd_rows(docs_of, odd_rows):
     want = []
     for i, t in odd_rows:
