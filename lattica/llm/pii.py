@@ -1,12 +1,19 @@
 """Personal data by base patterns and a skip-chain conditional random field.
 
-Base patterns find emails, IP addresses, card and phone numbers.  The field
-then labels the tokens that hold a digit or an @ (all others are fixed to O, so
-the chain falls apart at them): unary potentials from a token's shape and
-neighbours, chain potentials between adjacent tokens, and skip potentials
-between occurrences of one token anywhere in the document.  Loopy
-belief propagation makes equal tokens agree; tokens that get a label and touch
-no base span are added.
+Base patterns find emails, IP addresses, card and phone numbers, and an
+assignment such as ``token = "..."`` a secret.  The field then labels the
+tokens that hold a digit or an @ (all others are fixed to O, so the chain falls
+apart at them): unary potentials from a token's shape and neighbours, chain
+potentials between adjacent tokens, and skip potentials between occurrences of
+one form anywhere in the document.  A form is shared by equal and by similar
+tokens: the same number with other marks or without its country code, the same
+address in other case or at another host.  Loopy belief propagation carries
+labels over; tokens that get one and touch no base span are added.
+
+The field learns from the base spans: as they are, and hidden, that is written
+in a way that no pattern finds.  A hidden one counts with its label next to its
+partner and as O without one, so the weights of shapes and pairs, which are
+fitted together by pseudo-likelihood, come to add a token for what it repeats.
 """
 
 from __future__ import annotations
@@ -23,11 +30,15 @@ from pyspark.sql import functions as F
 from ._text import pieces, texts
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("O", *KINDS)
+#: Spans that the field adds may also be secrets.
+ALL_KINDS = (*KINDS, "secret")
+LABELS = ("O", *ALL_KINDS)
 #: Documents with a candidate that the field is fitted on at most, those with the smallest hash of their id.
 MAX_TRAIN = 2_000
 #: A token is added if its label's probability is this at least.
 CERTAIN = 0.9
+#: Score of a label that is known, beyond what any number of neighbours can say.
+FIXED = 1e6
 #: Messages have settled when none changes by more.
 SETTLED = 1e-6
 
@@ -115,42 +126,117 @@ def token_labels(nodes, spans) -> np.ndarray:
     return y
 
 
-N_FEATURES = 16
+SECRET = LABELS.index("secret")
+_ASSIGNED = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?\Z")
+_LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_NUMBER = re.compile(r"[0-9. ()+-]+")
+_QUAD = re.compile(r"[0-9]{1,3}(\.[0-9]{1,3}){3}")
+#: Digits that two writings of one number share at its end.
+TAIL = 9
+
+
+def _secret(text: str, s: int, e: int) -> bool:
+    return _LONG.fullmatch(text, s, e) is not None and any(c.isalpha() for c in text[s:e]) and _ASSIGNED.search(text[max(0, s - 24) : s]) is not None
+
+
+def teacher(text: str, nodes, spans) -> np.ndarray:
+    """Labels that are known for certain: of the base spans, and secrets that something is assigned."""
+    y = token_labels(nodes, spans)
+    for i in np.flatnonzero(y == 0).tolist():
+        if _secret(text, *nodes[i][:2]):
+            y[i] = SECRET
+    return y
+
+
+N_FEATURES = 19
+
+
+def _shape(c: str, plus: bool, before: bool, after: bool, after_plus: bool, assigned: bool) -> tuple:
+    """Binary features of one token, given what is around it."""
+    d = _digits(c)
+    only = len(d) + sum(ch in "-. ()+" for ch in c) == len(c)
+    quad = _QUAD.fullmatch(c) is not None
+    long = len(c) >= 16 and any(ch.isalpha() for ch in c)
+    return (
+        1, "@" in c, "@" in c and "." in c.rpartition("@")[2], quad, quad and all(int(p) <= 255 for p in c.split(".")), c.isdigit(), only and 13 <= len(d) <= 19, only and 13 <= len(d) <= 19 and luhn(d),
+        only and len(d) < 9, only and 9 <= len(d) <= 12, plus, after_plus, before, after, not only, only and "-" in c, long, long and assigned, only and "." in c and not quad,
+    )
 
 
 def shape(text: str, nodes) -> np.ndarray:
     """Binary features of nodes."""
     x = np.zeros((len(nodes), N_FEATURES))
-    cores = [text[s:e] for s, e, _ in nodes]
     near = [i > 0 and nodes[i][2] == nodes[i - 1][2] + 1 for i in range(len(nodes))] + [False]
-    for i, c in enumerate(cores):
-        d = _digits(c)
-        only = len(d) + sum(ch in "-. ()+" for ch in c) == len(c)
-        quad = re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", c) is not None
-        plus = nodes[i][0] > 0 and text[nodes[i][0] - 1] == "+" or c.startswith("+")
-        x[i] = (
-            1, "@" in c, "@" in c and "." in c.rpartition("@")[2], quad, quad and all(int(p) <= 255 for p in c.split(".")), c.isdigit(), only and 13 <= len(d) <= 19, only and 13 <= len(d) <= 19 and luhn(d),
-            only and len(d) < 9, only and 9 <= len(d) <= 12, plus, near[i] and cores[i - 1].startswith("+"), near[i], near[i + 1], not only, only and "-" in c,
-        )
+    for i, (s, e, _) in enumerate(nodes):
+        c = text[s:e]
+        x[i] = _shape(c, s > 0 and text[s - 1] == "+" or c.startswith("+"), near[i], near[i + 1], near[i] and text[nodes[i - 1][0]] == "+", _secret(text, s, e))
     return x
 
 
-def edges(text: str, nodes) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes that are adjacent tokens, and pairs of one form, each occurrence with the one before it.
+def hidden(c: str, label: int) -> list[tuple[str, bool, bool]]:
+    """Tokens of a base span, written so that no base pattern finds it; whether number tokens are before and after."""
+    d = _digits(c)
+    if LABELS[label] == "email":
+        return [(c.rpartition("@")[0] + "@" + c.rpartition("@")[2].partition(".")[0], False, False)]
+    if LABELS[label] == "ip":
+        return [("[.]".join(c.split(".")), False, False), ("-".join(c.split(".")), False, False)]
+    if LABELS[label] == "card":
+        return [(".".join(d[k : k + 4] for k in range(0, len(d), 4)), False, False), ("0" + d, False, False), (d[:4], False, True), (d[4:8], True, True), (d[-4:], True, False)]
+    return [(d, False, False), ("00" + d, False, False), (f"{d[:-7]}-{d[-7:]}", False, False)] if LABELS[label] == "phone" else [(c, False, False)]
 
-    Forms are addresses with an @ inside, numbers of six digits or more, and
-    other tokens of six characters or more; shorter numbers are equal by chance.
+
+def forms(text: str, nodes) -> list[tuple[tuple, list[int]]]:
+    """What equal and similar tokens share, and the nodes of each occurrence, in order.
+
+    An address with an @ has its local part; a number of six digits or more
+    its last TAIL digits, one that is cut into adjacent tokens all of them
+    together; other tokens of six characters or more have themselves.  Shorter
+    numbers are equal by chance.
     """
-    chain = [(i - 1, i) for i in range(1, len(nodes)) if nodes[i][2] == nodes[i - 1][2] + 1]
-    skip, seen = [], {}
-    for i, (s, e, _) in enumerate(nodes):
+    out: list[tuple[tuple, list[int]]] = []
+    run: list[int] = []
+
+    def flush() -> None:
+        d = "".join(_digits(text[nodes[i][0] : nodes[i][1]]) for i in run)
+        if len(run) > 1 and TAIL <= len(d):
+            out.append((("number", d[-TAIL:]), run.copy()))
+        run.clear()
+
+    for i, (s, e, n) in enumerate(nodes):
         c = text[s:e]
-        key = _digits(c) if "@" not in c and len(_digits(c)) >= 6 else c.lower()
-        if len(key) >= 6 or "@" in key.strip("@"):
-            if key in seen:
-                skip.append((seen[key], i))
-            seen[key] = i
-    return np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
+        d = _digits(c)
+        number = _NUMBER.fullmatch(c) is not None
+        if run and (not number or n != nodes[i - 1][2] + 1 or c.startswith("+") or len(d) >= TAIL):
+            flush()
+        if "@" in c.strip("@"):
+            out.append((("address", c.strip("@").partition("@")[0].lower()), [i]))
+        elif len(d) >= 6 and (number or not any(ch.isalpha() for ch in c)):
+            out.append((("number", d[-TAIL:]), [i]))
+        elif not number and len(c) >= 6:
+            out.append((("token", c.lower()), [i]))
+        if number and len(d) < TAIL:
+            run.append(i)
+    flush()
+    return out
+
+
+def edges(text: str, nodes, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes that are adjacent tokens, and pairs of one form.
+
+    Each occurrence of a form is linked with one: the first with a known
+    label, or else the first, so no label has to travel further than two links.
+    """
+    chain = [(i - 1, i) for i in range(1, len(nodes)) if nodes[i][2] == nodes[i - 1][2] + 1]
+    by: dict[tuple, list[list[int]]] = {}
+    for form, own in forms(text, nodes):
+        by.setdefault(form, []).append(own)
+    skip = []
+    for found in by.values():
+        if len(found) > 1:
+            hub = next((own for own in found if known is not None and any(known[i] for i in own)), found[0])
+            end = next((i for i in hub if known is not None and known[i]), hub[0])
+            skip += [(end, i) for own in found if own is not hub for i in own if i not in hub]
+    return np.array(chain, np.int64).reshape(-1, 2), np.array(sorted(set(skip)), np.int64).reshape(-1, 2)
 
 
 class Field:
@@ -194,51 +280,75 @@ class Field:
 
 #: Bit of each feature in the number of a pattern.
 _BITS = 1 << np.arange(N_FEATURES, dtype=np.int64)
+#: Stands for a neighbour or partner that isn't there.
+NONE = -1
 
 
 def count_text(text: str) -> Counter:
-    """How often a text has each (0, feature pattern, label), (1, label, next label) and (2, label, label of the same form); labels are the teacher's."""
+    """How often a text has each (feature pattern, label before, label after, label of the partner, label); labels are the teacher's."""
     nodes = candidates(text)
-    y = token_labels(nodes, base_spans(text))
-    c, s = edges(text, nodes)
-    rows = [(0, shape(text, nodes).astype(np.int64) @ _BITS, y), (1, y[c[:, 0]], y[c[:, 1]]), (2, y[s[:, 0]], y[s[:, 1]])]
-    return Counter((kind, a, b) for kind, left, right in rows for a, b in zip(left.tolist(), right.tolist(), strict=True))
+    y = teacher(text, nodes, base_spans(text)).tolist()
+    chain, skip = edges(text, nodes, np.array(y))
+    left, right, partner = ([NONE] * len(nodes) for _ in range(3))
+    for i, j in chain.tolist():
+        right[i], left[j] = y[j], y[i]
+    for i, j in skip.tolist():
+        partner[j] = y[i]
+        if partner[i] == NONE:
+            partner[i] = y[j]
+    out = Counter(zip((shape(text, nodes).astype(np.int64) @ _BITS).tolist(), left, right, partner, y, strict=True))
+    whole: list[tuple[str, int, int]] = []
+    for (s, e, n), label in zip(nodes, y, strict=True):
+        phone = LABELS[label] == "phone"
+        if phone and whole and whole[-1][1] == label and whole[-1][2] == n - 1:
+            whole[-1] = (whole[-1][0] + text[s:e], label, n)
+        elif label:
+            whole.append((text[s:e], label, n))
+    for c, label, _ in whole:
+        for part, before, after in hidden(c, label):
+            # once by itself and once between tokens that are nothing
+            for sides in (NONE, 0):
+                near = [before or sides == 0, after or sides == 0]
+                x = int(np.array(_shape(part, False, *near, False, False), np.int64) @ _BITS)
+                # with a partner it has the partner's label; alone, or with a partner that is nothing, it is nothing
+                for partner_label, own, n in ((label, label, 2), (NONE, 0, 3), (0, 0, 1)):
+                    out[x, *[own if more else sides for more in (before, after)], partner_label, own] += n
+    return out
 
 
-def fit(texts_: list[str], steps: int = 300, rate: float = 1.0) -> Field:
-    """Piecewise training with the base patterns as teacher: unary weights by softmax regression, pair weights from label pairs, smoothed."""
+def fit(texts_: list[str], steps: int = 400, rate: float = 0.5) -> Field:
+    """Fits all weights together to :func:`count_text` of the texts."""
     counts: Counter = Counter()
     for t in texts_:
         counts.update(count_text(t))
     return fit_counts(counts, steps, rate)
 
 
-def fit_counts(counts: Counter, steps: int = 300, rate: float = 1.0) -> Field:
-    """:func:`fit` from the sum of :func:`count_text` over all texts."""
+def fit_counts(counts: Counter, steps: int = 400, rate: float = 0.5) -> Field:
+    """Maximum pseudo-likelihood from the sum of :func:`count_text` over all texts: each label given its shape, its neighbours' and its partner's labels."""
     k = len(LABELS)
-    chain_n, skip_n = np.ones((k, k)), np.ones((k, k)) * 0.5 + np.eye(k) * 4
-    seen: dict[int, np.ndarray] = {}
-    for (kind, a, b), n in sorted(counts.items()):
-        if kind == 0:
-            seen.setdefault(a, np.zeros(k))[b] += n
-        else:
-            (chain_n if kind == 1 else skip_n)[a, b] += n
-    x = (np.array(list(seen), np.int64).reshape(-1, 1) & _BITS > 0).astype(float)
-    y = np.array(list(seen.values())).reshape(-1, k)
+    rows: dict[tuple, np.ndarray] = {}
+    for (*given, label), n in sorted(counts.items()):
+        rows.setdefault(tuple(given), np.zeros(k))[label] += n
+    given = np.array(list(rows), np.int64).reshape(-1, 4)
+    x = (given[:, :1] & _BITS > 0).astype(float)
+    left, right, partner = (np.eye(k + 1)[given[:, c]][:, :k] for c in (1, 2, 3))
+    y = np.array(list(rows.values())).reshape(-1, k)
     total = y.sum(1, keepdims=True)
-    w = np.zeros((N_FEATURES, k))
+    w, chain, skip = np.zeros((N_FEATURES, k)), np.zeros((k, k)), np.zeros((k, k))
     w[0, 0] = 1.0
+    size = [np.full(a.shape, 1e-8) for a in (w, chain, skip)]
     for _ in range(steps if len(y) else 0):
-        z = x @ w
+        z = x @ w + left @ chain + right @ chain.T + partner @ skip
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        w -= rate * (x.T @ (p * total - y) / total.sum() + 1e-4 * w)
-
-    def pmi(n: np.ndarray) -> np.ndarray:
-        joint = n / n.sum()
-        return np.clip(np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True))), -3, 3)
-
-    return Field(w, pmi(chain_n), pmi((skip_n + skip_n.T) / 2))
+        g = (p * total - y) / total.sum()
+        both = partner.T @ g
+        slopes = (x.T @ g + 1e-5 * w, left.T @ g + g.T @ right + 1e-5 * chain, both + both.T + 1e-5 * skip)
+        for a, slope, s in zip((w, chain, skip), slopes, size, strict=True):
+            s += slope * slope
+            a -= rate * slope / np.sqrt(s)
+    return Field(w, chain, skip)
 
 
 def find_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -247,16 +357,17 @@ def find_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], lis
     nodes = candidates(text)
     if not nodes:
         return base, []
-    y = token_labels(nodes, base)
-    # a token in a base span has that label for certain
-    c, s = edges(text, nodes)
+    in_base = token_labels(nodes, base) > 0
+    # what the teacher knows is certain
+    y = teacher(text, nodes, base)
+    c, s = edges(text, nodes, y)
     x = shape(text, nodes)
     known = np.flatnonzero(y)
     clamp = np.zeros((len(nodes), len(LABELS)))
-    clamp[known, y[known]] = 12.0
+    clamp[known, y[known]] = FIXED
     p = Field(np.vstack([field.unary, np.eye(len(LABELS))]), field.chain, field.skip).marginals(np.hstack([x, clamp]), c, s)
     added: list[tuple[int, int, int]] = []
-    for i in np.flatnonzero((y == 0) & (p.argmax(1) > 0) & (p.max(1) >= CERTAIN)).tolist():
+    for i in np.flatnonzero(~in_base & (p.argmax(1) > 0) & (p.max(1) >= CERTAIN)).tolist():
         kind, (a, b, n) = int(p[i].argmax()) - 1, nodes[i]
         if added and kind == 3 and added[-1][0] == 3 and nodes[i - 1][1] == added[-1][2] and nodes[i - 1][2] == n - 1:
             added[-1] = (3, added[-1][1], b)
@@ -266,7 +377,7 @@ def find_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], lis
 
 
 def _join(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
+    return ",".join(f"{ALL_KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
 def _hinted(part: pa.RecordBatch) -> np.ndarray:
@@ -286,27 +397,33 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_t
     src = src.withColumn("t", F.xxhash64("text"))
     some = src.select(F.when(F.col("id").isNull(), F.col("t")).otherwise(F.xxhash64("id")).alias("h"), F.col("id").alias("i"), F.col("t").alias("u")).orderBy("h", "i", "u").limit(max_train).select("i", "u").distinct()
 
+    names = ("x", "before", "after", "partner", "label")
+
     def run(batches):
         total: Counter = Counter()
         for batch in batches:
             for x in batch.column("text"):
                 total.update(count_text(x.as_py()))
-        keys = list(zip(*total, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in keys), pa.array(list(total.values()), pa.int64())], names=["kind", "a", "b", "n"])
+        keys = list(zip(*total, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in keys), pa.array(list(total.values()), pa.int64())], names=[*names, "n"])
 
     # the broadcast side has max_train numbers at most
     taken = src.join(F.broadcast(some), F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("text")
-    got = taken.mapInArrow(run, "kind long, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
-    return fit_counts(Counter({(r["kind"], r["a"], r["b"]): r["n"] for r in got}))
+    got = taken.mapInArrow(run, ", ".join(f"{c} long" for c in (*names, "n"))).groupBy(*names).agg(F.sum("n").alias("n")).collect()
+    return fit_counts(Counter({tuple(r)[:-1]: r["n"] for r in got}))
 
 
 def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns a row per input row: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added.
-
-    spans holds base and added spans as kind:start:end in code points.  A null
-    text counts as empty and has no span; null ids stay null; repeated rows
-    each get their row; other columns are ignored; an empty table gives an
-    empty result.
+    """Returns a row per input row: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added, n_secret, n_spans.
+
+    spans holds base and added spans as kind:start:end in code points;
+    n_added counts those that the field adds, n_secret the secrets among them,
+    n_spans all.  A null text counts as empty and has no span; a text of any
+    length is read whole, and its field has a node for each token with a digit
+    or an @.  Null ids stay null; rows that share an id and repeated rows each
+    get their row; of labels that tie, the first of LABELS counts; other
+    columns, whatever their names, are ignored; an empty table gives an empty
+    result.
     """
 
     def run(batches):
@@ -316,10 +433,10 @@ def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
                 for i in range(part.num_rows):
                     base, added = find_spans(part.column("text")[i].as_py(), field) if hinted[i] else ([], [])
                     counts = [sum(k == j for k, _, _ in base) for j in range(4)]
-                    rows.append((*counts, hashlib.sha256(_join(base).encode()).hexdigest(), _join(sorted(base + added)), len(added)))
+                    rows.append((*counts, hashlib.sha256(_join(base).encode()).hexdigest(), _join(sorted(base + added)), len(added), sum(ALL_KINDS[k] == "secret" for k, _, _ in added), len(base) + len(added)))
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 3
+                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_secret", "n_spans"])
 
     src = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return src.mapInArrow(run, "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long").withColumnRenamed("id", id_col)
+    return src.mapInArrow(run, "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long, n_spans long").withColumnRenamed("id", id_col)

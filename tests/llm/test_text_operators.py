@@ -1,6 +1,7 @@
 """Mixing, personal data, chats, pages, decontamination, quality and languages."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -94,7 +95,7 @@ def test_labels_reach_all_occurrences():
     x = np.zeros((n, 1 + k))
     x[:, 0] = 1
     x[0, 3] = 12.0
-    field = pii.Field(np.vstack([[0.1, 0, 0, 0, 0], np.eye(k)]), rng.normal(size=(k, k)), np.eye(k) * 6 - 3)
+    field = pii.Field(np.vstack([[0.1] + [0] * (k - 1), np.eye(k)]), rng.normal(size=(k, k)), np.eye(k) * 6 - 3)
     skip = np.array([(i - 1, i) for i in range(1, n)])
     p = field.marginals(x, np.zeros((0, 2), np.int64), skip)
     # exact sums along the chain from both ends
@@ -113,6 +114,71 @@ def test_labels_reach_all_occurrences():
     assert pii.edges("a@b.c 1 a@b.c", pii.candidates("a@b.c 1 a@b.c"))[1].tolist() == [[0, 2]]
 
 
+def test_marginals_match_enumeration():
+    """All labellings of small graphs, summed; exact without circles, close with one."""
+    rng = np.random.default_rng(5)
+    k = len(pii.LABELS)
+    for n, chain, skip, near in ((4, [(0, 1), (1, 2)], [(0, 3)], 1e-5), (4, [], [(0, 1), (0, 2), (0, 3)], 1e-5), (4, [(0, 1), (1, 2), (2, 3)], [(0, 3)], 0.05)):
+        x = rng.normal(size=(n, pii.N_FEATURES))
+        field = pii.Field(rng.normal(size=(pii.N_FEATURES, k)) * 0.3, rng.normal(size=(k, k)) * 0.5, np.eye(k) + rng.normal(size=(1, 1)))
+        labels = np.array(list(itertools.product(range(k), repeat=n)))
+        score = sum((x[i] @ field.unary)[labels[:, i]] for i in range(n)) + sum(t[labels[:, i], labels[:, j]] for t, e in ((field.chain, chain), (field.skip, skip)) for i, j in e)
+        weight = np.exp(score - score.max())
+        want = np.array([np.bincount(labels[:, i], weight, k) for i in range(n)]) / weight.sum()
+        got = field.marginals(x, np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2))
+        assert np.abs(got - want).max() < near
+
+
+def personal(rng):
+    """A base span of each kind, another writing of it that no pattern finds, and a number that only looks like that."""
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    area, line = digits(3), f"555{digits(4)}"
+    phone, other = f"+1 ({area}) {line[:3]}-{line[3:]}", digits(10)
+    name = "".join(rng.choice("abcdefgh") for _ in range(8))
+    ip, ip2 = (".".join(str(rng.randrange(11, 250)) for _ in range(4)) for _ in range(2))
+    key, key2 = ("".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(2))
+    card = next(c for c in (digits(16) for _ in range(500)) if pii.luhn(c))
+    dots = lambda c: ".".join(c[k : k + 4] for k in range(0, 16, 4))
+    return [("phone", phone, area + line, other), ("email", f"{name}.{digits(2)}@mail.example.com", None, f"{name[::-1]}@{digits(2)}"), ("ip", ip, ip.replace(".", "[.]"), ip2.replace(".", "[.]")), ("card", card, dots(card), dots(digits(16))), ("secret", f'token = "{key}"', key, key2)]
+
+
+def test_field_finds_other_writings():
+    """Trained on base spans alone, it adds the other writings of what a document holds and leaves look-alikes."""
+    rng = random.Random(12)
+
+    def page(rows):
+        parts = [words(rng, 12)]
+        for kind, seen, again, decoy in rows:
+            again = again or seen.partition("@")[0] + "@mail"
+            order = [seen, again] if rng.random() < 0.7 else [again, seen]
+            parts += [order[0], words(rng, rng.randrange(3, 30)), order[1], words(rng, 8), decoy, words(rng, 9)]
+        return " ".join(parts)
+
+    train = []
+    for _ in range(150):
+        train.append(" ".join(f"{words(rng, 9)} {seen}" for _, seen, *_ in rng.sample(personal(rng), 3)) + f" in {rng.randrange(1990, 2024)} {rng.randrange(10**15, 10**16)}1 end")
+    field = pii.fit(train)
+    want = found = right = 0
+    for _ in range(60):
+        rows = personal(rng)
+        text = page(rows)
+        base, added = pii.find_spans(text, field)
+        assert base == sorted(brute_spans(text))
+        got = {(pii.ALL_KINDS[k], text[s:e]) for k, s, e in added}
+        expected = {(kind, again or seen.partition("@")[0] + "@mail") for kind, seen, again, _ in rows}
+        want, found, right = want + len(expected), found + len(got), right + len(got & expected)
+    assert right / want > 0.9 and right / found > 0.95, (right, want, found)
+
+
+@pytest.mark.parametrize("copies", [1, 2, 5, 80, 500])
+def test_field_reaches_all_copies(copies):
+    rng = random.Random(copies)
+    field = pii.fit([f"{words(rng, 9)} +49 30 {rng.randrange(10**6, 10**7)} {words(rng, 5)} +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} in 2019" for _ in range(50)])
+    base, added = pii.find_spans("+4930123456789 " + "and 4930123456789 or " * copies + "in 2019", field)
+    assert len(base) == 1 and len(added) == copies and {k for k, _, _ in added} == {3}
+    assert pii.find_spans("order 4930123456789 and 4930123456789 of 2019 2019", field) == ([], [])
+
+
 def test_training_takes_long_texts_and_null_ids(docs_of):
     rng = random.Random(3)
     rows = [(i, f"{words(rng, 6_000)} 4111111111111111 {words(rng, 5)} 10.0.0.{i} end{i}") for i in range(9)] + [(None, f"mail a{i}@host.org or b{i} 77") for i in range(9)]
