@@ -2,17 +2,23 @@
 
 A forgiving parser makes the element tree and cuts the text into blocks.  A
 block passes points for its length and commas to its container, half of them
-to the next ancestor and less to those above, discounted by the share of its
-text inside links.  The best container and siblings with enough points are
-kept, without the parts that are furniture by element, role or name.  Names
-may mislead: a part cut by name comes back if it has the page's only article
-or main element, outscores the chosen container, or holds most of the text.
+to the next ancestor and so on, discounted by the share of its text inside
+links.  The best container, or the article or main element that it is in, and
+siblings with enough points are kept, without the parts that are furniture by
+element, role or name.  Names may mislead: a part cut by name comes back if it
+has the page's only article or main element, outscores the chosen container,
+or holds most of the text.
+
+All passes are linear in the page: what depends on ancestors is carried down,
+what depends on descendants is summed up, and the parser knows for each tag
+where it is open.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,27 +77,34 @@ def _furniture(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     return attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
 
 
-def _named(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+def _named(tag: str, names: list[set[str]], in_article: bool) -> bool:
     """Whether an element is furniture by name."""
     if tag in ("body", "html", "main"):
         return False
-    names = _names(attrs)
     # a header inside the article holds its title
     bad = _REMARKS if tag == "article" else _NAMES - _TITLES if in_article else _NAMES
     if not any(n & bad for n in names):
         return False
+    if tag in _PARAGRAPH:
+        # a paragraph is furniture only if all its names say so
+        return all(n & bad and n <= _PLACES for n in names)
     # "content sidebar-left" is the content, but "content sidebar" and "main-nav" are furniture
     return any(n & bad and n <= _PLACES for n in names) or not any(n & _GOOD and not n & _NAMES for n in names)
 
 
 class Tree:
-    """Elements (tag, parent, attributes, furniture or inside it, furniture by its own name) and text blocks (element, text, characters in links), in page order."""
+    """Elements (tag, parent, names, furniture or inside it, furniture by its own name) and text blocks (element, text, characters in links), in page order."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.attrs, self.hard, self.named = ["#"], [0], [{}], [False], [False]
+        self.tag, self.parent, self.names, self.hard, self.named = ["#"], [0], [[]], [False], [False]
+        #: Carried down: the nearest block element, whether a link is open, whether an article or main element is.
+        self.block, self.link, self.in_article = [0], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []
-        self._stack, self._text, self._links = [0], [], 0
-        at, n = 0, len(page)
+        # the open elements; for each the depth of the nearest block element and of the paragraph that a new block ends
+        self._stack, self._block_at, self._p_at = [0], [0], [0]
+        self._open_at: dict[str, list[int]] = {}
+        self._text: list[str] = []
+        self._links, at, n = 0, 0, len(page)
         while at < n:
             m = _TAG.search(page, at)
             if m is None:
@@ -118,19 +131,30 @@ class Tree:
     def _add(self, s: str) -> None:
         if s:
             self._text.append(s)
-            if any(self.tag[i] == "a" for i in self._stack[-8:]):
-                self._links += len(s)
+            self._links += len(s) * self.link[self._stack[-1]]
 
     def _flush(self) -> None:
         if self._text:
             text = " ".join(_html.unescape("".join(self._text)).split())
             if text:
-                owner = next((i for i in reversed(self._stack) if self.tag[i] in _BLOCK or i == 0), 0)
-                self.blocks.append((owner, text, self._links))
+                self.blocks.append((self.block[self._stack[-1]], text, self._links))
             self._text, self._links = [], 0
 
     def _pop_to(self, depth: int) -> None:
-        del self._stack[depth:]
+        while len(self._stack) > depth:
+            self._open_at[self.tag[self._stack.pop()]].pop()
+            self._block_at.pop()
+            self._p_at.pop()
+
+    def _ends(self, tag: str) -> None:
+        """Closes what a new element of this tag ends."""
+        if tag in _ENDS_P and self._p_at[-1]:
+            self._pop_to(self._p_at[-1])
+        if tag in _ENDS:
+            stop = max((self._open_at[t][-1] for t in _STOPS[tag] if self._open_at.get(t)), default=0)
+            at = [self._open_at[t][k] for t in _ENDS[tag] if self._open_at.get(t) and (k := bisect_right(self._open_at[t], stop)) < len(self._open_at[t])]
+            if at:
+                self._pop_to(min(at))
 
     def _open(self, tag: str, raw: str) -> None:
         if tag in ("br", "wbr"):
@@ -138,45 +162,34 @@ class Tree:
             return
         if tag in _BLOCK:
             self._flush()
-        if tag in _ENDS_P:
-            for d in range(len(self._stack) - 1, 0, -1):
-                t = self.tag[self._stack[d]]
-                if t == "p":
-                    self._pop_to(d)
-                    break
-                if t in _BLOCK:
-                    break
-        if tag in _ENDS:
-            for d in range(len(self._stack) - 1, 0, -1):
-                t = self.tag[self._stack[d]]
-                if t in _ENDS[tag]:
-                    self._pop_to(d)
-                if t in _STOPS[tag]:
-                    break
+        self._ends(tag)
         if tag in _VOID:
             return
         attrs = _attrs(raw)
-        up = self._stack[-1]
-        in_article = any(self.tag[i] in ("article", "main") for i in self._stack)
+        up, number = self._stack[-1], len(self.tag)
+        inside = self.in_article[up]
         self.tag.append(tag)
         self.parent.append(up)
-        self.attrs.append(attrs)
-        self.hard.append(self.hard[up] or _furniture(tag, attrs, in_article))
-        self.named.append(_named(tag, attrs, in_article))
+        self.names.append(_names(attrs))
+        self.hard.append(self.hard[up] or _furniture(tag, attrs, inside))
+        self.named.append(_named(tag, self.names[-1], inside))
+        self.block.append(number if tag in _BLOCK else self.block[up])
+        self.link.append(self.link[up] or tag == "a")
+        self.in_article.append(inside or tag in ("article", "main"))
         if not raw.rstrip().endswith("/") or tag in _BLOCK or tag == "a":
-            self._stack.append(len(self.tag) - 1)
+            depth = len(self._stack)
+            self._stack.append(number)
+            self._open_at.setdefault(tag, []).append(depth)
+            self._block_at.append(depth if tag in _BLOCK else self._block_at[-1])
+            self._p_at.append(depth if tag == "p" else 0 if tag in _BLOCK else self._p_at[-1])
 
     def _close(self, tag: str) -> None:
         if tag in _BLOCK:
             self._flush()
-        for d in range(len(self._stack) - 1, 0, -1):
-            t = self.tag[self._stack[d]]
-            if t == tag:
-                self._pop_to(d)
-                return
-            if t in _BLOCK and tag not in _BLOCK:
-                return
-
+        at = self._open_at.get(tag)
+        # an inline element that began outside the nearest block stays open
+        if at and (tag in _BLOCK or at[-1] > self._block_at[-1]):
+            self._pop_to(at[-1])
 
     def cut(self, spared: set[int]) -> list[bool]:
         """Which elements are furniture or inside it; names of ``spared`` elements don't count."""
@@ -209,16 +222,19 @@ def _spared(tree: Tree) -> set[int]:
     if not every:
         return every
     out: set[int] = set()
-    others = {i for i in every if any(n & _OTHERS for n in _names(tree.attrs[i]))}
+    others = {i for i in every if any(n & _OTHERS for n in tree.names[i])}
     maybe = every - others
     cut, loose = tree.cut(out), tree.cut(maybe)
     live, could = tree.plain(cut), tree.plain(loose)
     for tags in (("article",), ("article", "main")):
         if not any(t in tags and live[i] for i, t in enumerate(tree.tag)):
-            out |= {k for i, t in enumerate(tree.tag) if t in tags and could[i] for k in tree.above(i) if k in maybe}
+            holds = [t in tags and could[i] > 0 for i, t in enumerate(tree.tag)]
+            for i in range(len(holds) - 1, 0, -1):
+                holds[tree.parent[i]] |= holds[i]
+            out |= {k for k in maybe if holds[k]}
     cut = tree.cut(out)
     live = tree.plain(cut)
-    marked = [live[i] > 0 and (t == "article" or t not in ("body", "html") and any(n & _GOOD for n in _names(tree.attrs[i]))) for i, t in enumerate(tree.tag)]
+    marked = [live[i] > 0 and (t == "article" or t not in ("body", "html") and any(n & _GOOD for n in tree.names[i])) for i, t in enumerate(tree.tag)]
     some = any(marked)
     # characters of marked elements: below an element, and beside it and its ancestors
     below, beside = [0] * len(marked), [0] * len(marked)
@@ -230,7 +246,7 @@ def _spared(tree: Tree) -> set[int]:
 
     def doubtful(i: int) -> bool:
         """Whether a name says too little: nothing is marked as the article, or far less text is and the name has other words than those of furniture."""
-        pure = any(n & _NAMES and n <= _PLACES for n in _names(tree.attrs[i]))
+        pure = any(n & _NAMES and n <= _PLACES for n in tree.names[i])
         return not some or not pure and could[i] > 4 * beside[i]
 
     maybe = {i for i in maybe - out if could[i] and doubtful(i)}
@@ -249,35 +265,46 @@ def _spared(tree: Tree) -> set[int]:
     return out
 
 
+def points(tree: Tree, owner: int, text: str, linked: int) -> float:
+    """What a block passes to its container: for its length and commas, less its share inside links; a heading counts a fifth."""
+    return (0.2 if tree.tag[owner] in _HEAD else 1.0) * (1 + sum(text.count(c) for c in ",،，、") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+
+
+def container(tree: Tree, owner: int) -> int:
+    """The element that a block's points go to first: the parent of a paragraph, else the block's own."""
+    return tree.parent[owner] if tree.tag[owner] in _PARAGRAPH else owner
+
+
 def _best(tree: Tree, cut: list[bool]) -> tuple[int, float, dict[int, float], list[int], list[int]]:
     """The container with the most points, its points, and points, characters and characters in links of all."""
     live = [(o, t, min(n, len(t))) for o, t, n in tree.blocks if not cut[o]]
-    score: dict[int, float] = {}
-
-    def give(node: int, points: float) -> None:
-        if node not in score:
-            good = any(n & _GOOD and not (tree.named[node] and n & _NAMES) for n in _names(tree.attrs[node]))
-            score[node] = _START.get(tree.tag[node], 0.0) + 25.0 * good
-        score[node] += points
-
-    for owner, text, linked in live:
-        points = (0.2 if tree.tag[owner] in _HEAD else 1.0) * (1 + sum(text.count(c) for c in ",،，、") + min(len(text) / 100, 3)) * (1 - linked / len(text))
-        node, level = tree.parent[owner] if tree.tag[owner] in _PARAGRAPH and owner else owner, 0
-        while True:
-            give(node, points if level == 0 else points / 2 if level == 1 else points / (3 * level))
-            if node == 0:
-                break
-            node, level = tree.parent[node], level + 1
-    chars, links = [0] * len(tree.tag), [0] * len(tree.tag)
+    size = len(tree.tag)
+    score, reached, chars, links = [0.0] * size, [False] * size, [0] * size, [0] * size
     for owner, text, linked in live:
+        first = container(tree, owner)
+        score[first] += points(tree, owner, text, linked)
+        reached[first] = True
         chars[owner] += len(text)
         links[owner] += linked
-    for i in range(len(chars) - 1, 0, -1):
-        chars[tree.parent[i]] += chars[i]
-        links[tree.parent[i]] += links[i]
+    for i in range(size - 1, 0, -1):
+        up = tree.parent[i]
+        score[up] += score[i] / 2
+        reached[up] |= reached[i]
+        chars[up] += chars[i]
+        links[up] += links[i]
+    for i in range(size):
+        good = any(n & _GOOD and not (tree.named[i] and n & _NAMES) for n in tree.names[i])
+        score[i] += _START.get(tree.tag[i], 0.0) + 25.0 * good
     value = lambda i: score[i] * (1 - links[i] / max(chars[i], 1))
-    best = max(score, key=lambda i: (value(i), -i), default=0)
-    return best, value(best) if score else float("-inf"), score, chars, links
+    scored = {i: score[i] for i in range(size) if reached[i]}
+    best = max(scored, key=lambda i: (value(i), -i), default=0)
+    return best, value(best) if scored else float("-inf"), scored, chars, links
+
+
+#: What a sentence ends with.
+_STOP = tuple(".!?…。！？:;\"'”’»)")
+#: A list whose items have so many characters on average holds references rather than a menu.
+_ITEM = 20
 
 
 def _main(tree: Tree, spared: set[int]) -> list[str]:
@@ -287,27 +314,39 @@ def _main(tree: Tree, spared: set[int]) -> list[str]:
         return []
     best, _, score, chars, links = _best(tree, cut)
     density = lambda i: links[i] / max(chars[i], 1)
+    # the article or main element around the best container holds the whole article
+    above = tree.above(best)
+    best = next((i for t in ("article", "main") for i in above if tree.tag[i] == t), best)
     keep = {best}
     if best:
         least = max(10.0, 0.2 * score[best])
+        last: dict[int, str] = {}
+        for owner, text in live:
+            last[owner] = text
+        for i in range(len(tree.tag) - 1, 0, -1):
+            if i in last:
+                last.setdefault(tree.parent[i], last[i])
         for i in range(1, len(tree.tag)):
-            if tree.parent[i] == tree.parent[best] and i != best and not cut[i] and (score.get(i, 0) * (1 - density(i)) >= least or tree.tag[i] == "p" and chars[i] > 80 and density(i) < 0.25):
+            if tree.parent[i] != tree.parent[best] or i == best or cut[i] or not chars[i]:
+                continue
+            # siblings: with enough points, of the same kind, or text without links that ends as sentences do
+            alike = tree.tag[i] == tree.tag[best] and tree.names[i] == tree.names[best] and density(i) < 0.25 and tree.tag[best] not in ("article", "main")
+            plain = tree.tag[i] in ("p", "div", "section", "blockquote", "pre") and not links[i] and last[i].endswith(_STOP)
+            if score.get(i, 0) * (1 - density(i)) >= least or alike or plain or tree.tag[i] == "p" and chars[i] > 80 and density(i) < 0.25:
                 keep.add(i)
-    # lists of links inside the article are menus
-    menus = {i for i in range(1, len(tree.tag)) if tree.tag[i] in ("ul", "ol", "div", "section", "table", "dl") and chars[i] and density(i) > 0.66 and i not in keep}
-    out = []
-    for owner, text in live:
-        node, inside, menu, head = owner, False, False, False
-        while True:
-            inside |= node in keep
-            menu |= node in menus and not inside
-            head |= tree.tag[node] == "header" and not inside
-            if node == 0:
-                break
-            node = tree.parent[node]
-        if inside and not menu and not (head and tree.tag[owner] not in _HEAD):
-            out.append(text)
-    return out
+    # lists of short links are menus; inside an article element nothing is
+    items = [0] * len(tree.tag)
+    for owner, _ in live:
+        items[tree.parent[owner]] += tree.tag[owner] in ("li", "dd", "dt", "td")
+    menu, inside, head, in_article = ([False] * len(tree.tag) for _ in range(4))
+    for i in range(len(tree.tag)):
+        up = tree.parent[i]
+        in_article[i] = in_article[up] or tree.tag[i] == "article"
+        listed = i and tree.tag[i] in ("ul", "ol", "div", "section", "table", "dl") and chars[i] and density(i) > 0.66 and not in_article[i] and chars[i] < _ITEM * max(items[i], 1)
+        inside[i] = inside[up] or i in keep
+        menu[i] = i not in keep and (menu[up] or bool(listed))
+        head[i] = i not in keep and (head[up] or tree.tag[i] == "header")
+    return [text for owner, text in live if inside[owner] and not menu[owner] and not (head[owner] and tree.tag[owner] not in _HEAD)]
 
 
 def extract(page: str | None) -> str:
@@ -321,9 +360,11 @@ def extract(page: str | None) -> str:
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Returns a row per input row: all other columns, text and n_chars (its code points).
 
-    A null or empty page has an empty text; markup that never ends is read to
-    the end of the page; repeated rows each get their row; an empty table
-    gives an empty result.  Columns named text or n_chars are replaced.
+    A null or empty page has an empty text; a page of any length is read whole,
+    in time in proportion to it; markup that never ends is read to the end of
+    the page.  Of containers with equal points the first counts.  Null ids
+    stay null; repeated rows each get their row; an empty table gives an empty
+    result.  Columns named text or n_chars are replaced, others stay.
     """
     rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     schema = pages.select(*rest).schema.add("text", "string").add("n_chars", "long")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -270,9 +271,69 @@ def test_names_of_furniture_around_the_article(name):
     html_extract.extract(("<div class='top'>Welcome</div>" + "<div class='sidebar-layout'>a, b" * 2_000))
 
 
+LONG = "Words of the article, and more. " * 20
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<main><div><p>{LONG}</p></div><div><p>Short second.</p></div></main>", "Short second."),
+    (f"<div><div class=x><p>{LONG}</p></div><div class=x><p>Short second.</p></div></div>", "Short second."),
+    (f"<article><p>{LONG}</p><h2>References</h2><ul><li><a href=a>Smith 2001</a><li><a href=b>Doe 2002</a></ul></article>", "References\n\nSmith 2001\n\nDoe 2002"),
+    (f"<div class=content><p>{LONG}</p><p class='popular-quote share'>A quote, as it was said.</p></div>", "A quote, as it was said."),
+])
+def test_no_part_of_the_article_is_lost(page, want):
+    assert html_extract.extract(page) == f"{LONG.strip()}\n\n{want}"
+
+
+def test_links_count_below_any_markup():
+    page = "<p><a href=x>" + "<span>" * 30 + "twelve chars" + "</span>" * 30 + "</a> and text</p>"
+    assert html_extract.Tree(page).blocks == [(1, "twelve chars and text", 12)]
+
+
+@pytest.mark.parametrize("unit", ["<p>x, y</p><b>", "<b>", "<div>", "<li>x", "</i><b>x", "<a>x<p>y", "<ul><li><a>x</a>", "<div class='sidebar'>a", "<article class=sidebar>x"])
+def test_time_grows_with_the_page(unit):
+    """1 MB of elements that never end; with a look at all ancestors for each it would take minutes."""
+    began = time.time()
+    html_extract.extract(unit * (1_000_000 // len(unit)))
+    assert time.time() - began < 10
+
+
+def test_scores_match_brute_force():
+    """Every block's points, halved for each step up, summed over all ancestors one by one."""
+    rng = random.Random(21)
+    for _ in range(60):
+        page, depth = "", 0
+        for _ in range(rng.randrange(2, 40)):
+            if rng.random() < 0.3 and depth:
+                page, depth = page + "</div>", depth - 1
+            elif rng.random() < 0.5:
+                page, depth = page + f"<div class='{rng.choice(['', 'content', 'x'])}'>", depth + 1
+            else:
+                page += f"<{(t := rng.choice(['p', 'h2', 'pre']))}>{'a, b ' * rng.randrange(1, 60)}<a href=x>{'c' * rng.randrange(9)}</a></{t}>"
+        tree = html_extract.Tree(page)
+        want: dict[int, float] = {}
+        chars, links = {}, {}
+        for owner, text, linked in tree.blocks:
+            node, share = html_extract.container(tree, owner), html_extract.points(tree, owner, text, linked)
+            while True:
+                want[node] = want.get(node, 0) + share
+                if node == 0:
+                    break
+                node, share = tree.parent[node], share / 2
+            for i in [*tree.above(owner), 0]:
+                chars[i], links[i] = chars.get(i, 0) + len(text), links.get(i, 0) + linked
+        for i in want:
+            want[i] += {"div": 5.0}.get(tree.tag[i], 0) + 25.0 * ({"content"} in tree.names[i])
+        best, value, score, *_ = html_extract._best(tree, tree.cut(set()))
+        assert set(score) == set(want) and all(abs(score[i] - want[i]) < 1e-9 for i in want)
+        if want:
+            assert abs(value - max(want[i] * (1 - links[i] / max(chars[i], 1)) for i in want)) < 1e-9
+
+
 def test_extract_table(spark):
     df = spark.createDataFrame([(i, f"u{i}", p, "clash") for i, (p, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
-    got = html_extract.extract_text(df).orderBy("page_id").collect()
+    df = df.unionByName(df.where("page_id = 0")).withColumn("inside", F.lit("kept"))
+    assert html_extract.extract_text(df).where("page_id = 0").count() == 2 and "inside" in html_extract.extract_text(df).columns
+    got = html_extract.extract_text(df.dropDuplicates(["page_id"])).orderBy("page_id").collect()
     assert [r["text"] for r in got] == [w for _, w in PAGES] and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_extract.extract_text(df.where("false")).collect() == []
     html_extract.extract("<" * 50_000)
