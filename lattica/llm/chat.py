@@ -1,8 +1,8 @@
 """Conversations from reply trees.
 
-Iterative self-joins by doubling list every root-to-leaf path, branches are
-ranked by the sum of their messages' scores, and each chosen path becomes one
-text in a chat template.  DataFrame functions only.
+Iterative self-joins by doubling sum up the scores on every root-to-leaf path,
+branches are ranked by that sum, the same tables of ancestors list the chosen
+paths, and each becomes one text in a chat template.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -33,52 +33,72 @@ def _unrole(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("~2"), F.lit("\n")))
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, node, distance) for each node on the way from each leaf up to its root.
+def climb(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The sum of the scores from each node up to its root (tree, node, total, leaf), and tables of ancestors 2**k steps above (tree, node, up).
 
-    ``messages`` has tree, node, parent.  A parent that isn't there makes a
-    root.  Round k adds the ancestors 2**k .. 2**(k + 1) - 1 steps above from
-    those known and the table of ancestors 2**k steps above, which a
-    self-join doubles; a path of n messages takes log2(n) rounds.  Leaves
-    whose way up runs into a circle have no root and are left out.
+    ``messages`` has tree, node, parent, score.  A parent that isn't there
+    makes a root.  Round k joins the table of round k - 1 with itself, one row
+    a node, so n messages in paths of m take n rows in each of log2(m) rounds.
+    Nodes whose way up runs into a circle have no root and are left out.
     """
-    own = messages.select("tree", "node", "parent")
-    above = own.select("tree", F.col("node").alias("parent")).distinct()
-    jump = cut(own.join(above, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("up")).distinct())
-    leaves = own.join(jump.select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti").distinct()
-    found = cut(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance")))
-    rooted = own.join(jump, ["tree", "node"], "left_anti").select("tree", "node").distinct()
+    own = messages.select("tree", "node", "parent", "score")
+    parents = own.select("tree", F.col("parent").alias("up")).where("up is not null").distinct()
+    real = parents.join(own.select("tree", F.col("node").alias("up")), ["tree", "up"], "left_semi").withColumn("leads", F.lit(True))
+    state = own.withColumnRenamed("parent", "up").join(real, ["tree", "up"], "left").select("tree", "node", F.when(F.col("leads"), F.col("up")).alias("up"), "score")
+    led = real.select("tree", F.col("up").alias("node"), F.col("leads").alias("led"))
+    state = cut(state.join(led, ["tree", "node"], "left").select("tree", "node", "up", F.col("score").alias("total"), F.col("led").isNull().alias("leaf")))
     most = own.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    step = 1
-    while step < most and not jump.isEmpty():
-        more = found.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("distance") + step).alias("distance"))
-        found = cut(found.unionByName(more))
-        jump = cut(jump.alias("a").join(jump.alias("b"), (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.node"))).select("a.tree", "a.node", "b.up"))
+    tables, step = [], 1
+    while True:
+        open_rows = state.where("up is not null").select("tree", "node", "up")
+        if step >= 2 * most or open_rows.isEmpty():
+            return state.where("up is null").select("tree", "node", "total", "leaf"), tables
+        tables.append(open_rows)
+        above = state.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("total").alias("more"))
+        joined = state.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")), "left")
+        state = cut(joined.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), "leaf"))
         step *= 2
-    whole = found.join(rooted, ["tree", "node"], "left_semi").select("tree", "leaf").distinct()
-    return found.join(whole, ["tree", "leaf"], "left_semi")
+
+
+def ways(best: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, rank, node, distance) for each node on the way up from the given leaves (tree, leaf, rank).
+
+    Round k appends the nodes 2**k .. 2**(k + 1) - 1 steps above; what is
+    there already is not written again.
+    """
+    rounds = [cut(best.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("distance")))]
+    for k, jump in enumerate(tables):
+        found = rounds[0]
+        for more in rounds[1:]:
+            found = found.unionByName(more)
+        rounds.append(cut(found.join(jump, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("distance") + (1 << k)).alias("distance"))))
+    out = rounds[0]
+    for more in rounds[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def format_chats(messages: DataFrame, branches: int = 1) -> DataFrame:
     """One formatted conversation for each of the ``branches`` best branches of each tree.
 
     ``messages`` has tree (long), node (long), parent (long, null at a root),
-    role, text, score (double).  Returns tree, leaf, rank, formatted and
+    role, text, score (double).  Branches are ranked by the sum of their
+    scores before any path is listed.  Returns tree, leaf, rank, formatted and
     loss_spans: start and end (code points, end exclusive) of the escaped
     assistant texts in formatted.  Null roles, texts and scores count as
-    empty and 0; a null tree is a tree of its own; messages without node are
-    left out, and of messages that share a node the one whose role, text and
-    score sort last counts; ties between branches go to the smaller leaf; an
-    empty table gives an empty result.
+    empty and 0; texts of any length stay whole; a null tree is a tree of its
+    own; messages without node are left out, and of messages that share a node
+    the one whose role, text and score sort last counts; ties between branches
+    go to the smaller leaf; other columns, whatever their names, are ignored;
+    an empty table gives an empty result.
     """
     m = messages.where(F.col("node").isNotNull()).select(F.coalesce("tree", F.lit(NO_ID)).alias("tree"), "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    m = m.groupBy("tree", "node").agg(F.max(F.struct("role", "text", "score", "parent")).alias("x")).select("tree", "node", "x.*")
-    way = paths(m)
-    scored = way.join(m.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= branches)
+    m = cut(m.groupBy("tree", "node").agg(F.max(F.struct("role", "text", "score", "parent")).alias("x")).select("tree", "node", "x.*"))
+    scored, tables = climb(m)
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node"))
+    best = scored.where("leaf").select("tree", F.col("node").alias("leaf"), rank.alias("rank")).where(F.col("rank") <= branches)
     piece = F.concat(F.lit(START), _role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END + "\n"))
-    rows = way.join(best.select("tree", "leaf", "rank"), ["tree", "leaf"]).join(m.select("tree", "node", "role", "text"), ["tree", "node"])
+    rows = ways(best, tables).join(m.select("tree", "node", "role", "text"), ["tree", "node"])
     rows = rows.select("tree", "leaf", "rank", (-F.col("distance")).alias("at"), "role", piece.alias("piece"), F.length(_role(F.col("role"))).alias("role_size"))
     before = Window.partitionBy("tree", "leaf").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)) + len(START) + F.col("role_size") + 1
