@@ -22,6 +22,8 @@ DIM = 512
 #: Letters: 0 is any run of other characters, 1-26 are a-z, the rest of Unicode's letters share 101 more.
 SYMBOLS = 128
 _SCALE = 1 << 20
+#: Trigrams whose vectors are held at once: 8 MB.
+GRAMS = 4096
 
 
 def letter_vectors() -> np.ndarray:
@@ -67,13 +69,19 @@ def bundles(raw: np.ndarray, offs: np.ndarray, letters: np.ndarray) -> tuple[np.
     if key.size:
         key, count = np.unique(key, return_counts=True)
         gram, where = np.unique(key & (1 << 21) - 1, return_inverse=True)
-        v = np.roll(letters, 2, 1)[gram >> 14] * np.roll(letters, 1, 1)[gram >> 7 & 127] * letters[gram & 127]
-        v = v.astype(np.float32)
-        for begin in range(0, n, 64):
-            i, j = np.searchsorted(key, [begin << 21, (begin + 64) << 21])
-            table = np.zeros((min(64, n - begin), gram.size), np.float32)
-            table[(key[i:j] >> 21) - begin, where[i:j]] = count[i:j]
-            out[begin : begin + 64] = table @ v
+        owner = key >> 21
+        order = np.argsort(where, kind="stable")
+        for first in range(0, gram.size, GRAMS):
+            some = gram[first : first + GRAMS]
+            v = np.roll(letters, 2, 1)[some >> 14] * np.roll(letters, 1, 1)[some >> 7 & 127] * letters[some & 127]
+            v = v.astype(np.float32)
+            own = np.sort(order[slice(*np.searchsorted(where[order], [first, first + some.size]))])
+            for begin in range(0, n, 64):
+                k = own[slice(*np.searchsorted(owner[own], [begin, begin + 64]))]
+                if k.size:
+                    table = np.zeros((min(64, n - begin), some.size), np.float32)
+                    table[owner[k] - begin, where[k] - first] = count[k]
+                    out[begin : begin + 64] += table @ v
     return out, has
 
 
@@ -111,8 +119,11 @@ def identify_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], id_co
     """Returns a row per input row: id, lang_pred, score (cosine, 0 at least).
 
     A null text or one without a letter is ``und`` with score 0, as is every
-    text if there is no prototype; ties go to the language that sorts first;
-    repeated rows each get their row; an empty table gives an empty result.
+    text if there is no prototype; ties go to the language that sorts first.
+    A text of any length is read whole, with the vectors of GRAMS trigrams in
+    memory at once.  Null ids stay null; rows that share an id and repeated
+    rows each get their row; other columns, whatever their names, are ignored;
+    an empty table gives an empty result.
     """
     names = sorted(prototypes)
     shared = docs.sparkSession.sparkContext.broadcast((names, np.array([prototypes[k] for k in names], np.float32).reshape(len(names), DIM)))
