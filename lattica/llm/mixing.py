@@ -8,15 +8,33 @@ up to the remainder, of which the last is taken in part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import cut
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hexadecimal digits of the key that name a bucket: 4096 buckets a source.
 BUCKET_DIGITS = 3
 
 
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds to each row the sums over all rows before it, without one task for all.
+
+    Rows are range-partitioned and kept in the shared folder; the sums of the
+    partitions, one row each, give every partition its start.  ``order`` must
+    tell all rows apart.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    ranges = dealt.groupBy("range").agg(*[F.sum(c).alias(f"{k}_own") for k, c in sums.items()])
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("range", *[F.coalesce(F.sum(f"{k}_own").over(before), F.lit(0)).alias(f"{k}_start") for k in sums])
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(starts), "range")
+    return out.select(*df.columns, *[(F.col(f"{k}_start") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(k) for k, c in sums.items()])
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3) -> DataFrame:
     """Budgets of sources from (source, source_size).
 
@@ -24,21 +42,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float
     100 % of all sizes.  A target stops at ``most`` times the source's size and
     the excess is shared by weight among the rest: with sources in the order
     of most * size / weight, a source is held exactly if its share of what the
-    held ones before it leave is above its limit.  One row a source is small,
-    so these windows have no partition.
+    held ones before it leave is above its limit.  Sources may be many: their
+    order and sums are distributed.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    by_name = [F.col("source").asc_nulls_last()]
     table = F.array(*[F.lit(w) for w in weights])
-    w = sizes.withColumn("weight", F.get(table, (F.row_number().over(by_name) - 1) % len(weights)).cast("long"))
-    w = w.withColumn("held_at", F.lit(most).cast("double") * F.col("source_size"))
-    order = Window.orderBy(F.col("held_at") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    w = w.withColumns({"left": F.sum("source_size").over(everything) - F.coalesce(F.sum("held_at").over(before), F.lit(0.0)), "left_weight": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))})
-    w = w.withColumn("held", F.col("left") * F.col("weight") / F.col("left_weight") > F.col("held_at"))
+    w = running_sums(sizes, by_name, {"number": F.lit(1)})
+    w = w.select("source", "source_size", F.get(table, F.pmod("number", F.lit(len(weights))).cast("int")).cast("long").alias("weight"), (F.lit(most).cast("double") * F.col("source_size")).alias("held_at"))
+    w = running_sums(w, [F.col("held_at") / F.col("weight"), *by_name], {"size_before": F.col("held_at"), "weight_before": F.col("weight")})
+    everything = w.agg(F.sum("source_size").alias("all_sizes"), F.sum("weight").alias("all_weights"))
+    w = cut(w.crossJoin(F.broadcast(everything)).select("source", "source_size", "weight", "held_at", (F.col("all_sizes") - F.col("size_before")).alias("left"), (F.col("all_weights") - F.col("weight_before")).alias("left_weight")))
+    held = F.col("left") * F.col("weight") / F.col("left_weight") > F.col("held_at")
     # the first source that isn't held fixes the rate of all that aren't
-    w = w.withColumns({k: F.min(F.when(~F.col("held"), F.struct(F.col("held_at") / F.col("weight"), "left", "left_weight"))).over(everything)[k] for k in ("left", "left_weight")} | {"held": F.col("held")})
-    return w.select("source", "source_size", F.when(F.col("held"), F.col("held_at")).otherwise(F.coalesce(F.col("left") * F.col("weight") / F.col("left_weight"), F.lit(0.0))).alias("target"))
+    rate = w.where(~held).agg(F.min(F.struct(F.col("held_at") / F.col("weight"), "left", "left_weight")).alias("r")).select(F.col("r.left").alias("rate"), F.col("r.left_weight").alias("per"))
+    return w.crossJoin(F.broadcast(rate)).select("source", "source_size", F.when(held, F.col("held_at")).otherwise(F.coalesce(F.col("rate") * F.col("weight") / F.col("per"), F.lit(0.0))).alias("target"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -50,7 +67,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     source is a source of its own, the last.  Rows are ordered by md5 of seed
     and id, then by size, so reruns agree; equal rows are told apart by no
     one, so which of them gives the last words is open but the sums are not.
-    Texts without words take nothing.  An empty table gives an empty result.
+    Texts without words take nothing; the words of a text of any length are
+    counted.  Null ids stay null and have one key.  Other columns, whatever
+    their names, are ignored; an empty table gives an empty result.
     """
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(docs[id_col].cast("string"), F.lit("null"))).cast("binary"))
     slim = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"))
