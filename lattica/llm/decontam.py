@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import BYTE, join, mix, pieces, span_names, texts, words
+from ._text import BYTE, pieces, span_names, texts, words
 
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 32 << 20
@@ -39,11 +39,9 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def running(names: np.ndarray, k: int) -> np.ndarray:
-    """Names of all runs of k tokens."""
-    acc = names
-    for j in range(1, k):
-        acc = join(acc[: acc.size - 1], names[j:]) if acc.size else acc
-    return mix(acc)
+    """Karp-Rabin hashes of all runs of k tokens, from one prefix sum whatever k is."""
+    first = np.arange(max(names.size - k + 1, 0))
+    return span_names(names, first, first + k)
 
 
 def tile(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
@@ -99,48 +97,73 @@ def index_block(rows: list[tuple[int | None, str]], min_match: int) -> tuple:
     items = [names[at[i] : at[i + 1]] for i in range(len(rows))]
     # an item shorter than min_match is one seed of its own length
     seeds: dict[int, list[np.ndarray]] = defaultdict(list)
-    owners: dict[int, list[np.ndarray]] = defaultdict(list)
+    places: dict[int, list[np.ndarray]] = defaultdict(list)
     for i, x in enumerate(items):
         k = min(min_match, x.size)
         if k:
-            s = np.unique(running(x, k))
+            s = running(x, k)
             seeds[k].append(s)
-            owners[k].append(np.full(s.size, i))
+            places[k].append(np.stack([np.full(s.size, i), np.arange(s.size)]))
     index = {}
     for k in seeds:
-        s, o = np.concatenate(seeds[k]), np.concatenate(owners[k])
+        s, o = np.concatenate(seeds[k]), np.concatenate(places[k], 1)
         order = np.argsort(s, kind="stable")
-        index[k] = (s[order], o[order])
+        index[k] = (s[order], o[0][order], o[1][order])
     return [r[0] for r in rows], items, index
 
 
+def promise(doc: np.ndarray, items: list[np.ndarray], index: dict) -> list[tuple[float, int]]:
+    """(most that tiles can cover of it, item) for items that share a seed with a document, the most first.
+
+    Tiles cover only tokens that a shared seed covers, so an item that cannot
+    beat the best so far is never tiled: a common phrase costs a few array
+    operations an item and no tiling.
+    """
+    most: dict[int, int] = {}
+    for k, (seeds, owners, places) in index.items():
+        h = np.unique(running(doc, k))
+        left, right = np.searchsorted(seeds, h, "left"), np.searchsorted(seeds, h, "right")
+        n = right - left
+        if not n.sum():
+            continue
+        at = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
+        order = np.lexsort((places[at], owners[at]))
+        o, p = owners[at][order], places[at][order]
+        own = np.full(o.size, k)
+        same = o[1:] == o[:-1]
+        own[:-1][same] = np.minimum(p[1:] - p[:-1], k)[same]
+        ids, where = np.unique(o, return_inverse=True)
+        most.update(zip(ids.tolist(), np.bincount(where, own).astype(int).tolist(), strict=True))
+    return sorted(((c / items[i].size, i) for i, c in most.items()), reverse=True)
+
+
 def _scan(shared, min_match: int, keep_text: bool = False):
     """Judges row, text by one block; what another block found comes as item_id, tokens_covered, coverage and stays if it is not beaten."""
 
     def run(batches):
         ids, items, index = shared.value
+        rank = lambda x: (x[0], -(x[2] if x[2] is not None else 2**63))
         for batch in batches:
             for part in pieces(batch, "text"):
                 names, at = tokens(part.column("text"))
-                hits: dict[int, set[int]] = defaultdict(set)
-                for k, (seeds, owners) in index.items():
+                seen: set[int] = set()
+                for k, (seeds, *_) in index.items():
                     h = running(names, k)
                     pos = np.arange(h.size)
                     text = np.searchsorted(at, pos, "right") - 1
                     slot = np.minimum(np.searchsorted(seeds, h), seeds.size - 1)
-                    ok = np.flatnonzero((seeds[slot] == h) & (pos + k <= at[text + 1]))
-                    for p in ok.tolist():
-                        end = np.searchsorted(seeds, h[p], "right")
-                        hits[int(text[p])].update(owners[slot[p] : end].tolist())
+                    seen |= set(text[(seeds[slot] == h) & (pos + k <= at[text + 1])].tolist())
                 rows = []
                 before = [part.column(c).to_pylist() for c in ("coverage", "tokens_covered", "item_id")] if "coverage" in part.schema.names else None
                 for t in range(part.num_rows):
                     best = (before[0][t], before[1][t], before[2][t]) if before else (0.0, 0, None)
                     doc = names[at[t] : at[t + 1]]
-                    for i in sorted(hits.get(t, ())):
+                    for most, i in promise(doc, items, index) if t in seen else ():
+                        if most < best[0]:
+                            break
                         item = items[i]
                         covered = sum(n for _, _, n in tile(doc, item, min(min_match, item.size)))
-                        best = max(best, (covered / item.size, covered, ids[i]), key=lambda x: (x[0], -(x[2] if x[2] is not None else 2**63)))
+                        best = max(best, (covered / item.size, covered, ids[i]), key=rank)
                     rows.append(best)
                 own = ["row", "text"] if keep_text else ["row"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([float(r[0]) for r in rows])], names=[*own, "item_id", "tokens_covered", "coverage"])
@@ -170,8 +193,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, thr
     that is covered; contaminated is coverage >= ``threshold``.  Tokens are
     lower-cased runs of letters and digits; a tile has ``min_match`` of them
     at least, an item with fewer counts if all of it is there.  Null texts
-    are empty; items without tokens match nothing; repeated rows each
-    get their row; empty tables give an empty result or no contamination.
+    are empty and a text of any length is read whole; items without tokens
+    match nothing.  Null ids stay null; rows that share an id are judged
+    apart, and repeated rows each get their row; other columns, whatever their
+    names, are ignored; empty tables give an empty result or no contamination.
     """
     src = docs.select(docs[id_col].cast("long").alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     found = src
