@@ -184,14 +184,19 @@ def held_out(id_col: str, fold: int = 5, rest: int = 0):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Gam:
-    """Fits a model on at most ``max_train`` labelled documents outside the held-out fold; of an id labelled twice the larger label counts, null labels don't."""
+    """Fits a model on at most ``max_train`` labelled documents outside the held-out fold.
+
+    Of an id labelled twice the larger label counts, null labels don't; of
+    rows that share an id the one whose features sort first counts, so the
+    driver gets one row an id.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("y"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(max_train)
     src = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     # the side is bounded by max_train rows of two numbers
     table = src.join(F.broadcast(known), "id").select("id", "y", "text")
-    got = table.mapInArrow(_rows(lambda x, part: pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])), "id long, y double, x array<double>").toPandas()
-    got = got.sort_values(["id", "y"]).head(max_train) if len(got) else got
+    seen = table.mapInArrow(_rows(lambda x, part: pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])), "id long, y double, x array<double>")
+    got = seen.groupBy("id").agg(F.min(F.struct("x", "y")).alias("r")).select("id", "r.y", "r.x").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     order = np.lexsort((*x.T, got["id"].to_numpy())) if len(got) else []
     return fit(x[order], (got["y"].to_numpy(float)[order] > 0).astype(float))
@@ -201,8 +206,10 @@ def score_quality(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col:
     """Returns a row per input row: id, held_out, score (probability of label 1), predicted.
 
     A null text counts as empty; an empty text has all features zero and gets
-    the score the model has for that; a null id is never held out; repeated
-    rows each get their row; an empty table gives an empty result.
+    the score the model has for that; a text of any length is read whole.  A
+    null id is never held out; rows that share an id and repeated rows each
+    get their row; equal scores stay equal, nothing is ranked; other columns,
+    whatever their names, are ignored; an empty table gives an empty result.
     """
     src = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     out = src.mapInArrow(_rows(lambda x, part: pa.RecordBatch.from_arrays([part.column("id"), pa.array(model.score(x))], names=["id", "score"])), "id long, score double")

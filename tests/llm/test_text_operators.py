@@ -229,6 +229,33 @@ def test_long_path_and_control_strings(spark):
     assert r["formatted"].count("<|im_start|>") == 100
 
 
+def test_branches_match_brute_force(spark):
+    """Random trees, with long texts and columns whose names are used inside: the best branches, listed one by one."""
+    rng = random.Random(31)
+    rows = []
+    for tree in range(12):
+        n = rng.randrange(1, 40)
+        rows += [(tree, i, rng.randrange(i) if i and rng.random() < 0.95 else None, rng.choice(["user", "assistant"]), rng.choice(["", "a~b", "x" * 50_000]) + str(i), float(rng.randrange(-3, 4))) for i in range(n)]
+    df = spark.createDataFrame(rows, MESSAGES)
+    for c in ("leaf", "up", "total", "distance", "rank", "piece", "at", "leads", "led", "x"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = {(r["tree"], r["rank"]): (r["leaf"], [(t["role"], t["text"]) for t in r["turns"]]) for r in chat.read_back(chat.format_chats(df, branches=3)).collect()}
+    want = {}
+    for tree in range(12):
+        own = {i: (p, role, text, score) for t, i, p, role, text, score in rows if t == tree}
+        parents = {p for p, *_ in own.values()}
+        ways = []
+        for leaf in own.keys() - parents:
+            way, at = [], leaf
+            while at is not None:
+                way.append(at)
+                at = own[at][0]
+            ways.append((-sum(own[i][3] for i in way), leaf, [own[i][1:3] for i in reversed(way)]))
+        for k, (_, leaf, turns) in enumerate(sorted(ways)[:3]):
+            want[tree, k + 1] = (leaf, turns)
+    assert got == want
+
+
 def test_linear_conversations(spark):
     rows = [(1, 2, "assistant", "b"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (None, 1, "user", None), (2, None, None, "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -397,6 +424,26 @@ def test_decontaminate(docs_of, spark, odd_rows):
     assert decontam.decontaminate(docs_of(rows).where("false"), bench).collect() == []
 
 
+def test_common_phrases_are_not_tiled(docs_of, spark, monkeypatch):
+    """The best of many items that share one phrase, tiled only where it can win."""
+    rng = random.Random(14)
+    phrase = "as it was said in the book of all things"
+    items = [(i, f"{phrase} {words(rng, 40)}") for i in range(200)]
+    docs = [(1, f"{words(rng, 30)} {items[77][1]} {words(rng, 30)}"), (2, f"{words(rng, 20)} {phrase} {words(rng, 20)}")]
+    got = {r["doc_id"]: r for r in decontam.decontaminate(docs_of(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert (got[1]["item_id"], got[1]["coverage"], got[1]["contaminated"]) == (77, 1.0, True)
+    assert (got[2]["item_id"], got[2]["contaminated"]) == (0, False) and 0 < got[2]["coverage"] < 0.5
+    import pyarrow as pa
+
+    _, names, index = decontam.index_block(items, 5)
+    doc, at = decontam.tokens(pa.array([d[1] for d in docs]))
+    for k in range(2):
+        own = doc[at[k] : at[k + 1]]
+        most = dict((i, m) for m, i in decontam.promise(own, names, index))
+        for i, x in enumerate(names):
+            assert sum(n for *_, n in decontam.tile(own, x, 5)) / x.size <= most.get(i, 0) + 1e-12
+
+
 def test_items_without_id_contaminate(docs_of, spark):
     rng = random.Random(5)
     item, other, both = (words(rng, 30, 5000) for _ in range(3))
@@ -461,6 +508,17 @@ def test_languages(docs_of, spark, odd_rows):
     assert langid.learn_languages(df.where("false")) == {}
 
 
+def test_trigrams_in_pieces_give_the_same(monkeypatch):
+    texts_ = ["the quick brown fox " * 9, "", "el perro y la niña", "文字 と 言葉 " * 40, "été " * 7]
+    raw = np.frombuffer("".join(texts_).encode(), np.uint8)
+    offs = np.cumsum([0, *(len(t.encode()) for t in texts_)])
+    letters = langid.letter_vectors()
+    whole = langid.bundles(raw, offs, letters)
+    monkeypatch.setattr(langid, "GRAMS", 3)
+    pieces = langid.bundles(raw, offs, letters)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, pieces, strict=True)) and whole[0].any()
+
+
 def test_bundle_is_the_sum_of_bound_trigrams():
     letters = langid.letter_vectors()
     raw = np.frombuffer(b"ab, cab  ", np.uint8)
