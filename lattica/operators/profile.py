@@ -1,9 +1,10 @@
 """The descriptive profile of numeric columns.
 
-One scan gives counts, moments, norms, extrema and an estimate of distinct
-values for all columns at once; two or three more give exact percentiles; two
-more the median absolute deviation and outliers.  Only columns with few
-distinct values are grouped by value.
+One scan gives counts, moments, norms and extrema for all columns at once; two
+or three more give exact percentiles, and with them the distinct values of
+columns that have few; two more the median absolute deviation, and one the
+histogram and outliers.  :func:`percentiles` and :func:`spread` make the scans
+for their part only.
 """
 
 from __future__ import annotations
@@ -94,7 +95,6 @@ def basic_aggregates(v: Column, x: Column | None = None) -> dict[str, Column]:
         "integral": integral,
         "unit_range": (high > low) & (low >= 0) & (high <= 1) & ~integral,
         "excluded_non_finite": F.count(v) - n,
-        "guess": F.approx_count_distinct(x, 0.02),
     }
 
 
@@ -126,10 +126,17 @@ def as_values(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
 
 def summarise(df: DataFrame, values: Mapping[str, Column]) -> dict[str, dict]:
     """Basic aggregates of all columns from one scan, by column."""
-    df = df.select(*[c for i, v in enumerate(values.values()) for c in (v.alias(f"v{i}"), finite(v).alias(f"x{i}"))])
-    per = {c: basic_aggregates(F.col(f"v{i}"), F.col(f"x{i}")) for i, c in enumerate(values)}
-    row = df.agg(*[F.struct(*[e.alias(k) for k, e in a.items()]).alias(f"c{i}") for i, a in enumerate(per.values())]).first()
-    return {c: row[f"c{i}"].asDict() for i, c in enumerate(per)}
+    if not values:
+        return {}
+    # one row a column and value: the code for one column is small enough to be compiled, that for many is not
+    per = [F.struct(F.lit(i).alias("c"), v.alias("v"), finite(v).alias("x")) for i, v in enumerate(values.values())]
+    wanted = [e.alias(k) for k, e in basic_aggregates(F.col("v"), F.col("x")).items()]
+    if len(per) == 1:
+        return {next(iter(values)): df.select(per[0].alias("s")).select("s.*").agg(*wanted).first().asDict()}
+    found = {r["c"]: r.asDict() for r in df.select(F.inline(F.array(*per))).groupBy("c").agg(*wanted).collect()}
+    names = list(basic_aggregates(F.lit(0.0)))
+    empty = {"integral": True, "unit_range": False} | dict.fromkeys(("total", "finite", "nulls", "nan", "pos_inf", "neg_inf", "zeros", "negatives", "positives", "excluded_non_finite"), 0) | dict.fromkeys(("sum", "l1", "l2"), 0.0)
+    return {c: {k: found[i][k] if i in found else empty.get(k) for k in names} for i, c in enumerate(values)}
 
 
 def value_counts(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
@@ -144,6 +151,53 @@ def _split(df: DataFrame, exact_limit: int | None, total: int, seed: int) -> Dat
     return df.where(key < max(1, round((1 << 20) * max(exact_limit, 1000) / total)))
 
 
+def distinct_values(df: DataFrame, values: Mapping[str, Column], bins: Mapping[str, list[tuple[float, float, int]]]) -> dict[str, tuple[int, list[tuple[float, int]]]]:
+    """Number of distinct values and the most frequent ones, of columns that have at most DISTINCT_CAP.
+
+    ``bins`` are what a scan has counted already: where each bin has one value
+    they are the answer, and where they have too many there is none.  Only
+    other columns are estimated and, if few are likely, grouped by value.
+    """
+    out, open_ = {}, {}
+    for c, v in values.items():
+        own = bins.get(c)
+        if own and all(lo == hi for lo, hi, _ in own):
+            if len(own) <= DISTINCT_CAP:
+                out[c] = (len(own), sorted(((lo + 0.0, n) for lo, _, n in own), key=lambda r: (-r[1], r[0]))[:TOP])
+        elif not own or sum(1 + (lo != hi) for lo, hi, _ in own) <= DISTINCT_CAP:
+            open_[c] = v
+    if open_:
+        guess = df.agg(*[F.approx_count_distinct(finite(v), 0.02).alias(f"g{i}") for i, v in enumerate(open_.values())]).first()
+        few = {c: v for i, (c, v) in enumerate(open_.items()) if guess[i] <= DISTINCT_CAP * 1.2}
+        if few:
+            table = value_counts(df, few).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.slice(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("k"), "value"))), 1, TOP).alias("top"))
+            out |= {r["column"]: (r["distinct"], [(t["value"], -t["k"]) for t in r["top"]]) for r in table.collect() if r["distinct"] <= DISTINCT_CAP}
+    return out
+
+
+def percentiles(df: DataFrame, value: Column, ps: Sequence[float] = PERCENTILES) -> DataFrame:
+    """(percentile, value) of the finite values, exact: one scan for count and bounds and two or three for the ranks, nothing else."""
+    x = finite(value.cast("double"))
+    df = df.select(x.alias("x"))
+    n, lo, hi = df.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    got = exact_quantiles(df, {"x": F.col("x")}, {"x": (lo, hi)}, {"x": n}, [p / 100 for p in ps])["x"] if n else [None] * len(ps)
+    return df.sparkSession.createDataFrame([(percentile_name(p), v) for p, v in zip(ps, got, strict=True)], "percentile string, value double")
+
+
+def spread(df: DataFrame, value: Column) -> DataFrame:
+    """One row: lower_fence, upper_fence, outliers and mad of the finite values, exact; scans for these alone."""
+    x = finite(value.cast("double"))
+    df = df.select(x.alias("x"))
+    n, lo, hi = df.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    row = (None, None, 0, None)
+    if n:
+        q1, m, q3 = exact_quantiles(df, {"x": F.col("x")}, {"x": (lo, hi)}, {"x": n}, [0.25, 0.5, 0.75])["x"]
+        low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        mad = exact_quantiles(df, {"x": F.abs(F.col("x") - F.lit(m))}, {"x": (0.0, max(m - lo, hi - m))}, {"x": n}, [0.5])["x"][0]
+        row = (low, high, df.where((F.col("x") < low) | (F.col("x") > high)).count(), mad)
+    return df.sparkSession.createDataFrame([row], "lower_fence double, upper_fence double, outliers long, mad double")
+
+
 def profile(df: DataFrame, columns: Sequence[str] | None = None, bins: int = DEFAULT_BINS, exact_limit: int | None = None, seed: int = 0) -> DataFrame:
     """One row of statistics for each column, in the order given.
 
@@ -165,21 +219,18 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, bins: int = DEF
     live = {c: (o["min"], o["max"]) for c, o in order.items() if o["finite"]}
     counts = {c: order[c]["finite"] for c in live}
     ps = [p / 100 for p in PERCENTILES]
-    quantiles = exact_quantiles(source, {c: x[c] for c in live}, live, counts, ps)
+    seen: dict[str, list[tuple[float, float, int]]] = {}
+    quantiles = exact_quantiles(source, {c: x[c] for c in live}, live, counts, ps, seen)
     plans = {c: histogram_plan(*live[c], order[c]["integral"], bins) for c in live}
     fences = {c: (q[4] - 1.5 * (q[6] - q[4]), q[6] + 1.5 * (q[6] - q[4])) for c, q in quantiles.items()}
     # deviations lie between 0 and that of the farther bound
     far = {c: (0.0, max(quantiles[c][5] - live[c][0], live[c][1] - quantiles[c][5])) for c in live}
     mad = exact_quantiles(source, {c: F.abs(x[c] - F.lit(quantiles[c][5])) for c in live}, far, counts, [0.5])
     hist, outliers = histogram_counts(source, {c: x[c] for c in live}, plans, fences) if live else ({}, {})
-    few = {c: values[c] for c in live if base[c]["guess"] <= DISTINCT_CAP * 1.2}
-    tops: dict[str, list] = {c: [] for c in values}
-    if few:
-        table = value_counts(df, few).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.slice(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("k"), "value"))), 1, TOP).alias("top"))
-        tops |= {r["column"]: (r["distinct"], [(t["value"], -t["k"]) for t in r["top"]]) for r in table.collect()}
+    tops = distinct_values(df, {c: values[c] for c in live}, {} if sampled else {c: seen.get(c, [(*live[c], counts[c])]) for c in live})
     rows = []
     for c, b in base.items():
-        row = {"column": c, **{k: v for k, v in b.items() if k != "guess"}, "approximate": sampled, "sample_size": order[c]["total"], "outliers": None, "mad": None, "distinct": None, "unique_exact": True, "top_values": None, "histogram": None}
+        row = {"column": c, **b, "approximate": sampled, "sample_size": order[c]["total"], "outliers": None, "mad": None, "distinct": None, "unique_exact": True, "top_values": None, "histogram": None}
         row["unit_range"] = bool(row["unit_range"])
         if c in live:
             q = quantiles[c]
@@ -189,8 +240,8 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, bins: int = DEF
             first, width, k = plans[c]
             n = [hist[c].get(i, 0) for i in range(k)]
             row["histogram"] = ([first + width * i for i in range(k + 1)], [math.floor(v * scale + 0.5) for v in n] if scale > 1.0001 else n, b["excluded_non_finite"])
-            exact = c in few and tops[c][0] <= DISTINCT_CAP
-            row |= {"unique_exact": exact, "distinct": tops[c][0] if exact else None, "top_values": tops[c][1] if exact else None}
+            distinct, top = tops.get(c, (None, None))
+            row |= {"unique_exact": distinct is not None, "distinct": distinct, "top_values": top}
         else:
             row |= {"distinct": 0, "outliers": 0}
         rows.append(tuple(row.get(f.name) for f in STATS_SCHEMA.fields))

@@ -27,13 +27,18 @@ LIST = 20_000
 def _code(value: Column, intervals: list[tuple[float, float]]) -> Column:
     """interval * BINS + bin of a value, null outside all intervals (which don't overlap)."""
     if len(intervals) > 3 and all(math.isfinite(hi - lo) for lo, hi in intervals):
-        # one lookup in constant arrays: a long chain of branches would be too much code to be compiled
+        # halving by comparisons: about log2(n) of them a value, in one expression that is compiled
         order = sorted(range(len(intervals)), key=lambda i: intervals[i])
-        lows, spans, codes = (F.array(*[F.lit(x) for x in xs]) for xs in ([intervals[i][0] for i in order], [intervals[i][1] - intervals[i][0] for i in order], [i * BINS for i in order]))
-        at = F.size(F.filter(lows, lambda lo: lo <= value)) - 1
-        share = (value - F.get(lows, at)) / F.get(spans, at)
-        inside = value <= F.get(F.array(*[F.lit(intervals[i][1]) for i in order]), at)
-        return F.when(inside, F.get(codes, at) + F.least(F.floor(share * BINS), F.lit(BINS - 1))).cast("int")
+
+        def within(own: list[int]) -> Column:
+            if len(own) > 1:
+                half = len(own) // 2
+                return F.when(value < F.lit(intervals[own[half]][0]), within(own[:half])).otherwise(within(own[half:]))
+            lo, hi = intervals[own[0]]
+            share = F.least(F.floor((value - F.lit(lo)) / F.lit(hi - lo) * BINS), F.lit(BINS - 1))
+            return F.when((value >= F.lit(lo)) & (value <= F.lit(hi)), share + own[0] * BINS)
+
+        return within(order).cast("int")
     out = None
     for i, (lo, hi) in enumerate(intervals):
         span = hi - lo
@@ -47,11 +52,13 @@ def _code(value: Column, intervals: list[tuple[float, float]]) -> Column:
     return out
 
 
-def order_statistics(df: DataFrame, columns: Mapping[str, Column], bounds: Mapping[str, tuple[float, float]], ranks: Mapping[str, Sequence[int]]) -> dict[str, dict[int, float]]:
+def order_statistics(df: DataFrame, columns: Mapping[str, Column], bounds: Mapping[str, tuple[float, float]], ranks: Mapping[str, Sequence[int]], seen: dict[str, list[tuple[float, float, int]]] | None = None) -> dict[str, dict[int, float]]:
     """Values of the given 0-based ranks among the finite values of each column.
 
     ``columns`` are double expressions, null where there is no finite value;
-    ``bounds`` their smallest and largest value.
+    ``bounds`` their smallest and largest value.  ``seen`` gets the bins of the
+    first scan (smallest value, largest value, count), at most BINS a column;
+    where all bins have one value these are all values of the column.
     """
     df = df.select(*[v.alias(f"v{i}") for i, v in enumerate(columns.values())])
     columns = {c: F.col(f"v{i}") for i, c in enumerate(columns)}
@@ -75,6 +82,9 @@ def order_statistics(df: DataFrame, columns: Mapping[str, Column], bounds: Mappi
         got: dict[int, dict[int, list]] = {}
         for r in rows.groupBy("c", "p").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
             got.setdefault(r["c"], {}).setdefault(r["p"] // BINS, []).append(r)
+        if seen is not None:
+            for k, c in enumerate(names):
+                seen.setdefault(c, [(r["lo"], r["hi"], r["n"]) for i in got[k] for r in got[k][i]])
         todo: dict[str, list] = {}
         lists: dict[tuple[int, int], tuple[int, list[int]]] = {}
         for k, c in enumerate(names):
@@ -121,8 +131,8 @@ def interpolation_ranks(n: int, p: float) -> tuple[int, int, float]:
     return int(math.floor(at)), int(math.ceil(at)), at - math.floor(at)
 
 
-def exact_quantiles(df: DataFrame, columns: Mapping[str, Column], bounds: Mapping[str, tuple[float, float]], counts: Mapping[str, int], probabilities: Sequence[float]) -> dict[str, list[float]]:
+def exact_quantiles(df: DataFrame, columns: Mapping[str, Column], bounds: Mapping[str, tuple[float, float]], counts: Mapping[str, int], probabilities: Sequence[float], seen: dict[str, list[tuple[float, float, int]]] | None = None) -> dict[str, list[float]]:
     """Linearly interpolated quantiles of each column's finite values."""
     where = {c: [interpolation_ranks(counts[c], p) for p in probabilities] for c in bounds}
-    values = order_statistics(df, columns, bounds, {c: [r for lo, hi, _ in w for r in (lo, hi)] for c, w in where.items()})
+    values = order_statistics(df, columns, bounds, {c: [r for lo, hi, _ in w for r in (lo, hi)] for c, w in where.items()}, seen)
     return {c: [values[c][lo] + (values[c][hi] - values[c][lo]) * f for lo, hi, f in where[c]] for c in where}

@@ -116,9 +116,7 @@ _P_ROWS = " UNION ALL ".join(f"SELECT '{P.percentile_name(p)}' AS percentile, ro
 
 @query(_P_ROWS)
 def percentiles_11(spark, d):
-    p = P.profile(_t(spark, d, "orders"), ["o_totalprice"])
-    names = [P.percentile_name(x) for x in P.PERCENTILES]
-    return p.select(F.inline(F.array(*[F.struct(F.lit(n).alias("percentile"), F.round(n, 6).alias("value")) for n in names])))
+    return _rounded(P.percentiles(_t(spark, d, "orders"), F.col("o_totalprice")))
 
 
 @query("""
@@ -127,7 +125,7 @@ SELECT round(q1 - 1.5 * (q3 - q1), 6) AS lower_fence, round(q3 + 1.5 * (q3 - q1)
   (SELECT count(*) FROM events WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS outliers, (SELECT round(mad(value), 6) FROM events) AS mad FROM q
 """)
 def tukey_and_mad(spark, d):
-    return _rounded(P.profile(_t(spark, d, "events"), ["value"]).select("lower_fence", "upper_fence", "outliers", "mad"))
+    return _rounded(P.spread(_t(spark, d, "events"), F.col("value")))
 
 
 def _hist_sql(table: str, column: str, bins: int = 64) -> str:
