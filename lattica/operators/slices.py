@@ -61,6 +61,8 @@ class Plane:
     row: int
     col: int
     channel: int | None = None
+    #: A one-dimensional array, seen as one row.
+    vector: bool = False
 
     @property
     def frame_axes(self) -> list[int]:
@@ -86,7 +88,7 @@ class Plane:
 
 
 def vector_plane(n: int) -> Plane:
-    return Plane((1, n), 0, 1)
+    return Plane((1, n), 0, 1, vector=True)
 
 
 def block_steps(plane: Plane, frames: int, max_side: int, max_elements: int) -> tuple[int, int]:
@@ -156,6 +158,23 @@ def table_window(elements: DataFrame, plane: Plane, frame: int = 0, row0: int =
     return grid.join(cells, ["row", "col"], "left").select("row", "col", F.coalesce("text", F.lit("--")).alias("text"), "value")
 
 
+def decode_block(encoded: DataFrame, as_bytes: bool = False) -> DataFrame:
+    """(i, value) from the base64 of :func:`encode_block`, i in its order: the inverse up to float32."""
+
+    def run(batches):
+        import base64
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for text in batch.column("data").to_pylist():
+                values = np.frombuffer(base64.b64decode(text or ""), np.uint8 if as_bytes else np.dtype("<f4")).astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(values.size)), pa.array(values)], names=["i", "value"])
+
+    return encoded.select("data").mapInArrow(run, "i long, value double")
+
+
 def wide(window: DataFrame, cols: list[int]) -> DataFrame:
     """A window as one row for each array row, one string column for each array column."""
     return window.groupBy("row").pivot("col", cols).agg(F.first("text"))

@@ -1,12 +1,14 @@
 """A partitioned data source for ``.npy`` arrays.
 
 ``spark.read.format("npy").load(path)`` gives one row for each element: path,
-pos (C-order), value (numeric view) and exact (text).  Option ``mode`` is
-``elements`` (default), ``records`` (a row for each record of a structured
-array) or ``meta`` (a row for each file).  Files are read in aligned ranges,
-one partition each, through pyarrow's file systems.  For stores that only
-Spark reads, :func:`read_npy_binary` takes whole files through Spark's own
-reader.  Nothing is ever unpickled.
+pos (C-order) and value (numeric view), and with option ``exact`` its exact
+text too, which costs far more.  Option ``mode`` is ``elements`` (default),
+``records`` (a row for each record of a structured array) or ``meta`` (a row
+for each file).  Option ``window`` selects by axis (``0:64, ::8, 3``): only its
+bytes are read, and what lies past the end of a truncated file is NaN and
+``--``.  Files are read in ranges, one partition each, through pyarrow's file
+systems.  For stores that only Spark reads, :func:`read_npy_binary` takes whole
+files through Spark's own reader.  Nothing is ever unpickled.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.dtype import DType, parse_descr
+from ..operators.slices import PAGE_COLUMNS, PAGE_ROWS, Plane, block_steps, read_block, table_window
 
 MAGIC = b"\x93NUMPY"
 #: Longest header that is accepted.
@@ -31,7 +34,12 @@ MAX_HEADER = 1 << 20
 PARTITION_BYTES, BATCH_BYTES = 16 << 20, 2 << 20
 
 META = "path string, descr string, dtype string, kind string, itemsize int, little_endian boolean, numeric boolean, readable boolean, shape array<bigint>, ndim int, size bigint, data_bytes bigint, fortran_order boolean, npy_version string, header_bytes bigint, file_bytes bigint, fields array<struct<name:string,descr:string,dtype:string,kind:string,offset:bigint,itemsize:int,shape:array<bigint>>>, time_unit string, truncated boolean, unsupported string"
-ELEMENTS = "path string, pos bigint, value double, exact string"
+ELEMENTS = "path string, pos bigint, value double"
+EXACT = f"{ELEMENTS}, exact string"
+#: Bytes between wanted elements that are read rather than skipped, and bytes read at once for a window.
+GAP_BYTES, SPAN_BYTES = 4096, 8 << 20
+#: Text of an element that a truncated file does not hold.
+MISSING = "--"
 
 
 class NpyError(ValueError):
@@ -107,7 +115,7 @@ def exact_text(a: np.ndarray, dtype: DType) -> list[str]:
     if k == "bool":
         return ["True" if x else "False" for x in a.tolist()]
     if k in ("int", "uint"):
-        return [str(x) for x in a.tolist()]
+        return pa.array(a.astype(a.dtype.newbyteorder("="))).cast(pa.string()).to_pylist()
     if k == "float":
         return [plain_number(x) for x in a.astype(float).tolist()]
     if k == "complex":
@@ -154,28 +162,72 @@ def plain_number(x: float) -> str:
     return np.format_float_positional(float(f"{x:.6e}"), trim="-")
 
 
-def logical_positions(start: int, n: int, h: Header) -> np.ndarray:
-    """C-order positions of elements that lie at start, start + 1 ... in the file."""
-    at = np.arange(start, start + n, dtype=np.int64)
+def strides_of(shape: tuple[int, ...], fortran: bool) -> list[int]:
+    """Elements between neighbours along each axis."""
+    out, n = [0] * len(shape), 1
+    for a in range(len(shape)) if fortran else reversed(range(len(shape))):
+        out[a] = n
+        n *= max(shape[a], 1)
+    return out
+
+
+def logical_positions(at: np.ndarray, h: Header) -> np.ndarray:
+    """C-order positions of the elements at these places in the file."""
     if not h.fortran or len(h.shape) < 2:
         return at
-    out, stride = np.zeros(n, np.int64), 1
-    strides = []
-    for d in reversed(h.shape):
-        strides.insert(0, stride)
-        stride *= d
-    for d, s in zip(h.shape, strides, strict=True):
-        out += at % d * s
-        at //= d
+    out, rest = np.zeros(at.size, np.int64), at
+    for d, s in zip(h.shape, strides_of(h.shape, False), strict=True):
+        out += rest % d * s
+        rest = rest // d
+    return out
+
+
+def parse_window(text: str, shape: tuple[int, ...]) -> list[range]:
+    """The selected indexes of each axis from slices and numbers; axes that are not named are whole."""
+    parts = [p.strip() for p in text.split(",")] if text.strip() else []
+    if len(parts) > len(shape):
+        raise NpyError(f"the window has {len(parts)} axes, the array {len(shape)}")
+    out = []
+    for a, extent in enumerate(shape):
+        bounds = parts[a].split(":") if a < len(parts) else [""]
+        try:
+            numbers = [int(b) if b.strip() else None for b in bounds]
+        except ValueError as e:
+            raise NpyError(f"not a window: {text}") from e
+        if len(numbers) > 3 or (len(numbers) == 3 and (numbers[2] or 1) < 1):
+            raise NpyError(f"not a window: {text}")
+        one = len(numbers) == 1 and numbers[0] is not None
+        out.append(range(*slice(numbers[0], numbers[0] + 1 or None).indices(extent)) if one else range(*slice(*numbers).indices(extent)) if len(numbers) > 1 else range(extent))
     return out
 
 
+class Selection:
+    """The elements of a window in the order in which they lie in the file, numbered from 0."""
+
+    def __init__(self, h: Header, window: list[range]):
+        order = list(reversed(range(len(window)))) if h.fortran else list(range(len(window)))
+        stride = strides_of(h.shape, h.fortran)
+        self.axes = [(window[a], stride[a]) for a in order]
+        self.size = 1
+        for r, _ in self.axes:
+            self.size *= len(r)
+
+    def places(self, first: int, count: int) -> np.ndarray:
+        """Places in the file of the elements ``first`` .. ``first + count - 1``; ascending."""
+        rest, out = np.arange(first, first + count, dtype=np.int64), np.zeros(count, np.int64)
+        for r, stride in reversed(self.axes):
+            out += (rest % len(r) * r.step + r.start) * stride
+            rest //= len(r)
+        return out
+
+
 @dataclass
 class _Range(InputPartition):
     path: str
     header: Header | None
     start: int
     count: int
+    problem: str | None = None
 
 
 class _Files:
@@ -216,48 +268,63 @@ def read_header(path: str) -> Header:
         return parse_header(head, n)
 
 
+def _problem(path: str, why: str, file_bytes: int | None) -> tuple:
+    return (path, *[None] * 14, file_bytes, None, None, None, why)
+
+
 class NpyReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
         self.schema, self.mode = schema, options.get("mode", "elements")
         self.paths = [p for p in (options.get("path") or "").split(",") if p]
         self.bytes = int(options.get("partition_bytes", PARTITION_BYTES))
+        self.window, self.exact = options.get("window"), options.get("exact", "false").lower() == "true"
+        self.skip = options.get("problems", "raise") == "skip"
 
     def partitions(self):
         out = []
         for path in (f for p in self.paths for f in _Files.list(p)):
-            h = read_header(path)
+            try:
+                h = read_header(path)
+                if self.mode != "meta" and not (h.dtype.readable and (self.mode == "records" or not h.dtype.fields)):
+                    raise NpyError(f"{h.dtype.name} arrays are not read" + " as elements; use mode records" * bool(h.dtype.fields))
+            except NpyError as e:
+                if self.mode == "meta":
+                    out.append(_Range(path, None, 0, 0, str(e)))
+                elif not self.skip:
+                    raise NpyError(f"{path}: {e}") from e
+                continue
             if self.mode == "meta":
                 out.append(_Range(path, h, 0, 0))
-            elif h.dtype.readable and (self.mode == "records" or not h.dtype.fields):
-                step = max(1, self.bytes // max(h.dtype.itemsize, 1))
-                out += [_Range(path, h, s, min(step, h.available - s)) for s in range(0, h.available, step)]
+                continue
+            step = max(1, self.bytes // max(h.dtype.itemsize, 1))
+            n = h.available if self.window is None else Selection(h, parse_window(self.window, h.shape)).size
+            out += [_Range(path, h, s, min(step, n - s)) for s in range(0, n, step)]
         return out or [_Range("", None, 0, 0)]
 
     def read(self, part: _Range):
-        if part.header is None:
-            return
         h = part.header
+        if h is None:
+            if part.problem:
+                with _Files.open(part.path) as f:
+                    yield _problem(part.path, part.problem, f.size())
+            return
         if self.mode == "meta":
             yield _header_row(part.path, h)
             return
         step = max(1, BATCH_BYTES // max(h.dtype.itemsize, 1))
+        selection = Selection(h, parse_window(self.window, h.shape)) if self.window is not None else None
         with _Files.open(part.path) as f:
-            f.seek(h.header_bytes + part.start * h.dtype.itemsize)
             for s in range(part.start, part.start + part.count, step):
                 n = min(step, part.start + part.count - s)
-                a = np.frombuffer(f.read(n * h.dtype.itemsize), np.dtype(h.dtype.numpy), n)
-                yield self._records(part.path, s, a, h) if self.mode == "records" else self._elements(part.path, s, a, h)
+                at = selection.places(s, n) if selection else np.arange(s, s + n, dtype=np.int64)
+                held = int(np.searchsorted(at, h.available))
+                a = _gather(f, h, at[:held])
+                yield self._records(part.path, at[:held], a, h) if self.mode == "records" else elements(part.path, at, a, h, self.exact)
 
-    @staticmethod
-    def _elements(path: str, start: int, a: np.ndarray, h: Header) -> pa.RecordBatch:
-        value = numeric_view(a, h.dtype.kind) if h.dtype.numeric else None
-        values = pa.array(value, pa.float64(), from_pandas=False) if value is not None else pa.nulls(len(a), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array([path] * len(a)), pa.array(logical_positions(start, len(a), h)), values, pa.array(exact_text(a, h.dtype), pa.string())], names=["path", "pos", "value", "exact"])
-
-    def _records(self, path: str, start: int, a: np.ndarray, h: Header) -> pa.RecordBatch:
+    def _records(self, path: str, at: np.ndarray, a: np.ndarray, h: Header) -> pa.RecordBatch:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        cols = [pa.array([path] * len(a)), pa.array(logical_positions(start, len(a), h))]
+        cols = [pa.repeat(path, len(a)), pa.array(logical_positions(at, h))]
         for f in h.dtype.fields:
             x, kind = a[f.name], f.dtype.spark()
             flat = [_cell(v, f.dtype) for v in x.reshape(len(a), -1).ravel()]
@@ -268,6 +335,35 @@ class NpyReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(cols, names=[f.name for f in self.schema.fields])
 
 
+def _gather(f, h: Header, at: np.ndarray) -> np.ndarray:
+    """The elements at ascending places: close ones come with one read, others are sought."""
+    size, kind = h.dtype.itemsize, np.dtype(h.dtype.numpy)
+    if not at.size:
+        return np.zeros(0, kind)
+    far = np.diff(at) * size > GAP_BYTES + size
+    spans = np.diff(at * size // SPAN_BYTES) > 0
+    begins = np.concatenate([[0], np.flatnonzero(far | spans & (np.diff(at) > 1)) + 1, [at.size]])
+    out = np.empty(at.size, kind)
+    for i, j in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+        first, n = int(at[i]), int(at[j - 1] - at[i]) + 1
+        f.seek(h.header_bytes + first * size)
+        out[i:j] = np.frombuffer(f.read(n * size), kind, n)[at[i:j] - first]
+    return out
+
+
+def elements(path: str, at: np.ndarray, a: np.ndarray, h: Header, exact: bool) -> pa.RecordBatch:
+    """Rows for the places ``at``; those after the values in ``a`` are missing."""
+    gone = at.size - len(a)
+    if h.dtype.numeric:
+        values = pa.array(np.concatenate([numeric_view(a, h.dtype.kind), np.full(gone, np.nan)]), pa.float64(), from_pandas=False)
+    else:
+        values = pa.nulls(at.size, pa.float64())
+    cols = [pa.repeat(path, at.size), pa.array(logical_positions(at, h)), values]
+    if exact:
+        cols.append(pa.array(exact_text(a, h.dtype) + [MISSING] * gone, pa.string()))
+    return pa.RecordBatch.from_arrays(cols, names=["path", "pos", "value", "exact"][: len(cols)])
+
+
 def _cell(v, dtype: DType):
     k = dtype.kind
     if k == "bytes":
@@ -295,7 +391,7 @@ class NpySource(DataSource):
         if mode == "meta":
             return META
         if mode == "elements":
-            return ELEMENTS
+            return EXACT if self.options.get("exact", "false").lower() == "true" else ELEMENTS
         h = read_header(_Files.list(self.options["path"].split(",")[0])[0])
         if not h.dtype.fields:
             raise NpyError("records are asked for, but the array has no fields")
@@ -309,14 +405,54 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(NpySource)
 
 
-def read_npy(spark: SparkSession, path: str, mode: str = "elements", partition_bytes: int = PARTITION_BYTES) -> DataFrame:
-    """Elements, records or metadata of one file or of all ``.npy`` files below a folder."""
+def read_npy(spark: SparkSession, path: str, mode: str = "elements", partition_bytes: int = PARTITION_BYTES, exact: bool = False, window: str | None = None, problems: str = "raise") -> DataFrame:
+    """Elements, records or metadata of one file or of all ``.npy`` files below a folder.
+
+    ``exact`` adds the exact text of each element.  ``window`` has a slice or
+    number for each axis, as in ``"0:64, ::8, 3"``; bytes outside of it are not
+    read, and its elements past the end of a truncated file are NaN, while a
+    read of the whole array has the elements that are there.  A file that
+    cannot be read as asked raises, or is left out if ``problems`` is
+    ``skip``; in mode ``meta`` it is a row with the reason in ``unsupported``.
+    """
     register(spark)
-    return spark.read.format("npy").option("mode", mode).option("partition_bytes", partition_bytes).load(path)
+    reader = spark.read.format("npy").option("mode", mode).option("partition_bytes", partition_bytes).option("exact", str(exact).lower()).option("problems", problems)
+    return (reader if window is None else reader.option("window", window)).load(path)
+
+
+def window_of(plane: Plane, frames: list[int], rows: range, cols: range) -> str:
+    """The window of :func:`read_npy` that holds these frames, rows and columns of a plane view, all channels."""
+    by_axis = {plane.row: rows, plane.col: cols}
+    left = frames
+    for a in reversed(plane.frame_axes):
+        extent = max(plane.shape[a], 1)
+        digits = {f % extent for f in left}
+        left = sorted({f // extent for f in left})
+        by_axis[a] = range(min(digits, default=0), max(digits, default=-1) + 1)
+    if len(plane.shape) == 2 and plane.row == 0 and plane.shape[0] == 1 and plane.vector:
+        return f"{cols.start}:{cols.stop}:{cols.step}"
+    return ",".join(":" if a not in by_axis else f"{by_axis[a].start}:{by_axis[a].stop}:{by_axis[a].step}" for a in range(len(plane.shape)))
+
+
+def read_file_block(spark: SparkSession, path: str, plane: Plane, frames: list[int] | None = None, max_side: int = 1600, max_elements: int = 2_000_000) -> DataFrame:
+    """:func:`lattica.operators.slices.read_block` of a file, reading only the frames, rows and columns that it needs."""
+    wanted = list(range(plane.frames)) if frames is None else frames
+    rs, cs = block_steps(plane, len(wanted), max_side, max_elements)
+    window = window_of(plane, wanted, range(0, plane.extent(plane.row), rs), range(0, plane.extent(plane.col), cs))
+    return read_block(read_npy(spark, path, window=window), plane, frames, max_side, max_elements)
+
+
+def read_file_window(spark: SparkSession, path: str, plane: Plane, frame: int = 0, row0: int = 0, col0: int = 0, rows: int = PAGE_ROWS, cols: int = PAGE_COLUMNS) -> DataFrame:
+    """:func:`lattica.operators.slices.table_window` of a file, with exact text, reading only the cells of the window."""
+    window = window_of(plane, [frame], range(row0, min(row0 + rows, plane.extent(plane.row))), range(col0, min(col0 + cols, plane.extent(plane.col))))
+    return table_window(read_npy(spark, path, exact=True, window=window), plane, frame, row0, col0, rows, cols)
+
 
+def read_npy_binary(spark: SparkSession, path: str, exact: bool = False, problems: str = "raise") -> DataFrame:
+    """Elements of the arrays at ``path`` through Spark's binary reader: any store, files below 2 GB, one task a file.
 
-def read_npy_binary(spark: SparkSession, path: str) -> DataFrame:
-    """Elements of the arrays at ``path`` through Spark's binary reader: any store, files below 2 GB, one task a file; files that are no readable array are left out."""
+    A file that is no readable array raises, or is left out if ``problems`` is ``skip``.
+    """
 
     def decode(batches):
         for batch in batches:
@@ -324,16 +460,18 @@ def read_npy_binary(spark: SparkSession, path: str) -> DataFrame:
                 raw = memoryview(data.as_buffer())
                 try:
                     h = parse_header(bytes(raw[: MAX_HEADER + 12]), len(raw))
-                except NpyError:
-                    continue
-                if not h.dtype.readable or h.dtype.fields:
-                    continue
+                    if not h.dtype.readable or h.dtype.fields:
+                        raise NpyError(f"{h.dtype.name} arrays are not read as elements")
+                except NpyError as e:
+                    if problems == "skip":
+                        continue
+                    raise NpyError(f"{name}: {e}") from e
                 step = max(1, BATCH_BYTES // max(h.dtype.itemsize, 1))
                 for s in range(0, h.available, step):
                     a = np.frombuffer(raw, np.dtype(h.dtype.numpy), min(step, h.available - s), h.header_bytes + s * h.dtype.itemsize)
-                    yield NpyReader._elements(name, s, a, h)
+                    yield elements(name, np.arange(s, s + len(a), dtype=np.int64), a, h, exact)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, ELEMENTS)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, EXACT if exact else ELEMENTS)
 
 
 def elements_of(df: DataFrame, array_col: str, id_col: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lattica.operators import control
 from lattica.operators.profile import profile
-from lattica.sources import sinks
+from lattica.operators import slices as S
+from lattica.sources import npy, sinks
 from lattica.sources.npy import NpyError, parse_header, read_npy, read_npy_binary
 from lattica.streaming.profiles import profile_arrivals, running_profile, windowed_profile
 
@@ -31,7 +32,7 @@ def test_elements_equal_numpy(spark, tmp_path, dtype, order):
 
 def test_exact_text(spark, tmp_path):
     def texts(name, a):
-        return [r["exact"] for r in read_npy(spark, saved(tmp_path, name, a)).orderBy("pos").collect()]
+        return [r["exact"] for r in read_npy(spark, saved(tmp_path, name, a), exact=True).orderBy("pos").collect()]
 
     assert texts("big", np.array([9007199254740993])) == ["9007199254740993"]
     assert texts("u", np.array([2**64 - 1], np.uint64)) == ["18446744073709551615"]
@@ -60,7 +61,72 @@ def test_meta_and_folder(spark, tmp_path):
     rows = {r["path"][-5:-4]: r for r in read_npy(spark, str(tmp_path), "meta").collect()}
     assert rows["a"]["fortran_order"] and rows["a"]["shape"] == [2, 3] and rows["a"]["unsupported"] is None
     assert rows["b"]["unsupported"] == "The array is empty." and rows["o"]["readable"] is False
-    assert read_npy(spark, f"{tmp_path}/o.npy").count() == 0
+    assert "exact" not in read_npy(spark, f"{tmp_path}/a.npy").columns
+    open(f"{tmp_path}/x.npy", "wb").write(b"no array")
+    bad = read_npy(spark, str(tmp_path), "meta").where("dtype is null").collect()
+    assert len(bad) == 1 and bad[0]["path"].endswith("x.npy") and "magic" in bad[0]["unsupported"] and bad[0]["file_bytes"] == 8
+    for name in ("o", "x"):
+        with pytest.raises(Exception, match=f"{name}.npy"):
+            read_npy(spark, f"{tmp_path}/{name}.npy").count()
+    assert read_npy(spark, str(tmp_path), problems="skip").count() == 6
+
+
+@pytest.mark.parametrize("dtype", ["<f8", ">i4", "|u1", "<c8"])
+@pytest.mark.parametrize("order", ["C", "F"])
+@pytest.mark.parametrize("window", ["", "2:5", "::3, 1:4", "4, :, ::2", "-1", ":, 2, 1:2", "1:9:4, ::2, -2:", "5:2", "::2, ::2, ::2"])
+def test_windows_equal_numpy(spark, tmp_path, dtype, order, window):
+    a = np.asarray(np.random.default_rng(1).integers(0, 100, (9, 6, 5)).astype(dtype), order=order)
+    path = saved(tmp_path, "a", a)
+    keep = tuple(slice(int(p), int(p) + 1 or None) if p and ":" not in p else slice(*[int(x) if x else None for x in p.split(":")]) if p else slice(None) for p in (w.strip() for w in window.split(",")))
+    want = np.arange(a.size).reshape(a.shape)[keep].ravel()
+    with open(path, "rb") as f:
+        h = parse_header(f.read(500), 10**6)
+    selection = npy.Selection(h, npy.parse_window(window, h.shape))
+    places = selection.places(0, selection.size)
+    assert np.all(np.diff(places) > 0) and sorted(npy.logical_positions(places, h).tolist()) == want.tolist()
+    if window in ("::3, 1:4", "4, :, ::2"):
+        df = read_npy(spark, path, window=window, partition_bytes=64).orderBy("pos")
+        assert [(r["pos"], r["value"]) for r in df.collect()] == [(i, float(abs(a.ravel()[i]))) for i in want.tolist()]
+
+
+def test_window_reads_bytes_in_proportion(tmp_path):
+    """A 100 x 40 page and a decimated block of a 64 MB file."""
+    path = saved(tmp_path, "big", np.zeros((4096, 4096), np.float32))
+    h, read = npy.read_header(path), []
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n):
+            read.append(n)
+            return self.f.read(n)
+
+    for window, most in (("1000:1100, 2000:2040", 100 * 40 * 4), ("::64, ::64", 64 * 4096 * 4 + 64), ("7", 4096 * 4), (":, 5", 4096 * 4)):
+        read.clear()
+        selection = npy.Selection(h, npy.parse_window(window, h.shape))
+        with open(path, "rb") as f:
+            assert not npy._gather(Counted(f), h, selection.places(0, selection.size)).any()
+        assert sum(read) <= most
+
+
+def test_blocks_and_pages_of_files(spark, tmp_path):
+    a = np.random.default_rng(2).normal(size=(6, 50, 40))
+    for order in "CF":
+        path = saved(tmp_path, order, np.asarray(a, order=order))
+        plane = S.Plane(a.shape, 1, 2)
+        got = {(r["frame"], r["row"], r["col"]): r["value"] for r in npy.read_file_block(spark, path, plane, [1, 2], max_side=10).collect()}
+        assert got == {(f, i, j): a[f, i * 5, j * 4] for f in (1, 2) for i in range(10) for j in range(10)}
+        page = npy.read_file_window(spark, path, plane, frame=3, row0=45, col0=38).collect()
+        assert {(r["row"], r["col"]): r["value"] for r in page} == {(i, j): a[3, i, j] for i in range(45, 50) for j in (38, 39)}
+    v = saved(tmp_path, "v", np.arange(30.0))
+    assert sorted(r["value"] for r in npy.read_file_window(spark, v, S.vector_plane(30), col0=28).collect()) == [28, 29]
+    block = S.read_block(npy.read_npy(spark, v), S.vector_plane(30))
+    assert [r["value"] for r in S.decode_block(S.encode_block(block)).orderBy("i").collect()] == list(range(30))
+    assert [r["value"] for r in S.decode_block(S.encode_block(block, True), True).orderBy("i").collect()] == list(range(30))
 
 
 def test_truncated_file(spark, tmp_path):
@@ -69,14 +135,19 @@ def test_truncated_file(spark, tmp_path):
     open(path, "wb").write(data[:-24])
     assert read_npy(spark, path).count() == 7
     assert read_npy(spark, path, "meta").first()["truncated"]
+    past = read_npy(spark, path, window="5:9", exact=True).orderBy("pos").collect()
+    assert [r["exact"] for r in past] == ["5", "6", "--", "--"] and all(np.isnan(r["value"]) for r in past[2:])
+    assert sum(np.isnan(r["value"]) for r in npy.read_file_block(spark, path, S.vector_plane(10)).collect()) == 3
 
 
 def test_binary_reader(spark, tmp_path):
     a = np.asfortranarray(np.arange(12.0).reshape(3, 4))
     saved(tmp_path, "a", a)
     open(f"{tmp_path}/junk.npy", "wb").write(b"no array")
-    got = read_npy_binary(spark, str(tmp_path)).orderBy("pos").collect()
+    got = read_npy_binary(spark, str(tmp_path), problems="skip").orderBy("pos").collect()
     assert [r["value"] for r in got] == list(range(12))
+    with pytest.raises(Exception, match="junk"):
+        read_npy_binary(spark, str(tmp_path)).collect()
 
 
 def header(descr="'<f8'", shape="(3,)", major=1, extra="", fortran="False"):
