@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,12 @@ _MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set (local tests)."""
+    """The folder of ``spark.checkpoint.dir``; where none is set, a temporary one, but only if driver and executors are one process."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="lattica-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -30,6 +33,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put(spark: SparkSession, files: dict[str, bytes]) -> str:
+    """Writes small files to a new folder in the shared one, through Hadoop's file systems; returns the folder."""
+    folder = f"{shared_dir(spark).rstrip('/')}/put-{uuid.uuid4().hex}"
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(conf)
+    for name, data in files.items():
+        out = system.create(path(f"{folder}/{name}"))
+        out.write(bytearray(data))
+        out.close()
+    _MADE.append(folder)
+    return folder
+
+
 def clear(spark: SparkSession) -> int:
     """Removes all tables that :func:`cut` has written in this process, once the results made from them are stored; returns how many."""
     conf, n = spark.sparkContext._jsc.hadoopConfiguration(), len(_MADE)
