@@ -118,6 +118,37 @@ def png_planes(pixels: DataFrame) -> DataFrame:
     return pixels.select(*cols).groupBy("frame").applyInArrow(draw, "frame long, width int, height int, png binary")
 
 
+def unpng(data: bytes) -> tuple[int, int, bytes]:
+    """Width, height and RGBA rows of a picture that :func:`png` made."""
+    at, parts, width, height = 8, [], 0, 0
+    while at < len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        if kind == b"IHDR":
+            width, height = struct.unpack(">II", data[at + 8 : at + 16])
+        elif kind == b"IDAT":
+            parts.append(data[at + 8 : at + 8 + n])
+        at += n + 12
+    lines, step = zlib.decompress(b"".join(parts)), 4 * width + 1
+    return width, height, b"".join(lines[y * step + 1 : (y + 1) * step] for y in range(height))
+
+
+def png_pixels(pictures: DataFrame) -> DataFrame:
+    """frame, row, col, r, g, b, a of the pictures of :func:`png_planes`."""
+
+    def read(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for frame, data in zip(batch.column("frame").to_pylist(), batch.column("png").to_pylist(), strict=True):
+                w, h, raw = unpng(data)
+                row, col = np.divmod(np.arange(w * h), max(w, 1))
+                rgba = np.frombuffer(raw, np.uint8).reshape(-1, 4).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(w * h, frame)), pa.array(row), pa.array(col), *(pa.array(rgba[:, k]) for k in range(4))], names=["frame", "row", "col", *"rgba"])
+
+    return pictures.select("frame", "png").mapInArrow(read, "frame long, row long, col long, r int, g int, b int, a int")
+
+
 def shown_range(mode: Column, fixed: Column, low: Column, high: Column, p1: Column, p99: Column, block_low: Column, block_high: Column) -> Column:
     """Bounds that a ramp is stretched across.
 

@@ -258,10 +258,11 @@ def block_bounds(spark, d):
     return S.block_bounds(S.read_block(e, plane, max_side=16))
 
 
-@query()
+@query(f"SELECT row_number() OVER (ORDER BY r, c) - 1 AS i, v AS value FROM (SELECT r, CAST(CAST(unnest(embedding) AS FLOAT) AS DOUBLE) AS v, unnest(range(len(embedding))) AS c FROM {_ROW}), {_steps_sql(8)} WHERE r % rs = 0 AND c % cs = 0")
 def block_encoded(spark, d):
+    """The block after its way through base64 of float32 numbers."""
     e, plane = _matrix(spark, d)
-    return S.encode_block(S.read_block(e, plane, max_side=8))
+    return S.decode_block(S.encode_block(S.read_block(e, plane, max_side=8)))
 
 
 @query(f"SELECT r AS row, c AS col, v AS value FROM (SELECT r, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS c FROM {_ROW}) WHERE r BETWEEN 100 AND 199 AND c BETWEEN 0 AND 39")
@@ -270,10 +271,10 @@ def table_window(spark, d):
     return S.table_window(e, plane, row0=100).select("row", "col", "value")
 
 
-@query(f"WITH w AS (SELECT r, c, v FROM (SELECT r, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS c FROM {_ROW}) WHERE r < 10 AND c < 8) SELECT r AS row, c AS col, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) AS shade FROM w")
+@query(f"WITH w AS (SELECT r, c, v FROM (SELECT r, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS c FROM {_ROW}) WHERE r < 100 AND c < 40) SELECT r AS row, c AS col, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) AS shade FROM w")
 def cell_shading(spark, d):
     e, plane = _matrix(spark, d)
-    return _rounded(R.shade(S.table_window(e, plane, rows=10, cols=8)).select("row", "col", "shade"))
+    return _rounded(R.shade(S.table_window(e, plane)).select("row", "col", "shade"))
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS index, n_name FROM nation ORDER BY n_nationkey LIMIT 500")
@@ -309,15 +310,19 @@ def scalar_value(spark, d):
     return S.scalar(_matrix(spark, d)[0]).select("value")
 
 
-@query(f"SELECT r // 10 AS frame, r % 10 AS row, c AS col, v AS value FROM (SELECT r, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS c FROM {_ROW}) WHERE r // 10 BETWEEN 8 AND 15 AND r < (SELECT count(*) // 10 * 10 FROM embeddings)")
+@query(f"SELECT r // 10 AS frame, r % 10 AS row, c AS col, v AS value FROM (SELECT r, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS c FROM {_ROW}) WHERE r // 10 BETWEEN 8 AND 15")
 def frame_page(spark, d):
     """The second page of eight frames of the matrix cut into planes of 10 x 64."""
     e, whole = _matrix(spark, d)
-    plane = S.Plane((whole.shape[0] // 10, 10, 64), 1, 2)
-    return S.read_block(e.where(F.col("pos") < plane.frames * 640), plane, S.frame_page(plane, 1, 8), max_side=64).select("frame", "row", "col", "value")
+    plane = S.Plane((-(-whole.shape[0] // 10), 10, 64), 1, 2)
+    return S.read_block(e, plane, S.frame_page(plane, 1, 8), max_side=64).select("frame", "row", "col", "value")
 
 
-@query()
+@query(f"""
+WITH b AS (SELECT r, c, v, rs, cs FROM (SELECT r, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS c FROM {_ROW}), {_steps_sql(16)} WHERE r % rs = 0 AND c % cs = 0)
+SELECT CAST(0 AS BIGINT) AS frame, r // rs AS row, c // cs AS col, '[' || format('{{:,}}', r) || ', ' || c || '] = ' || CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR)
+  WHEN abs(v) < 1e-4 THEN regexp_replace(printf('%.3e', v), 'e-0', 'e-') ELSE CAST(CAST(printf('%.5e', v) AS DOUBLE) AS VARCHAR) END AS text FROM b
+""")
 def inspected_cells(spark, d):
     e, plane = _matrix(spark, d)
     return S.inspect(S.read_block(e, plane, max_side=16), S.block_steps(plane, 1, 16, 2_000_000))
@@ -328,24 +333,12 @@ def inspected_cells(spark, d):
 _CELL = f"(SELECT r, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS c FROM {_ROW})"
 
 
-@query(f"""
-WITH w AS (SELECT r, c, v FROM {_CELL} WHERE r < 20), b AS (SELECT min(v) AS lo, max(v) AS hi FROM w),
-k AS (SELECT *, CASE WHEN lo > 0 THEN lo ELSE hi / 1e4 END AS ll, greatest(abs(lo), abs(hi), 1e-12) AS bound FROM b)
-SELECT r AS row, c AS col, round((v - lo) / (hi - lo), 9) AS linear, round((ln(greatest(v, ll)) - ln(ll)) / (ln(hi) - ln(ll)), 9) AS log, round((sign(v) * ln(1 + abs(v)) / ln(1 + bound) + 1) / 2, 9) AS symlog FROM w, k
-""")
-def normalised(spark, d):
-    e, plane = _matrix(spark, d)
-    w = e.withColumns(plane.columns(F.col("pos"))).where("row < 20").select("row", "col", F.col("value").alias("v"))
-    w = w.crossJoin(F.broadcast(w.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))))
-    return _rounded(w.select("row", "col", *[C.normalise(F.col("v"), F.col("lo"), F.col("hi"), s).alias(s) for s in ("linear", "log", "symlog")]), 9)
-
-
 @query(f"""
 WITH w AS (SELECT r, c, v FROM {_CELL}), b AS (SELECT min(v) AS lo, max(v) AS hi FROM w),
 k AS (SELECT *, CASE WHEN lo > 0 THEN lo ELSE hi / 1e4 END AS ll, greatest(abs(lo), abs(hi), 1e-12) AS bound FROM b)
 SELECT r AS row, c AS col, round((v - lo) / (hi - lo), 9) AS linear, round((ln(greatest(v, ll)) - ln(ll)) / (ln(hi) - ln(ll)), 9) AS log, round((sign(v) * ln(1 + abs(v)) / ln(1 + bound) + 1) / 2, 9) AS symlog FROM w, k
 """)
-def normalised_whole(spark, d):
+def normalised(spark, d):
     w = _plane_values(spark, d)
     return _rounded(w.select("row", "col", *[C.normalise(F.col("v"), F.col("lo"), F.col("hi"), s).alias(s) for s in ("linear", "log", "symlog")]), 9)
 
@@ -374,29 +367,22 @@ def colour_ramps(spark, d):
 
 
 @query(f"""
-WITH w AS (SELECT r, c, v FROM {_CELL} WHERE r < 20), b AS (SELECT min(v) AS lo, max(v) AS hi FROM w), ramp AS ({_ramp_sql("viridis")})
+WITH w AS (SELECT r, c, v FROM {_CELL}), b AS (SELECT min(v) AS lo, max(v) AS hi FROM w), ramp AS ({_ramp_sql("viridis")})
 SELECT w.r AS row, c AS col, ramp.r, ramp.g, ramp.b, 255 AS a FROM w, b JOIN ramp ON ramp.i = least(greatest(CAST(floor((v - lo) / (hi - lo) * 255 + 0.5) AS INTEGER), 0), 255)
 """)
 def rendered_plane(spark, d):
-    e, plane = _matrix(spark, d)
-    w = e.withColumns(plane.columns(F.col("pos"))).where("row < 20").select("row", "col", F.col("value").alias("v"))
-    w = w.crossJoin(F.broadcast(w.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))))
-    return C.colour(w, F.col("v"), F.col("lo"), F.col("hi")).select("row", "col", "r", "g", "b", "a")
+    return C.colour(_plane_values(spark, d), F.col("v"), F.col("lo"), F.col("hi")).select("row", "col", "r", "g", "b", "a")
 
 
 @query(f"""
-WITH w AS (SELECT r, c, v FROM {_CELL}), b AS (SELECT min(v) AS lo, max(v) AS hi FROM w), ramp AS ({_ramp_sql("viridis")})
-SELECT w.r AS row, c AS col, ramp.r, ramp.g, ramp.b, 255 AS a FROM w, b JOIN ramp ON ramp.i = least(greatest(CAST(floor((v - lo) / (hi - lo) * 255 + 0.5) AS INTEGER), 0), 255)
+WITH w AS (SELECT r // rs AS row, c // cs AS col, v FROM {_CELL}, {_steps_sql(64)} WHERE r % rs = 0 AND c % cs = 0), ramp AS ({_ramp_sql("coolwarm")})
+SELECT CAST(0 AS BIGINT) AS frame, row, col, ramp.r, ramp.g, ramp.b, 255 AS a FROM w JOIN ramp ON ramp.i = least(greatest(CAST(floor((v + 1) / 2 * 255 + 0.5) AS INTEGER), 0), 255)
 """)
-def rendered_plane_whole(spark, d):
-    return C.colour(_plane_values(spark, d), F.col("v"), F.col("lo"), F.col("hi")).select("row", "col", "r", "g", "b", "a")
-
-
-@query()
 def png_plane(spark, d):
+    """All pixels of the picture, read back from its PNG."""
     e, plane = _matrix(spark, d)
     w = S.read_block(e, plane, max_side=64).withColumnRenamed("value", "v").withColumns({"lo": F.lit(-1.0), "hi": F.lit(1.0)})
-    return C.png_planes(C.colour(w, F.col("v"), F.col("lo"), F.col("hi"), "coolwarm").select("frame", "row", "col", "r", "g", "b", "a"))
+    return C.png_pixels(C.png_planes(C.colour(w, F.col("v"), F.col("lo"), F.col("hi"), "coolwarm").select("frame", "row", "col", "r", "g", "b", "a")))
 
 
 @query("SELECT * FROM (VALUES ('bool', '0 1'), ('byte', '0 255'), ('unit', '0 1'), ('signed', '-1 1'), ('wide', NULL)) AS t(name, range)")
@@ -478,18 +464,69 @@ WITH s AS (SELECT 'l_quantity' AS "column", l_quantity AS v FROM lineitem UNION
 m AS (SELECT "column", avg(v) AS mu, median(v) AS med, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) AS sd, count(DISTINCT v) AS u, bool_and(v = floor(v)) AS w, count(*) FILTER (WHERE v = 0) AS z FROM s GROUP BY 1),
 p AS (SELECT s."column", avg(pow(v - mu, 2)) AS m2, avg(pow(v - mu, 3)) AS m3, avg(pow(v - mu, 4)) AS m4, count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS o FROM s JOIN m USING ("column") GROUP BY 1),
 k AS (SELECT *, CASE WHEN m2 > 0 THEN m3 / pow(m2, 1.5) ELSE 0 END AS sk, CASE WHEN m2 > 0 THEN m4 / (m2 * m2) - 3 ELSE 0 END AS ku, (abs(mu) < 0.15 AND abs(sd - 1) < 0.2 AND NOT w) AS std1, (hi > lo AND lo >= 0 AND hi <= 1 AND NOT w) AS unit FROM m JOIN p USING ("column")),
+t AS (SELECT "column", max(c) / sum(c) AS top FROM (SELECT "column", v, count(*) AS c FROM s GROUP BY 1, 2) GROUP BY 1),
 f AS (SELECT "column", unnest([
-  CASE WHEN lo = hi THEN 'I6' END, CASE WHEN z / n > 0.5 THEN 'I7' END, CASE WHEN std1 THEN 'I8' END, CASE WHEN NOT std1 AND unit THEN 'I9' END,
-  CASE WHEN w AND u <= 2 AND lo >= 0 AND hi <= 1 THEN 'I11' END, CASE WHEN NOT (w AND u <= 2 AND lo >= 0 AND hi <= 1) AND w AND u <= 64 AND n > u * 4 THEN 'I12' END,
-  CASE WHEN abs(sk) > 1 THEN 'I13' END, CASE WHEN ku > 3 THEN 'I14' END, CASE WHEN o > 0 AND o / n > 0.01 THEN 'I15' END, CASE WHEN lo > 0 AND hi / lo > 1000 THEN 'I16' END, CASE WHEN lo <> hi THEN 'I20' END]) AS rule FROM k)
-SELECT "column", rule FROM f WHERE rule IS NOT NULL
+  CASE WHEN lo = hi THEN ['I6', 'warn', 'Constant array'] END, CASE WHEN z / n > 0.5 THEN ['I7', 'info', printf('%.1f', z / n * 100) || '% zeros'] END, CASE WHEN std1 THEN ['I8', 'good', 'Looks standardised'] END,
+  CASE WHEN NOT std1 AND unit THEN ['I9', 'good', 'Normalised to [0, 1]'] END, CASE WHEN w AND u <= 2 AND lo >= 0 AND hi <= 1 THEN ['I11', 'info', 'Binary data'] END,
+  CASE WHEN NOT (w AND u <= 2 AND lo >= 0 AND hi <= 1) AND w AND u <= 64 AND n > u * 4 THEN ['I12', CASE WHEN top > 0.6 THEN 'warn' ELSE 'info' END, 'Categorical — ' || u || ' distinct values'] END,
+  CASE WHEN abs(sk) > 1 THEN ['I13', 'info', CASE WHEN sk > 0 THEN 'Right' ELSE 'Left' END || '-skewed distribution'] END, CASE WHEN ku > 3 THEN ['I14', 'info', 'Heavy tails'] END,
+  CASE WHEN o > 0 AND o / n > 0.01 THEN ['I15', 'info', format('{:,}', o) || ' outliers'] END, CASE WHEN lo > 0 AND hi / lo > 1000 THEN ['I16', 'info', 'Wide dynamic range'] END,
+  CASE WHEN lo <> hi THEN ['I20', 'good', 'No missing values'] END]) AS x FROM k JOIN t USING ("column"))
+SELECT "column", x[1] AS rule, x[2] AS level, x[3] AS title FROM f WHERE x IS NOT NULL
 """
 
 
 @query(_TOLD)
 def observations(spark, d):
     line = _t(spark, d, "lineitem").select("l_quantity", "l_discount", "l_extendedprice", F.lit(1.0).alias("one"))
-    return I.insights(P.profile(line)).select("column", "rule")
+    return I.insights(P.profile(line)).select("column", "rule", "level", "title")
+
+
+# fixed values: what a file and its profile say, and the titles that follow
+_FLAGGED = [("cut", "truncated, 10 elements, 1 NaN", ["File is truncated", "1 NaN value"]), ("none", "no statistics", ["No numeric statistics"]), ("empty", "2 NaN, 1 inf", ["2 NaN values", "1 infinite values", "No finite values"]), ("bytes", "picture of bytes", ["Standard 8-bit image data", "Channels differ noticeably", "No missing values"]), ("sampled", "column-major, sampled", ["Fortran (column-major) order", "Quantiles are estimated", "No missing values"])]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {i}, '{t}')" for c, _, ts in _FLAGGED for i, t in enumerate(ts)) + ") AS t(\"column\", position, title)")
+def observations_of_files(spark, d):
+    """Rules that depend on the file rather than on its values."""
+    rows = [("cut", True, None, "float", 8, False, False, 10, 9, 1, 0, None), ("none", False, "Statistics do not apply.", "str", 4, False, False, None, 0, 0, 0, None), ("empty", False, None, "float", 8, False, False, 3, 0, 2, 1, None), ("bytes", False, None, "uint", 1, True, False, 900, 900, 0, 0, [10.0, 90.0]), ("sampled", False, None, "float", 8, False, True, 900, 900, 0, 0, None)]
+    kinds = "column string, truncated boolean, unsupported string, kind string, itemsize int, image_like boolean, fortran_order boolean, total long, finite long, nan long, pos_inf long, channel_means array<double>"
+    df = spark.createDataFrame(rows, kinds)
+    some = lambda v: F.when(F.col("finite") > 0, F.lit(v))
+    df = df.withColumns({"neg_inf": F.lit(0), "min": some(1.0), "max": some(250.0), "mean": some(60.0), "median": some(60.0), "std": some(70.0), "skewness": some(0.3), "kurtosis": some(0.1), "sparsity": some(0.0), "zeros": F.lit(0), "integral": F.lit(False), "unit_range": F.lit(False), "distinct": F.lit(None).cast("long"), "outliers": F.lit(0), "lower_fence": some(-9.0), "upper_fence": some(300.0)})
+    df = df.withColumns({"approximate": F.col("column") == "sampled", "sample_size": F.col("total"), "top_values": F.lit(None).cast("array<struct<value:double,count:bigint>>"), "declared_bytes": F.lit(80).cast("long"), "data_bytes": F.lit(72).cast("long")})
+    return I.insights(df).select("column", "position", "title")
+
+
+_LABELLED = [("short", 1234567.25, "1,234,570"), ("short", 0.1234567, "0.123457"), ("short", 2.5e-9, "2.500e-9"), ("tick", 0.25, "0.25"), ("tick", 2500000.0, "2.5e6"), ("tick", 0.00001, "1.0e-5"), ("tick", 0.0, "0"), ("duration", 12.0, "12 ms"), ("duration", 1234.0, "1.23 s"), ("skewness", 0.2, "roughly symmetric"), ("skewness", -2.0, "left tail"), ("kurtosis", 4.0, "heavier tails than normal"), ("kurtosis", 0.0, "near-normal tails"), ("ticks", 7.0, "7")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', CAST({v} AS DOUBLE), '{t}')" for k, v, t in _LABELLED) + ") AS t(kind, v, text)")
+def labels_shown(spark, d):
+    v = _values(spark, ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v, _ in _LABELLED), "kind, v")
+    text = F.lit(None).cast("string")
+    for k, c in (("short", X.short_number(F.col("v"))), ("tick", X.tick(F.col("v"))), ("duration", X.duration(F.col("v"))), ("skewness", X.skewness_label(F.col("v"))), ("kurtosis", X.kurtosis_label(F.col("v"))), ("ticks", X.number(D.tick_value(F.col("v").cast("long"))))):
+        text = F.when(F.col("kind") == k, c).otherwise(text)
+    return v.select("kind", "v", text.alias("text"))
+
+
+@query(f"SELECT r AS row, c AS col, CAST(round_even(least(greatest(v, 0), 1) * 255, 0) AS INTEGER) AS r, CAST(round_even(least(greatest(-v, 0), 1) * 255, 0) AS INTEGER) AS g, CAST(round_even(least(abs(v), 1) * 255, 0) AS INTEGER) AS b, 255 AS a FROM (SELECT r, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS c FROM {_ROW})")
+def rendered_channels(spark, d):
+    """Positive part, negative part and size of each cell as red, green and blue."""
+    e, plane = _matrix(spark, d)
+    v = F.col("value")
+    parts = F.array(v, -v, F.abs(v))
+    cells = e.withColumns(plane.columns(F.col("pos"))).select("frame", "row", "col", F.posexplode(parts).alias("channel", "value"))
+    return C.render_rgb(cells, True).select("row", "col", "r", "g", "b", "a")
+
+
+@query("SELECT * FROM (VALUES ('rgb', 0, 1, 2, NULL), ('wave', 0, 1, NULL, NULL), ('features', 0, 1, NULL, 1), ('rgba3', 1, 2, 0, NULL)) AS t(name, row_axis, col_axis, channel_axis, columns)")
+def axes_chosen(spark, d):
+    """Alternate axes where there are some, and the axis whose columns are described one by one."""
+    odd = _metas(spark).where("name = 'rgb'").withColumns({"name": F.lit("rgba3"), "shape": F.expr("array(3L, 50L, 4L)")})
+    both = _metas(spark).where(F.col("name").isin("rgb", "wave", "features")).unionByName(odd)
+    found = L.detect(both)
+    return L.choose(found, True).select("name", "row_axis", "col_axis", "channel_axis", L.column_axis(F.col("shape"), F.col("image_like")).alias("columns"))
 
 
 @query()
@@ -555,23 +592,13 @@ def shares_and_shapes(spark, d):
     return v.select("i", X.percent(F.col("a"), F.col("b")).alias("share"), X.shape(F.col("s")).alias("shape"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(t, '[\",\\n]') THEN '\"' || replace(t, '\"', '\"\"') || '\"' ELSE t END AS cell FROM (SELECT doc_id, substr(text, 1, 60) AS t FROM documents)")
-def csv_cells(spark, d):
-    return _t(spark, d, "documents").select("doc_id", X.csv_cell(F.substring("text", 1, 60)).alias("cell"))
-
-
-@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 197) || '...' ELSE text END AS cell, replace(replace(replace(replace(replace(substr(text, 1, 50), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM documents")
-def cut_cells(spark, d):
-    return _t(spark, d, "documents").select("doc_id", X.cut_cell(F.col("text")).alias("cell"), X.escape_html(F.substring("text", 1, 50)).alias("html"))
-
-
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '[\",\\n]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END AS cell FROM documents")
-def csv_cells_whole(spark, d):
+def csv_cells(spark, d):
     return _t(spark, d, "documents").select("doc_id", X.csv_cell(F.col("text")).alias("cell"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 197) || '...' ELSE text END AS cell, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM documents")
-def cut_cells_whole(spark, d):
+def cut_cells(spark, d):
     return _t(spark, d, "documents").select("doc_id", X.cut_cell(F.col("text")).alias("cell"), X.escape_html(F.col("text")).alias("html"))
 
 
@@ -583,37 +610,101 @@ def frequency_rule(spark, d):
 
 # ------------------------------------------------------------ array files
 
-def _fixture(spark: SparkSession) -> str:
-    """Small arrays in a folder that Spark shares or, locally, a temporary one."""
-    import tempfile
+def _files(spark: SparkSession) -> str:
+    """Small arrays in the shared folder; SQL knows their values by formula."""
+    import io
 
     import numpy as np
 
-    root = tempfile.mkdtemp(prefix="arrays-")
-    rng = np.random.default_rng(5)
-    np.save(f"{root}/field.npy", np.asfortranarray(rng.normal(size=(40, 30)).astype(">f8")))
-    np.save(f"{root}/counts.npy", rng.integers(0, 9, 500))
-    np.save(f"{root}/rec.npy", np.array([(1, 0.5, (1, 2, 3), b"a"), (2, 1.5, (4, 5, 6), b"bc")], [("id", "<i4"), ("score", "<f8"), ("colour", "u1", (3,)), ("label", "S12")]))
-    return root
+    from .store import put
 
+    field = (np.arange(1200) * 0.5 - 100).reshape(40, 30)
+    cube = (np.arange(6 * 20 * 16) % 251).reshape(6, 20, 16)
+    arrays = {
+        "field": np.asfortranarray(field.astype(">f8")), "cube": cube.astype("<f4"), "counts": 2**60 + np.arange(500), "complex": np.arange(50) * (3 + 4j), "half": (np.arange(200) / 8).astype("<f2"),
+        "days": np.arange(100).astype("M8[D]"), "rec": np.array([(i, i / 2, (i, i + 1, i + 2), b"r%d" % i) for i in range(30)], [("id", "<i4"), ("score", "<f8"), ("colour", "u1", (3,)), ("label", "S12")]),
+    }
+    files = {}
+    for name, a in arrays.items():
+        out = io.BytesIO()
+        np.save(out, a)
+        files[f"{name}.npy"] = out.getvalue()
+    files["cut.npy"] = files["half.npy"][:-100]  # 50 of 200 values are missing
+    return put(spark, files)
 
-@query()
-def npy_meta(spark, d):
+
+def _read(spark: SparkSession, name: str, *a, **kw) -> DataFrame:
     from .sources.npy import read_npy
 
-    return read_npy(spark, _fixture(spark), "meta").select("dtype", "shape", "fortran_order", "npy_version", "truncated")
+    return read_npy(spark, f"{_files(spark)}/{name}.npy", *a, **kw)
 
 
-@query()
-def npy_profile(spark, d):
+# fixed values: name, type, shape, order, truncated; the header of records is longer
+_META = [("complex", "complex128", "50", False, False), ("counts", "int64", "500", False, False), ("cube", "float32", "6 20 16", False, False), ("cut", "float16", "200", False, True), ("days", "datetime64[D]", "100", False, False), ("field", "float64", "40 30", True, False), ("half", "float16", "200", False, False), ("rec", "record[4 fields]", "30", False, False)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(_sql(x) for x in r) + f", '1.0', {192 if r[0] == 'rec' else 128})" for r in _META) + ") AS t(name, dtype, shape, fortran_order, truncated, npy_version, header_bytes)")
+def npy_meta(spark, d):
     from .sources.npy import read_npy
 
-    return _flat_profile(read_npy(spark, _fixture(spark) + "/field.npy").select("value"), ["value"])
+    meta = read_npy(spark, _files(spark), "meta")
+    return meta.select(F.regexp_extract("path", "([a-z]+)[.]npy$", 1).alias("name"), "dtype", F.array_join(F.col("shape").cast("array<string>"), " ").alias("shape"), "fortran_order", "truncated", "npy_version", F.col("header_bytes").cast("int").alias("header_bytes"))
 
 
-@query()
-def npy_records(spark, d):
+_ELEMENTS = {"field": "i * 0.5::DOUBLE - 100", "cube": "CAST(i % 251 AS DOUBLE)", "complex": "i * 5.0::DOUBLE", "half": "i / 8.0::DOUBLE", "days": "CAST(i AS DOUBLE)"}
+_SIZES = {"field": 1200, "cube": 1920, "complex": 50, "half": 200, "days": 100}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, i AS pos, {v} AS value FROM range({_SIZES[n]}) AS t(i)" for n, v in _ELEMENTS.items()))
+def npy_elements(spark, d):
+    """All elements of arrays in C and Fortran order, big and little-endian, of five types."""
     from .sources.npy import read_npy
 
-    return read_npy(spark, _fixture(spark) + "/rec.npy", "records").drop("path")
+    folder = _files(spark)
+    every = read_npy(spark, ",".join(f"{folder}/{n}.npy" for n in _ELEMENTS), partition_bytes=2048)
+    return every.select(F.regexp_extract("path", "([a-z]+)[.]npy$", 1).alias("name"), "pos", "value")
 
+
+@query("SELECT i AS pos, CAST(1152921504606846976 + i AS VARCHAR) AS exact FROM range(500) AS t(i)")
+def npy_exact(spark, d):
+    return _read(spark, "counts", exact=True).select("pos", "exact")
+
+
+@query("SELECT i AS pos, strftime(DATE '1970-01-01' + CAST(i AS INTEGER), '%Y-%m-%d') || ' 00:00:00.000' AS exact FROM range(100) AS t(i)")
+def npy_dates(spark, d):
+    return _read(spark, "days", exact=True).select("pos", "exact")
+
+
+@query("SELECT r AS row, c AS col, (r * 30 + c) * 0.5::DOUBLE - 100 AS value FROM range(40) AS a(r), range(30) AS b(c) WHERE r BETWEEN 35 AND 44 AND c BETWEEN 20 AND 25")
+def npy_window(spark, d):
+    """A page of a Fortran-ordered file, clipped to it; only its bytes are read."""
+    from .sources.npy import read_file_window
+
+    return read_file_window(spark, f"{_files(spark)}/field.npy", S.Plane((40, 30), 0, 1), row0=35, col0=20, rows=10, cols=6).select("row", "col", "value")
+
+
+@query("SELECT f AS frame, r // 3 AS row, c // 2 AS col, CAST((f * 320 + r * 16 + c) % 251 AS DOUBLE) AS value FROM range(6) AS x(f), range(20) AS a(r), range(16) AS b(c) WHERE f BETWEEN 2 AND 4 AND r % 3 = 0 AND c % 2 = 0")
+def npy_block(spark, d):
+    """A decimated block of three frames; only every third row is read."""
+    from .sources.npy import read_file_block
+
+    return read_file_block(spark, f"{_files(spark)}/cube.npy", S.Plane((6, 20, 16), 1, 2), [2, 3, 4], max_side=8).select("frame", "row", "col", "value")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS row, i AS col, CASE WHEN i < 150 THEN CAST(CAST(i / 8.0 AS DOUBLE) AS VARCHAR) ELSE '--' END AS text FROM range(200) AS t(i) WHERE i BETWEEN 141 AND 160 AND (i % 8 > 0 OR i >= 150)")
+def npy_truncated(spark, d):
+    """Around the end of a file that is cut; whole numbers are left to ``npy_exact``."""
+    from .sources.npy import read_file_window
+
+    page = read_file_window(spark, f"{_files(spark)}/cut.npy", S.vector_plane(200), col0=141, cols=20)
+    return page.where("col % 8 > 0 or col >= 150").select("row", "col", "text")
+
+
+@query(_profile_sql("SELECT 'value' AS \"column\", i * 0.5::DOUBLE - 100 AS v FROM range(1200) AS t(i)"))
+def npy_profile(spark, d):
+    return _flat_profile(_read(spark, "field").select("value"), ["value"])
+
+
+@query("SELECT i AS pos, CAST(i AS INTEGER) AS id, i / 2.0::DOUBLE AS score, i || ' ' || (i + 1) || ' ' || (i + 2) AS colour, 'r' || i AS label FROM range(30) AS t(i)")
+def npy_records(spark, d):
+    return _read(spark, "rec", "records").select("pos", "id", "score", F.array_join(F.col("colour").cast("array<string>"), " ").alias("colour"), "label")

@@ -270,9 +270,9 @@ def test_cells_of_whole_texts(spark, tmp_path):
 
     late = "x" * 70 + ',<b> & "q"\n' + "y" * 300
     spark.createDataFrame([(1, late), (2, "z" * 90), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    csv = {r["doc_id"]: r["cell"] for r in Q.QUERIES["csv_cells_whole"](spark, str(tmp_path)).collect()}
+    csv = {r["doc_id"]: r["cell"] for r in Q.QUERIES["csv_cells"](spark, str(tmp_path)).collect()}
     assert csv == {1: '"' + late.replace('"', '""') + '"', 2: "z" * 90, 3: None}
-    cut = {r["doc_id"]: (r["cell"], r["html"]) for r in Q.QUERIES["cut_cells_whole"](spark, str(tmp_path)).collect()}
+    cut = {r["doc_id"]: (r["cell"], r["html"]) for r in Q.QUERIES["cut_cells"](spark, str(tmp_path)).collect()}
     assert cut == {1: (late[:197] + "...", late.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")), 2: ("z" * 90, "z" * 90), 3: (None, None)}
 
 
@@ -282,11 +282,14 @@ def test_planes_whole(spark, tmp_path):
     from lattica import queries as Q
 
     spark.createDataFrame([(i, [float(i), -float(i)]) for i in range(50)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = Q.QUERIES["normalised_whole"](spark, str(tmp_path)).collect()
+    got = Q.QUERIES["normalised"](spark, str(tmp_path)).collect()
     assert {(r["row"], r["col"]): r["linear"] for r in got} == {(i, k): round((i * (1 - 2 * k) + 49) / 98, 9) for i in range(50) for k in range(2)}
-    assert Q.QUERIES["rendered_plane_whole"](spark, str(tmp_path)).count() == 100
-    drawn = Q.QUERIES["png_plane"](spark, str(tmp_path)).first()
+    assert Q.QUERIES["rendered_plane"](spark, str(tmp_path)).count() == 100
+    e, _ = Q._matrix(spark, str(tmp_path))
+    cells = e.selectExpr("0L as frame", "pos div 64 as row", "pos % 64 as col", "int(pmod(value, 256)) as r", "7 as g", "int(col) as b", "255 as a")
+    drawn = C.png_planes(cells).first()
     data = bytes(drawn["png"])
     at = data.index(b"IDAT")
     lines = zlib.decompress(data[at + 4 : at + 4 + int.from_bytes(data[at - 4 : at], "big")])
     assert data.endswith(b"IEND\xaeB`\x82") and len(lines) == drawn["height"] * (1 + 4 * drawn["width"])
+    assert sorted(map(tuple, C.png_pixels(C.png_planes(cells)).collect())) == sorted(map(tuple, cells.collect()))
