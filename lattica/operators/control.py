@@ -10,11 +10,12 @@ from contextlib import contextmanager
 from typing import Any
 
 import pyspark
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Seconds a probe and an analysis may take, and the options with their defaults.
-PROBE_SECONDS, ANALYSIS_SECONDS = 15, 180
-OPTIONS = {"exact_limit": 5_000_000, "histogram_bins": 64, "max_elements": 2_000_000, "image_max_side": 1600, "colormap": "viridis", "auto_normalize": True}
+#: Seconds a probe and an analysis may take, bytes of one text result, and the options with their defaults (exact_limit: values beyond which percentiles come from a sample; None: never).
+PROBE_SECONDS, ANALYSIS_SECONDS, OUTPUT_BYTES = 15, 180, 64 << 20
+OPTIONS = {"exact_limit": None, "histogram_bins": 64, "max_elements": 2_000_000, "image_max_side": 1600, "colormap": "viridis", "auto_normalize": True}
 #: Progress is reported in steps of this much.
 STEP = 0.02
 
@@ -29,6 +30,11 @@ def options(**given: Any) -> dict[str, Any]:
     return out
 
 
+def capped(text: Column, limit: int = OUTPUT_BYTES) -> Column:
+    """A text result; one of more than ``limit`` bytes is an error, as it would be gathered in one row."""
+    return F.when(F.octet_length(text) <= limit, text).when(text.isNotNull(), F.raise_error(F.concat(F.lit(f"the result has more than {limit} bytes: "), F.octet_length(text).cast("string"))))
+
+
 class Cancelled(RuntimeError):
     """The work was interrupted; there is no partial result."""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.color import png_planes
 from ..functions.text import csv_line
+from ..operators.control import capped
 
 
 def csv_lines(df: DataFrame, columns: list[str], index: str | None = None) -> DataFrame:
@@ -23,7 +24,7 @@ def csv_text(df: DataFrame, columns: list[str], index: str) -> DataFrame:
     """A window (a page of rows) as one CSV text, for the clipboard."""
     lines = csv_lines(df, columns, index)
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(index, "line"))), lambda x: x["line"]), "\n")
-    return lines.agg(F.concat(F.lit(csv_header(columns) + "\n"), body).alias("text"))
+    return lines.agg(capped(F.concat(F.lit(csv_header(columns) + "\n"), body)).alias("text"))
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str], index: str) -> None:
@@ -34,7 +35,7 @@ def write_csv(df: DataFrame, path: str, columns: list[str], index: str) -> None:
 def json_result(df: DataFrame) -> DataFrame:
     """Rows as JSON objects; numbers that are not finite become null, as JSON has none."""
     safe = [F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
-    return df.select(F.to_json(F.struct(*safe), {"ignoreNullFields": "false"}).alias("json"))
+    return df.select(capped(F.to_json(F.struct(*safe), {"ignoreNullFields": "false"})).alias("json"))
 
 
 def png_files(pixels: DataFrame) -> DataFrame:

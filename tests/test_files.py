@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lattica.functions import color as C
 from lattica.operators import control
 from lattica.operators.profile import profile
 from lattica.operators import slices as S
+from lattica.plans.analysis import analyse
 from lattica.sources import npy, sinks
 from lattica.sources.npy import NpyError, parse_header, read_npy, read_npy_binary
 from lattica.streaming.profiles import profile_arrivals, running_profile, windowed_profile
@@ -173,6 +175,34 @@ def test_profile_of_a_file(spark, tmp_path):
     assert p["median"] == pytest.approx(np.median(a)) and p["l2"] == pytest.approx(np.linalg.norm(a))
 
 
+def test_analysis_of_files(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    image = saved(tmp_path, "image", rng.integers(0, 256, (40, 30, 3)).astype("u1"))
+    a = analyse(spark, image, histogram_bins=32, image_max_side=10, auto_normalize=False)
+    assert a.layout.first()["semantic"] == "RGB image" and a.axes.count() == 3 and len(a.stats.first()["histogram"]["counts"]) == 32
+    assert {"I10", "I20"} <= {r["rule"] for r in a.insights.collect()}
+    assert a.block().agg(F.max("row"), F.max("col")).first()[:] == (9, 9)
+    assert a.window(row0=39).where("col = 0").first()["text"].count(",") == 2
+    assert C.unpng(bytes(a.picture().first()["png"]))[:2] == (10, 10)
+    matrix = analyse(spark, saved(tmp_path, "m", rng.normal(size=(70, 5))))
+    assert matrix.axes.orderBy("index").first()["label"] == "Column 0" and not matrix.stats.first()["approximate"]
+    assert analyse(spark, saved(tmp_path, "big", rng.normal(size=5000)), exact_limit=1000).stats.first()["approximate"]
+    for name, array, why in (("empty", np.zeros((0, 3)), "empty"), ("text", np.array(["a", "b"]), "do not apply")):
+        told = analyse(spark, saved(tmp_path, name, array))
+        assert [r["rule"] for r in told.insights.collect()] == ["I2"] and why in told.insights.first()["detail"] and told.stats.first()["total"] is None
+    open(f"{tmp_path}/junk.npy", "wb").write(b"junk")
+    assert "magic" in analyse(spark, f"{tmp_path}/junk.npy").insights.first()["detail"]
+    with pytest.raises(ValueError):
+        analyse(spark, image, nonsense=1)
+
+
+def test_results_are_capped(spark):
+    df = spark.createDataFrame([("é" * 5,)], "t string")
+    assert df.select(control.capped(F.col("t"), 10).alias("t")).first()["t"] == "é" * 5
+    with pytest.raises(Exception, match="more than 9 bytes"):
+        df.select(control.capped(F.col("t"), 9)).collect()
+
+
 def test_csv_and_json(spark, tmp_path):
     df = spark.createDataFrame([(0, 'a"b', "x,y"), (1, "plain", None)], "i int, a string, b string")
     assert sinks.csv_text(df, ["a", "b"], "i").first()["text"] == ',a,b\n0,"a""b","x,y"\n1,plain,'
