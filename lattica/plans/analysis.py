@@ -74,8 +74,8 @@ def analyse(spark: SparkSession, path: str, **given: Any) -> Analysis:
         shape = tuple(head["shape"])
         if detected["row_axis"] is not None:
             plane = vector_plane(shape[0]) if len(shape) == 1 else Plane(shape, detected["row_axis"], detected["col_axis"], detected["channel_axis"])
-        cells = read_npy(spark, path)
-        stats = profile(cells, ["value"], o["histogram_bins"], o["exact_limit"])
+        cells = read_npy(spark, path, columns=["pos", "value"])
+        stats = profile(cells if o["exact_limit"] else read_npy(spark, path, columns=["value"]), ["value"], o["histogram_bins"], o["exact_limit"])
         axis = detected["channel_axis"]
         name = "Channel"
         if axis is None and len(shape) == 2 and not detected["image_like"]:

@@ -34,6 +34,7 @@ MAX_HEADER = 1 << 20
 PARTITION_BYTES, BATCH_BYTES = 16 << 20, 2 << 20
 
 META = "path string, descr string, dtype string, kind string, itemsize int, little_endian boolean, numeric boolean, readable boolean, shape array<bigint>, ndim int, size bigint, data_bytes bigint, fortran_order boolean, npy_version string, header_bytes bigint, file_bytes bigint, fields array<struct<name:string,descr:string,dtype:string,kind:string,offset:bigint,itemsize:int,shape:array<bigint>>>, time_unit string, truncated boolean, unsupported string"
+COLUMNS = {"path": "string", "pos": "bigint", "value": "double", "exact": "string"}
 ELEMENTS = "path string, pos bigint, value double"
 EXACT = f"{ELEMENTS}, exact string"
 #: Bytes between wanted elements that are read rather than skipped, and bytes read at once for a window.
@@ -268,6 +269,15 @@ def read_header(path: str) -> Header:
         return parse_header(head, n)
 
 
+def _columns(options) -> list[str]:
+    """Columns of an element that are made: those of option ``columns``, or all but ``exact`` unless that is asked for."""
+    exact = options.get("exact", "false").lower() == "true"
+    out = [c.strip() for c in options["columns"].split(",")] if options.get("columns") else [c for c in COLUMNS if c != "exact" or exact]
+    if not out or set(out) - set(COLUMNS):
+        raise NpyError(f"columns are some of {', '.join(COLUMNS)}")
+    return out
+
+
 def _problem(path: str, why: str, file_bytes: int | None) -> tuple:
     return (path, *[None] * 14, file_bytes, None, None, None, why)
 
@@ -277,7 +287,7 @@ class NpyReader(DataSourceReader):
         self.schema, self.mode = schema, options.get("mode", "elements")
         self.paths = [p for p in (options.get("path") or "").split(",") if p]
         self.bytes = int(options.get("partition_bytes", PARTITION_BYTES))
-        self.window, self.exact = options.get("window"), options.get("exact", "false").lower() == "true"
+        self.window, self.columns = options.get("window"), _columns(options)
         self.skip = options.get("problems", "raise") == "skip"
 
     def partitions(self):
@@ -319,7 +329,7 @@ class NpyReader(DataSourceReader):
                 at = selection.places(s, n) if selection else np.arange(s, s + n, dtype=np.int64)
                 held = int(np.searchsorted(at, h.available))
                 a = _gather(f, h, at[:held])
-                yield self._records(part.path, at[:held], a, h) if self.mode == "records" else elements(part.path, at, a, h, self.exact)
+                yield self._records(part.path, at[:held], a, h) if self.mode == "records" else elements(part.path, at, a, h, self.columns)
 
     def _records(self, path: str, at: np.ndarray, a: np.ndarray, h: Header) -> pa.RecordBatch:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -351,17 +361,23 @@ def _gather(f, h: Header, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def elements(path: str, at: np.ndarray, a: np.ndarray, h: Header, exact: bool) -> pa.RecordBatch:
+def elements(path: str, at: np.ndarray, a: np.ndarray, h: Header, columns: list[str]) -> pa.RecordBatch:
     """Rows for the places ``at``; those after the values in ``a`` are missing."""
     gone = at.size - len(a)
-    if h.dtype.numeric:
-        values = pa.array(np.concatenate([numeric_view(a, h.dtype.kind), np.full(gone, np.nan)]), pa.float64(), from_pandas=False)
-    else:
-        values = pa.nulls(at.size, pa.float64())
-    cols = [pa.repeat(path, at.size), pa.array(logical_positions(at, h)), values]
-    if exact:
-        cols.append(pa.array(exact_text(a, h.dtype) + [MISSING] * gone, pa.string()))
-    return pa.RecordBatch.from_arrays(cols, names=["path", "pos", "value", "exact"][: len(cols)])
+
+    def values() -> pa.Array:
+        if not h.dtype.numeric:
+            return pa.nulls(at.size, pa.float64())
+        own = numeric_view(a, h.dtype.kind)
+        return pa.array(np.concatenate([own, np.full(gone, np.nan)]) if gone else own, pa.float64(), from_pandas=False)
+
+    make = {
+        "path": lambda: pa.repeat(path, at.size),
+        "pos": lambda: pa.array(logical_positions(at, h)),
+        "value": values,
+        "exact": lambda: pa.array(exact_text(a, h.dtype) + [MISSING] * gone, pa.string()),
+    }
+    return pa.RecordBatch.from_arrays([make[c]() for c in columns], names=columns)
 
 
 def _cell(v, dtype: DType):
@@ -391,7 +407,7 @@ class NpySource(DataSource):
         if mode == "meta":
             return META
         if mode == "elements":
-            return EXACT if self.options.get("exact", "false").lower() == "true" else ELEMENTS
+            return ", ".join(f"{c} {COLUMNS[c]}" for c in _columns(self.options))
         h = read_header(_Files.list(self.options["path"].split(",")[0])[0])
         if not h.dtype.fields:
             raise NpyError("records are asked for, but the array has no fields")
@@ -405,10 +421,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(NpySource)
 
 
-def read_npy(spark: SparkSession, path: str, mode: str = "elements", partition_bytes: int = PARTITION_BYTES, exact: bool = False, window: str | None = None, problems: str = "raise") -> DataFrame:
+def read_npy(spark: SparkSession, path: str, mode: str = "elements", partition_bytes: int = PARTITION_BYTES, exact: bool = False, window: str | None = None, problems: str = "raise", columns: list[str] | None = None) -> DataFrame:
     """Elements, records or metadata of one file or of all ``.npy`` files below a folder.
 
-    ``exact`` adds the exact text of each element.  ``window`` has a slice or
+    ``exact`` adds the exact text of each element; ``columns`` are all that is
+    made, as a scan of Python's sources is not told what is used.  ``window`` has a slice or
     number for each axis, as in ``"0:64, ::8, 3"``; bytes outside of it are not
     read, and its elements past the end of a truncated file are NaN, while a
     read of the whole array has the elements that are there.  A file that
@@ -417,7 +434,9 @@ def read_npy(spark: SparkSession, path: str, mode: str = "elements", partition_b
     """
     register(spark)
     reader = spark.read.format("npy").option("mode", mode).option("partition_bytes", partition_bytes).option("exact", str(exact).lower()).option("problems", problems)
-    return (reader if window is None else reader.option("window", window)).load(path)
+    for key, value in (("window", window), ("columns", ",".join(columns) if columns else None)):
+        reader = reader if value is None else reader.option(key, value)
+    return reader.load(path)
 
 
 def window_of(plane: Plane, frames: list[int], rows: range, cols: range) -> str:
@@ -454,6 +473,8 @@ def read_npy_binary(spark: SparkSession, path: str, exact: bool = False, problem
     A file that is no readable array raises, or is left out if ``problems`` is ``skip``.
     """
 
+    columns = _columns({"exact": str(exact)})
+
     def decode(batches):
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
@@ -469,7 +490,7 @@ def read_npy_binary(spark: SparkSession, path: str, exact: bool = False, problem
                 step = max(1, BATCH_BYTES // max(h.dtype.itemsize, 1))
                 for s in range(0, h.available, step):
                     a = np.frombuffer(raw, np.dtype(h.dtype.numpy), min(step, h.available - s), h.header_bytes + s * h.dtype.itemsize)
-                    yield elements(name, np.arange(s, s + len(a), dtype=np.int64), a, h, exact)
+                    yield elements(name, np.arange(s, s + len(a), dtype=np.int64), a, h, columns)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, EXACT if exact else ELEMENTS)
 

@@ -64,6 +64,7 @@ def test_meta_and_folder(spark, tmp_path):
     assert rows["a"]["fortran_order"] and rows["a"]["shape"] == [2, 3] and rows["a"]["unsupported"] is None
     assert rows["b"]["unsupported"] == "The array is empty." and rows["o"]["readable"] is False
     assert "exact" not in read_npy(spark, f"{tmp_path}/a.npy").columns
+    assert read_npy(spark, f"{tmp_path}/a.npy", columns=["value"]).columns == ["value"] and read_npy(spark, f"{tmp_path}/a.npy", columns=["value"]).count() == 6
     open(f"{tmp_path}/x.npy", "wb").write(b"no array")
     bad = read_npy(spark, str(tmp_path), "meta").where("dtype is null").collect()
     assert len(bad) == 1 and bad[0]["path"].endswith("x.npy") and "magic" in bad[0]["unsupported"] and bad[0]["file_bytes"] == 8
