@@ -15,6 +15,8 @@ __all__ = ["NO_ID", "cut", "keyed", "shared_dir", "unkeyed"]
 NO_ID = -(2**63)
 #: A key is frequent if it has more than one row in so many; there are fewer such keys than this, so their table is broadcast.
 FREQUENT = 1000
+#: Rows of keys that any one task can have.
+TASK_ROWS = 10_000
 #: Largest bit table that is broadcast, and its rows.
 SIEVE_BYTES, SIEVE_ROWS = 64 << 20, 256
 
@@ -35,7 +37,9 @@ def unkeyed(col: Column) -> Column:
 
 
 def frequent(table: DataFrame, on: list[str], total: int, count: str) -> list[int]:
-    """Hashes of the keys that more than one in FREQUENT of ``total`` rows have, so fewer than FREQUENT; ``count`` has the rows of a key."""
+    """Hashes of the keys that more than one in FREQUENT of ``total`` rows have, so fewer than FREQUENT; ``count`` has the rows of a key.  Of few rows none is: one task can have them all."""
+    if total <= TASK_ROWS:
+        return []
     return [r[0] for r in table.where(F.col(count) * FREQUENT > total).select(F.xxhash64(*on)).collect()]
 
 

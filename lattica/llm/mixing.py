@@ -74,7 +74,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(docs[id_col].cast("string"), F.lit("null"))).cast("binary"))
     slim = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"))
     slim = slim.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    buckets = slim.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    # a few rows a source, kept so that the texts are not counted again for the targets
+    buckets = cut(slim.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
     goal = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, most)
     goal = goal.withColumns({"epochs": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")})
     goal = goal.withColumn("rest", F.floor(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))
