@@ -30,7 +30,28 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _MADE.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def made() -> int:
+    """How many tables there are; for :func:`release`."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Removes the tables made after there were ``since``, but for those of ``keep``, once nothing else needs them."""
+    stay = {k.cut_path for k in keep}
+    _remove(spark, [p for p in _MADE[since:] if p not in stay])
+    _MADE[since:] = [p for p in _MADE[since:] if p in stay]
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def put(spark: SparkSession, files: dict[str, bytes]) -> str:
@@ -48,8 +69,7 @@ def put(spark: SparkSession, files: dict[str, bytes]) -> str:
 
 def clear(spark: SparkSession) -> int:
     """Removes all tables that :func:`cut` has written in this process, once the results made from them are stored; returns how many."""
-    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), len(_MADE)
-    while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(conf).delete(path, True)
+    n = len(_MADE)
+    _remove(spark, _MADE)
+    _MADE.clear()
     return n
