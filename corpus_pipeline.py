@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm._store import cut
+from lattica.llm._store import cut, made, release
 from lattica.llm.decontam import drop_contaminated
 from lattica.llm.exact_dedup import drop_copies
 from lattica.llm.mixing import mix_sources
@@ -46,14 +46,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("decontaminate", decontaminate), ("mix", mix)]
 
-#: SQL can express neither the classifier nor the tiling.  A test compares the documents that stay with planted ones and
-#: the mix of these, in all rows and columns, with the SQL of the mix; there is no brute-force version of all stages.
+#: SQL can express neither the classifier nor the tiling; a test compares all rows and columns with a plain Python version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages on ``documents``; between stages the documents are kept in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The result of all stages on ``documents``; between stages the documents are kept in the shared folder, and what a stage needed is removed."""
+    docs, begun = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else cut(docs), sf_dir)
+        if k:
+            docs = cut(docs)
+            release(spark, begun, docs)
+        docs = stage(spark, docs, sf_dir)
     return docs

@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..store import cut, shared_dir
+from ..store import cut, made, release, shared_dir
 
-__all__ = ["NO_ID", "cut", "keyed", "shared_dir", "unkeyed"]
+__all__ = ["NO_ID", "cut", "keyed", "made", "release", "shared_dir", "unkeyed"]
 
 #: Stands for a null id inside the operators: a null id precedes every other.
 NO_ID = -(2**63)

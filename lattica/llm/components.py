@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut, dealt_join, frequent
+from ._store import cut, dealt_join, frequent, made, release
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -26,6 +26,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
     takes about log n rounds.  Nodes with very many links meet their minimum
     by broadcast.
     """
+    begun = made()
     e = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
     state = _state(e)
     for _ in range(rounds):
@@ -35,6 +36,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
         low = _least(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         e = cut(small)
+        release(links.sparkSession, begun, e)
         now = _state(e)
         if now == state:
             break

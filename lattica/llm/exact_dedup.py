@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Sieve, content, cut, dealt_join, frequent, keyed, unkeyed, with_key, without
+from ._store import Sieve, content, cut, dealt_join, frequent, keyed, made, release, unkeyed, with_key, without
 
 #: Bits of a fingerprint; 48 make about one false suspect in 10**5 at 10**9 documents.
 BITS = 48
@@ -116,6 +116,7 @@ def _groups(src: DataFrame, n: int, bits: int, part_rows: int) -> tuple[DataFram
     ``src`` has d, t and text.  ``repeats`` counts the rows that equal the one
     that stays in id and text.
     """
+    begun = made()
     parts, owners = layout(n, part_rows)
     step = -(-(1 << bits) // owners)
     fp = F.conv(F.substring(F.hex("sha"), 1, 15), 16, 10).cast("long").bitwiseAND(F.lit((1 << bits) - 1))
@@ -135,7 +136,9 @@ def _groups(src: DataFrame, n: int, bits: int, part_rows: int) -> tuple[DataFram
     pos = F.struct("d", "t")
     groups = suspects.groupBy("sha", "d", "t").agg(F.count(F.lit(1)).alias("n")).groupBy("sha").agg(F.max(F.struct(pos.alias("pos"), "n")).alias("x"), F.sum("n").alias("size"))
     groups = groups.join(same, "sha").where("verified")
-    return marked.select("d", "t", "sha", "suspect"), cut(groups.select("sha", F.col("x.pos.d").alias("keep"), F.col("x.pos.t").alias("keep_t"), "size", F.col("x.n").alias("repeats")))
+    groups = cut(groups.select("sha", F.col("x.pos.d").alias("keep"), F.col("x.pos.t").alias("keep_t"), "size", F.col("x.n").alias("repeats")))
+    release(src.sparkSession, begun, marked, groups)
+    return marked.select("d", "t", "sha", "suspect"), groups
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, part_rows: int = PART_ROWS) -> DataFrame:

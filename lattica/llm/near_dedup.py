@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Sieve, content, cut, dealt_join, frequent, keyed, unkeyed, with_key, without
+from ._store import Sieve, content, cut, dealt_join, frequent, keyed, made, release, unkeyed, with_key, without
 from ._text import BYTE, LOWER, U, join, mix, pieces, span_names, texts, words
 from .components import components
 
@@ -244,6 +244,7 @@ def _links(src: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
 def _groups(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """A row per input row: d, t, n and the first (d, t) that can be reached (root_d, root_t)."""
     src = docs.select(keyed(docs, id_col), content(docs, text_col), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    begun = made()
     sketch = cut(src.mapInArrow(_sketch(k, ROWS * BANDS), "d long, t long, n long, k1 long, k2 long, regs binary"))
     total = sketch.count()
     classes = sketch.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("d", "t", "regs")).alias("x"), F.count(F.lit(1)).alias("rows"))
@@ -256,6 +257,7 @@ def _groups(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -
     found = classes.join(roots, "node", "left").where("rows > 1 or root is not null").select("k1", "k2", "n", "rows", F.coalesce("root", F.struct("d", "t")).alias("root"))
     rows = sketch.select("d", "t", "n", "k1", "k2")
     found = cut(found)
+    release(docs.sparkSession, begun, sketch, found)
     out = dealt_join(rows.where("n > 0"), found, ["k1", "k2", "n"], frequent(found, ["k1", "k2", "n"], total, "rows"), "left").select("d", "t", "n", "root").unionByName(rows.where("n = 0").select("d", "t", "n", F.struct("d", "t").alias("root")))
     return out.select("d", "t", "n", F.coalesce("root.d", "d").alias("root_d"), F.coalesce("root.t", "t").alias("root_t"))
 
