@@ -7,6 +7,8 @@ paths, and each becomes one text in a chat template.  DataFrame functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,8 @@ def climb(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
     ``messages`` has tree, node, parent, score.  A parent that isn't there
     makes a root.  Round k joins the table of round k - 1 with itself, one row
-    a node, so n messages in paths of m take n rows in each of log2(m) rounds.
+    for each node that has not reached its root, so paths of m messages take
+    log2(m) rounds, of which only long paths see the later ones.
     Nodes whose way up runs into a circle have no root and are left out.
     """
     own = messages.select("tree", "node", "parent", "score")
@@ -48,15 +51,18 @@ def climb(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     led = real.select("tree", F.col("up").alias("node"), F.col("leads").alias("led"))
     state = cut(state.join(led, ["tree", "node"], "left").select("tree", "node", "up", F.col("score").alias("total"), F.col("led").isNull().alias("leaf")))
     most = own.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    tables, step = [], 1
+    done, tables, step = [], [], 1
     while True:
-        open_rows = state.where("up is not null").select("tree", "node", "up")
-        if step >= 2 * most or open_rows.isEmpty():
-            return state.where("up is null").select("tree", "node", "total", "leaf"), tables
-        tables.append(open_rows)
-        above = state.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("total").alias("more"))
-        joined = state.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")), "left")
-        state = cut(joined.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), "leaf"))
+        # nodes that have reached their root are left alone from here on
+        done.append(state.where("up is null"))
+        going = state.where("up is not null")
+        if step >= 2 * most or going.isEmpty():
+            return reduce(DataFrame.unionByName, [x.select("tree", "node", "total", "leaf") for x in done]), tables
+        tables.append(going.select("tree", "node", "up"))
+        every = reduce(DataFrame.unionByName, [*done, going])
+        above = every.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("total").alias("more"))
+        joined = going.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")))
+        state = cut(joined.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), "leaf"))
         step *= 2
 
 
@@ -68,14 +74,9 @@ def ways(best: DataFrame, tables: list[DataFrame]) -> DataFrame:
     """
     rounds = [cut(best.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("distance")))]
     for k, jump in enumerate(tables):
-        found = rounds[0]
-        for more in rounds[1:]:
-            found = found.unionByName(more)
+        found = reduce(DataFrame.unionByName, rounds)
         rounds.append(cut(found.join(jump, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("distance") + (1 << k)).alias("distance"))))
-    out = rounds[0]
-    for more in rounds[1:]:
-        out = out.unionByName(more)
-    return out
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def format_chats(messages: DataFrame, branches: int = 1) -> DataFrame:
