@@ -215,8 +215,9 @@ def _links(src: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
     right = right.select("a", "b", F.pmod(F.xxhash64("b"), F.col("fans")).cast("int").alias("fan")).join(sets.select(F.col("node").alias("b"), *side("b")), "b")
     links = cut(right.join(left, ["a", "fan"]).where(_similar(percent)).select("a", "b"))
 
-    first = links.groupBy("b").agg(F.min("a").alias("a"))
-    label = first.alias("x").join(first.alias("y"), F.col("x.a") == F.col("y.b"), "left").select(F.col("x.b").alias("node"), F.coalesce("y.a", "x.a").alias("label"))
+    first = cut(links.groupBy("b").agg(F.min("a").alias("a")))
+    hubs = frequent(first.groupBy("a").agg(F.count(F.lit(1)).alias("links")), ["a"], first.count(), "links")
+    label = dealt_join(first, first.select(F.col("b").alias("a"), F.col("a").alias("up")), ["a"], hubs, "left").select(F.col("b").alias("node"), F.coalesce("up", "a").alias("label"))
     # pairs with the center are tested already, so buckets of two are done and the others go on without it
     rest = members.where("size > 2 and node != center").select("band", "node")
     labelled = rest.join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label").join(classes.select("node", "n"), "node")
