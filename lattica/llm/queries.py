@@ -14,7 +14,9 @@ from . import mixing as _mixing
 from . import near_dedup as _near
 from . import pii as _pii
 from . import quality as _quality
+from . import spelling as _spelling
 from . import suffix_dedup as _suffix
+from . import url_filter as _urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +80,25 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _langid.identify_languages(docs, known).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def _letter_lost(i, run):
+    """One run in about 31 loses a letter, by the hash of id and run."""
+    h = F.crc32(F.concat(i, F.lit(":"), run).cast("binary"))
+    at = F.pmod(h, F.length(run)).cast("int")
+    return F.when(F.pmod(h, F.lit(31)) == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spelling.spelling_variants(_table(spark, sf_dir, "documents"), edit=_letter_lost)
+
+
+#: The rules that the query is given.
+RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _urls.filter_urls(_table(spark, sf_dir, "pages"), RULES)
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -89,4 +110,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat": _chat.ORACLE.replace("{conversations}", "conversations"),
         "op9_near_dedup": _near.ORACLE.replace("{docs}", "documents"),
         "op8_exact_dedup": _exact.ORACLE.replace("{docs}", "documents"),
+        "op11_spelling": _spelling.ORACLE.replace("{docs}", "documents"),
+        "op12_url_filter": _urls.oracle(RULES).replace("{pages}", "pages"),
     }
