@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import color as C
 from .functions import dtype as D
 from .functions import text as X
+from .operators import grouped as G
 from .operators import profile as P
 from .operators import slices as S
 from .operators.sampling import hashed_sample
@@ -70,7 +71,10 @@ FROM s JOIN p ON p.c = s."column" GROUP BY "column"
 
 
 def _flat_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    p = P.profile(df, columns)
+    return _flat(P.profile(df, columns))
+
+
+def _flat(p: DataFrame) -> DataFrame:
     r = lambda c, k=6: F.round(c, k).alias(c)
     plain = ["total", "finite", "nulls", "nan", "zeros", "negatives", "positives"]
     return p.select(
@@ -92,6 +96,11 @@ def profile_by_column(spark, d):
     return _flat_profile(_t(spark, d, "lineitem"), _LINE)
 
 
+@query(_profile_sql("SELECT CAST(l_suppkey AS VARCHAR) AS \"column\", l_extendedprice AS v FROM lineitem"))
+def profile_by_supplier(spark, d):
+    return _flat(G.profile_by(_t(spark, d, "lineitem"), ["l_suppkey"], ["l_extendedprice"]).withColumn("column", F.col("l_suppkey").cast("string")))
+
+
 @query(_profile_sql("SELECT 's_acctbal' AS \"column\", s_acctbal AS v FROM supplier"))
 def profile_signed(spark, d):
     return _flat_profile(_t(spark, d, "supplier"), ["s_acctbal"])

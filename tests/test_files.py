@@ -242,3 +242,39 @@ def test_control(spark):
     with pytest.raises(ValueError):
         control.options(nosuch=1)
     assert {r["key"] for r in control.engine_info(spark).collect()} >= {"spark", "python"}
+
+
+def test_a_folder_is_analysed_file_by_file(spark, tmp_path):
+    from lattica.plans.analysis import analyse_all
+
+    rng = np.random.default_rng(4)
+    image = rng.integers(0, 256, (20, 30, 3)).astype("u1")
+    arrays = {"small": np.arange(100.0).reshape(10, 10), "large": np.asfortranarray(np.arange(600.0).reshape(20, 30) + 1000), "image": image, "flat": np.full(7, 2.5), "text": np.array(["a", "b"]), "none": np.zeros((0, 3))}
+    for name, array in arrays.items():
+        saved(tmp_path, name, array)
+    (tmp_path / "junk.npy").write_bytes(b"no array at all")
+    with pytest.raises(ValueError, match="several files"):
+        analyse(spark, str(tmp_path))
+    found = analyse_all(spark, str(tmp_path), histogram_bins=16)
+    stem = lambda r: r["path"].rsplit("/", 1)[1][:-4]
+    assert {stem(r) for r in found.meta.collect()} == {*arrays, "junk"}
+    stats = {stem(r): r for r in found.stats.collect()}
+    assert set(stats) == {"small", "large", "image", "flat"}
+    told, axes, layouts = {}, {}, {}
+    for r in found.insights.orderBy("position").collect():
+        told.setdefault(stem(r), []).append((r["rule"], r["title"], r["detail"]))
+    for r in found.axes.collect():
+        axes.setdefault(stem(r), {})[r["index"]] = r
+    for r in found.layout.collect():
+        layouts[stem(r)] = (r["primary"], r["semantic"])
+    for name in ("small", "large", "image", "flat"):
+        one = analyse(spark, f"{tmp_path}/{name}.npy", histogram_bins=16)
+        want = one.stats.first()
+        for f in want.asDict():
+            assert f == "column" or stats[name][f] == want[f] or abs(stats[name][f] - want[f]) <= 1e-9 * abs(want[f]), (name, f)
+        assert told[name] == [(r["rule"], r["title"], r["detail"]) for r in one.insights.orderBy("position").collect()]
+        assert layouts[name] == tuple(one.layout.select("primary", "semantic").first())
+        assert (one.axes is None) == (name not in axes)
+        for r in one.axes.collect() if one.axes else []:
+            assert axes[name][r["index"]]["mean"] == pytest.approx(r["mean"]) and axes[name][r["index"]]["count"] == r["count"]
+    assert all(told[name][0][0] == "I2" for name in ("text", "none", "junk"))
