@@ -6,9 +6,14 @@ text too, which costs far more.  Option ``mode`` is ``elements`` (default),
 ``records`` (a row for each record of a structured array) or ``meta`` (a row
 for each file).  Option ``window`` selects by axis (``0:64, ::8, 3``): only its
 bytes are read, and what lies past the end of a truncated file is NaN and
-``--``.  Files are read in ranges, one partition each, through pyarrow's file
-systems.  For stores that only Spark reads, :func:`read_npy_binary` takes whole
-files through Spark's own reader.  Nothing is ever unpickled.
+``--``.  Files are read in ranges through pyarrow's file systems; of many files
+none is opened while planning, as their headers are parsed where they are read.
+Where the session pushes filters to Python's sources
+(``spark.sql.python.filterPushdown.enabled``), comparisons of ``pos`` and tests
+of ``path`` select byte ranges and files.  ``spark.readStream.format("npy")``
+takes new files and what is appended to files that were still short.  For
+stores that only Spark reads, :func:`read_npy_binary` takes whole files through
+Spark's own reader.  Nothing is ever unpickled.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringEndsWith, StringStartsWith
 
 from ..functions.dtype import DType, parse_descr
 from ..operators.slices import PAGE_COLUMNS, PAGE_ROWS, Plane, block_steps, read_block, table_window
@@ -39,6 +44,10 @@ ELEMENTS = "path string, pos bigint, value double"
 EXACT = f"{ELEMENTS}, exact string"
 #: Bytes between wanted elements that are read rather than skipped, and bytes read at once for a window.
 GAP_BYTES, SPAN_BYTES = 4096, 8 << 20
+#: Files whose headers are read while planning, so that windows make no empty tasks; of more, none is opened there.
+FEW_FILES = 64
+#: Bytes that opening a file counts for where small files share a partition, and most files of a partition of headers.
+OPEN_BYTES, HEADERS = 1 << 20, 256
 #: Text of an element that a truncated file does not hold.
 MISSING = "--"
 
@@ -47,6 +56,10 @@ class NpyError(ValueError):
     """A file is not a NumPy array file that can be read."""
 
 
+class HeaderCutOff(NpyError):
+    """The file ends before its header does, as while it is being written."""
+
+
 @dataclass(frozen=True)
 class Header:
     dtype: DType
@@ -73,16 +86,16 @@ class Header:
 def parse_header(head: bytes, file_bytes: int) -> Header:
     """Parses the start of a file: versions 1 (16-bit length), 2 and 3 (32-bit); the dictionary must be a plain literal."""
     if head[:6] != MAGIC:
-        raise NpyError("not a NUMPY array file: wrong magic bytes")
+        raise (HeaderCutOff if MAGIC.startswith(head) else NpyError)("not a NUMPY array file: wrong magic bytes")
     major, minor = head[6:8] if len(head) >= 8 else (0, 0)
     if major not in (1, 2, 3):
         raise NpyError(f"unsupported format version {major}.{minor}")
     start, form = (10, "<H") if major == 1 else (12, "<I")
     if len(head) < start:
-        raise NpyError("the NUMPY header is cut off")
+        raise HeaderCutOff("the NUMPY header is cut off")
     n = struct.unpack(form, head[8:start])[0]
     if n > MAX_HEADER or len(head) < start + n:
-        raise NpyError("the NUMPY header is too long or cut off")
+        raise (NpyError if n > MAX_HEADER else HeaderCutOff)("the NUMPY header is too long or cut off")
     try:
         d = ast.literal_eval(head[start : start + n].decode("utf-8" if major == 3 else "latin-1").strip())
         shape = tuple(int(x) for x in d["shape"])
@@ -221,6 +234,14 @@ class Selection:
             rest //= len(r)
         return out
 
+    def before(self, place: int) -> int:
+        """How many of the elements lie before a place in the file."""
+        lo, hi = 0, self.size
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if int(self.places(mid, 1)[0]) < place else (lo, mid)
+        return lo
+
 
 @dataclass
 class _Range(InputPartition):
@@ -231,6 +252,26 @@ class _Range(InputPartition):
     problem: str | None = None
 
 
+@dataclass
+class _Pack(InputPartition):
+    """Byte ranges of files whose headers are not known yet: (path, first byte, end, bytes of the file); an end of None is that of the array."""
+
+    pieces: list[tuple[str, int, int | None, int]]
+
+
+def _packed(pieces: list[tuple[str, int, int | None, int]], most: int) -> list[_Pack]:
+    """Pieces together until they have about ``most`` bytes."""
+    out, room = [], 0
+    for p in pieces:
+        size = (p[3] if p[2] is None else p[2]) - p[1] + OPEN_BYTES
+        if not out or size > room:
+            out.append(_Pack([]))
+            room = max(most, size)
+        out[-1].pieces.append(p)
+        room -= size
+    return out
+
+
 class _Files:
     """Ranged reads through pyarrow's file systems; bytes that are not local come through Hadoop's when libhdfs is there."""
 
@@ -244,7 +285,8 @@ class _Files:
         return system.open_input_file(inner)
 
     @staticmethod
-    def list(path: str) -> list[str]:
+    def list(path: str) -> list[tuple[str, int]]:
+        """Path and bytes of each array file at or below ``path``; nothing is opened."""
         from pyarrow import fs
 
         if path.startswith("file:"):
@@ -253,10 +295,10 @@ class _Files:
         prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
         info = system.get_file_info(inner)
         if info.type == fs.FileType.Directory:
-            return sorted(prefix + f.path for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.path.endswith(".npy"))
+            return sorted((prefix + f.path, f.size) for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.path.endswith(".npy") and f.is_file)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(path)
-        return [prefix + inner]
+        return [(prefix + inner, info.size)]
 
 
 def read_header(path: str) -> Header:
@@ -282,54 +324,81 @@ def _problem(path: str, why: str, file_bytes: int | None) -> tuple:
     return (path, *[None] * 14, file_bytes, None, None, None, why)
 
 
-class NpyReader(DataSourceReader):
+class _Scan:
+    """What both readers share: options, filters, and reading a range of a file."""
+
     def __init__(self, schema: T.StructType, options: dict):
         self.schema, self.mode = schema, options.get("mode", "elements")
         self.paths = [p for p in (options.get("path") or "").split(",") if p]
         self.bytes = int(options.get("partition_bytes", PARTITION_BYTES))
         self.window, self.columns = options.get("window"), _columns(options)
         self.skip = options.get("problems", "raise") == "skip"
+        #: Bounds of ``pos`` (both included) and its listed values; tests that a path must pass.
+        self.low, self.high, self.among = 0, None, None
+        self.tests: list = []
+
+    def _files(self) -> list[tuple[str, int]]:
+        return [(p, n) for own in self.paths for p, n in _Files.list(own) if all(t(p) for t in self.tests)]
+
+    def _checked(self, path: str, h: Header) -> Header:
+        if not (h.dtype.readable and (self.mode == "records" or not h.dtype.fields)):
+            raise NpyError(f"{h.dtype.name} arrays are not read" + " as elements; use mode records" * bool(h.dtype.fields))
+        return h
+
+    def _numbers(self, h: Header, begin: int = 0, end: int | None = None) -> tuple[int, int]:
+        """The selected elements (by their number in file order) that begin in a byte range and may pass the filters."""
+        size = max(h.dtype.itemsize, 1)
+        first = -(-max(begin - h.header_bytes, 0) // size)
+        last = None if end is None else -(-max(end - h.header_bytes, 0) // size)
+        if not h.fortran or len(h.shape) < 2:
+            # positions are places
+            first = max(first, self.low)
+            last = last if self.high is None else min(self.high + 1, self.high + 1 if last is None else last)
+        if self.window is None:
+            return min(first, h.available), h.available if last is None else max(min(last, h.available), min(first, h.available))
+        own = Selection(h, parse_window(self.window, h.shape))
+        a = own.before(first)
+        return a, own.size if last is None else max(a, own.before(last))
+
+    def _passing(self, at: np.ndarray, h: Header) -> np.ndarray:
+        """The places whose positions pass the filters."""
+        if self.among is None and (not h.fortran or len(h.shape) < 2):
+            return at
+        pos = logical_positions(at, h)
+        ok = pos >= self.low
+        if self.high is not None:
+            ok &= pos <= self.high
+        if self.among is not None:
+            ok &= np.isin(pos, self.among)
+        return at[ok]
+
+    def _range(self, path: str, h: Header, start: int, count: int):
+        step = max(1, BATCH_BYTES // max(h.dtype.itemsize, 1))
+        selection = Selection(h, parse_window(self.window, h.shape)) if self.window is not None else None
+        with _Files.open(path) as f:
+            for s in range(start, start + count, step):
+                n = min(step, start + count - s)
+                at = self._passing(selection.places(s, n) if selection else np.arange(s, s + n, dtype=np.int64), h)
+                held = int(np.searchsorted(at, h.available))
+                a = _gather(f, h, at[:held])
+                yield self._records(path, at[:held], a, h) if self.mode == "records" else elements(path, at, a, h, self.columns)
 
-    def partitions(self):
-        out = []
-        for path in (f for p in self.paths for f in _Files.list(p)):
+    def _pack(self, part: _Pack):
+        for path, begin, end, size in part.pieces:
             try:
                 h = read_header(path)
-                if self.mode != "meta" and not (h.dtype.readable and (self.mode == "records" or not h.dtype.fields)):
-                    raise NpyError(f"{h.dtype.name} arrays are not read" + " as elements; use mode records" * bool(h.dtype.fields))
+                if self.mode == "meta":
+                    yield _header_row(path, h)
+                    continue
+                self._checked(path, h)
             except NpyError as e:
                 if self.mode == "meta":
-                    out.append(_Range(path, None, 0, 0, str(e)))
+                    yield _problem(path, str(e), size)
                 elif not self.skip:
                     raise NpyError(f"{path}: {e}") from e
                 continue
-            if self.mode == "meta":
-                out.append(_Range(path, h, 0, 0))
-                continue
-            step = max(1, self.bytes // max(h.dtype.itemsize, 1))
-            n = h.available if self.window is None else Selection(h, parse_window(self.window, h.shape)).size
-            out += [_Range(path, h, s, min(step, n - s)) for s in range(0, n, step)]
-        return out or [_Range("", None, 0, 0)]
-
-    def read(self, part: _Range):
-        h = part.header
-        if h is None:
-            if part.problem:
-                with _Files.open(part.path) as f:
-                    yield _problem(part.path, part.problem, f.size())
-            return
-        if self.mode == "meta":
-            yield _header_row(part.path, h)
-            return
-        step = max(1, BATCH_BYTES // max(h.dtype.itemsize, 1))
-        selection = Selection(h, parse_window(self.window, h.shape)) if self.window is not None else None
-        with _Files.open(part.path) as f:
-            for s in range(part.start, part.start + part.count, step):
-                n = min(step, part.start + part.count - s)
-                at = selection.places(s, n) if selection else np.arange(s, s + n, dtype=np.int64)
-                held = int(np.searchsorted(at, h.available))
-                a = _gather(f, h, at[:held])
-                yield self._records(part.path, at[:held], a, h) if self.mode == "records" else elements(part.path, at, a, h, self.columns)
+            a, b = self._numbers(h, begin, end)
+            yield from self._range(path, h, a, b - a)
 
     def _records(self, path: str, at: np.ndarray, a: np.ndarray, h: Header) -> pa.RecordBatch:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -345,6 +414,107 @@ class NpyReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(cols, names=[f.name for f in self.schema.fields])
 
 
+class NpyReader(_Scan, DataSourceReader):
+    def partitions(self):
+        files = self._files()
+        if self.mode == "meta":
+            each = min(HEADERS, -(-len(files) // FEW_FILES)) or 1
+            return [_Pack([(p, 0, None, n) for p, n in files[i : i + each]]) for i in range(0, len(files), each)] or [_Pack([])]
+        if len(files) > FEW_FILES:
+            cuts = lambda n: [*range(0, max(n, 1), self.bytes), None]
+            return _packed([(p, a, b, n) for p, n in files for a, b in zip(cuts(n)[:-1], cuts(n)[1:], strict=True)], self.bytes)
+        out: list = []
+        for path, _ in files:
+            try:
+                h = self._checked(path, read_header(path))
+            except NpyError as e:
+                if not self.skip:
+                    raise NpyError(f"{path}: {e}") from e
+                continue
+            step = max(1, self.bytes // max(h.dtype.itemsize, 1))
+            a, b = self._numbers(h)
+            out += [_Range(path, h, s, min(step, b - s)) for s in range(a, b, step)]
+        return out or [_Pack([])]
+
+    def read(self, part):
+        yield from self._pack(part) if isinstance(part, _Pack) else self._range(part.path, part.header, part.start, part.count)
+
+
+class NpyFilteringReader(NpyReader):
+    """The reader for sessions that push filters; those it takes are applied in full."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if not self._take(f):
+                yield f
+
+    def _take(self, f) -> bool:
+        if isinstance(f, IsNotNull):
+            return f.attribute in (("pos",), ("path",)) and self.mode != "meta"
+        value = getattr(f, "value", None)
+        if getattr(f, "attribute", None) == ("path",):
+            tests = {EqualTo: lambda p: p == value, In: lambda p: p in value, StringStartsWith: lambda p: p.startswith(value), StringEndsWith: lambda p: p.endswith(value)}
+            if type(f) in tests and value is not None:
+                self.tests.append(tests[type(f)])
+                return True
+            return False
+        if getattr(f, "attribute", None) != ("pos",) or self.mode == "meta":
+            return False
+        if isinstance(f, In):
+            own = np.array([v for v in value if v is not None], np.int64)
+            self.among = own if self.among is None else np.intersect1d(own, self.among)
+            self._between(int(own.min()) if own.size else 1, int(own.max()) if own.size else 0)
+            return True
+        bounds = {EqualTo: (value, value), GreaterThan: (value + 1, None), GreaterThanOrEqual: (value, None), LessThan: (None, value - 1), LessThanOrEqual: (None, value)}.get(type(f)) if isinstance(value, int) else None
+        if bounds is None:
+            return False
+        self._between(*bounds)
+        return True
+
+    def _between(self, low: int | None, high: int | None) -> None:
+        self.low = self.low if low is None else max(self.low, low)
+        self.high = self.high if high is None else high if self.high is None else min(self.high, high)
+
+
+class NpyStreamReader(_Scan, DataSourceStreamReader):
+    """Offsets are the bytes of each file that have been taken.
+
+    A batch has the elements that became whole since the last one: those of new
+    files, and of files that were short by their header and have grown.  A file
+    that is rewritten or shrinks isn't taken again.  The offset lists all files
+    of the folder, which bounds its use to some hundred thousand.
+    """
+
+    def initialOffset(self) -> dict:
+        return {"files": {}}
+
+    def latestOffset(self) -> dict:
+        return {"files": dict(self._files())}
+
+    def partitions(self, start: dict, end: dict):
+        before = start["files"]
+        grown = [(p, before.get(p, 0), n) for p, n in sorted(end["files"].items()) if n > before.get(p, 0)]
+        pieces = []
+        for p, a, n in grown:
+            cuts = [*range(a, n, self.bytes), n]
+            pieces += [(p, x, y, n) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        return _packed(pieces, self.bytes) or [_Pack([])]
+
+    def read(self, part: _Pack):
+        for path, begin, end, _ in part.pieces:
+            try:
+                h = self._checked(path, read_header(path))
+            except HeaderCutOff:
+                continue
+            except NpyError as e:
+                if self.skip:
+                    continue
+                raise NpyError(f"{path}: {e}") from e
+            # whole elements up to the last byte, less those that were whole before
+            whole = lambda n: min(max(n - h.header_bytes, 0) // max(h.dtype.itemsize, 1), h.available)  # noqa: B023, E731
+            yield from self._range(path, h, whole(begin), whole(end) - whole(begin))
+
+
 def _gather(f, h: Header, at: np.ndarray) -> np.ndarray:
     """The elements at ascending places: close ones come with one read, others are sought."""
     size, kind = h.dtype.itemsize, np.dtype(h.dtype.numpy)
@@ -408,13 +578,19 @@ class NpySource(DataSource):
             return META
         if mode == "elements":
             return ", ".join(f"{c} {COLUMNS[c]}" for c in _columns(self.options))
-        h = read_header(_Files.list(self.options["path"].split(",")[0])[0])
+        h = read_header(_Files.list(self.options["path"].split(",")[0])[0][0])
         if not h.dtype.fields:
             raise NpyError("records are asked for, but the array has no fields")
         return T.StructType([T.StructField("path", T.StringType()), T.StructField("pos", T.LongType()), *h.dtype.spark().fields])
 
     def reader(self, schema: T.StructType) -> NpyReader:
-        return NpyReader(schema, dict(self.options))
+        kind = NpyFilteringReader if self.options.get("pushdown", "false").lower() == "true" else NpyReader
+        return kind(schema, dict(self.options))
+
+    def streamReader(self, schema: T.StructType) -> NpyStreamReader:
+        if self.options.get("mode", "elements") == "meta" or self.options.get("window"):
+            raise NpyError("a stream has elements or records, without a window")
+        return NpyStreamReader(schema, dict(self.options))
 
 
 def register(spark: SparkSession) -> None:
@@ -428,17 +604,27 @@ def read_npy(spark: SparkSession, path: str, mode: str = "elements", partition_b
     made, as a scan of Python's sources is not told what is used.  ``window`` has a slice or
     number for each axis, as in ``"0:64, ::8, 3"``; bytes outside of it are not
     read, and its elements past the end of a truncated file are NaN, while a
-    read of the whole array has the elements that are there.  A file that
+    read of the whole array has the elements that are there.  Filters of
+    ``pos`` and ``path`` are pushed to the files if the session's setting
+    ``spark.sql.python.filterPushdown.enabled`` is on.  A file that
     cannot be read as asked raises, or is left out if ``problems`` is
     ``skip``; in mode ``meta`` it is a row with the reason in ``unsupported``.
     """
     register(spark)
     reader = spark.read.format("npy").option("mode", mode).option("partition_bytes", partition_bytes).option("exact", str(exact).lower()).option("problems", problems)
+    if spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true":
+        reader = reader.option("pushdown", "true")
     for key, value in (("window", window), ("columns", ",".join(columns) if columns else None)):
         reader = reader if value is None else reader.option(key, value)
     return reader.load(path)
 
 
+def stream_npy(spark: SparkSession, path: str, mode: str = "elements", exact: bool = False, problems: str = "raise", partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """The elements or records of arriving and growing files as a stream; a restart from its checkpoint takes each element once."""
+    register(spark)
+    return spark.readStream.format("npy").option("mode", mode).option("exact", str(exact).lower()).option("problems", problems).option("partition_bytes", partition_bytes).load(path)
+
+
 def window_of(plane: Plane, frames: list[int], rows: range, cols: range) -> str:
     """The window of :func:`read_npy` that holds these frames, rows and columns of a plane view, all channels."""
     by_axis = {plane.row: rows, plane.col: cols}
