@@ -301,6 +301,18 @@ class _Files:
         return [(prefix + inner, info.size)]
 
 
+def create(path: str, data: bytes) -> None:
+    """Writes a small file through pyarrow's file systems, with the folders above it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system.create_dir(inner.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(inner) as f:
+        f.write(data)
+
+
 def read_header(path: str) -> Header:
     with _Files.open(path) as f:
         n = f.size()

@@ -1,4 +1,4 @@
-"""CSV, JSON and PNG output."""
+"""CSV, JSON, PNG and array file output."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.color import png_planes
 from ..functions.text import csv_line
 from ..operators.control import capped
+from .npy import create
 
 
 def csv_lines(df: DataFrame, columns: list[str], index: str | None = None) -> DataFrame:
@@ -41,3 +42,40 @@ def json_result(df: DataFrame) -> DataFrame:
 def png_files(pixels: DataFrame) -> DataFrame:
     """Planes of r, g, b, a pixels as PNG binaries, one row for each frame."""
     return png_planes(pixels)
+
+
+def write_npy(df: DataFrame, folder: str, descr, width: int | None = None, fortran: bool = False) -> int:
+    """Writes one ``.npy`` file for each value of ``file``, in order of ``at``, from executors; returns how many.
+
+    The other columns are the values: one for plain types, real and imaginary
+    part for complex ones, one a field where ``descr`` is a list of fields.
+    With ``width`` the array has that many columns.  A file is made by one task
+    and has to fit in it; a task that runs again writes the same file.
+    ``folder`` is a path that pyarrow opens.
+    """
+    import numpy as np
+    import pandas as pd
+
+    values = [c for c in df.columns if c not in ("file", "at")]
+
+    def save(pdf: pd.DataFrame) -> pd.DataFrame:
+        import io
+
+        pdf = pdf.sort_values("at")
+        kind = np.dtype(descr)
+        if kind.fields:
+            a = np.zeros(len(pdf), kind)
+            for c in values:
+                a[c] = pdf[c].tolist()
+        elif kind.kind == "c":
+            a = (pdf[values[0]].to_numpy(float) + 1j * pdf[values[1]].to_numpy(float)).astype(kind)
+        else:
+            own = pdf[values[0]].to_numpy()
+            a = own.astype("i8").view(f"M8{kind.str[3:]}").astype(kind) if kind.kind == "M" else own.astype(kind)
+        a = a if width is None else a.reshape(-1, width)
+        out = io.BytesIO()
+        np.save(out, np.asfortranarray(a) if fortran else a)
+        create(f"{folder}/{pdf['file'].iloc[0]}.npy", out.getvalue())
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    return df.groupBy("file").applyInPandas(save, "n long").count()

@@ -73,3 +73,10 @@ def clear(spark: SparkSession) -> int:
     _remove(spark, _MADE)
     _MADE.clear()
     return n
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder in the shared one for tasks to write files to; :func:`clear` removes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
