@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sampling import bottom_k
 from .selection import exact_quantiles
 
 #: Fixed values of the profile: percentiles, the cap on distinct values, how many top values, extents of groups.
@@ -145,12 +146,6 @@ def value_counts(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
     return df.select(F.inline(F.array(*per))).where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _split(df: DataFrame, exact_limit: int | None, total: int, seed: int) -> DataFrame:
-    """A hashed sample of about ``exact_limit`` rows: the same rows on every run and for any partitioning."""
-    key = F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(1 << 20))
-    return df.where(key < max(1, round((1 << 20) * max(exact_limit, 1000) / total)))
-
-
 def distinct_values(df: DataFrame, values: Mapping[str, Column], bins: Mapping[str, list[tuple[float, float, int]]]) -> dict[str, tuple[int, list[tuple[float, int]]]]:
     """Number of distinct values and the most frequent ones, of columns that have at most DISTINCT_CAP.
 
@@ -198,12 +193,14 @@ def spread(df: DataFrame, value: Column) -> DataFrame:
     return df.sparkSession.createDataFrame([row], "lower_fence double, upper_fence double, outliers long, mad double")
 
 
-def profile(df: DataFrame, columns: Sequence[str] | None = None, bins: int = DEFAULT_BINS, exact_limit: int | None = None, seed: int = 0) -> DataFrame:
+def profile(df: DataFrame, columns: Sequence[str] | None = None, bins: int = DEFAULT_BINS, exact_limit: int | None = None, seed: int = 0, sample_key: Sequence[str] | None = None) -> DataFrame:
     """One row of statistics for each column, in the order given.
 
     Everything is exact unless ``exact_limit`` is set and a column has more
-    values: then percentiles, MAD, outliers and histogram come from a hashed
-    sample of about that size, counts are scaled and ``approximate`` is true.
+    values: then percentiles, MAD, outliers and histogram come from a sample of
+    that many rows (1000 at least), those with the smallest hashes of
+    ``sample_key`` or of all columns, counts are scaled and ``approximate`` is
+    true.
     NaN and infinities are counted and otherwise left out; nulls are counted
     apart and are not part of ``total``.
     """
@@ -213,7 +210,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, bins: int = DEF
     base = summarise(df, values)
     total = max((b["total"] for b in base.values()), default=0)
     sampled = exact_limit is not None and total > max(exact_limit, 1000)
-    source = _split(df, exact_limit, total, seed) if sampled else df
+    source = bottom_k(df, max(exact_limit, 1000), sample_key, seed) if sampled else df
     order = summarise(source, values) if sampled else base
     x = {c: finite(v) for c, v in values.items()}
     live = {c: (o["min"], o["max"]) for c, o in order.items() if o["finite"]}

@@ -13,7 +13,7 @@ from .functions import text as X
 from .operators import grouped as G
 from .operators import profile as P
 from .operators import slices as S
-from .operators.sampling import hashed_sample
+from .operators.sampling import bottom_k
 from .plans import insights as I
 from .plans import layout as L
 from .plans import report as R
@@ -36,10 +36,6 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _values(spark: SparkSession, sql_values: str, names: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {sql_values} AS t({names})")
-
-
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison: additions may go in another order elsewhere."""
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -214,15 +210,23 @@ def axis_channels(spark, d):
     return _rounded(P.axis_stats(e, F.col("label"), F.col("value")))
 
 
-@query()
+_BOTTOM = "ORDER BY substr(md5(l_orderkey || '|' || l_linenumber || '|0'), 1, 13), {rest} LIMIT {k}"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem {_BOTTOM.format(rest='l_orderkey, l_linenumber, l_extendedprice', k=500)}")
 def sample_hashed(spark, d):
-    return hashed_sample(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_orderkey", "l_linenumber"], 1, 10)
+    return bottom_k(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), 500, ["l_orderkey", "l_linenumber"])
 
 
-@query()
+@query(f"""
+WITH s AS (SELECT l_extendedprice AS v FROM lineitem {_BOTTOM.format(rest='l_orderkey, l_linenumber, l_extendedprice', k=5000)}), q AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, median(v) AS med FROM s), n AS (SELECT count(*) AS n FROM lineitem)
+SELECT 'l_extendedprice' AS "column", n AS total, CAST(5000 AS BIGINT) AS sample_size, true AS approximate, round(med, 6) AS median, CAST(floor((SELECT count(*) FROM s WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) * n / 5000 + 0.5) AS BIGINT) AS outliers,
+  round((SELECT mad(v) FROM s), 6) AS mad, round((SELECT quantile_cont(v, 0.99) FROM s), 6) AS p99 FROM q, n
+""")
 def profile_sampled(spark, d):
-    """Past an explicit limit, order statistics come from a hashed sample and say so."""
-    return P.profile(_t(spark, d, "lineitem"), ["l_extendedprice"], exact_limit=5000).select("column", "total", "sample_size", "approximate", "median", "outliers")
+    """Past an explicit limit, order statistics come from a sample of that size and say so."""
+    line = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return _rounded(P.profile(line, ["l_extendedprice"], exact_limit=5000, sample_key=["l_orderkey", "l_linenumber"]).select("column", "total", "sample_size", "approximate", "median", "outliers", "mad", "p99"))
 
 
 # -------------------------------------------------------- array slices, text
@@ -387,12 +391,9 @@ def default_ramps(spark, d):
 
 # ---------------------------------------------------- layout and observations
 
-def _sql(v) -> str:
-    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
-
-
 _TOLD = """
-WITH s AS (SELECT 'l_quantity' AS "column", l_quantity AS v FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL SELECT 'one', CAST(1 AS DOUBLE) FROM lineitem),
+WITH s AS (SELECT 'l_quantity' AS "column", l_quantity AS v FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL SELECT 'one', CAST(1 AS DOUBLE) FROM lineitem
+  UNION ALL SELECT 'rare', CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END FROM lineitem UNION ALL SELECT 'standard', (l_quantity - 25.5) / 14.43 FROM lineitem UNION ALL SELECT 'steep', pow(l_extendedprice / 1e4, 12) FROM lineitem),
 m AS (SELECT "column", avg(v) AS mu, median(v) AS med, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) AS sd, count(DISTINCT v) AS u, bool_and(v = floor(v)) AS w, count(*) FILTER (WHERE v = 0) AS z FROM s GROUP BY 1),
 p AS (SELECT s."column", avg(pow(v - mu, 2)) AS m2, avg(pow(v - mu, 3)) AS m3, avg(pow(v - mu, 4)) AS m4, count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS o FROM s JOIN m USING ("column") GROUP BY 1),
 k AS (SELECT *, CASE WHEN m2 > 0 THEN m3 / pow(m2, 1.5) ELSE 0 END AS sk, CASE WHEN m2 > 0 THEN m4 / (m2 * m2) - 3 ELSE 0 END AS ku, (abs(mu) < 0.15 AND abs(sd - 1) < 0.2 AND NOT w) AS std1, (hi > lo AND lo >= 0 AND hi <= 1 AND NOT w) AS unit FROM m JOIN p USING ("column")),
@@ -410,7 +411,9 @@ SELECT "column", x[1] AS rule, x[2] AS level, x[3] AS title FROM f WHERE x IS NO
 
 @query(_TOLD)
 def observations(spark, d):
-    line = _t(spark, d, "lineitem").select("l_quantity", "l_discount", "l_extendedprice", F.lit(1.0).alias("one"))
+    quantity, price = F.col("l_quantity"), F.col("l_extendedprice")
+    made = [F.lit(1.0).alias("one"), F.when(F.col("l_linenumber") == 1, quantity).otherwise(0.0).alias("rare"), ((quantity - 25.5) / 14.43).alias("standard"), F.pow(price / 1e4, F.lit(12.0)).alias("steep")]
+    line = _t(spark, d, "lineitem").select("l_quantity", "l_discount", "l_extendedprice", *made)
     return I.insights(P.profile(line)).select("column", "rule", "level", "title")
 
 

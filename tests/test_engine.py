@@ -293,3 +293,13 @@ def test_planes_whole(spark, tmp_path):
     lines = zlib.decompress(data[at + 4 : at + 4 + int.from_bytes(data[at - 4 : at], "big")])
     assert data.endswith(b"IEND\xaeB`\x82") and len(lines) == drawn["height"] * (1 + 4 * drawn["width"])
     assert sorted(map(tuple, C.png_pixels(C.png_planes(cells)).collect())) == sorted(map(tuple, cells.collect()))
+
+
+@pytest.mark.parametrize("k", [0, 1, 7, 999, 5000])
+def test_bottom_k_has_exactly_k_rows(spark, k):
+    from lattica.operators.sampling import bottom_k
+
+    df = spark.range(1000).select((F.col("id") % 200).alias("key"), F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("x"))
+    pick = lambda d: sorted(map(repr, map(tuple, bottom_k(d, k, ["key"], seed=4).collect())))
+    rows = pick(df)
+    assert len(rows) == min(k, 1000) and rows == pick(df.repartition(7)) and not set(map(tuple, bottom_k(df, k).collect())) - set(map(tuple, df.collect()))

@@ -14,10 +14,18 @@ from lattica.operators import slices as S
 from lattica.plans import insights as I
 from lattica.plans import layout as L
 from lattica.plans import report as R
-from lattica.queries import _flat_profile, _profile_sql, _ramp_sql, _sql, _values
+from lattica.queries import _flat_profile, _profile_sql, _ramp_sql
 
 from .test_queries import plain
 
+def _values(spark: SparkSession, sql_values: str, names: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {sql_values} AS t({names})")
+
+
+def _sql(v) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
+
+
 KNOWN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ANSWERS: dict[str, str] = {}
 
