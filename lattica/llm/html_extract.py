@@ -7,7 +7,8 @@ links.  The best container, or the article or main element that it is in, and
 siblings with enough points are kept, without the parts that are furniture by
 element, role or name.  Names may mislead: a part cut by name comes back if it
 has the page's only article or main element, outscores the chosen container,
-or holds most of the text.
+or holds most of the text.  Text of inline elements that are furniture (buttons,
+hidden spans, links that are named adverts) is left out of its block.
 
 All passes are linear in the page: what depends on ancestors is carried down,
 what depends on descendants is summed up, and the parser knows for each tag
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</?([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|</?([A-Za-z][^\s/>]*+)([^>]*+)>", re.S)
+#: What may begin after the last ">" of a page: it goes on to the end.
+_UNENDED = re.compile(r"<[!?].*", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -92,6 +95,11 @@ def _named(tag: str, names: list[set[str]], in_article: bool) -> bool:
     return any(n & bad and n <= _PLACES for n in names) or not any(n & _GOOD and not n & _NAMES for n in names)
 
 
+def _insert(tag: str, names: list[set[str]]) -> bool:
+    """Whether an inline element's own text is furniture: each of its names says so and nothing else."""
+    return tag not in _BLOCK and bool(names) and all(n & _NAMES and n <= _PLACES for n in names)
+
+
 class Tree:
     """Elements (tag, parent, names, furniture or inside it, furniture by its own name) and text blocks (element, text, characters in links), in page order."""
 
@@ -99,37 +107,44 @@ class Tree:
         self.tag, self.parent, self.names, self.hard, self.named = ["#"], [0], [[]], [False], [False]
         #: Carried down: the nearest block element, whether a link is open, whether an article or main element is.
         self.block, self.link, self.in_article = [0], [False], [False]
+        #: Whether text in it is left out although its block may stay: it is in an inline element that is furniture.
+        self.left_out = [False]
         self.blocks: list[tuple[int, str, int]] = []
         # the open elements; for each the depth of the nearest block element and of the paragraph that a new block ends
         self._stack, self._block_at, self._p_at = [0], [0], [0]
         self._open_at: dict[str, list[int]] = {}
         self._text: list[str] = []
         self._links, at, n = 0, 0, len(page)
+        last = page.rfind(">")
         while at < n:
-            m = _TAG.search(page, at)
+            # after the last ">" no tag ends: each would be sought to the end of the page
+            m = _TAG.search(page, at, last + 1) if at <= last else _UNENDED.search(page, at)
             if m is None:
-                self._add(page[at:])
-                break
+                self._add(page[at : last + 1] if at <= last else page[at:])
+                at = last + 1 if at <= last else n
+                continue
             self._add(page[at : m.start()])
-            at = m.end()
-            name = (m[1] or m[3] or "").lower()
+            whole, named, at = m.group(), m.re is _TAG and (m[1] or m[3]), m.end()
+            if whole.startswith("<!--") and not whole.endswith("-->") or whole.startswith("<![CDATA[") and not whole.endswith("]]>"):
+                whole, at = page[m.start() :], n
+            name = (named or "").lower()
             if not name:
-                if m.group().startswith("<![CDATA["):
-                    self._text.append(_html.escape(m.group()[9:].removesuffix("]]>")))
+                if whole.startswith("<![CDATA["):
+                    self._add(_html.escape(whole[9:].removesuffix("]]>")))
                 continue
             if m.group()[1] == "/":
                 self._close(name)
                 continue
             raw = m[2] if m[1] else m[4]
             if name in _RAW:
-                end = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)
+                end = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at) if at <= last else None
                 at = end.end() if end else n
                 continue
             self._open(name, raw or "")
         self._flush()
 
     def _add(self, s: str) -> None:
-        if s:
+        if s and not self.left_out[self._stack[-1]]:
             self._text.append(s)
             self._links += len(s) * self.link[self._stack[-1]]
 
@@ -174,6 +189,8 @@ class Tree:
         self.hard.append(self.hard[up] or _furniture(tag, attrs, inside))
         self.named.append(_named(tag, self.names[-1], inside))
         self.block.append(number if tag in _BLOCK else self.block[up])
+        inline = tag not in _BLOCK
+        self.left_out.append(inline and (self.left_out[up] or _furniture(tag, attrs, inside) or _insert(tag, self.names[-1])))
         self.link.append(self.link[up] or tag == "a")
         self.in_article.append(inside or tag in ("article", "main"))
         if not raw.rstrip().endswith("/") or tag in _BLOCK or tag == "a":

@@ -324,6 +324,32 @@ def test_time_grows_with_the_page(unit):
     assert time.time() - began < 10
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<a b=", "<a '", "</a ", "<a \"", "<!", "</script "])
+@pytest.mark.parametrize("before", ["", "<p>text</p>", "text>", "<script>"])
+def test_tags_that_never_close_take_no_longer(unit, before):
+    began = time.time()
+    found = html_extract.extract(before + unit * (1_000_000 // len(unit)))
+    assert time.time() - began < 10
+    assert "text" in found or "text" not in before
+
+
+INSERTS = ["<button>SHARE</button>", "<select><option>ONE<option>TWO</select>", "<svg><text>LOGO</text></svg>", "<canvas>NO CANVAS</canvas>", "<video src=x>NO VIDEO</video>", "<span style='display: none'>HIDDEN</span>", "<span hidden>HIDDEN</span>", "<i aria-hidden='true'>ICON</i>", "<span class='advert'>BUY NOW</span>", "<a href=x class='sponsored'>BUY NOW</a>", "<object>PLUGIN</object>", "<template>LATER</template>", "<label hidden><b>DEEP</b></label>"]
+
+
+@pytest.mark.parametrize("insert", INSERTS)
+def test_inline_furniture_is_left_out(insert):
+    said = "A paragraph of the article, long enough to count, with a few commas, and an end."
+    page = f"<html><body><article><h1>Title</h1><p>{said}</p><p>Another {insert}one, with words before and after it.</p>{insert}<p>{said}</p></article></body></html>"
+    assert html_extract.extract(page) == f"Title\n\n{said}\n\nAnother one, with words before and after it.\n\n{said}"
+
+
+def test_inline_elements_that_are_no_furniture_stay():
+    said = "Some <span class='highlight'>marked</span> words, <a class='external link' href=x>a link</a>, <em class='note'>a note</em>, <b class='ad-hoc'>ad hoc</b>, and an end <unended"
+    assert html_extract.extract(f"<article><p>{said}") == "Some marked words, a link, a note, ad hoc, and an end <unended"
+    assert html_extract.extract("<article><p>One, two.</p><!-- never ends <p>three</p>") == "One, two."
+    assert html_extract.extract("<article><p>One, <![CDATA[two & <b>]]> three") == "One, two & <b> three"
+
+
 def test_scores_match_brute_force():
     """Every block's points, halved for each step up, summed over all ancestors one by one."""
     rng = random.Random(21)
