@@ -19,25 +19,10 @@ from pyspark.sql import types as T
 
 from ..store import cut
 from .profile import DEFAULT_BINS, DISTINCT_CAP, PERCENTILES, STATS_SCHEMA, TOP, as_values, basic_aggregates, bin_of, finite, numeric_columns, percentile_name
+from .selection import BINS, EVEN, FAR, LIST, image
 
-#: Values of an interval that are ranked by one task, and bins of a larger one in a scan.
-LIST, BINS = 20_000, 8192
 #: Entries of a table of groups that is broadcast; a larger one is joined by group and salt.
 BROADCAST, SALTS = 200_000, 64
-#: Ends of a positive interval may differ by this factor and still be cut into equal bins.
-EVEN = 4.0
-
-#: Smallest and largest exponents of a double.
-_LEAST, _MOST = -1074, 1023
-
-
-def image(x: Column) -> Column:
-    """A piecewise linear logarithm with sign: grows with the double, and bins of equal width in it are as fine at 1e-300 as at 1e300."""
-    a = F.abs(x)
-    e = F.least(F.greatest(F.floor(F.log2(a)), F.lit(_LEAST)), F.lit(_MOST)).cast("double")
-    return F.when(x == 0, 0.0).otherwise(F.signum(x) * (e - _LEAST + a / F.pow(F.lit(2.0), e)))
-
-
 def _salted(rows: DataFrame, table: DataFrame, entries: int, how: str, broadcast: int) -> DataFrame:
     """``rows`` joined with ``table``, which has one row a group (g, c) and ``entries`` entries in all."""
     if entries <= broadcast:
@@ -51,7 +36,7 @@ def _holding(intervals: DataFrame) -> DataFrame:
     lo, hi = F.col("lo"), F.col("hi")
     even = (F.signum(lo) * F.signum(hi) > 0) & (F.greatest(F.abs(lo), F.abs(hi)) <= EVEN * F.least(F.abs(lo), F.abs(hi)))
     # equal bins suit most columns at first; what then holds too many values is cut by the image
-    by_image = ~even & ~(F.col("first") & ((lo * hi <= 0) | (F.greatest(F.abs(lo), F.abs(hi)) <= 2.0**40 * F.least(F.abs(lo), F.abs(hi)))))
+    by_image = ~even & ~(F.col("first") & ((lo * hi <= 0) | (F.greatest(F.abs(lo), F.abs(hi)) <= FAR * F.least(F.abs(lo), F.abs(hi)))))
     bins = F.least(F.lit(BINS), F.greatest(F.lit(1024), F.floor(F.col("n") / 16))).cast("int")
     one = F.struct(lo.alias("lo"), hi.alias("hi"), F.when(by_image, image(lo)).otherwise(lo / 2).alias("from"), F.when(by_image, image(hi)).otherwise(hi / 2).alias("to"), by_image.alias("by_image"), bins.alias("bins"))
     return intervals.groupBy("g", "c").agg(F.collect_list(one).alias("open"))

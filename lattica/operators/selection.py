@@ -22,34 +22,47 @@ from pyspark.sql import functions as F
 BINS = 8192
 #: Values of a bin that are listed rather than refined.
 LIST = 20_000
+#: Ends of an interval on one side of zero may differ by this factor and still be cut into equal bins; those of a whole column by the second.
+EVEN, FAR = 4.0, 2.0**40
 
+#: Smallest and largest exponents of a double.
+_LEAST, _MOST = -1074, 1023
 
-def _code(value: Column, intervals: list[tuple[float, float]]) -> Column:
+
+def image(x: Column) -> Column:
+    """A piecewise linear logarithm with sign: grows with the double, and bins of equal width in it are as fine at 1e-300 as at 1e300."""
+    a = F.abs(x)
+    e = F.least(F.greatest(F.floor(F.log2(a)), F.lit(_LEAST)), F.lit(_MOST)).cast("double")
+    return F.when(x == 0, 0.0).otherwise(F.signum(x) * (e - _LEAST + a / F.pow(F.lit(2.0), e)))
+
+
+
+def _bin(value: Column, lo: float, hi: float, whole: bool) -> Column:
+    """Bin of a value between two bounds: equal ones, or equal in the image where an interval spans magnitudes.
+
+    Equal bins suit most ``whole`` columns; what then holds too many values near
+    zero is cut by the image.  After that an interval is even, so each scan adds
+    13 binary digits: five settle any column.
+    """
+    apart = max(abs(lo), abs(hi)) > (FAR if whole else EVEN) * min(abs(lo), abs(hi)) if lo * hi > 0 else not whole
+    # halves, as a span may be too large for a double
+    at, a, b = (image(value), image(F.lit(lo)), image(F.lit(hi))) if apart else (value / 2, F.lit(lo / 2), F.lit(hi / 2))
+    return F.least(F.floor((at - a) / (b - a) * BINS), F.lit(BINS - 1))
+
+
+def _code(value: Column, intervals: list[tuple[float, float]], whole: bool = False) -> Column:
     """interval * BINS + bin of a value, null outside all intervals (which don't overlap)."""
-    if len(intervals) > 3 and all(math.isfinite(hi - lo) for lo, hi in intervals):
-        # halving by comparisons: about log2(n) of them a value, in one expression that is compiled
-        order = sorted(range(len(intervals)), key=lambda i: intervals[i])
-
-        def within(own: list[int]) -> Column:
-            if len(own) > 1:
-                half = len(own) // 2
-                return F.when(value < F.lit(intervals[own[half]][0]), within(own[:half])).otherwise(within(own[half:]))
-            lo, hi = intervals[own[0]]
-            share = F.least(F.floor((value - F.lit(lo)) / F.lit(hi - lo) * BINS), F.lit(BINS - 1))
-            return F.when((value >= F.lit(lo)) & (value <= F.lit(hi)), share + own[0] * BINS)
-
-        return within(order).cast("int")
-    out = None
-    for i, (lo, hi) in enumerate(intervals):
-        span = hi - lo
-        if math.isfinite(span) and span > 0:
-            b = F.least(F.floor((value - F.lit(lo)) / F.lit(span) * BINS), F.lit(BINS - 1))
-        else:
-            b = F.when(value < F.lit(lo / 2 + hi / 2), 0).otherwise(1)
-        inside = (value >= F.lit(lo)) & (value <= F.lit(hi))
-        code = (b + i * BINS).cast("int")
-        out = F.when(inside, code) if out is None else out.when(inside, code)
-    return out
+    # halving by comparisons: about log2(n) of them a value, in one expression that is compiled
+    order = sorted(range(len(intervals)), key=lambda i: intervals[i])
+
+    def within(own: list[int]) -> Column:
+        if len(own) > 1:
+            half = len(own) // 2
+            return F.when(value < F.lit(intervals[own[half]][0]), within(own[:half])).otherwise(within(own[half:]))
+        lo, hi = intervals[own[0]]
+        return F.when((value >= F.lit(lo)) & (value <= F.lit(hi)), _bin(value, lo, hi, whole) + own[0] * BINS)
+
+    return within(order).cast("int")
 
 
 def order_statistics(df: DataFrame, columns: Mapping[str, Column], bounds: Mapping[str, tuple[float, float]], ranks: Mapping[str, Sequence[int]], seen: dict[str, list[tuple[float, float, int]]] | None = None) -> dict[str, dict[int, float]]:
@@ -65,6 +78,7 @@ def order_statistics(df: DataFrame, columns: Mapping[str, Column], bounds: Mappi
     found: dict[str, dict[int, float]] = {c: {} for c in columns}
     # intervals: column -> (lo, hi, count of values below lo, ranks inside)
     work = {c: [(lo, hi, 0, sorted(set(ranks[c])))] for c, (lo, hi) in bounds.items() if ranks.get(c)}
+    whole = True
     while work:
         names = list(work)
         for c in names:
@@ -75,7 +89,8 @@ def order_statistics(df: DataFrame, columns: Mapping[str, Column], bounds: Mappi
         names = [c for c in names if work[c]]
         if not names:
             break
-        codes = {c: _code(columns[c], [(w[0], w[1]) for w in work[c]]) for c in names}
+        codes = {c: _code(columns[c], [(w[0], w[1]) for w in work[c]], whole) for c in names}
+        whole = False
         per = [F.struct(F.lit(k).alias("c"), codes[c].alias("p"), columns[c].alias("v")) for k, c in enumerate(names)]
         rows = df.select(F.inline(F.array(*per)) if len(per) > 1 else per[0].alias("x"))
         rows = (rows if len(per) > 1 else rows.select("x.*")).where("p is not null")

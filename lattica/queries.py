@@ -12,6 +12,7 @@ from .functions import dtype as D
 from .functions import text as X
 from .operators import grouped as G
 from .operators import profile as P
+from .operators import sketches as K
 from .operators import slices as S
 from .operators.sampling import bottom_k
 from .plans import insights as I
@@ -210,6 +211,12 @@ def axis_channels(spark, d):
     return _rounded(P.axis_stats(e, F.col("label"), F.col("value")))
 
 
+@query("SELECT CAST(l_partkey AS DOUBLE) AS value, count(*) AS count FROM lineitem GROUP BY 1 HAVING count(*) > (SELECT 4.0 * count(*) / 10000 FROM lineitem) ORDER BY count DESC, value LIMIT 12")
+def heavy_values(spark, d):
+    """The most frequent of any number of distinct values."""
+    return K.heavy_values(_t(spark, d, "lineitem"), F.col("l_partkey"))
+
+
 _BOTTOM = "ORDER BY substr(md5(l_orderkey || '|' || l_linenumber || '|0'), 1, 13), {rest} LIMIT {k}"
 
 

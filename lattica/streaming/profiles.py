@@ -6,20 +6,28 @@ as files or events arrive; order statistics are made for each arriving batch.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.profile import basic_aggregates
+from ..operators.profile import basic_aggregates, finite, percentile_name
+from ..operators.sketches import RANK_K, quantile_of
 
 #: Aggregates that partial results can be merged into.
 RUNNING = ("total", "finite", "nan", "pos_inf", "neg_inf", "zeros", "min", "max", "sum", "mean", "std")
 
 
-def running_profile(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """Counts, extrema and moments by key over everything seen so far; for output mode ``complete`` or ``update``."""
-    a = basic_aggregates(F.col(value).cast("double"))
-    return stream.groupBy(key).agg(*[a[k].alias(k) for k in RUNNING])
+def running_profile(stream: DataFrame, key: str, value: str, percentiles: Sequence[float] = ()) -> DataFrame:
+    """Counts, extrema and moments by key over everything seen so far; for output mode ``complete`` or ``update``.
+
+    ``percentiles`` are estimated from a sketch in the state, within
+    :func:`lattica.operators.sketches.rank_error` of their rank.
+    """
+    v = F.col(value).cast("double")
+    a, sketch = basic_aggregates(v), F.kll_sketch_agg_double(finite(v), RANK_K)
+    return stream.groupBy(key).agg(*[a[k].alias(k) for k in RUNNING], *[quantile_of(sketch, a["finite"], p / 100).alias(percentile_name(p)) for p in percentiles])
 
 
 def windowed_profile(stream: DataFrame, time: str, value: str, window: str = "1 hour", late: str = "1 hour", key: str | None = None) -> DataFrame:
