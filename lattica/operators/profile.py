@@ -299,6 +299,17 @@ def axis_stats(df: DataFrame, group: Column, value: Column, name: str = "Channel
     return out.select("index", F.concat(F.lit(name + " "), F.col("index").cast("string")).alias("label"), "count", "min", "max", "mean", "std", "nan", "zeros")
 
 
+def axes_stats(df: DataFrame, groups: Mapping[str, Column], value: Column) -> DataFrame:
+    """:func:`axis_stats` along several axes (name and index of each) in one scan and one shuffle: axis, index, label and the figures."""
+    names = {f"a{i}": name for i, name in enumerate(groups)}
+    rows = df.select(*[g.cast("long").alias(c) for c, g in zip(names, groups.values(), strict=True)], value.cast("double").alias("v"))
+    a = basic_aggregates(F.col("v"))
+    figures = [a["finite"].alias("count"), *[a[k].alias(k) for k in ("min", "max", "mean", "std", "nan", "zeros")]]
+    own = [F.when(F.grouping(c) == 0, F.struct(F.lit(n).alias("axis"), F.col(c).alias("index"))) for c, n in names.items()]
+    out = rows.groupingSets([[F.col(c)] for c in names], *map(F.col, names)).agg(F.coalesce(*own).alias("at"), *figures).where("at.index is not null")
+    return out.select("at.axis", "at.index", F.concat("at.axis", F.lit(" "), F.col("at.index").cast("string")).alias("label"), "count", "min", "max", "mean", "std", "nan", "zeros")
+
+
 def grouped_by_axis(elements: DataFrame, stride: int, extent: int, name: str = "Channel", pos: str = "pos", value: str = "value") -> DataFrame | None:
     """Statistics along one axis of an array's elements; None for a single group or more than 512."""
     if extent <= 1 or extent > MAX_GROUPS:

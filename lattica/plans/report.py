@@ -25,6 +25,12 @@ def stats_report(stats: DataFrame, key: str = "column") -> DataFrame:
     return _rows(stats, facts, key)
 
 
+def axis_report(axes: DataFrame, key: str = "label") -> DataFrame:
+    """The table of an axis: for each channel or column its count, extrema, mean, deviation, NaN and zeros."""
+    c, num = F.col, X.number
+    return _rows(axes, [("axis", "Count", X.count(c("count"))), ("axis", "Min", num(c("min"))), ("axis", "Max", num(c("max"))), ("axis", "Mean", num(c("mean"))), ("axis", "Std", num(c("std"))), ("axis", "NaN", X.count(c("nan"))), ("axis", "Zeros", X.count(c("zeros")))], key)
+
+
 def array_report(meta: DataFrame, key: str = "name") -> DataFrame:
     """Header facts of a detected array."""
     c = F.col

@@ -205,6 +205,31 @@ def axis_columns(spark, d):
     return _rounded(P.axis_stats(e, F.col("col"), F.col("value"), "Column"))
 
 
+@query(f"""
+SELECT 'Column' AS axis, col AS index, 'Column ' || col AS label, {_AXIS} FROM {_UNNEST} GROUP BY col UNION ALL SELECT 'Channel', CAST(label AS BIGINT), 'Channel ' || label, {_AXIS} FROM {_UNNEST} GROUP BY label
+UNION ALL SELECT 'Frame', vec_id // 100, 'Frame ' || vec_id // 100, {_AXIS} FROM {_UNNEST} GROUP BY vec_id // 100
+""")
+def axes_together(spark, d):
+    """Columns, channels and frames in one scan."""
+    e = _t(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("col", "value"))
+    return _rounded(P.axes_stats(e, {"Column": F.col("col"), "Channel": F.col("label"), "Frame": F.floor(F.col("vec_id") / 100)}, F.col("value")))
+
+
+def _number_sql(v: str) -> str:
+    """The text of a number: whole ones plain, tiny and huge ones with an exponent, else seven significant digits."""
+    return f"CASE WHEN {v} = floor({v}) AND abs({v}) < 1e15 THEN CAST(CAST({v} AS BIGINT) AS VARCHAR) WHEN abs({v}) < 1e-4 OR abs({v}) >= 1e9 THEN regexp_replace(printf('%.4e', {v}), 'e([+-])0(\\d)', 'e\\1\\2') WHEN abs({v}) >= 9999999 THEN CAST(CAST(CAST(printf('%.6e', {v}) AS DOUBLE) AS BIGINT) AS VARCHAR) ELSE printf('%.7g', {v}) END"
+
+
+@query(f"""
+WITH a AS (SELECT 'Channel ' || label AS label, count(*) AS n, min(v) AS lo, max(v) AS hi, avg(v) AS mu, stddev_samp(v) AS sd, count(*) FILTER (WHERE v = 0) AS z FROM {_UNNEST} GROUP BY label),
+t AS (SELECT label, [format('{{:,}}', n), {_number_sql("lo")}, {_number_sql("hi")}, {_number_sql("mu")}, {_number_sql("sd")}, '0', format('{{:,}}', z)] AS v, ['Count', 'Min', 'Max', 'Mean', 'Std', 'NaN', 'Zeros'] AS k FROM a)
+SELECT label, CAST(unnest(range(7)) AS INTEGER) AS position, 'axis' AS section, unnest(k) AS key, unnest(v) AS value FROM t
+""")
+def axis_table(spark, d):
+    e = _t(spark, d, "embeddings").select("label", F.explode("embedding").alias("value"))
+    return R.axis_report(P.axis_stats(e, F.col("label"), F.col("value")))
+
+
 @query(f"SELECT CAST(label AS BIGINT) AS index, 'Channel ' || label AS label, {_AXIS} FROM {_UNNEST} GROUP BY label")
 def axis_channels(spark, d):
     e = _t(spark, d, "embeddings").select("label", F.explode("embedding").alias("value"))
@@ -439,34 +464,33 @@ def observations_text(spark, d):
     return I.insights(P.profile(_t(spark, d, "lineitem"), _LINE))
 
 
-@query()
-def stats_report(spark, d):
-    return R.stats_report(P.profile(_t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]))
-
-
-# ------------------------------------------------------------- scalar functions
-
-@query("SELECT event_id, round(sqrt(value * value + CAST(user_id AS DOUBLE) * user_id), 6) AS m FROM events")
-def complex_magnitude(spark, d):
-    return _rounded(_t(spark, d, "events").select("event_id", D.magnitude(F.col("value"), F.col("user_id").cast("double")).alias("m")))
-
-
-@query("SELECT p_partkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN (CASE WHEN b / 1024.0 < 10 THEN printf('%.2f', b / 1024.0::DOUBLE + 1e-9) ELSE printf('%.1f', b / 1024.0::DOUBLE + 1e-9) END) || ' KB' ELSE (CASE WHEN b / 1048576.0 < 10 THEN printf('%.2f', b / 1048576.0::DOUBLE + 1e-9) ELSE printf('%.1f', b / 1048576.0::DOUBLE + 1e-9) END) || ' MB' END AS size FROM (SELECT p_partkey, p_partkey * p_size * 7 AS b FROM part)")
-def sizes_shown(spark, d):
-    return _t(spark, d, "part").select("p_partkey", X.size(F.col("p_partkey") * F.col("p_size") * 7).alias("size"))
+_SHARE = "{c} || ' (' || CASE WHEN n = 0 OR {c} = 0 THEN '0%' WHEN {c} / n < 1e-4 THEN '<0.01%' WHEN {c} / n < 0.01 THEN printf('%.3f', {c} / n * 100) || '%' ELSE printf('%.2f', {c} / n * 100) || '%' END || ')'"
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '[\",\\n]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END AS cell FROM documents")
-def csv_cells(spark, d):
-    return _t(spark, d, "documents").select("doc_id", X.csv_cell(F.col("text")).alias("cell"))
-
-
-@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 197) || '...' ELSE text END AS cell, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM documents")
-def cut_cells(spark, d):
-    return _t(spark, d, "documents").select("doc_id", X.cut_cell(F.col("text")).alias("cell"), X.escape_html(F.col("text")).alias("html"))
+def _report_sql(source: str) -> str:
+    """The report of (column, v) rows of finite values, fact by fact."""
+    count, share = (lambda c: f"format('{{:,}}', {c})"), (lambda c: f"format('{{:,}}', {c}) || " + _SHARE.format(c=c).split("|| ", 1)[1])
+    facts = [("overview", "Elements", count("n")), *[("overview", k, _number_sql(c)) for k, c in (("Mean", "mu"), ("Std", "sd"), ("Min", "lo"), ("Median", "med"), ("Max", "hi"))], ("overview", "Distinct", f"CASE WHEN u <= 8192 THEN {count('u')} ELSE 'more than 8,192' END")]
+    facts += [("percentiles", f"{p:g}%", _number_sql(f"q[{i + 1}]")) for i, p in enumerate(P.PERCENTILES)]
+    facts += [("composition", k, share(c)) for k, c in (("Finite", "n"), ("NaN", "none"), ("+Inf", "none"), ("-Inf", "none"), ("Zeros", "z"), ("Negative", "neg"), ("Positive", "pos"))]
+    tail = "CASE WHEN abs(sk) < 0.5 THEN 'roughly symmetric' WHEN sk > 0 THEN 'right tail' ELSE 'left tail' END"
+    peak = "CASE WHEN ku > 1 THEN 'heavier tails than normal' WHEN ku < -1 THEN 'lighter tails than normal' ELSE 'near-normal tails' END"
+    facts += [("moments", "Variance", _number_sql("var")), ("moments", "Standard error", _number_sql("sem")), ("moments", "Skewness", f"{_number_sql('sk')} || ' — ' || {tail}"), ("moments", "Excess kurtosis", f"{_number_sql('ku')} || ' — ' || {peak}"), ("moments", "Coefficient of variation", f"coalesce({_number_sql('cv')}, '—')")]
+    facts += [("moments", k, _number_sql(c)) for k, c in (("MAD", "dev"), ("L1 norm", "l1"), ("L2 norm", "l2"))] + [("moments", "Outliers", count("out"))]
+    listed = ", ".join(f"['{s}', '{k}', {v}]" for s, k, v in facts)
+    return f"""
+WITH s AS ({source}), m AS (SELECT "column" AS c, avg(v) AS mu, median(v) AS med, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM s GROUP BY 1),
+b AS (SELECT c, count(*) AS n, any_value(mu) AS mu, any_value(med) AS med, min(v) AS lo, max(v) AS hi, stddev_samp(v) AS sd, var_samp(v) AS var, stddev_samp(v) / sqrt(count(*)) AS sem, count(DISTINCT v) AS u, quantile_cont(v, {[p / 100 for p in P.PERCENTILES]}) AS q, 0 AS none,
+  count(*) FILTER (WHERE v = 0) AS z, count(*) FILTER (WHERE v < 0) AS neg, count(*) FILTER (WHERE v > 0) AS pos, avg(pow(v - mu, 3)) / pow(avg(pow(v - mu, 2)), 1.5) AS sk, avg(pow(v - mu, 4)) / pow(avg(pow(v - mu, 2)), 2) - 3 AS ku,
+  CASE WHEN min(v) >= 0 AND any_value(mu) > 1e-12 THEN stddev_samp(v) / any_value(mu) END AS cv, mad(v) AS dev, sum(abs(v)) AS l1, sqrt(sum(v * v)) AS l2, count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS out FROM s JOIN m ON c = "column" GROUP BY 1),
+f AS (SELECT c, unnest(range({len(facts)})) AS position, unnest([{listed}]) AS x FROM b)
+SELECT c AS "column", CAST(position AS INTEGER) AS position, x[1] AS section, x[2] AS key, x[3] AS value FROM f
+"""
 
 
-# ------------------------------------------------------------ array files
+@query(_report_sql("SELECT 'l_quantity' AS \"column\", l_quantity AS v FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem"))
+def stats_report(spark, d):
+    return R.stats_report(P.profile(_t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
 
 
 from . import array_queries  # noqa: E402, F401  (registers its queries here)
