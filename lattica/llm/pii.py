@@ -117,7 +117,8 @@ def token_labels(nodes, spans) -> np.ndarray:
     for i, (s, e, _) in enumerate(nodes):
         while j < len(order) and order[j][2] <= s:
             j += 1
-        for k, a, b in order[j:]:
+        for at in range(j, len(order)):
+            k, a, b = order[at]
             if a >= e:
                 break
             if b > s:
@@ -127,7 +128,9 @@ def token_labels(nodes, spans) -> np.ndarray:
 
 
 SECRET = LABELS.index("secret")
-_ASSIGNED = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?\Z")
+#: Names whose value is a secret, by themselves or as the last part of a name such as access_token.
+_NAMED = frozenset("token secret password passwd key apikey".split())
+_BLANK, _QUOTES = frozenset(" \t\r\f\v\xa0"), frozenset("\"'")
 _LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _NUMBER = re.compile(r"[0-9. ()+-]+")
 _QUAD = re.compile(r"[0-9]{1,3}(\.[0-9]{1,3}){3}")
@@ -135,8 +138,28 @@ _QUAD = re.compile(r"[0-9]{1,3}(\.[0-9]{1,3}){3}")
 TAIL = 9
 
 
+def _assigned(text: str, s: int) -> bool:
+    """Whether what begins at ``s`` is assigned to such a name in the same line: name, quote, ``=`` or ``:``, quote, with any blanks between."""
+
+    def back(i: int, over: frozenset) -> int:
+        while i and text[i - 1] in over:
+            i -= 1
+        return i
+
+    i = back(s, _QUOTES)
+    i = back(i if s - i < 2 else s, _BLANK)
+    if not i or text[i - 1] not in "=:":
+        return False
+    i = back(i - 1, _BLANK)
+    i -= i > 0 and text[i - 1] in _QUOTES
+    first = i
+    while first and (text[first - 1].isalnum()) and i - first < 9:
+        first -= 1
+    return text[first:i].lower() in _NAMED
+
+
 def _secret(text: str, s: int, e: int) -> bool:
-    return _LONG.fullmatch(text, s, e) is not None and any(c.isalpha() for c in text[s:e]) and _ASSIGNED.search(text[max(0, s - 24) : s]) is not None
+    return _LONG.fullmatch(text, s, e) is not None and any(c.isalpha() for c in text[s:e]) and _assigned(text, s)
 
 
 def teacher(text: str, nodes, spans) -> np.ndarray:

@@ -553,3 +553,24 @@ def test_bundle_is_the_sum_of_bound_trigrams():
         want = sum(np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(s, s[1:], s[2:], strict=False))
         assert np.array_equal(v[k], want), k
     assert has.all()
+
+
+KEY = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
+
+
+@pytest.mark.parametrize("said", [f'token = "{KEY}"', f"client_secret: {KEY}", f"AWS_SECRET_ACCESS_KEY={KEY}", f'"api-key" : "{KEY}"', f"apikey='{KEY}'", f"token{' ' * 400}={' ' * 400}{KEY}", f"x\npassword={KEY}", f"accessToken.token: {KEY}"])
+def test_secrets_are_found_however_far_their_name(said):
+    assert pii._assigned(said, said.index(KEY))
+
+
+@pytest.mark.parametrize("said", [f"monkey = {KEY}", f"token\n= {KEY}", f"token {KEY}", f"tokens = {KEY}", KEY, f"= {KEY}", f"token =\n{KEY}"])
+def test_other_words_before_are_no_names(said):
+    assert not pii._assigned(said, said.index(KEY))
+
+
+def test_many_base_spans_take_time_in_proportion():
+    text = "a@b.cc " * 60_000
+    nodes = [(7 * i, 7 * i + 6, i) for i in range(60_000)]
+    began = time.time()
+    assert pii.token_labels(nodes, [(0, s, e) for s, e, _ in nodes]).all() and time.time() - began < 5
+    assert len(text) == 7 * 60_000
