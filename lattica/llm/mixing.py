@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
-Each document gets a hash-random key.  Keys are range-partitioned into buckets
-within each source, the sizes of the buckets give distributed prefix sums, and
+Each document gets a hash-random key.  Rows are range-sorted by source and key
+into buckets, the sizes of the buckets give distributed prefix sums, and
 a source is cut at its exact budget: whole epochs first, then documents by key
 up to the remainder, of which the last is taken in part.
 """
@@ -15,8 +15,8 @@ from ._store import cut
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hexadecimal digits of the key that name a bucket: 4096 buckets a source.
-BUCKET_DIGITS = 3
+#: The order of rows within a source.
+ORDER = ("key", "id", "size", "place")
 
 
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -35,6 +35,11 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) ->
     return out.select(*df.columns, *[(F.col(f"{k}_start") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(k) for k, c in sums.items()])
 
 
+def in_buckets(rows: DataFrame) -> DataFrame:
+    """Adds the number of the range of (source, :data:`ORDER`) that a row is in."""
+    return rows.repartitionByRange(F.col("source").asc_nulls_last(), *ORDER).withColumn("bucket", F.spark_partition_id())
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3) -> DataFrame:
     """Budgets of sources from (source, source_size).
 
@@ -65,26 +70,29 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     the document the mix takes, repeats counted, at most ``most`` times size;
     each source's taken words sum up to the floor of its target.  A null
     source is a source of its own, the last.  Rows are ordered by md5 of seed
-    and id, then by size, so reruns agree; equal rows are told apart by no
-    one, so which of them gives the last words is open but the sums are not.
+    and id, then by size, so reruns agree; rows that are equal in these are told
+    apart by their place in a stored table alone, so which of them gives the last
+    words is open but the figures are not, and a group of copies of any size is
+    split between buckets.
     Texts without words take nothing; the words of a text of any length are
     counted.  Null ids stay null and have one key.  Other columns, whatever
     their names, are ignored; an empty table gives an empty result.
     """
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(docs[id_col].cast("string"), F.lit("null"))).cast("binary"))
     slim = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"))
-    slim = slim.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    # a few rows a source, kept so that the texts are not counted again for the targets
-    buckets = cut(slim.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
+    # a few bytes a row, kept so that the words are counted once; a row's place in the table splits equal rows
+    slim = cut(slim).withColumn("place", F.monotonically_increasing_id())
+    slim = cut(in_buckets(slim))
+    buckets = slim.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     goal = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, most)
     goal = goal.withColumns({"epochs": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")})
     goal = goal.withColumn("rest", F.floor(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
     plan = buckets.alias("b").join(goal.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source"))).select("b.source", "bucket", "bucket_start", "source_size", "target", "epochs", "rest")
-    # a bucket holds 1/4096 of a source: no source is ever one group
-    joined = slim.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s.bucket") == F.col("p.bucket"))).select("s.id", "s.source", "s.bucket", "size", "key", "bucket_start", "source_size", "target", "epochs", "rest")
-    inner = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # a bucket is one range partition: neither a source nor a key is ever one group
+    joined = slim.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s.bucket") == F.col("p.bucket"))).select("s.id", "s.source", "s.bucket", "size", "key", "place", "bucket_start", "source_size", "target", "epochs", "rest")
+    inner = Window.partitionBy("source", "bucket").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("bucket_start") + F.coalesce(F.sum("size").over(inner), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))
     return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))

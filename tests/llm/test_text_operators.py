@@ -44,6 +44,24 @@ def test_mix_matches_sql(mixed):
     assert np.array_equal(got["taken"], want["taken"]) and np.allclose(got["target"], want["target"])
 
 
+def test_mix_of_hot_ids(spark):
+    """Rows without an id, and repeats of one row, are split between buckets and taken as SQL takes them."""
+    rows = [(None, "w " * (i % 9), "a") for i in range(900)] + [(7, "x y z", "a")] * 700 + [(i, "w " * (i % 5), None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    table = docs.toPandas().astype({"doc_id": "Int64"})  # noqa: F841  read by the query
+    want = duckdb.sql(mixing.ORACLE.replace("{docs}", '"table"'))
+    got = mixing.mix_sources(docs).select(*want.columns).collect()
+    plain = lambda found: sorted(str(tuple(r)) for r in found)
+    assert plain(got) == plain(want.fetchall())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        slim = docs.selectExpr("doc_id as id", "source", "1L as size", "'k' as key", "monotonically_increasing_id() as place")
+        spread = mixing.in_buckets(slim).groupBy("id").agg(F.countDistinct("bucket").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r["id"]: r["n"] for r in spread}[None] > 1
+
+
 def test_mix_odd_rows(docs_of, odd_rows):
     assert mixing.mix_sources(docs_of(odd_rows)).count() == len(odd_rows)
     assert mixing.mix_sources(docs_of([(1, "a")]).where("false")).collect() == []
