@@ -132,19 +132,40 @@ def unpng(data: bytes) -> tuple[int, int, bytes]:
     return width, height, b"".join(lines[y * step + 1 : (y + 1) * step] for y in range(height))
 
 
+def png_lines(data: bytes, most: int = 1 << 22):
+    """Width, first line and RGBA lines of runs of lines of such a picture, about ``most`` bytes at a time."""
+    import numpy as np
+
+    at, width, line, rest, opened = 8, 0, 0, b"", zlib.decompressobj()
+    while at < len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        if kind == b"IHDR":
+            width = struct.unpack(">I", data[at + 8 : at + 12])[0]
+        packed = data[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+        while packed:
+            rest += opened.decompress(packed, most)
+            packed = opened.unconsumed_tail
+            k = len(rest) // (4 * width + 1)
+            if k:
+                whole = np.frombuffer(rest, np.uint8, k * (4 * width + 1)).reshape(k, -1)
+                yield width, line, whole[:, 1:].reshape(k, width, 4)
+                line, rest = line + k, rest[k * (4 * width + 1) :]
+        at += n + 12
+
+
 def png_pixels(pictures: DataFrame) -> DataFrame:
-    """frame, row, col, r, g, b, a of the pictures of :func:`png_planes`."""
+    """frame, row, col, r, g, b, a of pictures (frame, png) that this library made, some lines at a time."""
 
     def read(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for frame, data in zip(batch.column("frame").to_pylist(), batch.column("png").to_pylist(), strict=True):
-                w, h, raw = unpng(data)
-                row, col = np.divmod(np.arange(w * h), max(w, 1))
-                rgba = np.frombuffer(raw, np.uint8).reshape(-1, 4).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(w * h, frame)), pa.array(row), pa.array(col), *(pa.array(rgba[:, k]) for k in range(4))], names=["frame", "row", "col", *"rgba"])
+            for frame, data in zip(batch.column("frame").to_pylist(), batch.column("png"), strict=True):
+                for w, first, rgba in png_lines(memoryview(data.as_buffer())):
+                    row, col = np.divmod(np.arange(w * len(rgba)), w)
+                    flat = rgba.reshape(-1, 4).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array([frame], pa.int64()).take(pa.array(np.zeros(row.size, np.int8))), pa.array(row + first), pa.array(col), *(pa.array(flat[:, k]) for k in range(4))], names=["frame", "row", "col", *"rgba"])
 
     return pictures.select("frame", "png").mapInArrow(read, "frame long, row long, col long, r int, g int, b int, a int")
 

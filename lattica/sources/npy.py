@@ -272,16 +272,21 @@ def _packed(pieces: list[tuple[str, int, int | None, int]], most: int) -> list[_
     return out
 
 
+def located(path: str):
+    """pyarrow's file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 class _Files:
     """Ranged reads through pyarrow's file systems; bytes that are not local come through Hadoop's when libhdfs is there."""
 
     @staticmethod
     def open(path: str):
-        from pyarrow import fs
-
-        if path.startswith("file:"):
-            path = "/" + path[5:].lstrip("/")
-        system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        system, inner = located(path)
         return system.open_input_file(inner)
 
     @staticmethod
@@ -303,11 +308,7 @@ class _Files:
 
 def create(path: str, data: bytes) -> None:
     """Writes a small file through pyarrow's file systems, with the folders above it."""
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system, inner = located(path)
     system.create_dir(inner.rpartition("/")[0], recursive=True)
     with system.open_output_stream(inner) as f:
         f.write(data)

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.color import png_planes
 from ..functions.text import csv_line
 from ..operators.control import capped
+from .files import named, write_pieces
 from .npy import create
 
 
-def csv_lines(df: DataFrame, columns: list[str], index: str | None = None) -> DataFrame:
-    """One line of CSV for each row (column ``line``), with the index first; :func:`csv_header` is the first line."""
+def csv_lines(df: DataFrame, columns: list[str], index: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """One line of CSV for each row (column ``line``), with the index first; :func:`csv_header` is the first line.  ``keep`` are columns beside it."""
     cells = [F.col(c).cast("string") for c in ([index] if index else []) + columns]
-    return df.select(*([F.col(index)] if index else []), csv_line(cells).alias("line"))
+    return df.select(*([F.col(index)] if index and keep is None else []), *(keep or []), csv_line(cells).alias("line"))
 
 
 def csv_header(columns: list[str], index: bool = True) -> str:
@@ -33,6 +34,19 @@ def write_csv(df: DataFrame, path: str, columns: list[str], index: str) -> None:
     csv_lines(df, columns, index).orderBy(index).select("line").write.mode("overwrite").text(path)
 
 
+def write_csv_files(df: DataFrame, folder: str, columns: list[str], index: str, by: str, prefix: str = "", mode: str = "append") -> None:
+    """Writes one CSV file with a header for each value of ``by``, ``<prefix><value>.csv``, its lines in order of ``index``.
+
+    A file is streamed by one task, whose sort spills; :func:`write_csv` is for
+    tables that need several tasks for one value.
+    """
+    name = named(prefix, F.col(by), ".csv").alias("file")
+    rows = csv_lines(df.select("*", name, F.struct(F.lit(1).alias("section"), F.col(index).alias("at")).alias("part")), columns, index, keep=["file", "part"])
+    kind = dict(df.dtypes)[index]
+    heads = df.select(name).distinct().select("file", F.struct(F.lit(0).alias("section"), F.lit(None).cast(kind).alias("at")).alias("part"), F.lit(csv_header([index, *columns], False)).alias("line"))
+    write_pieces(heads.unionByName(rows).select("file", "part", F.concat("line", F.lit("\n")).alias("data")), folder, mode)
+
+
 def json_result(df: DataFrame) -> DataFrame:
     """Rows as JSON objects; numbers that are not finite become null, as JSON has none."""
     safe = [F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
