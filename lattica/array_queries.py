@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from .functions import color as C
 from .functions import dtype as D
 from .functions import text as X
+from .operators import exact_sums as E
 from .operators import grouped as G
 from .operators import slices as S
 from .plans import insights as I
 from .plans import layout as L
 from .plans import report as R
-from .queries import _ROW, _flat, _matrix, _profile_sql, _ramp_sql, _rounded, _t, query
+from .queries import _ROW, _flat, _matrix, _plane_values, _profile_sql, _ramp_sql, _rounded, _t, query
 from .sources.npy import read_file_block, read_npy
-from .sources.sinks import write_npy
+from .sources.pictures import read_png, write_png
+from .sources.sinks import write_csv_files, write_npy
 from .store import new_folder
 
 # ------------------------------------------------------- shapes, frames, ranges
@@ -385,3 +387,36 @@ def npy_records(spark, d):
     folder = new_folder(spark, "arrays")
     _records(spark, d, folder)
     return read_npy(spark, folder, "records").select(_name(), "pos", "id", "score", F.array_join(F.col("colour").cast("array<string>"), " ").alias("colour"), "label")
+
+
+# --------------------------------------------------- pictures, CSV files, sums
+
+
+@query(f"""
+WITH w AS (SELECT r, c, v FROM {_CELLS}), b AS (SELECT min(v) AS lo, max(v) AS hi FROM w), ramp AS ({_ramp_sql("magma")})
+SELECT w.r // 100 AS frame, w.r % 100 AS row, c AS col, ramp.r, ramp.g, ramp.b, 255 AS a FROM w, b JOIN ramp ON ramp.i = least(greatest(CAST(floor((v - lo) / (hi - lo) * 255 + 0.5) AS INTEGER), 0), 255)
+""")
+def picture_files(spark, d):
+    """All cells as PNG files of 100 rows, drawn in strips, written and read back."""
+    folder = new_folder(spark, "pictures")
+    drawn = C.colour(_plane_values(spark, d), F.col("v"), F.col("lo"), F.col("hi"), "magma")
+    write_png(drawn.withColumns({"frame": F.floor(F.col("row") / _MATRIX_ROWS), "row": F.col("row") % _MATRIX_ROWS}), folder)
+    return read_png(spark, folder)
+
+
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS file, c_custkey, c_name, c_mktsegment, c_acctbal FROM customer")
+def csv_files(spark, d):
+    """``customer`` as a CSV file for each nation, read back."""
+    folder = new_folder(spark, "csv")
+    write_csv_files(_t(spark, d, "customer"), folder, ["c_name", "c_mktsegment", "c_acctbal"], "c_custkey", "c_nationkey")
+    back = spark.read.csv(folder, "c_custkey long, c_name string, c_mktsegment string, c_acctbal double", header=True, escape='"', multiLine=True)
+    return back.select(F.regexp_extract(F.col("_metadata.file_name"), "(.*)[.]csv$", 1).alias("file"), *back.columns)
+
+
+@query("""
+WITH c AS (SELECT l_suppkey, 'l_extendedprice' AS "column", CAST(round(l_extendedprice * 100) AS HUGEINT) AS v FROM lineitem UNION ALL SELECT l_suppkey, 'l_discount', CAST(round(l_discount * 100) AS HUGEINT) FROM lineitem)
+SELECT l_suppkey, "column", count(*) AS finite, round(CAST(sum(v) AS DOUBLE) / 100, 2) AS sum, round(CAST(sum(v) AS DOUBLE) / 100 / count(*), 6) AS mean FROM c GROUP BY ALL
+""")
+def exact_sums(spark, d):
+    s = E.exact_sums(_t(spark, d, "lineitem"), ["l_suppkey"], ["l_extendedprice", "l_discount"])
+    return s.withColumns({"sum": F.round("sum", 2), "mean": F.round("mean", 6)})
