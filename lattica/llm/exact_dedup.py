@@ -9,8 +9,9 @@
 3. An owner decodes the lists it gets, finds the fingerprints that occur more
    than once and answers each part with a bitmap over the list it sent.
 4. A part marks its suspects.  A broadcast bit table of their fingerprints
-   (checked for size) lets the other texts stay where they are: only suspects,
-   and about one in 16 of the others, are shuffled.  Texts of one SHA-256 are
+   (of bounded size) lets the other texts stay where they are: only suspects,
+   and about one in 16 of the others (more once the table is full), are
+   shuffled.  Texts of one SHA-256 are
    compared byte by byte as min = max, which Spark combines before the
    shuffle, so a group of copies is never in one task.
 """
@@ -127,10 +128,10 @@ def _groups(src: DataFrame, n: int, bits: int, part_rows: int) -> tuple[DataFram
     bitmaps = sent.groupBy("owner").applyInPandas(_answer, "part int, owner long, bitmap binary").withColumn("step", F.lit(step).cast("long"))
     marked = cut(slim.groupBy("part").cogroup(bitmaps.groupBy("part")).applyInPandas(_mark, "d long, t long, fp long, sha binary, suspect boolean"))
     suspects = marked.where("suspect")
-    keys = suspects.select(F.xxhash64("fp")).distinct()
+    keys = cut(suspects.select(F.xxhash64("fp").alias("k")).distinct())
     sieve = Sieve.of(keys)
     texts = src.select("text", _sha(F.col("text")).alias("sha")).select("text", "sha", fp.alias("fp"))
-    texts = texts if sieve is None else sieve.split(texts, F.xxhash64("fp"))[0]
+    texts = sieve.split(texts, F.xxhash64("fp"))[0]
     same = texts.groupBy("sha").agg(F.min("text").alias("a"), F.max("text").alias("b"))
     same = same.select("sha", F.when(F.col("a") == F.col("b"), F.lit(True)).otherwise(F.raise_error(F.lit("different texts with one SHA-256"))).alias("verified"))
     pos = F.struct("d", "t")

@@ -201,7 +201,7 @@ def _links(src: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
     members = cut(dealt_join(banded, full, ["band"], frequent(full, ["band"], BANDS * classes.count(), "size")))
     some = cut(members.select("node").distinct().join(classes.select("node", "d", "t", "n", "regs"), "node"))
     sieve = Sieve.of(some.select(F.xxhash64("d", "t")))
-    text = src if sieve is None else sieve.split(src, F.xxhash64("d", "t"))[0]
+    text = sieve.split(src, F.xxhash64("d", "t"))[0]
     # rows that repeat in id and text are one: any of them will do
     text = text.join(some, ["d", "t"]).dropDuplicates(["node"]).select("node", "n", "regs", "text")
     sets = cut(text.mapInArrow(_sets(k), "node long, n long, regs array<smallint>, names array<bigint>"))

@@ -345,7 +345,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     marks = cut(marks.groupBy("d", "t").agg(F.collect_set(F.when(F.col("repeat"), F.col("pack"))).alias("repeats"), F.collect_set(F.when(~F.col("repeat"), F.col("pack"))).alias("edges")))
     # texts without a mark stay where they are; one exchange of the others serves all joins below
     sieve = Sieve.of(marks.select(F.xxhash64("d", "t")))
-    maybe, free = (src, src.where("false")) if sieve is None else sieve.split(src, F.xxhash64("d", "t"))
+    maybe, free = sieve.split(src, F.xxhash64("d", "t"))
     by_id = maybe.repartition("d", "t")
     window = Window.partitionBy("key", "k2")
     edge = by_id.join(marks.where(F.size("edges") > 0).select("d", "t", "edges"), ["d", "t"])
