@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sampling import bottom_k
-from .selection import exact_quantiles
+from .selection import Bins, exact_quantiles
 
 #: Fixed values of the profile: percentiles, the cap on distinct values, how many top values, extents of groups.
 PERCENTILES = (0.1, 1, 5, 10, 25, 50, 75, 90, 95, 99, 99.9)
@@ -146,7 +146,7 @@ def value_counts(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
     return df.select(F.inline(F.array(*per))).where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def distinct_values(df: DataFrame, values: Mapping[str, Column], bins: Mapping[str, list[tuple[float, float, int]]]) -> dict[str, tuple[int, list[tuple[float, int]]]]:
+def distinct_values(df: DataFrame, values: Mapping[str, Column], bins: Mapping[str, Bins]) -> dict[str, tuple[int, list[tuple[float, int]]]]:
     """Number of distinct values and the most frequent ones, of columns that have at most DISTINCT_CAP.
 
     ``bins`` are what a scan has counted already: where each bin has one value
@@ -156,10 +156,10 @@ def distinct_values(df: DataFrame, values: Mapping[str, Column], bins: Mapping[s
     out, open_ = {}, {}
     for c, v in values.items():
         own = bins.get(c)
-        if own and all(lo == hi for lo, hi, _ in own):
-            if len(own) <= DISTINCT_CAP:
-                out[c] = (len(own), sorted(((lo + 0.0, n) for lo, _, n in own), key=lambda r: (-r[1], r[0]))[:TOP])
-        elif not own or sum(1 + (lo != hi) for lo, hi, _ in own) <= DISTINCT_CAP:
+        if own and own.single:
+            if own.bins <= DISTINCT_CAP:
+                out[c] = (own.bins, [(x + 0.0, n) for x, n in own.top[:TOP]])
+        elif not own or own.at_least <= DISTINCT_CAP:
             open_[c] = v
     if open_:
         guess = df.agg(*[F.approx_count_distinct(finite(v), 0.02).alias(f"g{i}") for i, v in enumerate(open_.values())]).first()
@@ -216,7 +216,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, bins: int = DEF
     live = {c: (o["min"], o["max"]) for c, o in order.items() if o["finite"]}
     counts = {c: order[c]["finite"] for c in live}
     ps = [p / 100 for p in PERCENTILES]
-    seen: dict[str, list[tuple[float, float, int]]] = {}
+    seen: dict[str, Bins] = {}
     quantiles = exact_quantiles(source, {c: x[c] for c in live}, live, counts, ps, seen)
     plans = {c: histogram_plan(*live[c], order[c]["integral"], bins) for c in live}
     fences = {c: (q[4] - 1.5 * (q[6] - q[4]), q[6] + 1.5 * (q[6] - q[4])) for c, q in quantiles.items()}
@@ -224,7 +224,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, bins: int = DEF
     far = {c: (0.0, max(quantiles[c][5] - live[c][0], live[c][1] - quantiles[c][5])) for c in live}
     mad = exact_quantiles(source, {c: F.abs(x[c] - F.lit(quantiles[c][5])) for c in live}, far, counts, [0.5])
     hist, outliers = histogram_counts(source, {c: x[c] for c in live}, plans, fences) if live else ({}, {})
-    tops = distinct_values(df, {c: values[c] for c in live}, {} if sampled else {c: seen.get(c, [(*live[c], counts[c])]) for c in live})
+    tops = distinct_values(df, {c: values[c] for c in live}, {} if sampled else {c: seen.get(c, Bins(1, True, 1, [(live[c][0], counts[c])])) for c in live})
     rows = []
     for c, b in base.items():
         row = {"column": c, **b, "approximate": sampled, "sample_size": order[c]["total"], "outliers": None, "mad": None, "distinct": None, "unique_exact": True, "top_values": None, "histogram": None}

@@ -6,16 +6,18 @@ value; the bin that holds the rank becomes the next interval, until it holds
 few enough values to list or only one.  Each scan is combined on the map side
 and sends a bounded number of rows (bins x intervals) whatever the input, so
 no column is ever gathered or sorted, unlike ``percentile``, whose state is
-every distinct value in one task.
+every distinct value in one task.  Bins and listed values are ranked where
+they are, by windows of at most BINS or LIST rows; the driver gets a row for
+each rank that is asked for.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bins of an interval in one scan.
@@ -25,6 +27,9 @@ LIST = 20_000
 #: Ends of an interval on one side of zero may differ by this factor and still be cut into equal bins; those of a whole column by the second.
 EVEN, FAR = 4.0, 2.0**40
 
+#: Bins of the first scan that are told, those with the most values.
+TOLD = 12
+
 #: Smallest and largest exponents of a double.
 _LEAST, _MOST = -1074, 1023
 
@@ -65,14 +70,31 @@ def _code(value: Column, intervals: list[tuple[float, float]], whole: bool = Fal
     return within(order).cast("int")
 
 
-def order_statistics(df: DataFrame, columns: Mapping[str, Column], bounds: Mapping[str, tuple[float, float]], ranks: Mapping[str, Sequence[int]], seen: dict[str, list[tuple[float, float, int]]] | None = None) -> dict[str, dict[int, float]]:
+class Bins(NamedTuple):
+    """What the first scan tells of a column: bins with values, whether each has one value, distinct values at least, and (value, count) of the TOLD largest bins if so."""
+
+    bins: int
+    single: bool
+    at_least: int
+    top: list[tuple[float, int]]
+
+
+def _ranked(counted: DataFrame, keys: Sequence[str], by: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``counted`` with ``start``, the values before them among those of their keys, and ``own``, the ranks of ``wanted`` (keys, ranks) that fall into them."""
+    before = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.join(F.broadcast(wanted), list(keys)).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return placed.withColumn("own", F.expr("filter(ranks, r -> r >= start and r < start + n)"))
+
+
+def order_statistics(df: DataFrame, columns: Mapping[str, Column], bounds: Mapping[str, tuple[float, float]], ranks: Mapping[str, Sequence[int]], seen: dict[str, Bins] | None = None) -> dict[str, dict[int, float]]:
     """Values of the given 0-based ranks among the finite values of each column.
 
     ``columns`` are double expressions, null where there is no finite value;
-    ``bounds`` their smallest and largest value.  ``seen`` gets the bins of the
-    first scan (smallest value, largest value, count), at most BINS a column;
-    where all bins have one value these are all values of the column.
+    ``bounds`` their smallest and largest value.  ``seen`` gets what the first
+    scan tells of a column that it bins; where all bins have one value these
+    are all values of the column.
     """
+    spark = df.sparkSession
     df = df.select(*[v.alias(f"v{i}") for i, v in enumerate(columns.values())])
     columns = {c: F.col(f"v{i}") for i, c in enumerate(columns)}
     found: dict[str, dict[int, float]] = {c: {} for c in columns}
@@ -90,52 +112,49 @@ def order_statistics(df: DataFrame, columns: Mapping[str, Column], bounds: Mappi
         if not names:
             break
         codes = {c: _code(columns[c], [(w[0], w[1]) for w in work[c]], whole) for c in names}
-        whole = False
         per = [F.struct(F.lit(k).alias("c"), codes[c].alias("p"), columns[c].alias("v")) for k, c in enumerate(names)]
         rows = df.select(F.inline(F.array(*per)) if len(per) > 1 else per[0].alias("x"))
         rows = (rows if len(per) > 1 else rows.select("x.*")).where("p is not null")
-        got: dict[int, dict[int, list]] = {}
-        for r in rows.groupBy("c", "p").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
-            got.setdefault(r["c"], {}).setdefault(r["p"] // BINS, []).append(r)
-        if seen is not None:
+        asked = [(k, i, [r - below for r in rs]) for k, c in enumerate(names) for i, (_, _, below, rs) in enumerate(work[c])]
+        counted = rows.groupBy("c", "p").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        binned = _ranked(counted.withColumn("i", F.floor(F.col("p") / BINS).cast("int")), ["c", "i"], "p", spark.createDataFrame(asked, "c int, i int, ranks array<long>"))
+        chosen = F.size("own") > 0
+        if seen is not None and whole:
+            # a column has one interval yet, so these windows are of the same rows
+            own, most = Window.partitionBy("c", "i"), Window.partitionBy("c", "i").orderBy(F.desc("n"), "lo")
+            binned = binned.withColumns({"bins": F.count(F.lit(1)).over(own), "single": F.bool_and(F.col("lo") == F.col("hi")).over(own), "at_least": F.sum(F.when(F.col("lo") == F.col("hi"), 1).otherwise(2)).over(own), "place": F.row_number().over(most)})
+            chosen |= F.col("single") & (F.col("place") <= TOLD)
+        got = binned.where(chosen).drop("ranks").collect()
+        if seen is not None and whole:
             for k, c in enumerate(names):
-                seen.setdefault(c, [(r["lo"], r["hi"], r["n"]) for i in got[k] for r in got[k][i]])
+                own = sorted((r for r in got if r["c"] == k), key=lambda r: r["place"])
+                top = [(r["lo"], r["n"]) for r in own if r["place"] <= TOLD] if own[0]["single"] else []
+                seen[c] = Bins(own[0]["bins"], own[0]["single"], own[0]["at_least"], top)
+        whole = False
         todo: dict[str, list] = {}
-        lists: dict[tuple[int, int], tuple[int, list[int]]] = {}
-        for k, c in enumerate(names):
-            for i, (_, _, below, rs) in enumerate(work[c]):
-                bins = sorted(got[k][i], key=lambda r: r["p"])
-                starts, total = [], below
-                for r in bins:
-                    starts.append(total)
-                    total += r["n"]
-                by_bin: dict[int, list[int]] = {}
-                for r in rs:
-                    by_bin.setdefault(bisect_right(starts, r) - 1, []).append(r)
-                for j, own in by_bin.items():
-                    b = bins[j]
-                    if b["lo"] == b["hi"]:
-                        found[c].update(dict.fromkeys(own, b["lo"]))
-                    elif b["n"] <= LIST:
-                        lists[k, b["p"]] = (starts[j], own)
-                    else:
-                        todo.setdefault(c, []).append((b["lo"], b["hi"], starts[j], own))
-        if lists:
+        listed: list[tuple[int, int, list[int]]] = []
+        begins: dict[tuple[int, int], int] = {}
+        for r in sorted((r for r in got if r["own"]), key=lambda r: (r["c"], r["p"])):
+            c = names[r["c"]]
+            below = work[c][r["i"]][2]
+            at = [below + x for x in r["own"]]
+            if r["lo"] == r["hi"]:
+                found[c].update(dict.fromkeys(at, r["lo"]))
+            elif r["n"] <= LIST:
+                begins[r["c"], r["p"]] = below + r["start"]
+                listed.append((r["c"], r["p"], [x - r["start"] for x in r["own"]]))
+            else:
+                todo.setdefault(c, []).append((r["lo"], r["hi"], below + r["start"], at))
+        if listed:
             # the same bins again: a lookup in a small set picks those to list
             picked = None
             for k in range(len(names)):
-                if own := [p for j, p in lists if j == k]:
+                if own := [p for j, p, _ in listed if j == k]:
                     one = (F.col("c") == k) & F.col("p").isin(own)
                     picked = one if picked is None else picked | one
-            listed: dict[tuple[int, int], list] = {}
-            for r in rows.where(picked).groupBy("c", "p", "v").count().collect():
-                listed.setdefault((r["c"], r["p"]), []).append((r["v"], r["count"]))
-            for (k, p), (below, own) in lists.items():
-                values, starts, total = sorted(listed[k, p]), [], below
-                for _, n in values:
-                    starts.append(total)
-                    total += n
-                found[names[k]].update({r: values[bisect_right(starts, r) - 1][0] for r in own})
+            values = rows.where(picked).groupBy("c", "p", "v").agg(F.count(F.lit(1)).alias("n"))
+            for r in _ranked(values, ["c", "p"], "v", spark.createDataFrame(listed, "c int, p int, ranks array<long>")).where(F.size("own") > 0).collect():
+                found[names[r["c"]]].update({begins[r["c"], r["p"]] + x: r["v"] for x in r["own"]})
         work = todo
     return found
 
@@ -146,7 +165,7 @@ def interpolation_ranks(n: int, p: float) -> tuple[int, int, float]:
     return int(math.floor(at)), int(math.ceil(at)), at - math.floor(at)
 
 
-def exact_quantiles(df: DataFrame, columns: Mapping[str, Column], bounds: Mapping[str, tuple[float, float]], counts: Mapping[str, int], probabilities: Sequence[float], seen: dict[str, list[tuple[float, float, int]]] | None = None) -> dict[str, list[float]]:
+def exact_quantiles(df: DataFrame, columns: Mapping[str, Column], bounds: Mapping[str, tuple[float, float]], counts: Mapping[str, int], probabilities: Sequence[float], seen: dict[str, Bins] | None = None) -> dict[str, list[float]]:
     """Linearly interpolated quantiles of each column's finite values."""
     where = {c: [interpolation_ranks(counts[c], p) for p in probabilities] for c in bounds}
     values = order_statistics(df, columns, bounds, {c: [r for lo, hi, _ in w for r in (lo, hi)] for c, w in where.items()}, seen)

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from lattica.functions import text as X
 from lattica.operators import profile as P
 from lattica.operators import slices as S
 from lattica.operators.sampling import hashed_sample
-from lattica.operators.selection import order_statistics
+from lattica.operators.selection import exact_quantiles, order_statistics
 from lattica.plans import insights as I
 from lattica.plans import layout as L
 from lattica.plans import report as R
@@ -88,6 +89,26 @@ def test_selection_refines(spark, monkeypatch):
     assert got["v"] == {r: y[r] for r in range(0, 800, 53)}
 
 
+def test_few_rows_of_a_column_reach_the_driver(spark, monkeypatch):
+    """Bins and listed values are ranked in Spark: the driver gets a few dozen rows a column and scan, whatever the values."""
+    rows = []
+    rng = np.random.default_rng(5)
+    x = {"even": rng.random(20_000), "steep": np.exp(rng.normal(size=20_000) * 50), "few": rng.integers(0, 3000, 20_000).astype(float), "signed": np.where(rng.random(20_000) < 0.5, -0.0, rng.normal(size=20_000))}
+    df = spark.createDataFrame(pd.DataFrame(x)).repartition(7)
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: rows.append(len(out := collect(self))) or out)
+    ps = [p / 100 for p in P.PERCENTILES]
+    bounds = {c: (float(v.min()), float(v.max())) for c, v in x.items()}
+    seen = {}
+    got = exact_quantiles(df, {c: F.col(c) for c in x}, bounds, dict.fromkeys(x, 20_000), ps, seen)
+    for c, v in x.items():
+        assert got[c] == pytest.approx(np.percentile(v, P.PERCENTILES).tolist(), rel=1e-12), c
+    assert max(rows) <= len(x) * (2 * len(ps) + 12) and len(rows) <= 10
+    values, counts = np.unique(x["few"], return_counts=True)
+    assert seen["few"].single and seen["few"].bins == len(values) and not seen["even"].single
+    assert seen["few"].top == [(values[i], counts[i]) for i in np.lexsort((values, -counts))[:12]]
+
+
 def test_histograms(spark):
     assert [r["count"] for r in P.histogram(values(spark, [1.0, 2, 3, 4, 5, 5, 5]), F.col("v")).orderBy("bin").collect()] == [1, 1, 1, 1, 3]
     huge = P.histogram(values(spark, [6.02214076e23] * 3), F.col("v"))
