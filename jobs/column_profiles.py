@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-from lattica.operators.grouped import profile_by  # noqa: E402
+from lattica.operators.grouped import counted_by, middle_by, profile_by  # noqa: E402
 from lattica.store import cut, made, release  # noqa: E402
 
 log = logging.getLogger("column_profiles")
@@ -36,14 +36,16 @@ ORDERED = ("min", "max", "median", "iqr", "mad", "lower_fence", "upper_fence", "
 def profiles(table: DataFrame, name: str, by: list[str], columns: dict[str, str], config: dict) -> DataFrame:
     """The rows of one table."""
     label = F.array_join(F.array(*[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("null")) for k in by]), "/")
-    # each row counts for its group and, with none, for the table
-    rows = table.select(F.explode(F.array(label, F.lit(None).cast("string"))).alias("group"), *[F.expr(e).cast("double").alias(c) for c, e in columns.items()])
-    figures = cut(profile_by(rows, ["group"], list(columns), config["bins"]))
-    by_group, whole = figures.where("group is not null"), figures.where("group is null").select("column", F.col("median").alias("common"), F.col("mad").alias("scale"))
+    rows = table.select(label.alias("group"), *[F.expr(e).cast("double").alias(c) for c, e in columns.items()])
+    # the figures of the whole table come from the counted values of its groups
+    counts = cut(counted_by(rows, ["group"], list(columns)))
+    by_group = profile_by(rows, ["group"], list(columns), config["bins"], counts=counts)
+    every = counts.groupBy(F.struct(F.lit("all")).alias("g"), "c", "x").agg(F.sum("n").alias("n"))
+    whole = middle_by(cut(every)).select(F.element_at(F.array(*map(F.lit, columns)), F.col("c") + 1).alias("column"), F.col("median").alias("common"), F.col("mad").alias("scale"))
     r = lambda c: F.round(c, config["decimals"])
     shift = F.try_divide(F.abs(F.col("median") - F.col("common")), F.col("scale"))
     # one row a column of the configuration: its number bounds the broadcast
-    return by_group.join(F.broadcast(whole), "column").select(
+    return by_group.join(F.broadcast(whole), "column", "left").select(
         F.lit(name).alias("table"), "group", "column", *COUNTS, *[F.round(f, config["moment_decimals"]).alias(f) for f in MOMENTS], *[r(f).alias(f) for f in ORDERED],
         F.transform("histogram.bin_edges", r).alias("edges"), F.col("histogram.counts").alias("counts"),
         r(shift).alias("shift"), F.coalesce(shift > config["shift"], F.lit(False)).alias("apart"),

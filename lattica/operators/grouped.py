@@ -1,17 +1,20 @@
 """Exact profiles of many groups at once.
 
 One row of statistics for each group and column, in a number of scans that does
-not depend on how many groups there are, and without a row on the driver.
-Groups of few values are ranked by one shuffle.  In larger ones the values of
-the wanted ranks are found by refined histograms as in :mod:`.selection`, but
-the open intervals are a table that rows meet by group: broadcast while it is
-small, else joined by group and a salt, so that no group's rows meet in one
-task.
+not depend on how many groups there are, and without a row on the driver.  The
+table itself is read twice: for moments, and for the distinct values of each
+group with their counts, which are stored; all other figures come from those.
+Groups of few distinct values are ranked by one shuffle.  In larger ones the
+values of the wanted ranks are found by refined histograms as in
+:mod:`.selection`, but the open intervals are a table that rows meet by group
+and the bin of the scan before: broadcast while it is small, else joined with a
+salt, so that no group's rows meet in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,70 +26,83 @@ from .selection import BINS, EVEN, FAR, LIST, image
 
 #: Entries of a table of groups that is broadcast; a larger one is joined by group and salt.
 BROADCAST, SALTS = 200_000, 64
-def _salted(rows: DataFrame, table: DataFrame, entries: int, how: str, broadcast: int) -> DataFrame:
-    """``rows`` joined with ``table``, which has one row a group (g, c) and ``entries`` entries in all."""
+
+
+def _salted(rows: DataFrame, table: DataFrame, keys: Sequence[str], entries: int, broadcast: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each of its ``keys`` and ``entries`` rows in all."""
     if entries <= broadcast:
-        return rows.join(F.broadcast(table), ["g", "c"], how)
+        return rows.join(F.broadcast(table), [*keys])
     salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(salted, ["g", "c", "salt"], how).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
+
+
+def counted_by(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(g, c, x, n): how often each finite value occurs in a group and column (its number); -0.0 counts as 0.0."""
+    return _counted(_long(df, keys, columns))
+
+
+def _long(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    per = [F.struct(F.lit(i).alias("c"), v.alias("v"), finite(v).alias("x")) for i, v in enumerate(as_values(df, columns).values())]
+    return df.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("g"), F.inline(F.array(*per)))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.where("x is not null").groupBy("g", "c", (F.col("x") + F.lit(0.0)).alias("x")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _holding(intervals: DataFrame) -> DataFrame:
-    """One row a group with its open intervals, and how the bins of each are cut."""
+def _cut_into_bins(intervals: DataFrame) -> DataFrame:
+    """Open intervals with the ends, kind and number of their bins."""
     lo, hi = F.col("lo"), F.col("hi")
     even = (F.signum(lo) * F.signum(hi) > 0) & (F.greatest(F.abs(lo), F.abs(hi)) <= EVEN * F.least(F.abs(lo), F.abs(hi)))
     # equal bins suit most columns at first; what then holds too many values is cut by the image
     by_image = ~even & ~(F.col("first") & ((lo * hi <= 0) | (F.greatest(F.abs(lo), F.abs(hi)) <= FAR * F.least(F.abs(lo), F.abs(hi)))))
-    bins = F.least(F.lit(BINS), F.greatest(F.lit(1024), F.floor(F.col("n") / 16))).cast("int")
-    one = F.struct(lo.alias("lo"), hi.alias("hi"), F.when(by_image, image(lo)).otherwise(lo / 2).alias("from"), F.when(by_image, image(hi)).otherwise(hi / 2).alias("to"), by_image.alias("by_image"), bins.alias("bins"))
-    return intervals.groupBy("g", "c").agg(F.collect_list(one).alias("open"))
+    bins = F.least(F.lit(BINS), F.greatest(F.lit(1024), F.floor(F.col("m") / 16))).cast("int")
+    return intervals.withColumns({"from": F.when(by_image, image(lo)).otherwise(lo / 2), "to": F.when(by_image, image(hi)).otherwise(hi / 2), "by_image": by_image, "bins": bins})
 
 
 def ranked(rows: DataFrame, wanted: DataFrame, list_limit: int = LIST, broadcast: int = BROADCAST) -> DataFrame:
     """(g, c, found): the values of the given 0-based ranks in each group, as a map.
 
-    ``rows`` are (g, c, x) with a group, a column number and a double that is
-    finite or null (skipped); ``wanted`` has one row (g, c, n, lo, hi, ranks)
-    for each group with values: their number, bounds and the ranks.
+    ``rows`` are (g, c, x, n) with a group, a column number, a finite double and
+    how often it occurs; a double may have several rows.  ``wanted`` has one
+    row (g, c, m, lo, hi, ranks) for each group with values: the number of its
+    rows, their bounds and the ranks.
     """
-    rows = rows.select("g", "c", "x").where("x is not null")
-    wanted = cut(wanted.withColumns({"lo": F.col("lo") + F.lit(0.0), "hi": F.col("hi") + F.lit(0.0), "below": F.lit(0).cast("long"), "first": F.lit(True)}))
-    every = wanted.columns
-    one_value = F.col("lo") == F.col("hi")
-    settled = wanted.where(one_value).select("g", "c", F.explode("ranks").alias("rank"), F.col("lo").alias("value"))
-    large = (F.col("n") > list_limit) & ~one_value
-    listed, intervals = wanted.where((F.col("n") <= list_limit) & ~one_value).select(*every), wanted.where(large)
-    groups = wanted.where(F.col("n") > list_limit).select("g", "c")
-    parts = intervals.count()
-    there = groups.count()
-    while parts:
-        hit = _salted(rows, _holding(intervals), parts, "inner", broadcast).withColumn("i", F.get(F.filter("open", lambda i: (F.col("x") >= i["lo"]) & (F.col("x") <= i["hi"])), F.lit(0))).where("i is not null")
-        at = F.when(F.col("i.by_image"), image(F.col("x"))).otherwise(F.col("x") / 2)
-        bin_ = F.least(F.floor((at - F.col("i.from")) / (F.col("i.to") - F.col("i.from")) * F.col("i.bins")), F.col("i.bins") - 1)
-        counted = hit.select("g", "c", "x", F.col("i.lo").alias("at"), bin_.alias("bin")).groupBy("g", "c", "at", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        before = Window.partitionBy("g", "c", "at").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        placed = counted.join(intervals.select("g", "c", F.col("lo").alias("at"), "below", "ranks"), ["g", "c", "at"]).withColumn("below", F.col("below") + F.coalesce(F.sum("n").over(before), F.lit(0)))
-        own = F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("n")))
-        held = cut(placed.select("g", "c", "n", "lo", "hi", own.alias("ranks"), "below", F.lit(False).alias("first")).where(F.size("ranks") > 0))
-        settled = settled.unionByName(held.where(one_value).select("g", "c", F.explode("ranks").alias("rank"), F.col("lo").alias("value")))
-        listed = listed.unionByName(held.where((F.col("n") <= list_limit) & ~one_value).select(*every))
-        intervals = held.where(large)
-        parts = intervals.count()
+    zero, one_value, small = F.lit(0.0), F.col("lo") == F.col("hi"), F.col("m") <= list_limit
+    # rows meet intervals by group at first, then by the interval and bin that the last scan gave them
+    own, rows = ["g", "c"], rows.select("g", "c", "x", "n")
+    held = wanted.select(*own, "m", (F.col("lo") + zero).alias("lo"), (F.col("hi") + zero).alias("hi"), "ranks", F.lit(0).cast("long").alias("below"), F.lit(True).alias("first"))
+    settled, listed = [], []
+    while True:
+        settled.append(held.where(one_value).select("g", "c", F.explode("ranks").alias("rank"), F.col("lo").alias("value")))
+        open_ = held.where(~one_value).withColumn("at", F.col("lo"))
+        few, large = open_.agg(F.count_if(small), F.count_if(~small)).first()
+        if few:
+            listed.append(_salted(rows, open_.where(small).select(*own, "at", "below", "ranks"), own, few, broadcast).select("g", "c", "at", "x", "n", "below", "ranks"))
+        if not large:
+            break
+        intervals = _cut_into_bins(open_.where(~small))
+        place = F.when(F.col("by_image"), image(F.col("x"))).otherwise(F.col("x") / 2)
+        bin_ = F.least(F.floor((place - F.col("from")) / (F.col("to") - F.col("from")) * F.col("bins")), F.col("bins") - 1)
+        rows = _salted(rows, intervals.select(*own, "at", "from", "to", "by_image", "bins"), own, large, broadcast).select("g", "c", F.col("at").alias("within"), bin_.alias("bin"), "x", "n")
+        own = ["g", "c", "within", "bin"]
+        counted = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        earlier = Window.partitionBy("g", "c", "within").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counted.join(intervals.select("g", "c", F.col("at").alias("within"), "below", "ranks"), ["g", "c", "within"]).withColumn("below", F.col("below") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        held = cut(placed.select(*own, "m", "lo", "hi", _held("below").alias("ranks"), "below", F.lit(False).alias("first")).where(F.size("ranks") > 0))
     # what is left has few values each: small groups in whole, of large ones the listed intervals
-    whole = F.lit(float("inf"))
-    listed = listed.withColumn("at", F.when(F.col("first"), whole).otherwise(F.col("lo")))
-    if there:
-        spans = groups.join(listed.where(~F.col("first")).groupBy("g", "c").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), ["g", "c"], "left").select("g", "c", F.coalesce("spans", F.array().cast("array<struct<lo:double,hi:double>>")).alias("spans"))
-        entries = listed.where(~F.col("first")).count() + there
-        rows = _salted(rows, spans, entries, "left", broadcast)
-        inside = F.get(F.filter("spans", lambda i: (F.col("x") >= i["lo"]) & (F.col("x") <= i["hi"])), F.lit(0))["lo"]
-        rows = rows.withColumn("at", F.when(F.col("spans").isNull(), whole).otherwise(inside)).where("at is not null").select("g", "c", "at", "x")
-    else:
-        rows = rows.withColumn("at", whole)
-    inside = rows.join(listed.select("g", "c", "at", "below", "ranks"), ["g", "c", "at"])
-    number = F.col("below") + F.row_number().over(Window.partitionBy("g", "c", "at").orderBy("x")) - 1
-    listed_values = inside.withColumn("rank", number).where(F.array_contains("ranks", F.col("rank"))).select("g", "c", "rank", F.col("x").alias("value"))
-    return settled.unionByName(listed_values).groupBy("g", "c").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("found"))
+    earlier = Window.partitionBy("g", "c", "at").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    for part in listed:
+        placed = part.withColumn("below", F.col("below") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        # the test of single values is compiled, the other is not
+        hit = placed.where((F.col("n") > 1) | F.array_contains("ranks", F.col("below")))
+        settled.append(hit.select("g", "c", F.explode(_held("below")).alias("rank"), F.col("x").alias("value")))
+    return reduce(DataFrame.unionByName, settled).groupBy("g", "c").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("found"))
+
+
+def _held(below: str) -> Column:
+    """Those of ``ranks`` that fall into ``n`` values after ``below`` others."""
+    return F.filter("ranks", lambda r: (r >= F.col(below)) & (r < F.col(below) + F.col("n")))
 
 
 def _place(n: Column, p: float) -> Column:
@@ -103,23 +119,41 @@ def _quantile(found: Column, n: Column, p: float) -> Column:
     return low + (high - low) * (at - F.floor(at))
 
 
-def profile_by(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, bins: int = DEFAULT_BINS, list_limit: int = LIST, broadcast: int = BROADCAST) -> DataFrame:
+def middle_by(counts: DataFrame, list_limit: int = LIST, broadcast: int = BROADCAST) -> DataFrame:
+    """(g, c, median, mad) of each group of :func:`counted_by` rows."""
+    bounds = cut(counts.groupBy("g", "c").agg(F.sum("n").alias("finite"), F.count(F.lit(1)).alias("m"), F.min("x").alias("min"), F.max("x").alias("max")))
+    n = F.col("finite")
+    found = ranked(counts, bounds.select("g", "c", "m", F.col("min").alias("lo"), F.col("max").alias("hi"), _ranks(n, [0.5]).alias("ranks")), list_limit, broadcast)
+    stats = cut(bounds.join(found, ["g", "c"]).select("g", "c", "finite", "m", "min", "max", _quantile(F.col("found"), n, 0.5).alias("p50")))
+    deviations = _deviations(_salted(counts, stats.select("g", "c", "p50"), ["g", "c"], stats.count(), broadcast), stats, list_limit, broadcast)
+    return stats.join(deviations, ["g", "c"]).select("g", "c", F.col("p50").alias("median"), _quantile(F.col("found"), n, 0.5).alias("mad"))
+
+
+def _deviations(met: DataFrame, stats: DataFrame, list_limit: int, broadcast: int) -> DataFrame:
+    """The ranks around the middle of the distances from each group's median."""
+    far = F.greatest(F.col("p50") - F.col("min"), F.col("max") - F.col("p50"))
+    return ranked(met.select("g", "c", F.abs(F.col("x") - F.col("p50")).alias("x"), "n"), stats.select("g", "c", "m", F.lit(0.0).alias("lo"), far.alias("hi"), _ranks(F.col("finite"), [0.5]).alias("ranks")), list_limit, broadcast)
+
+
+def profile_by(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, bins: int = DEFAULT_BINS, list_limit: int = LIST, broadcast: int = BROADCAST, counts: DataFrame | None = None) -> DataFrame:
     """One row of statistics for each combination of ``keys`` (nulls are a group) and column: the keys, then the fields of the profile.
 
     All figures are exact and defined as in :func:`lattica.operators.profile.profile`.
-    An array file's elements are profiled by file with key ``path``.
+    An array file's elements are profiled by file with key ``path``.  ``counts``
+    are the stored :func:`counted_by` rows of the same table, keys and columns,
+    where they are there already.
     """
     names = [c for c in columns or numeric_columns(df) if columns or c not in keys]
     if not names:
         raise ValueError("there is no column to profile")
-    per = [F.struct(F.lit(i).alias("c"), v.alias("v"), finite(v).alias("x")) for i, v in enumerate(as_values(df, names).values())]
-    rows = df.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("g"), F.inline(F.array(*per)))
+    rows = _long(df, keys, names)
+    counts = cut(_counted(rows)) if counts is None else counts
     wanted = {k: e.alias(k) for k, e in basic_aggregates(F.col("v"), F.col("x")).items()}
-    base = cut(rows.groupBy("g", "c").agg(*wanted.values(), F.approx_count_distinct("x").alias("guess")))
+    base = cut(rows.groupBy("g", "c").agg(*wanted.values()).join(counts.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m")), ["g", "c"], "left"))
     ps, n = [p / 100 for p in PERCENTILES], F.col("finite")
     live = base.where("finite > 0")
-    found = ranked(rows, live.select("g", "c", n.alias("n"), F.col("min").alias("lo"), F.col("max").alias("hi"), _ranks(n, ps).alias("ranks")), list_limit, broadcast)
-    stats = live.join(found, ["g", "c"]).select("g", "c", "finite", "min", "max", "integral", "guess", *[_quantile(F.col("found"), n, p).alias(percentile_name(q)) for p, q in zip(ps, PERCENTILES, strict=True)])
+    found = ranked(counts, live.select("g", "c", "m", F.col("min").alias("lo"), F.col("max").alias("hi"), _ranks(n, ps).alias("ranks")), list_limit, broadcast)
+    stats = live.join(found, ["g", "c"]).select("g", "c", "finite", "m", "min", "max", "integral", *[_quantile(F.col("found"), n, p).alias(percentile_name(q)) for p, q in zip(ps, PERCENTILES, strict=True)])
     iqr = F.col("p75") - F.col("p25")
     span = F.col("max") - F.col("min")
     fits = F.col("integral") & (span > 0) & (span + 1 <= bins)
@@ -129,24 +163,21 @@ def profile_by(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None
     stats = cut(stats.withColumns({"lower_fence": F.col("p25") - 1.5 * iqr, "upper_fence": F.col("p75") + 1.5 * iqr, "k": k, "edge": first, "width": (last - first) / k}))
     groups = stats.count()
 
-    # deviations, bins and outliers need their group's figures: rows meet them once
-    met = _salted(rows.select("g", "c", "x").where("x is not null"), stats.select("g", "c", "p50", "edge", "width", "k", "lower_fence", "upper_fence"), groups, "inner", broadcast)
+    # deviations, bins and outliers need their group's figures: values meet them once
+    met = _salted(counts, stats.select("g", "c", "p50", "edge", "width", "k", "lower_fence", "upper_fence"), ["g", "c"], groups, broadcast)
     if groups > broadcast:
         met = cut(met)
-    far = F.greatest(F.col("p50") - F.col("min"), F.col("max") - F.col("p50"))
-    deviations = ranked(met.select("g", "c", F.abs(F.col("x") - F.col("p50")).alias("x")), stats.select("g", "c", n.alias("n"), F.lit(0.0).alias("lo"), far.alias("hi"), _ranks(n, [0.5]).alias("ranks")), list_limit, broadcast)
+    deviations = _deviations(met, stats, list_limit, broadcast)
     outside = (F.col("x") < F.col("lower_fence")) | (F.col("x") > F.col("upper_fence"))
-    binned = met.groupBy("g", "c", bin_of(F.col("x"), F.col("edge"), F.col("width"), F.col("k")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if(outside).alias("out"))
+    binned = met.groupBy("g", "c", bin_of(F.col("x"), F.col("edge"), F.col("width"), F.col("k")).alias("bin")).agg(F.sum("n").alias("n"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("out"))
     binned = binned.groupBy("g", "c").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("counts"), F.sum("out").alias("outliers"))
 
-    # distinct values are counted where there may be few: an estimate is far from twice the count
-    few = stats.where((n <= DISTINCT_CAP) | (F.col("guess") <= 1.4 * DISTINCT_CAP)).select("g", "c", F.lit(True).alias("few"))
-    values = _salted(rows.select("g", "c", (F.col("x") + F.lit(0.0)).alias("x")).where("x is not null"), few, groups, "inner", broadcast).groupBy("g", "c", F.col("x").alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    distinct = values.groupBy("g", "c").agg(F.count(F.lit(1)).alias("distinct")).where(F.col("distinct") <= DISTINCT_CAP)
+    distinct = stats.where(F.col("m") <= DISTINCT_CAP).select("g", "c", F.col("m").alias("distinct"))
+    values = _salted(counts, distinct.select("g", "c"), ["g", "c"], groups, broadcast).select("g", "c", F.col("x").alias("value"), F.col("n").alias("count"))
     place = F.row_number().over(Window.partitionBy("g", "c").orderBy(F.desc("count"), "value"))
     top = values.withColumn("place", place).where(F.col("place") <= TOP).groupBy("g", "c").agg(F.array_sort(F.collect_list(F.struct("place", "value", "count"))).alias("top"))
 
-    out = base.drop("guess").join(stats.drop("finite", "min", "max", "integral", "guess"), ["g", "c"], "left").join(deviations, ["g", "c"], "left").join(binned, ["g", "c"], "left").join(distinct, ["g", "c"], "left").join(top, ["g", "c"], "left")
+    out = base.drop("m").join(stats.drop("finite", "m", "min", "max", "integral"), ["g", "c"], "left").join(deviations, ["g", "c"], "left").join(binned, ["g", "c"], "left").join(distinct, ["g", "c"], "left").join(top, ["g", "c"], "left")
     some = F.col("finite") > 0
     edges = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.col("edge") + F.col("width") * i)
     counts = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.coalesce(F.col("counts")[i], F.lit(0)).cast("long"))

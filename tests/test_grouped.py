@@ -70,3 +70,23 @@ def test_scans_do_not_depend_on_groups_or_range(spark, monkeypatch):
     many = spark.range(4000).select((F.col("id") % 40).alias("g"), F.sin("id").alias("x"))
     # four tables, and one for each of at most five refinements of values and of deviations
     assert tables(wide) <= 14 and tables(many) <= 10
+
+
+def test_repeated_values_are_counted_once_and_not_scanned_again(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(G, "cut", lambda t: made.append(1) or cut(t))
+    df = spark.range(6000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7 % 60 / 4 - 3).alias("x"))
+    got = {r["g"]: r for r in G.profile_by(df, ["g"], ["x"], list_limit=100).collect()}
+    # counted values, moments and ranks: no interval is refined, as a group has 30 values in 3000 rows
+    assert len(made) == 3
+    want = profile(df.where("g = 1"), ["x"]).first()
+    assert all(near(got[1][f], want[f]) for f in want.asDict())
+
+
+@pytest.mark.parametrize(("list_limit", "broadcast"), [(20_000, 200_000), (4, 1)])
+def test_middles_of_merged_counts_are_those_of_all_rows(spark, list_limit, broadcast):
+    rows = [(i % 3, [-0.0, 0.0, 1.5, 1e-300, -7.0, 2.0**60, math.nan, None][i * i % 8] if i % 5 else i / 9) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    every = G.counted_by(df, ["g"], ["x"]).groupBy(F.struct(F.lit("all")).alias("g"), "c", "x").agg(F.sum("n").alias("n"))
+    got, want = G.middle_by(every, list_limit, broadcast).first(), profile(df, ["x"]).first()
+    assert near((got["median"], got["mad"]), (want["median"], want["mad"]))
