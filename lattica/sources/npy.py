@@ -46,7 +46,8 @@ EXACT = f"{ELEMENTS}, exact string"
 GAP_BYTES, SPAN_BYTES = 4096, 8 << 20
 #: Files whose headers are read while planning, so that windows make no empty tasks; of more, none is opened there.
 FEW_FILES = 64
-#: Bytes that opening a file counts for where small files share a partition, and most files of a partition of headers.
+#: Bytes that opening a file counts for where small files share a partition, and files of a partition: the most of headers, and how many
+#: small files share one at least where there are very many.
 OPEN_BYTES, HEADERS = 1 << 20, 256
 #: Text of an element that a truncated file does not hold.
 MISSING = "--"
@@ -260,15 +261,21 @@ class _Pack(InputPartition):
 
 
 def _packed(pieces: list[tuple[str, int, int | None, int]], most: int) -> list[_Pack]:
-    """Pieces together until they have about ``most`` bytes."""
-    out, room = [], 0
+    """Pieces together until they have about ``most`` bytes, counting what opening costs.
+
+    The more pieces there are, the more of them share a partition whatever
+    ``most`` says, as a task costs more than some hundred small files; but not
+    more than PARTITION_BYTES of their data.
+    """
+    least, full = min(HEADERS, -(-len(pieces) // FEW_FILES)), max(most, PARTITION_BYTES)
+    out, room, data = [], 0, 0
     for p in pieces:
-        size = (p[3] if p[2] is None else p[2]) - p[1] + OPEN_BYTES
-        if not out or size > room:
+        size = (p[3] if p[2] is None else p[2]) - p[1]
+        if not out or data + size > full or (size + OPEN_BYTES > room and len(out[-1].pieces) >= least):
             out.append(_Pack([]))
-            room = max(most, size)
+            room, data = most, 0
         out[-1].pieces.append(p)
-        room -= size
+        room, data = room - size - OPEN_BYTES, data + size
     return out
 
 

@@ -125,3 +125,17 @@ def test_a_stream_takes_new_and_grown_files_once(spark, tmp_path):
     (src / "c.npy").write_bytes(late)
     assert run() == 190
     assert values(spark.read.parquet(out)) == {"a.npy": plain(a), "b.npy": plain(b), "c.npy": plain(c)}
+
+
+@pytest.mark.parametrize("most", [200, 1 << 16, npy.PARTITION_BYTES, 4 * npy.PARTITION_BYTES])
+def test_tasks_do_not_grow_with_small_files(most):
+    pieces = [(f"f{i}", 0, None, 20_000 + i % 9) for i in range(8000)]
+    parts = npy._packed(pieces, most)
+    assert [p for part in parts for p in part.pieces] == pieces
+    # a task costs as much as some hundred small files
+    assert len(parts) <= 8000 / 100
+    # large pieces do not share one, however many there are
+    large = [(f"f{i}", a, a + most, 1 << 40) for i in range(100) for a in range(0, 40 * most, most)]
+    assert all(len(p.pieces) == 1 or sum(b - a for _, a, b, _ in p.pieces) <= max(most, npy.PARTITION_BYTES) for p in npy._packed(large, most))
+    # few files still make tasks of their own
+    assert len(npy._packed(pieces[:64], 200)) == 64
